@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                     files, root = _filesystem(folder)
                     files.create_dir(root, recursive=True)
                     name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
-                    sink = files.open_output_stream(f"{root}/{name}")
+                    sink = files.open_output_stream(f"{root}/{name}", compression=None)
                     writer = Writer(sink, width_of(coder.vocabulary))
                 for key, data in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
                     writer.add(key, np.frombuffer(data + end, "<u4"))

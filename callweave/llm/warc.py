@@ -136,7 +136,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     name = f"bundle-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.zst"
-                    sink = files.open_output_stream(f"{root}/{name}")
+                    sink = files.open_output_stream(f"{root}/{name}", compression=None)
                     writer = BundleWriter(sink)
                     number += 1
                 data = record(r["page_id"], r["url"], r["html"].encode(), r["payload_digest"], "response" if r["refers_to"] is None else "revisit", r["refers_to"])
