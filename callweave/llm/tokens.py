@@ -1,21 +1,19 @@
 """Tokenizer access for tasks: whole texts to ids, each distinct word encoded once a worker.
 
 The vocabulary used here drops white space before it splits a text into pieces, so a text's ids are its words' ids in
-turn. Words are looked up in a bounded cache of the Python worker; the library encodes those not yet seen.
+turn. They are cut at space, tab, newline and return; rarer white space stays inside a word, where the library treats it.
+Words are looked up in a bounded cache of the Python worker; the library encodes those not yet seen.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Letters and marks whose lower-casing and splitting don't depend on their neighbours; no apostrophe (contractions).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-#: White space that any definition knows; rarer kinds stay inside a word, where the library treats them.
-_SPACES = str.maketrans("\n\t\r", "   ")
 
 
 def default_path() -> str:
@@ -27,7 +25,7 @@ def default_path() -> str:
 class WordEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. limit: words kept at once."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,29 +35,31 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.words) + len(missing) > self.limit:
-            self.words = {"": b""}
-        if len(self.pieces) + len(missing) > self.limit:
+        if len(self.pieces) > self.limit:
             self.pieces = {"": b""}
-        split = {w: (m[1].lower(), m[2]) for w in missing if (m := _PLAIN.match(w))}
-        new = {p for pair in split.values() for p in pair} - self.pieces.keys()
-        others = list(missing - split.keys())
-        parts = list(new)
+        words, pieces, match = self.words, self.pieces, _PLAIN.match
+        split, others = [], []
+        for w in missing:
+            if m := match(w):
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                others.append(w)
+        parts = list({p for _, a, b in split for p in (a, b)}.difference(pieces))
         found = self._library(parts + others)
-        self.pieces.update(zip(parts, found))
-        self.words.update(zip(others, found[len(parts) :]))
-        pieces = self.pieces
-        self.words.update((w, pieces[a] + pieces[b]) for w, (a, b) in split.items())
+        pieces.update(zip(parts, found))
+        words.update(zip(others, found[len(parts) :]))
+        for w, a, b in split:
+            words[w] = pieces[a] + pieces[b] if b else pieces[a]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").translate(_SPACES).split(" ") if t else [] for t in texts]
-        wanted = set().union(*rows) if rows else set()
-        if missing := wanted - self.words.keys():
+        rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        wanted = set().union(*rows)
+        if missing := wanted.difference(self.words):
             if len(self.words) + len(missing) > self.limit:
-                missing = wanted  # the cache starts anew and must hold all of these
+                self.words, missing = {"": b""}, wanted
             self._learn(missing)
         get = self.words.__getitem__
         return [b"".join(map(get, row)) for row in rows]
