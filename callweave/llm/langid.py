@@ -129,33 +129,51 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _scored(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label number, or the number of labels for none; score; rejected) of each text of a batch."""
+    texts = part.column("text")
+    raw, offsets = text_buffer(texts)
+    n, labels = part.num_rows, len(model.labels)
+    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    best, top = np.full(n, labels), np.zeros(n)
+    if labels and n:
+        buckets, owners = subwords(raw, offsets)
+        many = np.maximum(np.bincount(owners, minlength=n), 1)
+        logits = np.stack([np.bincount(owners, model.table[:, k][buckets], n) / many + model.bias[k] for k in range(labels)], axis=1)
+        chance = np.exp(_log_softmax(logits))
+        best = np.where(lettered, chance.argmax(axis=1), labels)
+        top = np.where(lettered, np.minimum(chance.max(axis=1), 1.0), 0.0)
+    return best, top, (top < model.level) | (best == labels)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text. Gives doc_id, lang_pred, score, rejected (no letter, or score below the model's level)."""
+    model.table = np.asfortranarray(model.table)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*model.labels, UNKNOWN], object)
-        columns = [np.ascontiguousarray(model.table[:, k]) for k in range(len(model.labels))]
+        names = np.array([*shared.value.labels, UNKNOWN], object)
         for batch in batches:
             for part in slices(batch, size=1 << 17):
-                raw, offsets = text_buffer(part.column("text"))
-                n = part.num_rows
-                lettered = np.array([t is not None and _LETTER.search(t) is not None for t in part.column("text").to_pylist()], bool)
-                best, top = np.full(n, len(columns)), np.zeros(n)
-                if columns and n:
-                    buckets, owners = subwords(raw, offsets)
-                    many = np.maximum(np.bincount(owners, minlength=n), 1)
-                    logits = np.stack([np.bincount(owners, c[buckets], n) / many + b for c, b in zip(columns, model.bias)], axis=1)
-                    chance = np.exp(_log_softmax(logits))
-                    best = np.where(lettered, chance.argmax(axis=1), len(columns))
-                    top = np.where(lettered, np.minimum(chance.max(axis=1), 1.0), 0.0)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[best], pa.string()), "score": top, "rejected": (top < model.level) | (best == len(columns))})
+                best, top, rejected = _scored(part, shared.value)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[best], pa.string()), "score": top, "rejected": rejected})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model rejects; same columns, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, size=1 << 17):
+                yield part.filter(pa.array(~_scored(part, shared.value)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(key_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
 

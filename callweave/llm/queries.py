@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import bitpack, decontaminate, langid, neardup, packing, quality, rules, warc
+from callweave.llm import bitpack, decontaminate, langid, linededup, neardup, packing, quality, repeats, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": linededup.line_dedup,
     "op2_language_id": langid.language_id,
     "op3_quality_classifier": quality.quality_classifier,
     "op4_quality_rules": rules.quality_rules,
     "op5_packing": packing.packing,
+    "op6_suffix_dedup": repeats.suffix_dedup,
     "op7_decontamination": decontaminate.decontamination,
     "op8_token_ids": bitpack.token_ids,
     "op9_minhash_neardup": neardup.minhash_neardup,
