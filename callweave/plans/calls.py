@@ -107,6 +107,7 @@ ORACLE_SQL = {
     "persona_relevance": W + ", l AS (SELECT customer_id, max(call_date) AS last, count(*) FILTER (call_date >= DATE '2024-01-31' - INTERVAL 90 DAY) AS recent_calls FROM c GROUP BY 1), j AS (SELECT c_custkey AS id, coalesce(date_diff('day', last, DATE '2024-01-31'), 9999) AS days_since, coalesce(recent_calls, 0) AS recent_calls FROM customer LEFT JOIN l ON customer_id = c_custkey) SELECT id, days_since, CASE WHEN days_since <= 30 THEN 'valid' WHEN days_since <= 180 THEN 'stale' ELSE 'outdated' END AS state, recent_calls FROM j",
     "customer_guidance_info": "WITH " + STATS + ", j AS (SELECT c_custkey AS id, total_consultations AS t, resolved_first_call AS r, date_diff('day', last_consultation_date, DATE '2024-01-31') AS d FROM customer LEFT JOIN s ON customer_id = c_custkey) SELECT id, CASE WHEN t IS NULL THEN 'new' WHEN d <= 7 THEN 'very_recent' WHEN d <= 30 THEN 'recent' WHEN d <= 90 THEN 'quarter' WHEN d <= 365 THEN 'year' ELSE 'inactive' END AS tier, CAST(round(CAST(r * 100 AS DECIMAL(20, 6)) / t, 1) AS DOUBLE) AS fcr_rate FROM j",
     "slot_conflicts": W + ", m AS (SELECT id, agent_id, date_trunc('minute', call_ts) AS minute, count(*) OVER (PARTITION BY agent_id, date_trunc('minute', call_ts)) AS booked FROM c) SELECT * FROM m WHERE booked > 1",
+    "agent_round_robin": W + ", n AS (SELECT category_raw, count(*) AS n FROM c GROUP BY 1), p AS (SELECT n_name AS agent, (['click', 'error', 'purchase', 'signup', 'view'])[n_nationkey % 5 + 1] AS category_raw, n_nationkey // 5 AS slot FROM nation) SELECT category_raw, agent, (n - slot + 4) // 5 AS calls FROM n JOIN p USING (category_raw) WHERE n > slot",
     "agent_targets": "WITH " + PERF + ", n AS (SELECT *, (rank - 1) / CAST(greatest((SELECT count(*) FROM p) - 1, 1) AS DOUBLE) AS share FROM p) SELECT agent_id, CAST(least(floor(share * 3), 2) AS BIGINT) AS band, CAST(round_even(200 - 150 * share, 0) AS BIGINT) AS target FROM n",
     "calls_per_agent_lateral": W + ", r AS (SELECT agent_id, id, row_number() OVER (PARTITION BY agent_id ORDER BY id) AS place FROM c) SELECT * FROM r WHERE place <= 3",
     "learning_analytics": """WITH r AS (SELECT event_id AS id, user_id AS employee_id, CAST(floor(value) AS BIGINT) % 101 AS score, CAST(floor(value) AS BIGINT) AS secs, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS scenario_id, ts FROM events WHERE event_type = 'purchase'),

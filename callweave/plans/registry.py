@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from callweave.plans import calls
+from callweave.plans import calls, search, texts
 
-_MODULES = (calls,)
+_MODULES = (calls, texts, search)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
