@@ -48,12 +48,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def windows(items: DataFrame, width: int = 10) -> DataFrame:
-    """item_id, window (number in the item), size, offset, word: one row a term."""
+    """item_id, window (hash of its terms), size, offset, word: one row a term. Rows that repeat an item_id are one item."""
     rows = computed(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")), ["item_id"], words=words_of(F.col("text"))).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(width), F.lit(0)))
-    rows = rows.select("item_id", "words", F.explode(starts).alias("window"))
-    rows = rows.select("item_id", "window", F.slice("words", F.col("window") + 1, width).alias("terms"))
-    rows = rows.dropDuplicates(["item_id", "terms"])
+    rows = rows.select("item_id", "words", F.explode(starts).alias("at"))
+    rows = rows.select("item_id", F.slice("words", F.col("at") + 1, width).alias("terms")).withColumn("window", F.xxhash64(F.array_join("terms", " ")))
+    rows = rows.dropDuplicates(["item_id", "window"])
     return rows.select("item_id", "window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "word"))
 
 
