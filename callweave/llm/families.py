@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     are ones whose large partitions Spark can split.
     """
     spark = edges.sparkSession
-    left = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    left = materialise(edges.select("a", "b").filter("a <> b").mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
     levels: list[DataFrame] = []
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("next")))
@@ -38,21 +38,34 @@ def components(edges: DataFrame) -> DataFrame:
         left = materialise(joined.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if not levels:
         return spark.createDataFrame([], "node long, component long")
-    # a parent that is no root of its level has a parent of its own there, with a smaller node; jump until none changes
+    # an edge from a node to its parent is contracted like the others, so one step a level leads to the smallest node
     out = levels[0].select("node", F.col("parent").alias("component"))
-    for parents in levels:
-        out = _roots(out, parents)
+    for parents in levels[1:]:
+        up = parents.select(F.col("node").alias("component"), F.col("parent").alias("up"))
+        out = out.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return out
 
 
-def _roots(out: DataFrame, parents: DataFrame) -> DataFrame:
-    """component of `out` followed along `parents` to its root."""
-    hops = parents.select(F.col("node").alias("component"), F.col("parent").alias("up"))
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's own edges as stars, which leaves few rounds for the joins."""
+    data = [b for b in batches if b.num_rows]
+    if not data:
+        return
+    table = pa.Table.from_batches(data)
+    nodes, number = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
+    a, b = number[: table.num_rows], number[table.num_rows :]
+    label = np.arange(len(nodes))
     while True:
-        stepped = materialise(out.join(hops, "component", "left").select("node", F.coalesce("up", "component").alias("component"), (F.col("up") != F.col("component")).alias("moved")), "roots")
-        out = stepped.select("node", "component")
-        if stepped.filter("moved").isEmpty():
-            return out
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        np.minimum.at(least, label, least.copy())
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[other]]), pa.array(nodes[other])], ["a", "b"])
 
 
 #: Most sets and set members of a block; a task holds two blocks.
@@ -89,23 +102,38 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, of batches sorted by them."""
-    held: list[pa.RecordBatch] = []
+def bundles(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 64) -> Iterator[pa.Table]:
+    """Rows of one block pair, or of several whole families together (about `least` rows), of batches sorted by keys."""
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            part = batch.slice(a, b - a)
-            if held and any(held[-1].column(k)[0].as_py() != part.column(k)[0].as_py() for k in keys):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        starts = _starts(table, keys)
+        yield from _cut(table.slice(0, starts[-1]), starts[:-1], least)
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield from _cut(held, [0], least)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> list[int]:
+    marks = [table.column(k).to_numpy() for k in keys]
+    return [0, *(np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist()]
+
+
+def _cut(table: pa.Table, starts: list[int], least: int) -> Iterator[pa.Table]:
+    whole = table.column("whole").to_numpy()
+    begin = 0
+    for at, end in zip(starts, [*starts[1:], table.num_rows]):
+        alone = not whole[at] if end > at else False
+        if alone and at > begin:
+            yield table.slice(begin, at - begin)
+            begin = at
+        if alone or end - begin >= least or end == table.num_rows:
+            if end > begin:
+                yield table.slice(begin, end - begin)
+            begin = end
 
 
 def sets_of(column) -> list[np.ndarray]:
@@ -114,6 +142,11 @@ def sets_of(column) -> list[np.ndarray]:
     return [raw[a:b].view(np.uint64) if (a % 8 == 0) else np.frombuffer(raw[a:b].tobytes(), np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def linked_within(values: list[np.ndarray], family: np.ndarray, percent: int) -> np.ndarray:
+    """linked() of all pairs of one family."""
+    return linked(values, values, percent) & (family[:, None] == family[None, :])
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs have 100 * intersection >= percent * union."""
     shared = shared_counts(left, right).astype(np.float64)
@@ -122,16 +155,17 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
 
 
 def verify(members: DataFrame, decide: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """decide() on every block pair. members: family, node, size and what decide needs; decide gets the rows of one pair."""
+    """decide() on every block pair. members: family, node, size and what decide needs; decide gets the rows of one pair,
+    or of several families of one block each."""
     keys = ["family", "low", "high"]
     dealt = block_pairs(members).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows = 0
-        for table in groups(batches, keys):
+        for table in bundles(batches, keys):
             if table.num_rows > 1:
-                waiting.append(decide(table))
+                waiting.append(decide(table.combine_chunks()))
                 rows += waiting[-1].num_rows
             if rows >= 8192:
                 yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()

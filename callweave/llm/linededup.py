@@ -165,7 +165,7 @@ def _decide(percent: int):
         rank = np.empty(len(node), np.int64)
         rank[np.lexsort(tuple(table.column(c).to_numpy() for c in ("line", "text_hash", "doc")))] = np.arange(len(node))
         if table.column("low")[0].as_py() == table.column("high")[0].as_py():
-            near = families.linked(values, values, percent)
+            near = families.linked_within(values, table.column("family").to_numpy(), percent)
             np.fill_diagonal(near, False)
         else:
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

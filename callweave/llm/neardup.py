@@ -156,7 +156,7 @@ def _decide(percent: int):
         values = families.sets_of(table.column("set"))
         whole = np.full(len(node), table.column("whole")[0].as_py())
         if low == high:
-            near = families.linked(values, values, percent)
+            near = families.linked_within(values, table.column("family").to_numpy(), percent)
         else:
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             near = np.zeros((len(node), len(node)), bool)
