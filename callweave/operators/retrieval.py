@@ -220,6 +220,19 @@ def lexical_enough(results: DataFrame, top: float = 0.35, gap: float = 0.08) ->
     return scores.select("query_id", ((first >= top) & (second.isNull() | (first - second >= gap))).alias("enough"))
 
 
+def card_info_stop(results: DataFrame, top: float = 0.35, gap: float = 0.08, low: float = 0.22, low_gap: float = 0.04) -> DataFrame:
+    """results: query_id, rank (from 1), score, card. query_id, stop (the lexical pass is enough: a good result clearly
+    ahead or alone, or the first three share one card) and vector (a further pass pays: weak, close or mixed results)."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "score", F.lower(F.replace(F.coalesce("card", F.lit("")), F.lit(" "), F.lit(""))).alias("card"))))
+    heads = results.filter("rank <= 3").groupBy("query_id").agg(ranked.alias("r"))
+    first, second = F.get("r", F.lit(0))["score"], F.get("r", F.lit(1))["score"]
+    cards = F.array_distinct(F.transform("r", lambda x: x["card"]))
+    ahead = F.coalesce((first >= top) & (second.isNull() | (first - second >= gap)), F.lit(False))
+    one = first.isNotNull() & (F.size("r") == 3) & (F.size(cards) == 1) & (cards[0] != "")
+    mixed = F.size(F.array_remove(cards, "")) > 1
+    return heads.select("query_id", (ahead | one).alias("stop"), (first.isNull() | (first < low) | F.coalesce(first - second < low_gap, F.lit(False)) | mixed).alias("vector"))
+
+
 def fetch_by_ids(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """wanted: query_id, id, score. A query with any missing id gives nothing."""
     joined = wanted.join(docs.select("id", "title").withColumn("__there", F.lit(1)), "id", "left")
