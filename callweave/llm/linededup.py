@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import families
+from callweave.llm import families, tokens
 from callweave.llm.common import materialise, read_table
 from callweave.llm.kernels import Words, binaries, distinct_in_groups, shingle_hashes, slices, text_buffer
 from callweave.llm.neardup import set_digests
@@ -50,6 +50,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
     """Occurrences in all texts by hashed word, COUNTERS numbers whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch, size=1 << 17):
@@ -78,6 +79,7 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
     shared = rows.sparkSession.sparkContext.broadcast(np.log2(1.0 + counts).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         weight = shared.value
         for batch in batches:
             out = []

@@ -69,3 +69,9 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder; Spark reuses Python workers, so later tasks find the words that earlier ones met."""
     return WordEncoder(path)
+
+
+def release() -> None:
+    """Drop the worker's encoder. A reused worker otherwise keeps its words (over 200 MB) through jobs that need the
+    memory themselves and encode nothing."""
+    encoder.cache_clear()
