@@ -120,7 +120,7 @@ QUERIES = {
     "remap_document_ids": _remap,
     "unify_source_docs": _unified,
     "hallucination_filter": lambda s, d: conform.hallucination_filter(b.utterances(s, d), [" the ", "que"]).select("session_id", "seq"),
-    "active_agents": lambda s, d: conform.active_agents(_agents(s, d), 1, "I").select("id", "department"),
+    "active_agents": lambda s, d: conform.active_agents(_agents(s, d), 1, "NATION_1").select("id", "department"),
     "customer_update": _updated,
     "agent_pools": _pools,
     "card_info_stop": lambda s, d: retrieval.card_info_stop(_ranked(s, d)),
@@ -148,7 +148,7 @@ ORACLE_SQL = {
     "remap_document_ids": "WITH o AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 < 2 THEN 'hana_consultation_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS old FROM documents) SELECT id, CASE WHEN event_id IS NULL THEN old ELSE 'CS-' || event_id END AS consultation_id FROM o LEFT JOIN events ON event_id % 2 = 0 AND old = 'hana_consultation_' || event_id",
     "unify_source_docs": "SELECT 'CARD-' || p_partkey AS id, md5(p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10)) AS content, p_name AS title, 'credit' AS category1, p_brand AS category2, 'card_products' AS source_table, 'kept' AS note FROM part UNION ALL SELECT CAST(doc_id AS VARCHAR), md5(text), text[1:40], lang, NULL, 'service_guide_documents', NULL FROM documents",
     "hallucination_filter": _U + " SELECT session_id, seq FROM u WHERE NOT contains(message, ' the ') AND NOT contains(message, 'que') AND regexp_matches(message, '\\S')",
-    "active_agents": "SELECT s_suppkey AS id, n_name AS department FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0 AND s_suppkey <> 1 AND n_name LIKE 'I%'",
+    "active_agents": "SELECT s_suppkey AS id, n_name AS department FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0 AND s_suppkey <> 1 AND starts_with(n_name, 'NATION_1')",
     "customer_update": f"WITH o AS (SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS t, arg_max({_K} % 2, event_id) AS f FROM events GROUP BY user_id) SELECT c_custkey AS id, CASE WHEN n > 0 THEN '[\"' || t || '\"]' ELSE '[]' END AS type_history, coalesce(t, 'N1') AS current_type_code, CASE WHEN n > 0 THEN DATE '2024-01-31' ELSE DATE '2023-01-01' END AS last_consultation_date, CASE WHEN n > 0 THEN n + CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END WHEN c_custkey % 2 = 0 THEN c_custkey END AS total_consultations, CAST(coalesce(f, 0) AS INTEGER) AS resolved_first_call FROM customer LEFT JOIN o ON c_custkey = user_id",
     "agent_pools": "WITH c AS (SELECT CASE event_type WHEN 'view' THEN '기타' ELSE event_type END AS category, count(*) AS n FROM events GROUP BY 1), z AS (SELECT *, CASE category WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS size FROM c WHERE category <> '기타'), r AS (SELECT category, sum(size) OVER (ORDER BY n DESC, category) AS high, size FROM z), p AS (SELECT category, high - size AS low, high FROM r UNION ALL SELECT category, 0, 1000000000 FROM c WHERE category = '기타'), a AS (SELECT s_suppkey AS agent_id, row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS place FROM supplier) SELECT category, CAST(place - low AS BIGINT) AS slot, agent_id FROM a JOIN p ON place >= low AND place < high",
     "card_info_stop": "WITH s AS (SELECT user_id AS query_id, event_type AS card, floor(value) % 100 / 100 AS score, row_number() OVER (PARTITION BY user_id ORDER BY floor(value) % 100 / 100 DESC, event_id) AS r FROM events), h AS (SELECT query_id, max(score) FILTER (r = 1) AS a, max(score) FILTER (r = 2) AS b, count(*) AS n, count(DISTINCT card) AS cards FROM s WHERE r <= 3 GROUP BY query_id) SELECT query_id, (a >= 0.35::DOUBLE AND (b IS NULL OR a - b >= 0.08::DOUBLE)) OR (n = 3 AND cards = 1) AS stop, a < 0.22::DOUBLE OR coalesce(a - b < 0.04::DOUBLE, false) OR cards > 1 AS vector FROM h",
