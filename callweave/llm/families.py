@@ -81,24 +81,63 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return rows.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("blocks") == 1).alias("whole")).drop("block", "other", "blocks")
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of two lists of sets of distinct 64-bit values."""
-    values = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.uint64)
-    code, many = np.unique(values, return_inverse=True, return_counts=True)[1:]
-    n = len(left)
-    owner = np.repeat(np.arange(n + len(right)), [len(x) for x in (*left, *right)])
-    kept = many[code] > 1  # a value of one set alone is in no intersection
-    number = np.cumsum(many > 1) - 1
-    code, owner = number[code[kept]], owner[kept]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    out = np.zeros((n, len(right)), np.float32)
-    width = 4096
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        a, b = np.searchsorted(code, [low, low + width])
-        table = np.zeros((n + len(right), width), np.float32)
-        table[owner[a:b], code[a:b] - low] = 1
-        out += table[:n] @ table[n:].T
+#: A value in so many pairs of sets is counted in a matrix product, a rarer one pair by pair; pairs listed at once.
+DENSE, LISTED = 4096, 1 << 20
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Intersection sizes of two lists of sets of distinct 64-bit values; without a second list, of the first with itself."""
+    code, owner, many = _coded(left if right is None else [*left, *right])
+    if right is None:
+        kept = many[code] > 1  # the rest is in no intersection but a set's with itself
+        out = _products(code[kept], owner[kept], code[kept], owner[kept], len(left), len(left), len(many))
+        np.fill_diagonal(out, [len(x) for x in left])
+        return out
+    first = owner < len(left)
+    return _products(code[first], owner[first], code[~first], owner[~first] - len(left), len(left), len(right), len(many))
+
+
+def _coded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, owner) of every value, ascending by number, and how often each number occurs."""
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    code = np.cumsum(new) - 1
+    return code, owner[order], np.bincount(code)
+
+
+def _products(a: np.ndarray, a_owner: np.ndarray, b: np.ndarray, b_owner: np.ndarray, n: int, m: int, codes: int) -> np.ndarray:
+    in_a, in_b = np.bincount(a, minlength=codes), np.bincount(b, minlength=codes)
+    pairs = in_a * in_b
+    out = np.zeros(n * m)
+    rare = (pairs[a] > 0) & (pairs[a] <= DENSE)
+    code, owner = a[rare], a_owner[rare]
+    begin, width = (np.cumsum(in_b) - in_b)[code], in_b[code]
+    upto = np.cumsum(width)
+    at = 0
+    while at < len(code):
+        done = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + LISTED, "right")))
+        w = width[at:to]
+        place = np.arange(upto[to - 1] - done) + np.repeat(begin[at:to] - (upto[at:to] - w - done), w)
+        out += np.bincount(np.repeat(owner[at:to] * m, w) + b_owner[place], minlength=n * m)
+        at = to
+    out = out.reshape(n, m)
+    number = np.cumsum(pairs > DENSE) - 1
+    frequent_a, frequent_b = pairs[a] > DENSE, pairs[b] > DENSE
+    a, a_owner, b, b_owner = number[a[frequent_a]], a_owner[frequent_a], number[b[frequent_b]], b_owner[frequent_b]
+    step = 4096
+    for low in range(0, int(number[-1]) + 1 if codes else 0, step):
+        tables = []
+        for code, owner, size in ((a, a_owner, n), (b, b_owner, m)):
+            i, j = np.searchsorted(code, [low, low + step])
+            table = np.zeros((size, min(step, int(number[-1]) + 1 - low)), np.float32)
+            table[owner[i:j], code[i:j] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
     return out
 
 
@@ -144,13 +183,14 @@ def sets_of(column) -> list[np.ndarray]:
 
 def linked_within(values: list[np.ndarray], family: np.ndarray, percent: int) -> np.ndarray:
     """linked() of all pairs of one family."""
-    return linked(values, values, percent) & (family[:, None] == family[None, :])
+    return linked(values, None, percent) & (family[:, None] == family[None, :])
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs have 100 * intersection >= percent * union."""
-    shared = shared_counts(left, right).astype(np.float64)
-    a, b = np.array([len(x) for x in left], float), np.array([len(x) for x in right], float)
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which pairs have 100 * intersection >= percent * union; without a second list, of the first with itself."""
+    shared = shared_counts(left, right)
+    a = np.array([len(x) for x in left], float)
+    b = a if right is None else np.array([len(x) for x in right], float)
     return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
 
 

@@ -92,7 +92,7 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
                 begin = np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], sizes) + (np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
                 rarity = np.rint((running[begin + width] - running[begin]) * 4).astype(np.int64)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, rarity, owner))
+                order = np.lexsort((values, (owner << 16) + rarity))
                 values, owner = values[order], owner[order]
                 new = np.ones(len(values), bool)
                 new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
@@ -192,16 +192,17 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, size=1 << 17):
+                wanted = [(t, w) for t, ws in enumerate(part.column("wanted").to_pylist()) for w in ws]
                 words, many, text, number = line_sets(*text_buffer(part.column("text")), width)
+                begin = np.searchsorted(text, np.arange(part.num_rows))
+                places = [int(begin[t]) + w["line"] for t, w in wanted]
+                asked = np.zeros(len(many), bool)
+                asked[places] = True
+                words, many = words[np.repeat(asked, many)], np.where(asked, many, 0)
                 values, sizes = distinct_in_groups(*shingle_hashes(words, many, width))
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                place = {(t, k): i for i, (t, k) in enumerate(zip(text.tolist(), number.tolist()))}
-                out, data = [], []
-                for t, wanted in enumerate(part.column("wanted").to_pylist()):
-                    for w in wanted:
-                        i = place[t, w["line"]]
-                        out.append((w["family"], w["node"], int(sizes[i]), w["doc"], w["text_hash"], w["line"]))
-                        data.append(values[at[i] : at[i + 1]].tobytes())
+                out = [(w["family"], w["node"], int(sizes[i]), w["doc"], w["text_hash"], w["line"]) for i, (_, w) in zip(places, wanted)]
+                data = [values[at[i] : at[i + 1]].tobytes() for i in places]
                 columns = [pa.array(c, pa.int64()) for c in zip(*out)]
                 if out:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["family", "node", "size", "doc", "text_hash", "line", "set"])
