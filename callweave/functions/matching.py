@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import groupby
 
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
@@ -81,6 +82,21 @@ def aligned_speakers(truth: list, predicted: list) -> list[tuple[str, str, int]]
     return [(a, b, n) for (a, b), n in sorted(counts.items())]
 
 
+def error_spans(truth: list, predicted: list, least: int = 20, most: int = 20) -> list[tuple]:
+    """(length, truth start, predicted start, truth speaker, predicted speaker) of the `most` longest runs of at least
+    `least` aligned characters whose speakers differ; the speaker is the run's most frequent one."""
+    texts = ["".join(m for _, m in side) for side in (truth, predicted)]
+    owners = [[s for s, m in side for _ in m] for side in (truth, predicted)]
+    out = []
+    for i, j, n in SequenceMatcher(None, *texts, autojunk=False).get_matching_blocks():
+        for wrong, run in groupby(range(n), lambda k: owners[0][i + k] != owners[1][j + k]):
+            places = list(run)
+            if wrong and len(places) >= least:
+                major = [Counter(side[at + k] for k in places).most_common(1)[0][0] for side, at in ((owners[0], i), (owners[1], j))]
+                out.append((len(places), i + places[0], j + places[0], *major))
+    return sorted(out, key=lambda x: (-x[0], x[1]))[:most]
+
+
 def letters(text: str) -> str:
     """Lower case without blanks, Hangul syllables as compatibility letters."""
     out = []

@@ -132,6 +132,19 @@ def speaker_confusion(rows: DataFrame) -> DataFrame:
     return per_session.groupBy("truth", "predicted").agg(F.sum("characters").alias("characters"))
 
 
+def longest_error_spans(rows: DataFrame, least: int = 20, most: int = 20) -> DataFrame:
+    """The longest stretches of a session given to the wrong speaker, ranked. rows as in speaker_confusion."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        sides = [[(s, m.replace(" ", "")) for s, m in zip(p["speaker"], p["message"])] for p in (pdf[pdf["kind"] == "truth"], pdf[pdf["kind"] == "predicted"])]
+        found = matching.error_spans(*sides, least, most)
+        key = pdf["session_id"].iloc[0]
+        return pd.DataFrame([(key, rank, *x) for rank, x in enumerate(found, 1)], columns=["session_id", "rank", "characters", "truth_start", "predicted_start", "truth", "predicted"])
+
+    return rows.groupBy("session_id").applyInPandas(fold, "session_id long, rank long, characters long, truth_start long, predicted_start long, truth string, predicted string")
+
+
 def seeded_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key)))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from callweave.plans import calls, conformed, search, texts
+from callweave.plans import calls, conformed, filtered, search, texts
 
-_MODULES = (calls, texts, search, conformed)
+_MODULES = (calls, texts, search, conformed, filtered)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
