@@ -32,7 +32,7 @@ def _common(id_prefix: str | None, category1: Sequence[str], category2: Sequence
     return parts + [F.col(c).isin(*values) for c, values in (("category1", category1), ("category2", category2)) if values]
 
 
-def guide_filter(id_prefix: str | None = None, category1: Sequence[str] = (), category2: Sequence[str] = (), exclude_terms: Sequence[str] = (), exclude_patterns: Sequence[str] = (), phone: bool = False, terms: Sequence[str] = (), not_card_specific: bool = False) -> Column:
+def guide_filter(id_prefix: str | None = None, category1: Sequence[str] = (), category2: Sequence[str] = (), exclude_terms: Sequence[str] = (), exclude_patterns: Sequence[str] = (), phone: bool = False, phone_terms: Sequence[str] = PHONE_TERMS, terms: Sequence[str] = (), not_card_specific: bool = False) -> Column:
     """All of the given conditions on id, title, content, category1, category2 and card_name. exclude_patterns are ILIKE
     patterns. As in SQL, a row whose title is null is not known to be free of an excluded term, and goes."""
     parts = _common(id_prefix, category1, category2)
@@ -41,7 +41,7 @@ def guide_filter(id_prefix: str | None = None, category1: Sequence[str] = (), ca
     if exclude_patterns:
         parts.append(~reduce(lambda a, b: a | b, [F.col(c).cast("string").ilike(p) for p in exclude_patterns for c in ("content", "title", "id")]))
     if phone:
-        parts.append(like_any(["content", "title"], PHONE_TERMS))
+        parts.append(like_any(["content", "title"], phone_terms))
     if terms:
         parts.append(like_any(["content", "title"], terms))
     if not_card_specific:
