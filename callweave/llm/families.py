@@ -1,8 +1,8 @@
 """Links inside candidate families: connected components as joins, and exact verification by blocks.
 
 A candidate relation (shared table keys, shared prefix tokens) is given as few edges, stars or chains, never as all
-pairs. Its components are families; every pair of a family is then compared on whole sets, block by block, as a product
-of 0/1 matrices inside tasks. A family of any size is dealt out as block pairs of bounded size, so no task holds it whole,
+pairs. Its components are families; every pair of a family is then compared on whole sets, block by block, by counting
+shared values inside tasks. A family of any size is dealt out as block pairs of bounded size, so no task holds it whole,
 and what leaves a task is one row a member, not one a pair.
 """
 
