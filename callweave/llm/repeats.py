@@ -44,17 +44,18 @@ def minimisers(grams: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.n
     least = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
     owner = np.repeat(np.arange(len(counts)), counts)
     fine = owner[: n - window + 1] == owner[window - 1 :]
-    # a value is chosen if some window that covers it has it as its minimum: mark by places from the left
+    # a window's leftmost smallest is its first value, or the next window's too unless that window's minimum is another
     at = np.flatnonzero(fine)
     low = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
-    at, low = at[new], low[new]
+    heads = at[grams[at] == low]
+    last = np.ones(len(at), bool)
+    last[:-1] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
+    at, low = at[last], low[last]
     place = np.full(len(at), -1, np.int64)
     for j in range(window):
         hit = (place < 0) & (grams[at + j] == low)
         place[hit] = at[hit] + j
-    place = np.unique(place)
+    place = np.unique(np.concatenate([heads, place]))
     return place, owner[place]
 
 
@@ -99,7 +100,7 @@ def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataF
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "doc", "text_hash", "place", "right", "left"])
 
-    wanted = places.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
+    wanted = places.groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("wanted"))
     return rows.join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").mapInArrow(run, "gram long, doc long, text_hash long, place int, right binary, left binary")
 
 
@@ -212,7 +213,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, gram: int = 16) -> DataFram
     rows = keyed(docs)
     kept = materialise(suffixes(rows, least, gram), "suffixes")
     common = materialise(kept.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("gram"), "shared-grams")
-    places = kept.join(common, "gram").distinct()
+    places = kept.join(common, "gram")  # contexts() drops repeats; nothing here keeps Spark from splitting a common gram
     stored = materialise(contexts(rows, places, gram, reach), "suffix-contexts")
     hits = neighbours(stored, gram, reach, least)
     listed = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("hits"))

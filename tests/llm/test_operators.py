@@ -166,6 +166,25 @@ def test_repeats(docs, rows, nothing):
     assert repeats.repeated_spans(nothing).count() == 0
 
 
+def test_minimisers_of_recurring_values():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        counts = rng.integers(0, 30, 4)
+        values, window = rng.integers(0, 4, counts.sum()).astype(np.uint64), int(rng.integers(1, 8))
+        want, base = set(), 0
+        for c in counts:
+            want |= {int(base + i + values[base + i : base + i + window].argmin()) for i in range(c - window + 1)}
+            base += c
+        assert repeats.minimisers(values, counts, window)[0].tolist() == sorted(want)
+
+
+def test_repeats_of_periodic_text(spark):
+    verse = " ".join([prose(31, 20)] * 20)
+    texts = [(1, f"{prose(32, 30)} {verse} {prose(33, 30)}"), (2, f"{prose(34, 45)} {verse} {prose(35, 10)}")]
+    got = {r.doc: [(s.begin, s.end) for s in r.spans] for r in repeats.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [(30, 430)], 2: [(45, 445)]}
+
+
 def test_decontamination(spark, docs, rows, nothing):
     items = spark.createDataFrame([(1, " ".join(rows[9][1].split()[5:25])), (2, "Two, words"), (3, None), (4, "--"), (5, rows[12][1][:90]), (5, "one")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
