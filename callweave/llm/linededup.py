@@ -8,7 +8,8 @@ and runs of one shingle give candidate edges under length and positional filters
 the chain of length-compatible neighbours of a long one, so that no run emits all its pairs. Components of the edges are
 re-read as whole sets and every pair of them is verified exactly (families.py).
 
-Defined cases: lines of fewer than `width` words (blank ones too) never match and stay; null text has no lines; rows that
+Defined cases: blank lines never match and stay; with `short`, a line of fewer than `width` words is one shingle of the
+whole line, so it matches its exact repeats, without it such lines never match and stay; null text has no lines; rows that
 agree in id and text share a verdict; null ids count as -1; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -64,17 +65,17 @@ def word_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def line_sets(raw: np.ndarray, offsets: np.ndarray, width: int):
-    """(words, words a line, text, number, shingles of lines of `width` words or more, how many a line)."""
+def line_sets(raw: np.ndarray, offsets: np.ndarray, least: int):
+    """(words of lines of `least` words or more, words a line, text, number)."""
     lines, text, number = line_offsets(raw, offsets)
     words = Words(raw, lines)
     hashes = words.hashes()
-    long = words.counts >= width
+    long = words.counts >= least
     kept = np.repeat(long, words.counts)
     return hashes[kept], np.where(long, words.counts, 0), text, number
 
 
-def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int, least: int) -> DataFrame:
     """doc, text_hash, line, digest, n (set size), prefix (rarest shingles, bytes) of every line of enough words."""
     shared = rows.sparkSession.sparkContext.broadcast(np.log2(1.0 + counts).astype(np.float32))
 
@@ -84,13 +85,13 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
         for batch in batches:
             out = []
             for part in slices(batch, size=1 << 17):
-                words, many, text, number = line_sets(*text_buffer(part.column("text")), width)
+                words, many, text, number = line_sets(*text_buffer(part.column("text")), least)
                 values, sizes = shingle_hashes(words, many, width)
                 if not len(values):
                     continue
                 running = np.concatenate([[0.0], np.cumsum(weight[(words & np.uint64(COUNTERS - 1)).astype(np.int64)], dtype=np.float64)])
                 begin = np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], sizes) + (np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
-                rarity = np.rint((running[begin + width] - running[begin]) * 4).astype(np.int64)
+                rarity = np.rint((running[begin + np.repeat(np.minimum(many, width), sizes)] - running[begin]) * 4).astype(np.int64)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((values, (owner << 16) + rarity))
                 values, owner = values[order], owner[order]
@@ -180,11 +181,12 @@ def _decide(percent: int):
     return decide
 
 
-def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = False) -> DataFrame:
     """doc, text_hash, line, exact (an earlier line has the same set), links (other sets it matches) of every line that
     an earlier one matches."""
     rows = keyed(docs)
-    lines = materialise(lines_of(rows, word_counts(rows), width, percent), "lines")
+    least = 1 if short else width
+    lines = materialise(lines_of(rows, word_counts(rows), width, percent, least), "lines")
     first = F.min(F.struct(*KEY, "line", "n", "prefix")).alias("f")
     classes = materialise(lines.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies")).select("digest", "copies", "f.*", F.monotonically_increasing_id().alias("node")), "line-classes")
     family = materialise(families.components(candidate_edges(classes, percent)), "line-families")
@@ -193,7 +195,7 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         for batch in batches:
             for part in slices(batch, size=1 << 17):
                 wanted = [(t, w) for t, ws in enumerate(part.column("wanted").to_pylist()) for w in ws]
-                words, many, text, number = line_sets(*text_buffer(part.column("text")), width)
+                words, many, text, number = line_sets(*text_buffer(part.column("text")), least)
                 begin = np.searchsorted(text, np.arange(part.num_rows))
                 places = [int(begin[t]) + w["line"] for t, w in wanted]
                 asked = np.zeros(len(many), bool)
@@ -218,15 +220,15 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     return out.filter("exact OR earlier").select(*KEY, "line", "exact", "links").distinct()
 
 
-def removals(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def removals(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = False) -> DataFrame:
     """doc, text_hash, removed (line numbers, ascending), n_exact, n_links: of the texts that lose lines."""
-    hits = matched_lines(docs, width, percent)
+    hits = matched_lines(docs, width, percent, short)
     return hits.groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("removed"), F.count_if("exact").alias("n_exact"), F.sum("links").alias("n_links"))
 
 
-def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = False) -> DataFrame:
     """docs, same columns, with the removed lines taken out of text."""
-    gone = materialise(removals(docs, width, percent), "removals").select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
+    gone = materialise(removals(docs, width, percent, short), "removals").select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
     rows = docs.join(gone, key, "left")
@@ -236,7 +238,7 @@ def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: of every document, the lines that earlier lines match."""
     docs = read_table(spark, sf_dir, "documents")
-    gone = removals(docs)
+    gone = removals(docs, short=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<bigint>")
     out = rows.join(materialise(gone, "removals"), KEY, "left").withColumn("removed", F.coalesce("removed", none))

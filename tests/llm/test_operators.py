@@ -70,6 +70,24 @@ def test_line_dedup(docs, rows, nothing):
     assert linededup.removals(nothing).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["Read more\n\nunlike", "read  MORE\nread more now\n\nread", "one two three four five\nread\nREAD more", "more read\n \nfive\nOne two three four five", "one two three four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            w = tuple(WORD.findall(fold(line)))
+            if w in seen:
+                want.setdefault(i, []).append(n)
+            seen |= {w} if w else set()
+    assert {r.doc_id: r.removed for r in linededup.line_dedup(spark, str(tmp_path)).filter("n_removed > 0").collect()} == want
+    left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(i, [])) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == left
+
+
 def test_word_encoder_equals_library():
     coder = tokens.WordEncoder(tokens.default_path())
     texts = ["The don't, I'll 12 x_y!! Éİ ß", "a b c\x1cd \t\r\n  e", "", None, "<|endoftext|> x<|startoftext|>y", "été Straße ２３ 한국어 ㅋㅋ", "it's 'tis rock'n'roll"]
