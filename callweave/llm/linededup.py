@@ -125,7 +125,8 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("node").take(pa.array(where)), batch.column("n").take(pa.array(where)), pa.array(place.astype(np.int32))], ["token", "node", "n", "place"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        # held: the last run so far, of which only the last row once it is long; opening: it is the range's first
+        held, long, opening = None, False, True
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             token = table.column("token").to_numpy()
@@ -133,16 +134,41 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
                 continue
             cut = int(np.searchsorted(token, token[-1]))  # the last run may go on
             held = table.slice(cut)
-            yield from found(table.slice(0, cut))
+            if cut:
+                first = int(np.searchsorted(token, token[0], "right")) if opening or long else 0
+                if opening and not long and first <= SHORT_RUN:
+                    yield told(ends=table.slice(0, first))
+                elif first:
+                    yield told(found(table.slice(0, first), True), ends(table.slice(0, first), opening and not long, opening), True)
+                yield told(found(table.slice(first, cut - first)))
+                long = opening = False
+            if held.num_rows > SHORT_RUN or long:
+                yield told(found(held, True), ends(held, opening and not long, False), True)
+                held, long = held.take([held.num_rows - 1]), True
         if held is not None:
-            yield from found(held)
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield told(ends=held, long=long)
+
+    def ends(run: pa.Table, begin: bool, end: bool) -> pa.Table:
+        """The outermost rows of a run."""
+        return run.take(pa.array([0] * begin + [run.num_rows - 1] * end, pa.int64()))
+
+    def told(edges: np.ndarray = np.zeros((0, 2), np.int64), ends: pa.Table | None = None, long: bool = False) -> pa.RecordBatch:
+        """Edges (token null), and rows at range ends (a and b null)."""
+        m, rows = len(edges), 0 if ends is None else ends.num_rows
+        kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
+        none = pa.nulls(rows, pa.int64())
+        columns = [pa.concat_arrays([pa.array(edges[:, k]), none]) for k in (0, 1)]
+        columns += [pa.concat_arrays([pa.nulls(m, kind), *(ends.column(c).chunks if rows else [])]) for c, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(m + rows, long))], ["a", "b", *kinds, "long"])
+
+    def found(table: pa.Table, long: bool | np.ndarray = False) -> np.ndarray:
+        """Edges of whole runs. long: rows of runs that count as long whatever is here of them."""
         token, node, n, place = (table.column(c).to_numpy() for c in ("token", "node", "n", "place"))
         if len(token) < 2:
-            return
+            return np.zeros((0, 2), np.int64)
         new = np.concatenate([[True], token[1:] != token[:-1]])
-        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        run = np.cumsum(new) - 1
+        size = (np.bincount(run) + SHORT_RUN * np.bincount(run, np.broadcast_to(long, len(run))).astype(np.int64))[run]
         out = []
         for s in range(1, SHORT_RUN):
             i = np.flatnonzero((token[s:] == token[:-s]) & ((size[s:] <= SHORT_RUN) | (s == 1)))
@@ -154,11 +180,22 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             fits &= (size[i] > SHORT_RUN) | ((100 + percent) * most.astype(np.int64) >= percent * (n[i].astype(np.int64) + n[j]))
             out.append(np.stack([node[i[fits]], node[j[fits]]], axis=1))
         edges = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-        edges = edges[edges[:, 0] != edges[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+        return edges[edges[:, 0] != edges[:, 1]]
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            table = pa.Table.from_batches(rows)
+            edges = found(table, table.column("long").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     posted = classes.select("node", "n", "prefix").mapInArrow(post, "token long, node long, n int, place int")
-    return posted.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(pairs, "a long, b long")
+    order = ["token", "n", "node"]
+    dealt = posted.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(dealt.mapInArrow(pairs, "a long, b long, token long, node long, n int, place int, long boolean"), "line-edges")
+    # the first and last runs of ranges, SHORT_RUN rows of each at most, meet those of neighbouring ranges by their token
+    cut = stored.filter(F.col("token").isNotNull()).select("token", "node", "n", "place", "long").repartition("token").sortWithinPartitions(*order)
+    return stored.filter(F.col("token").isNull()).select("a", "b").unionByName(cut.mapInArrow(stitch, "a long, b long"))
 
 
 def _decide(percent: int):

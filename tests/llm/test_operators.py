@@ -88,6 +88,44 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == left
 
 
+def test_line_candidates_of_cut_runs(spark):
+    rng = random.Random(8)
+    rows = [(node, n := rng.randrange(4, 30), [1, *rng.sample(range(2, 9), k=rng.randrange(3))] if node < 300 else [rng.randrange(9, 40)]) for node in range(900)]
+    classes = spark.createDataFrame([(a, n, bytearray(np.array(p, np.int64).tobytes())) for a, n, p in rows], "node long, n int, prefix binary")
+    held = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edges = linededup.candidate_edges(classes, 75).select("a", "b", F.input_file_name().alias("file")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    runs = {}
+    for node, n, prefix in rows:
+        for place, token in enumerate(prefix):
+            runs.setdefault(token, []).append((n, node, place))
+    want = set()
+    for run in map(sorted, runs.values()):
+        for i, (n, a, p) in enumerate(run):
+            for m, b, q in run[i + 1 : i + 2] if len(run) > linededup.SHORT_RUN else run[i + 1 :]:
+                if 100 * n >= 75 * m and (len(run) > linededup.SHORT_RUN or 175 * (min(p, q) + min(n - p, m - q)) >= 75 * (n + m)):
+                    want.add((min(a, b), max(a, b)))
+    got = {(r.a, r.b) for r in edges}
+    assert want <= got
+
+    def parts(pairs):
+        root = list(range(900))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return sorted(Counter(root).values()), len({frozenset(i for i in range(900) if root[i] == r) for r in set(root)})
+
+    assert parts(want) == parts(got)
+    # the run of token 1, a third of all rows, is not one task's
+    assert len({r.file for r in edges if r.a < 300}) > 2
+
+
 def test_word_encoder_equals_library():
     coder = tokens.WordEncoder(tokens.default_path())
     texts = ["The don't, I'll 12 x_y!! Éİ ß", "a b c\x1cd \t\r\n  e", "", None, "<|endoftext|> x<|startoftext|>y", "été Straße ２３ 한국어 ㅋㅋ", "it's 'tis rock'n'roll"]
