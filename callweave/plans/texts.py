@@ -60,6 +60,12 @@ def _confusion(s, d):
 
 
 def _script_pairs(s, d):
+    rows = b.utterances(s, d)
+    return rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), F.col("message").alias("before"), F.replace("message", F.lit(" the "), F.lit(" a ")).alias("after"))
+
+
+def _script_heads(s, d):
+    """The first 400 characters of each side, as the SQL of correction_summary has them."""
     rows = b.utterances(s, d)
     return rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), F.substring("message", 1, 400).alias("before"), F.replace(F.substring("message", 1, 400), F.lit(" the "), F.lit(" a ")).alias("after"))
 
@@ -107,7 +113,7 @@ QUERIES = {
     "merge_batches": lambda s, d: transcripts.merge_batches(_batches(s, d)),
     "sequence_ratio": lambda s, d: transcripts.sequence_ratio(_script_pairs(s, d), "before", "after"),
     "word_diff": lambda s, d: transcripts.word_diff(_script_pairs(s, d), "before", "after"),
-    "correction_summary": lambda s, d: transcripts.correction_summary(_script_pairs(s, d), "before", "after"),
+    "correction_summary": lambda s, d: transcripts.correction_summary(_script_heads(s, d), "before", "after"),
     "diarization_confusion": _confusion,
     "style_sample": lambda s, d: transcripts.style_sample(b.utterances(s, d).filter("length(message) >= 4").select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id", 300, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}).groupBy("style").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("style") == "plain").alias("plain")).agg(F.sum("n").alias("n")),
     "train_test_split": lambda s, d: transcripts.train_test_split(b.utterances(s, d).select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id").select("id", "is_test"),

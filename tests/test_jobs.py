@@ -83,3 +83,20 @@ def test_finalize_titles_and_matches(spark):
     rows = [(1, 1, "T", 10, 0.9, True), (1, 2, "T", 20, 0.1, True), (1, 3, "", 5, 0.5, True), (1, 4, "U", 50, 2.0, False), (2, 5, "V", 1, 0.1, False)]
     got = retrieval.finalize(spark.createDataFrame(rows, "query_id long, id long, title string, content_length long, score double, matched boolean"), 5).collect()
     assert {(r.query_id, r.id, r.rank) for r in got} == {(1, 3, 1), (1, 2, 2), (2, 5, 1)}
+
+
+def test_script_queries_compare_whole_messages(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from callweave.plans import texts
+
+    said = ["plain words " * 40 + "after the cut", "on the way " * 60, "short", "x" * 500]
+    rows = [(1, i, "user" if i % 2 else "assistant", m) for i, m in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    ratios, changes = {}, []
+    for i, m in enumerate(said):
+        after = m.replace(" the ", " a ")
+        ratios[1000 + i] = round(SequenceMatcher(None, m, after, autojunk=False).ratio(), 6)
+        changes += [(1000 + i, "replace", "the", "a")] * m.count(" the ")
+    assert {r.id: r.ratio for r in texts.QUERIES["sequence_ratio"](spark, str(tmp_path)).collect()} == ratios
+    assert sorted(map(tuple, texts.QUERIES["word_diff"](spark, str(tmp_path)).collect())) == changes
