@@ -196,7 +196,8 @@ def _resolve(docs: DataFrame, rows: DataFrame, classes: DataFrame, family: DataF
     joined = found.filter("not whole and a <> b").select("a", "b").unionByName(chained)
     open_nodes = materialise(joined, "open-links")
     if open_nodes.isEmpty():
-        labels = found.filter("whole and a <> b").select(F.col("a").alias("node"), F.col("b").alias("component"))
+        # a node has a row for each of its texts, repeated ones too
+        labels = found.filter("whole and a <> b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
     else:
         labels = families.components(found.filter("a <> b").select("a", "b").unionByName(open_nodes))
     labels = materialise(labels, "labels")

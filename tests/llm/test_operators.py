@@ -196,6 +196,13 @@ def test_near_duplicates(docs, rows, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    base = prose(41, 120)
+    near = (5, base.replace(base.split()[60], "edit", 1))
+    got = neardup.near_duplicates(spark.createDataFrame([(2, base), near, near, near, (7, prose(42, 50))], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(2, 2, True), *[(5, 2, False)] * 3, (7, 7, True)]
+
+
 def test_near_duplicate_family_in_blocks(spark, monkeypatch):
     from callweave.llm import families
 
