@@ -1,25 +1,29 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-statistics() makes one narrow pass over whole texts. calibrate() takes labelled good documents as a holdout and asks of
-every (stratum, rule, cutoff) whether the rule "statistic above cutoff" rejects at most `risk` / rules of them: with n
-good rows of the stratum and k of them above the cutoff, the cutoff is certified if a binomial count with that rate
-would be at most k with chance `doubt` / tests or less (the exact Clopper-Pearson bound, Bonferroni over all tests). The
-lowest certified cutoff of each rule and stratum counts; a stratum with too few labels has none and rejects nothing. So,
-with confidence 1 - doubt, no stratum loses more than `risk` of its good documents to these rules.
-
-A stratum is a language; languages beyond the `most` commonest among the labels share one, so the table of cutoffs that
-is broadcast has at most `most` + 1 rows.
-
-Defined cases: null text has no words and fails the base rules; a repeated three-word window is found by 64-bit hashes of
-its words; null lang is the stratum `und`; null or other labels are not used; repeated rows count each; an empty table
-gives no rows; other columns are ignored.
+statistics() makes one narrow pass over whole texts. A setting gives each rule "statistic above cutoff" a cutoff; a row
+goes if any rule rejects it. calibrate() takes labelled good documents as a holdout and halves them by a hash of the id.
+The first half only orders settings: for each stratum a path from mild to strict. Its settings have, rule by rule, the lowest
+cutoff that rejects at most L / LEVELS of `risk` (shared by the rules) of that half, L from 0 to LEVELS, after MARGIN settings
+whose cutoffs are so many places milder than those of L = 0. The second half
+tests the path by fixed sequence: setting after setting, until one is not certified. With n good rows and k of them
+rejected, a setting is certified if a binomial count of n with rate `risk` would be at most k with chance `doubt` / strata or
+less (exact; Bonferroni over strata, no correction along the path is needed). So, with confidence 1 - doubt, no stratum
+loses more than `risk` of its good documents to these rules.
+
+A stratum is a language. The smallest that can be certified has log(doubt / strata) / log(1 - risk) good rows in the second
+half: with risk and doubt 0.05 and four strata 86, so some 170 in all. One with fewer has no cutoffs and rejects nothing.
+
+Defined cases: null text has no words and fails the base rules; a text of any length is read whole, in one task; a repeated
+three-word window is found by 64-bit hashes of its words; null lang is the stratum `und`; null or other labels are not
+used; repeated rows count each, and those of one id are in one half; equal statistics share a verdict; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.common import BLANKS, WORD, computed, materialise, read_table
@@ -85,42 +89,58 @@ def low_tail(n: Column, k: Column, rate: float) -> Column:
     return F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step)["sum"]
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.05, doubt: float = 0.05, most: int = 256) -> DataFrame:
-    """stats: of statistics(). labels: doc_id, quality. One row a stratum: stratum, cutoffs map<rule, double>."""
+#: Steps of a path of settings.
+MARGIN, LEVELS = 4, 10
+LAST = MARGIN + LEVELS
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.05, doubt: float = 0.05) -> DataFrame:
+    """stats: of statistics(). labels: doc_id, quality. One row a stratum: stratum, cutoffs map<rule, double> (null: none)."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
-    holdout = stats.filter(~F.col("base_failed")).join(good, "doc_id")
-    bins = [F.struct(F.lit(name).alias("rule"), sum(((value > c).cast("int") for c in cutoffs), F.lit(0)).alias("passed")) for name, value, cutoffs in _values()]
-    counts = holdout.select("stratum", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.passed").agg(F.count(F.lit(1)).alias("rows"))
-    size = counts.filter(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("rows").alias("rows"))
-    common = size.orderBy(F.desc("rows"), "stratum").limit(most).select("stratum", F.lit(True).alias("common"))
-    counts = counts.join(common, "stratum", "left").withColumn("stratum", F.when(F.col("common"), F.col("stratum")).otherwise(F.lit("(other)")))
-    counts = counts.groupBy("stratum", "rule", "passed").agg(F.sum("rows").alias("rows"))
-    grid = F.create_map(*[x for name, _, cutoffs in _values() for x in (F.lit(name), F.array(*map(F.lit, cutoffs)))])
-    # cutoff number c is exceeded by the rows that pass more than c cutoffs
-    cells = counts.groupBy("stratum", "rule").agg(F.sum("rows").alias("n"), F.collect_list(F.struct("passed", "rows")).alias("bins"))
-    cells = cells.withColumn("tests", F.size(F.collect_set("stratum").over(Window.partitionBy())) * F.lit(sum(len(c) for _, _, c in _values())))
-    cells = cells.select("stratum", "rule", "n", "tests", "bins", F.posexplode(grid[F.col("rule")]).alias("c", "cutoff"))
-    cells = cells.withColumn("k", F.expr("aggregate(bins, 0L, (a, b) -> a + if(b.passed > c, b.rows, 0L))"))
-    rate = risk / len(RULES)
-    certified = (F.col("k") < F.col("n") * rate) & (low_tail(F.col("n"), F.when(F.col("k") < F.col("n") * rate, F.col("k")).otherwise(0), rate) <= F.lit(doubt) / F.col("tests"))
-    best = cells.groupBy("stratum", "rule").agg(F.min(F.when(certified, F.col("cutoff"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    # of each rule, how many cutoffs the row exceeds; it is rejected by cutoff number c if that is more than c
+    passed = [sum((F.coalesce(value > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0)) for _, value, cutoffs in _values()]
+    half = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).alias("half")
+    holdout = materialise(stats.filter(~F.col("base_failed")).join(good, "doc_id").select("stratum", half, F.array(*passed).alias("passed")), "rule-holdout")
+
+    bins = holdout.filter("half = 0").select("stratum", F.posexplode("passed").alias("rule", "passed")).groupBy("stratum", "rule", "passed").agg(F.count(F.lit(1)).alias("rows"))
+    cells = bins.groupBy("stratum", "rule").agg(F.sum("rows").alias("n"), F.collect_list(F.struct("passed", "rows")).alias("bins"))
+    sizes = F.array(*[F.lit(len(c)) for _, _, c in _values()])
+    tails = F.transform(F.sequence(F.lit(0), sizes[F.col("rule")]), lambda c: F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["passed"] > c, b["rows"]).otherwise(0)))
+    allowed = lambda level: F.floor(F.col("n") * risk * level / (LEVELS * len(RULES)))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.size(F.filter("tails", lambda t: t > allowed(level))))
+    mild = F.transform(F.sequence(F.lit(MARGIN), F.lit(1), F.lit(-1)), lambda x: F.least(sizes[F.col("rule")], F.col("steps")[0] + x))
+    paths = cells.withColumn("tails", tails).withColumn("steps", steps).select("stratum", F.struct("rule", F.concat(mild, "steps").alias("steps")).alias("p"))
+    paths = materialise(paths.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["steps"]).alias("paths")), "rule-paths")
+
+    # the first setting that rejects the row, LAST + 1 if none does
+    level = F.array_min(F.transform("paths", lambda steps, i: F.size(F.filter(steps, lambda c: c >= F.get("passed", i)))))
+    tested = holdout.filter("half = 1").join(paths, "stratum").groupBy("stratum", level.alias("level")).agg(F.count(F.lit(1)).alias("rows"))
+    tested = tested.groupBy("stratum").agg(F.sum("rows").alias("n"), F.collect_list(F.struct("level", "rows")).alias("bins"))
+    tested = materialise(tested.join(paths, "stratum"), "rule-tests")
+    strata = max(1, tested.count())
+    losses = F.transform(F.sequence(F.lit(0), F.lit(LAST)), lambda x: F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["level"] <= x, b["rows"]).otherwise(0)))
+    few = F.col("n") * F.lit(risk)
+    fails = F.transform("losses", lambda k: F.when(k < few, low_tail(F.col("n"), k, risk) > F.lit(doubt / strata)).otherwise(True))
+    # settings before the first that fails
+    certified = F.when(F.array_contains("fails", True), F.array_position("fails", True).cast("int") - 1).otherwise(LAST + 1)
+    told = tested.withColumn("losses", losses).withColumn("fails", fails).withColumn("certified", certified).filter("certified > 0")
+    cutoff = lambda i, cutoffs: F.get(F.array(*map(F.lit, cutoffs)), F.col("paths")[i][F.col("certified") - 1])
+    return told.select("stratum", F.create_map(*[x for i, (name, _, cutoffs) in enumerate(_values()) for x in (F.lit(name), cutoff(i, cutoffs))]).alias("cutoffs"))
 
 
 def apply(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """stats with kept: the base rules and every certified cutoff of the row's stratum passed."""
-    table = F.broadcast(cutoffs.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cutoffs"))).alias("all")))
-    rows = stats.join(table, F.lit(True), "left")
-    own = F.coalesce(F.col("all")[F.col("stratum")], F.col("all")["(other)"])
-    bad = [F.coalesce(value > own[name], F.lit(False)) for name, value, _ in _values()]
+    """stats with kept: the base rules and every certified cutoff of the row's stratum passed. cutoffs has a row a language,
+    so Spark broadcasts it while it is small and splits a hot stratum otherwise."""
+    rows = stats.join(cutoffs, "stratum", "left")
+    bad = [F.coalesce(value > F.col("cutoffs")[name], F.lit(False)) for name, value, _ in _values()]
     verdict = bad[0]
     for b in bad[1:]:
         verdict = verdict | b
-    return rows.withColumn("kept", ~F.col("base_failed") & ~verdict).drop("all")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~verdict).drop("cutoffs")
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document's statistics and verdict."""
     stats = materialise(statistics(read_table(spark, sf_dir, "documents")), "rule-statistics")
-    cutoffs = calibrate(stats, read_table(spark, sf_dir, "labels"))
+    cutoffs = materialise(calibrate(stats, read_table(spark, sf_dir, "labels")), "rule-cutoffs")
     return apply(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
