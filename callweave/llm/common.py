@@ -47,6 +47,36 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+#: Slots of a filter of hashed keys. It is broadcast as one 64-bit mask a row, FILTER_SLOTS / 64 rows at most.
+FILTER_SLOTS = 1 << 24
+
+
+def likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in keys, and a few others; both have the columns `on`. A join on them follows: this only keeps
+    most of what that join drops, texts above all, from being shuffled. What is broadcast has at most FILTER_SLOTS / 64
+    rows whatever the corpus; with more keys than slots fewer rows are kept back and the join does the rest."""
+    return _marked(rows, keys, on, True)
+
+
+def unlikely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that likely() drops: their key is certainly not in keys."""
+    return _marked(rows, keys, on, False)
+
+
+def _marked(rows: DataFrame, keys: DataFrame, on: list[str], hit: bool) -> DataFrame:
+    slot, word, mask = (fresh(x) for x in ("slot", "word", "mask"))
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_SLOTS))
+    high = F.shiftright(slot, 6).cast("int").alias(word)
+    masks = keys.select(place.alias(slot)).groupBy(high).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS INT)))").alias(mask))
+    found = rows.withColumn(slot, place).withColumn(word, high).join(F.broadcast(masks), word, "inner" if hit else "left")
+    return found.filter(F.coalesce(F.getbit(F.col(mask), (F.col(slot) % 64).cast("int")), F.lit(0)) == int(hit)).select(rows.columns)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is. lower() does the same for texts without other capital letters, and is faster."""
     others = r"[^\x00-\x7F&&[\p{IsUppercase}\p{IsTitlecase}]]"

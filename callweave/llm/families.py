@@ -1,13 +1,14 @@
 """Links inside candidate families: connected components as joins, and exact verification by blocks.
 
 A candidate relation (shared table keys, shared prefix tokens) is given as few edges, stars or chains, never as all
-pairs. Its components are families; every pair of a family is then compared on whole sets, block by block, by counting
-shared values inside tasks. A family of any size is dealt out as block pairs of bounded size, so no task holds it whole,
-and what leaves a task is one row a member, not one a pair.
+pairs. Its components are families; every pair of a family whose sizes allow a match is then compared on whole sets, block
+by block, by counting shared values inside tasks. A family of any size is dealt out as block pairs of bounded size, so no
+task holds it whole, and what leaves a task is one row a member, not one a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,16 +70,29 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Most sets and set members of a block; a task holds two blocks.
-BLOCK_SETS, BLOCK_MEMBERS = 768, 1 << 21
+BLOCK_SETS, BLOCK_MEMBERS = 256, 1 << 20
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """members: family, node, size and others. Each row once for every block pair its block is in: columns family, low,
-    high, side (0: block low, 1: block high), whole (the family is one block)."""
-    sizes = materialise(members.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_MEMBERS)).cast("int").alias("blocks")), "family-sizes")
-    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("blocks") == 1).alias("whole")).drop("block", "other", "blocks")
+    high, side (0: block low, 1: block high), whole (the family is one block).
+
+    A family beyond one block is dealt by classes of set size, each wide enough that sets of classes further apart than
+    neighbours can't match, and a class by a hash of the node into blocks. Only blocks of one or of neighbouring classes meet.
+    """
+    kind = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / (1.0001 * math.log(100 / percent)) if percent < 100 else F.col("size")).cast("int")
+    rows = members.withColumn("kind", kind)
+    counts = rows.groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("m") / BLOCK_MEMBERS)).cast("int")
+    sizes = counts.groupBy("family").agg(((F.sum("n") <= BLOCK_SETS) & (F.sum("m") <= BLOCK_MEMBERS)).alias("whole"), F.map_from_entries(F.collect_list(F.struct("kind", blocks.alias("blocks")))).alias("blocks"))
+    rows = rows.join(materialise(sizes, "family-sizes"), "family")
+    # blocks are numbered kind << 32 | number in the kind
+    own = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.expr("shiftleft(cast(kind AS BIGINT), 32) | pmod(xxhash64(node), blocks[kind])"))
+    others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(
+        F.expr("flatten(transform(filter(array(kind - 1, kind, kind + 1), k -> blocks[k] IS NOT NULL), k -> transform(sequence(0, blocks[k] - 1), i -> shiftleft(cast(k AS BIGINT), 32) | i)))")
+    )
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(others))
+    return rows.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side")).drop("block", "other", "blocks", "kind")
 
 
 #: A value in so many pairs of sets is counted in a matrix product, a rarer one pair by pair; pairs listed at once.
@@ -194,11 +208,11 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
 
 
-def verify(members: DataFrame, decide: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """decide() on every block pair. members: family, node, size and what decide needs; decide gets the rows of one pair,
-    or of several families of one block each."""
+def verify(members: DataFrame, percent: int, decide: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """decide() on every pair of blocks that can hold sets of `percent` similarity. members: family, node, size and what
+    decide needs; decide gets the rows of one pair, or of several families of one block each."""
     keys = ["family", "low", "high"]
-    dealt = block_pairs(members).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = block_pairs(members, percent).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import families
-from callweave.llm.common import materialise, read_table
+from callweave.llm.common import likely, materialise, read_table
 from callweave.llm.kernels import U, Words, binaries, distinct_in_groups, mix, shingle_hashes, slices, text_buffer
 
 A_KEYS, A_ROWS, B_KEYS, B_ROWS = 10, 2, 16, 3
@@ -186,8 +186,10 @@ def _resolve(docs: DataFrame, rows: DataFrame, classes: DataFrame, family: DataF
                 yield pa.RecordBatch.from_arrays([part.column("family"), part.column("node"), pa.array(counts.astype(np.int64)), binaries(values, counts)], ["family", "node", "size", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    members = family.select("node", F.col("component").alias("family")).join(texts, "node").mapInArrow(resolved, "family long, node long, size long, set binary")
-    found = materialise(families.verify(materialise(members, "members").filter("size > 0"), _decide(percent), "a long, b long, whole boolean"), "links")
+    wanted = family.select("node", F.col("component").alias("family"))
+    # only candidates' texts move, whatever the size of either side
+    members = likely(texts, wanted, ["node"]).join(wanted.hint("shuffle_merge"), "node").select("family", "node", "text").mapInArrow(resolved, "family long, node long, size long, set binary")
+    found = materialise(families.verify(materialise(members, "members").filter("size > 0"), percent, _decide(percent), "a long, b long, whole boolean"), "links")
     # a doc_id with several texts can be in two classes; their links meet in the node
     repeated = rows.filter(F.col("digest").isNotNull()).join(classes.select("digest", F.col("doc_id").alias("head")), "digest").select("doc_id", "digest", "head")
     several = repeated.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("b")).filter("a <> b")
