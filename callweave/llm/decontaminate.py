@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import computed, lower_ascii, materialise, read_table
+from callweave.llm.common import computed, likely, lower_ascii, materialise, read_table
 
 #: What separates words once A-Z are lower-cased, and what makes words before that.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,7 +86,8 @@ def matches(rows: DataFrame, ranked: DataFrame, slack: int = 0) -> DataFrame:
     else:
         near = starts.withColumn("place", F.col("start") + F.col("offset")).join(others, ["next_word", *ROW, "place"]).select(*window, "size", *ROW, "start")
     candidates = materialise(near.unionByName(starts.filter(F.col("next_word").isNull()).select(*window, "size", *ROW, "start")), "candidates")
-    held = rows.join(candidates.select(*ROW).distinct(), ROW, "left_semi")
+    some = candidates.select(*ROW).distinct()
+    held = likely(rows.select(*ROW, "text"), candidates, ROW).join(some.hint("shuffle_merge"), ROW, "left_semi")
     wanted = candidates.join(ranked.select(*window, "offset", "word"), window)
     words = materialise(ranked.select("word").distinct(), "window-words")
     there = index(held, words)
