@@ -75,19 +75,24 @@ class Words:
         return last - (blanks[last] - blanks[self.starts])
 
     def hashes(self) -> np.ndarray:
-        """One hash a word: differences of running polynomial sums, in stretches that fit the processor's cache."""
-        out, at, ends = np.empty(len(self.starts), np.uint64), 0, self.ends()
-        while at < len(self.starts):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.starts, low + _STRETCH)))
-            high = ends[to - 1]
-            powers, inverses = _powers(int(high - low))
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTES[self.raw[low:high]] * powers[: high - low], out=sums[1:])
-            begin = self.starts[at:to] - low
-            out[at:to] = (sums[ends[at:to] - low] - sums[begin]) * inverses[begin]
-            at = to
-        return mix(out)
+        """One hash a word."""
+        return run_hashes(self.raw, self.starts, self.ends())
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash a run of bytes (runs ascend): differences of running polynomial sums, in stretches that fit the processor's cache."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, low + _STRETCH)))
+        high = ends[to - 1]
+        powers, inverses = _powers(int(high - low))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTES[raw[low:high]] * powers[: high - low], out=sums[1:])
+        begin = starts[at:to] - low
+        out[at:to] = (sums[ends[at:to] - low] - sums[begin]) * inverses[begin]
+        at = to
+    return mix(out)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

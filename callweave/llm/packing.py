@@ -2,8 +2,8 @@
 and pieces of equal length share a bucket. Every piece is a sequence of its own: none crosses documents, none is padded.
 
 decompose() gives the pieces with their ids; pack() stores them in one folder a length and reads them back.
-Defined cases: null or empty text is its end id alone, a piece of one token; null and repeated doc_ids stay as they are;
-an empty table gives no piece; other columns are ignored.
+Defined cases: null or empty text is its end id alone, a piece of one token; a text of any length is encoded whole, by the
+task that reads it; null and repeated doc_ids stay as they are; an empty table gives no piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.common import read_table, shared_path
-from callweave.llm.kernels import slices
+from callweave.llm.kernels import binaries, slices
 from callweave.llm.tokens import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def binary_lengths(tokens: int, longest: int = 2048) -> list[int]:
-    """Lengths of the pieces: `longest` as often as it fits, then the binary digits of the rest."""
-    rest = tokens % longest
-    return [longest] * (tokens // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def binary_lengths(tokens: np.ndarray, longest: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, lengths) of the pieces in turn: `longest` as often as it fits, then the binary digits of the rest."""
+    bits = np.arange(longest.bit_length() - 2, -1, -1)
+    digits = (tokens[:, None] % longest >> bits) & 1
+    many = np.column_stack([tokens // longest, digits])
+    owner, kind = np.divmod(np.repeat(np.arange(many.size), many.ravel()), many.shape[1])
+    return owner, np.concatenate([[longest], 1 << bits])[kind]
 
 
 def decompose(docs: DataFrame, longest: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
@@ -38,24 +41,17 @@ def decompose(docs: DataFrame, longest: int = 2048, tokenizer: str | None = None
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        coder = encoder(path)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, size=1 << 20):
-                keys, starts, lengths, ids, totals = [], [], [], [], []
-                for key, data in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
-                    data += end
-                    total, at = len(data) // 4, 0
-                    for length in binary_lengths(total, longest):
-                        keys.append(key)
-                        starts.append(at)
-                        lengths.append(length)
-                        ids.append(data[4 * at : 4 * (at + length)])
-                        totals.append(total)
-                        at += length
-                n = len(keys)
-                long = pa.int64()
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, long), "start": pa.array(starts, long), "length": pa.array(lengths, long), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(totals, long), "sequence_id": pa.array(np.arange(number, number + n)), "offset": pa.array(np.zeros(n, np.int64))})
+                ids, totals = coder.encode(part.column("text"), end_id)
+                owner, lengths = binary_lengths(totals, longest)
+                upto = np.cumsum(lengths)
+                starts = upto - lengths - (np.cumsum(totals) - totals)[owner]
+                n = len(owner)
+                columns = [part.column("doc_id").take(pa.array(owner)), starts, lengths, binaries(ids.astype("<u4", copy=False), lengths), totals[owner], np.arange(number, number + n), np.zeros(n, np.int64)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 number += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
