@@ -5,8 +5,8 @@ vocabulary; the tables of document ids, their validity, and token starts; block
 counts, bit width and where the tables begin. Any token range is read from the blocks that hold it alone.
 
 write_tokens() encodes documents in ascending doc_id order, one file a partition; read_tokens() gives the documents back.
-Defined cases: null or empty text is the end id alone; null doc_id sorts first; repeated ids stay, in order of their
-text; an empty table gives no file and no rows; other columns are ignored.
+Defined cases: null or empty text is the end id alone; a text of any length is encoded whole; null doc_id sorts first;
+repeated ids stay, in order of a hash of their text; an empty table gives no file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,9 +62,10 @@ class Writer:
         self.held = 0
         self.at = sink.write(MAGIC)
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.starts.append(self.starts[-1] + len(ids))
+    def add(self, keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in turn: their keys, how many ids each has, all their ids."""
+        self.keys += keys
+        self.starts += (self.starts[-1] + np.cumsum(counts)).tolist()
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= BLOCK:
@@ -143,7 +144,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         task = TaskContext.get()
         coder, writer = encoder(path), None
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, size=1 << 20):
                 if writer is None:
@@ -152,15 +152,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                     name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
                     sink = files.open_output_stream(f"{root}/{name}", compression=None)
                     writer = Writer(sink, width_of(coder.vocabulary))
-                for key, data in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
-                    writer.add(key, np.frombuffer(data + end, "<u4"))
+                ids, counts = coder.encode(part.column("text"), end_id)
+                writer.add(part.column("doc_id").to_pylist(), counts, ids)
         if writer is not None:
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "path": [f"{folder}/{name}"], "documents": pa.array([len(writer.keys)], pa.int64()), "tokens": pa.array([writer.starts[-1]], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # ranges are cut by id and text hash, as what is sampled for them goes to the driver; a text is compared in its task alone
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, F.col("text").asc_nulls_first())
     written = ordered.mapInArrow(shard, "shard long, path string, documents long, tokens long")
     written.write.parquet(f"{folder}-manifest")
     return docs.sparkSession.read.schema(written.schema).parquet(f"{folder}-manifest")

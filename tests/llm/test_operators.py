@@ -85,7 +85,7 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
             seen |= {w} if w else set()
     assert {r.doc_id: r.removed for r in linededup.line_dedup(spark, str(tmp_path)).filter("n_removed > 0").collect()} == want
     left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(i, [])) for i, t in enumerate(texts)}
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == left
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {i: t for i, t in left.items() if WORD.search(t)}
 
 
 def test_line_candidates_of_cut_runs(spark):
@@ -126,26 +126,76 @@ def test_line_candidates_of_cut_runs(spark):
     assert len({r.file for r in edges if r.a < 300}) > 2
 
 
-def test_word_encoder_equals_library():
-    coder = tokens.WordEncoder(tokens.default_path())
-    texts = ["The don't, I'll 12 x_y!! Éİ ß", "a b c\x1cd \t\r\n  e", "", None, "<|endoftext|> x<|startoftext|>y", "été Straße ２３ 한국어 ㅋㅋ", "it's 'tis rock'n'roll"]
-    for text, ids in zip(texts, coder.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids
+def library(path=None):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or tokens.default_path())
+
+
+def library_ids(coder, text):
+    return coder.encode(text or "", add_special_tokens=False).ids
+
+
+ODD_TEXTS = [
+    "The don't, I'll 12 x_y!! Éİ ß", "a b c\x1cd \t\r\n  e", "", None, "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "été Straße ２３ 한국어 ㅋㅋ", "it's 'tis rock'n'roll",
+    "ÀÉ× ÷÷ Áx e\u0301 \x0b\x0c x\u00a0y z", "x" * 300 + " " + "y'" * 200, "ÇA À\u0300 ΑΣ ΣΑΣ.", "\ufeffhi\u200b there", "½ ²3 ª µm", "<| <|>| |<", "“quoted” – dash…",
+]
+
+
+def test_piece_encoder_equals_library(monkeypatch):
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    coder, own = tokens.PieceEncoder(tokens.default_path()), library()
+    assert coder.by_piece
+    whole = Path("/root/testdata/sf0.001/documents.parquet")
+    texts = ODD_TEXTS + (pq.read_table(whole, columns=["text"]).column("text").to_pylist() if whole.exists() else [])
+    for kept in (tokens.KEPT, 40):  # also with a table that is always full
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        for low in range(0, len(texts), 50):
+            part = texts[low : low + 50]
+            ids, counts = coder.encode(pa.array(part, pa.string()), 7)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library_ids(own, t) + [7] for t in part]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import pyarrow as pa
+
+    path = tokens.default_path().replace(tokens.DEFAULT_VOCABULARY, "byte_bpe_50k.json")
+    coder, own = tokens.PieceEncoder(path), library(path)
+    assert not coder.by_piece
+    ids, counts = coder.encode(pa.array(ODD_TEXTS), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library_ids(own, t) + [1] for t in ODD_TEXTS]
 
 
 def test_token_files(spark, docs, rows, nothing):
-    coder = tokens.encoder(tokens.default_path())
+    own = library()
     got = bitpack.read_tokens(bitpack.write_tokens(docs, shared_path(spark, "t")), with_ids=True).collect()
-    want = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     at = 0
     for r, (key, text) in zip(sorted(got, key=lambda r: r.start), want):
-        ids = np.append(np.frombuffer(coder.encode([text])[0], "<u4"), np.uint32(2)).astype("<u4")
+        ids = np.array(library_ids(own, text) + [2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (key, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         at += len(ids)
     assert len(got) == len(rows)
     assert bitpack.read_tokens(bitpack.write_tokens(nothing, shared_path(spark, "t"))).count() == 0
 
 
+def test_token_query(spark, docs, rows, tmp_path):
+    """The registered query against the library, for every row."""
+    docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    own, at = library(), 0
+    got = {r.doc_id: r for r in bitpack.token_ids(spark, str(tmp_path)).collect()}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = np.array(library_ids(own, r.text) + [2], "<u4")
+        q = got[r.doc_id]
+        assert (q.start, q.n_tokens, q.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing_round_trip(tmp_path, bits):
     from pyarrow import fs
@@ -154,7 +204,7 @@ def test_bit_packing_round_trip(tmp_path, bits):
     with fs.LocalFileSystem().open_output_stream(str(tmp_path / "x.bin"), compression=None) as sink:
         writer = bitpack.Writer(sink, bits)
         for key, part in enumerate(np.array_split(ids, 7)):
-            writer.add(key, part)
+            writer.add([key], np.array([len(part)]), part)
         writer.close()
     with fs.LocalFileSystem().open_input_file(str(tmp_path / "x.bin")) as source:
         reader = bitpack.Reader(source)
@@ -162,15 +212,23 @@ def test_bit_packing_round_trip(tmp_path, bits):
         assert (reader.document(3) == np.array_split(ids, 7)[3]).all() and len(reader.range(5, 5)) == 0
 
 
-def test_packing(spark, docs, rows, nothing):
+def test_packing(spark, docs, rows, nothing, tmp_path):
     got = packing.pack(docs, shared_path(spark, "p")).collect()
     assert len({r.sequence_id for r in got}) == len(got)
     assert all(r.length & (r.length - 1) == 0 and r.length <= 2048 and len(r.ids) == 4 * r.length and r.offset == 0 for r in got)
-    own = sorted((r for r in got if r.doc_id == 13), key=lambda r: r.start)
-    coder = tokens.encoder(tokens.default_path())
-    assert b"".join(r.ids for r in own) == coder.encode([rows[13][1]])[0] + np.array([1], "<u4").tobytes()
     assert [r.length for r in got if r.doc_id == 4] == [1]
     assert packing.decompose(nothing).count() == 0
+    docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    own, pieces = library(), {}
+    for r in packing.packing(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for d in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        ids = np.array(library_ids(own, d.text) + [1], "<u4")
+        at = 0
+        for r in sorted(pieces[d.doc_id], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
 
 
 def test_near_duplicates(docs, rows, nothing):
