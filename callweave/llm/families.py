@@ -73,9 +73,9 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK_SETS, BLOCK_MEMBERS = 256, 1 << 20
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+def block_pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
     """members: family, node, size and others. Each row once for every block pair its block is in: columns family, low,
-    high, side (0: block low, 1: block high), whole (the family is one block).
+    high, side (0: block low, 1: block high), whole (the family is one block). most: sets of a block.
 
     A family beyond one block is dealt by classes of set size, each wide enough that sets of classes further apart than
     neighbours can't match, and a class by a hash of the node into blocks. Only blocks of one or of neighbouring classes meet.
@@ -83,8 +83,8 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     kind = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / (1.0001 * math.log(100 / percent)) if percent < 100 else F.col("size")).cast("int")
     rows = members.withColumn("kind", kind)
     counts = rows.groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("m") / BLOCK_MEMBERS)).cast("int")
-    sizes = counts.groupBy("family").agg(((F.sum("n") <= BLOCK_SETS) & (F.sum("m") <= BLOCK_MEMBERS)).alias("whole"), F.map_from_entries(F.collect_list(F.struct("kind", blocks.alias("blocks")))).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("m") / BLOCK_MEMBERS)).cast("int")
+    sizes = counts.groupBy("family").agg(((F.sum("n") <= most) & (F.sum("m") <= BLOCK_MEMBERS)).alias("whole"), F.map_from_entries(F.collect_list(F.struct("kind", blocks.alias("blocks")))).alias("blocks"))
     rows = rows.join(materialise(sizes, "family-sizes"), "family")
     # blocks are numbered kind << 32 | number in the kind
     own = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.expr("shiftleft(cast(kind AS BIGINT), 32) | pmod(xxhash64(node), blocks[kind])"))
@@ -208,11 +208,12 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
 
 
-def verify(members: DataFrame, percent: int, decide: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+def verify(members: DataFrame, percent: int, decide: Callable[[pa.Table], pa.RecordBatch], schema: str, attach: Callable[[DataFrame], DataFrame] = lambda dealt: dealt, block_sets: int | None = None) -> DataFrame:
     """decide() on every pair of blocks that can hold sets of `percent` similarity. members: family, node, size and what
-    decide needs; decide gets the rows of one pair, or of several families of one block each."""
+    decide needs, of which attach() can join what is large once the blocks are known; decide gets the rows of one pair, or of
+    several families of one block each."""
     keys = ["family", "low", "high"]
-    dealt = block_pairs(members, percent).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = attach(block_pairs(members, percent, block_sets or BLOCK_SETS)).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

@@ -129,21 +129,30 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
 def distinct_in_groups(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each group's distinct values in ascending order, and how many."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, owner)) if len(values) < 64 else _grouped_order(values, counts)
+    order = grouped_order(values, owner, np.zeros(len(values), np.uint64), 0)
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     return values[new], np.bincount(owner[new], minlength=len(counts))
 
 
-def _grouped_order(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(counts)
-    out = np.empty(len(values), np.int64)
-    begin = 0
-    for end in ends[counts > 0]:
-        out[begin:end] = np.argsort(values[begin:end]) + begin
-        begin = end
-    return out
+def grouped_order(values: np.ndarray, owner: np.ndarray, rank: np.ndarray, bits: int) -> np.ndarray:
+    """The order by (owner, rank, value): one sort of 64-bit keys that hold the owner, the rank (of so many bits) and the
+    value's first bits; the few values that agree in those are put in order after it."""
+    if len(values) < 2:
+        return np.arange(len(values))
+    wide = int(owner[-1]).bit_length()
+    spare = 64 - wide - bits
+    if spare < 24:
+        return np.lexsort((values, rank, owner))
+    key = (owner.astype(np.uint64) << U(64 - wide)) if wide else np.zeros(len(values), np.uint64)
+    if bits:
+        key |= rank << U(spare)
+    key |= values >> U(64 - spare) if spare < 64 else values
+    order = np.argsort(key)
+    key, sorted_values = key[order], values[order]
+    alike = (key[1:] == key[:-1]) & (sorted_values[1:] < sorted_values[:-1])
+    return np.lexsort((values, rank, owner)) if alike.any() else order
 
 
 def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -4,13 +4,15 @@ A line's set is its distinct five-word shingles; two lines match at Jaccard simi
 lines the later ones go (order: document id, text hash, line number). Equal sets are one class by a grouping. Between
 classes: a line's shingles are ordered by rarity (sums of logarithms of word counts over all documents, kept in 2**16
 hashed counters - any common order is exact, a good one is fast), the shortest prefix that a match must hit is posted,
-and runs of one shingle give candidate edges under length and positional filters - every surviving pair of a short run,
-the chain of length-compatible neighbours of a long one, so that no run emits all its pairs. Components of the edges are
-re-read as whole sets and every pair of them is verified exactly (families.py).
+and runs of one shingle give candidates under length and positional filters: every surviving pair of a short run; of a long
+one, which could have too many, its rows are compared in blocks by 256-bit parity signatures that bound the difference of two
+sets from below. Components of the candidates whose signatures allow a match are re-read as whole sets, and every pair of
+them whose sizes allow a match is verified exactly (families.py).
 
 Defined cases: blank lines never match and stay; with `short`, a line of fewer than `width` words is one shingle of the
 whole line, so it matches its exact repeats, without it such lines never match and stay; null text has no lines; rows that
-agree in id and text share a verdict; null ids count as -1; an empty table gives no rows; extra columns are ignored.
+agree in id and text share a verdict; null ids count as -1; a line of any length is one set; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import families, tokens
-from callweave.llm.common import materialise, read_table
-from callweave.llm.kernels import Words, binaries, distinct_in_groups, shingle_hashes, slices, text_buffer
-from callweave.llm.neardup import set_digests
+from callweave.llm import families
+from callweave.llm.common import fresh, likely, materialise, read_table, unlikely
+from callweave.llm.kernels import U, Words, grouped_order, shingle_hashes, slices, text_buffer
+from callweave.llm.neardup import folded, set_digests, sets
 
 COUNTERS = 1 << 16
+RAREST = (1 << 12) - 1  # rarities are counted up to here; the rest of the order is by value
 SHORT_RUN = 32
 KEY = ["doc", "text_hash"]
 
@@ -51,7 +54,6 @@ def word_counts(rows: DataFrame) -> np.ndarray:
     """Occurrences in all texts by hashed word, COUNTERS numbers whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.release()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch, size=1 << 17):
@@ -75,12 +77,22 @@ def line_sets(raw: np.ndarray, offsets: np.ndarray, least: int):
     return hashes[kept], np.where(long, words.counts, 0), text, number
 
 
+#: 64-bit numbers of a signature.
+SIGNS = ["s0", "s1", "s2", "s3"]
+
+
+def signatures(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Four 64-bit numbers a set, their 256 bits the parities of its values' classes. Every value that is in one of two sets
+    alone changes one bit, so their signatures differ in no more bits than they differ in values."""
+    bit, part = U(1) << ((values >> U(56)) & U(63)), values >> U(62)
+    return [folded(np.where(part == U(k), bit, U(0)), counts, np.bitwise_xor.reduceat).view(np.int64) for k in range(len(SIGNS))]
+
+
 def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int, least: int) -> DataFrame:
-    """doc, text_hash, line, digest, n (set size), prefix (rarest shingles, bytes) of every line of enough words."""
+    """doc, text_hash, line, digest, n (set size), prefix (rarest shingles) and SIGNS of every line of enough words."""
     shared = rows.sparkSession.sparkContext.broadcast(np.log2(1.0 + counts).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.release()
         weight = shared.value
         for batch in batches:
             out = []
@@ -91,9 +103,9 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int, leas
                     continue
                 running = np.concatenate([[0.0], np.cumsum(weight[(words & np.uint64(COUNTERS - 1)).astype(np.int64)], dtype=np.float64)])
                 begin = np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], sizes) + (np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes))
-                rarity = np.rint((running[begin + np.repeat(np.minimum(many, width), sizes)] - running[begin]) * 4).astype(np.int64)
+                rarity = np.minimum(np.rint((running[begin + np.repeat(np.minimum(many, width), sizes)] - running[begin]) * 4), RAREST).astype(np.uint64)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, (owner << 16) + rarity))
+                order = grouped_order(values, owner, rarity, RAREST.bit_length())
                 values, owner = values[order], owner[order]
                 new = np.ones(len(values), bool)
                 new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
@@ -102,106 +114,137 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int, leas
                 digests = set_digests(values, sizes)
                 prefix = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
                 place = np.arange(len(values)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-                head = binaries(values[place < prefix[owner]], prefix)
+                signs = signatures(values, sizes)
+                head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(values[place < prefix[owner]].view(np.int64)))
                 some = np.flatnonzero(sizes)
                 take = pa.array(text[some])
-                out.append(pa.RecordBatch.from_arrays([part.column("doc").take(take), part.column("text_hash").take(take), pa.array(number[some].astype(np.int64)), digests.take(pa.array(some)), pa.array(sizes[some].astype(np.int32)), head.take(pa.array(some))], ["doc", "text_hash", "line", "digest", "n", "prefix"]))
+                out.append(pa.RecordBatch.from_arrays([part.column("doc").take(take), part.column("text_hash").take(take), pa.array(number[some].astype(np.int64)), digests.take(pa.array(some)), pa.array(sizes[some].astype(np.int32)), head.take(pa.array(some)), *[pa.array(x[some]) for x in signs]], ["doc", "text_hash", "line", "digest", "n", "prefix", *SIGNS]))
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "doc long, text_hash long, line long, digest binary, n int, prefix binary")
+    return rows.mapInArrow(run, "doc long, text_hash long, line long, digest binary, n int, prefix array<bigint>, " + ", ".join(f"{x} long" for x in SIGNS))
 
 
-def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges between classes that share a prefix shingle and pass the filters."""
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Stored rows of two kinds. a, b (the rest null): pairs that share a prefix shingle in a run of SHORT_RUN rows or fewer
+    and pass the length and positional filters. token, node (a and b null): the rows of longer runs, and of runs that the
+    ends of a range may cut. classes: node, n, prefix."""
+    order = ["token", "rank", "node"]
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = text_buffer(batch.column("prefix"))
-            many = np.diff(offsets) // 8
-            token = np.frombuffer(raw.tobytes(), np.int64)
-            where = np.repeat(np.arange(batch.num_rows), many)
-            place = np.arange(len(token)) - np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], many)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("node").take(pa.array(where)), batch.column("n").take(pa.array(where)), pa.array(place.astype(np.int32))], ["token", "node", "n", "place"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # held: the last run so far, of which only the last row once it is long; opening: it is the range's first
-        held, long, opening = None, False, True
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # held: the last run so far, while it is short; going: the token of a run that is given row by row; opening: the range's first run
+        held, going, opening = None, None, True
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            token = table.column("token").to_numpy()
-            if not len(token):
+            table = pa.Table.from_batches([batch])
+            if going is not None:
+                more = int(np.searchsorted(table.column("token").to_numpy(), going, "right"))
+                yield told(rows=table.slice(0, more))
+                table = table.slice(more)
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
                 continue
+            token, going = table.column("token").to_numpy(), None
             cut = int(np.searchsorted(token, token[-1]))  # the last run may go on
-            held = table.slice(cut)
             if cut:
-                first = int(np.searchsorted(token, token[0], "right")) if opening or long else 0
-                if opening and not long and first <= SHORT_RUN:
-                    yield told(ends=table.slice(0, first))
-                elif first:
-                    yield told(found(table.slice(0, first), True), ends(table.slice(0, first), opening and not long, opening), True)
-                yield told(found(table.slice(first, cut - first)))
-                long = opening = False
-            if held.num_rows > SHORT_RUN or long:
-                yield told(found(held, True), ends(held, opening and not long, False), True)
-                held, long = held.take([held.num_rows - 1]), True
+                first = int(np.searchsorted(token, token[0], "right")) if opening else 0
+                yield told(rows=table.slice(0, first))
+                yield split(table.slice(first, cut - first))
+                opening = False
+            held = table.slice(cut)
+            if held.num_rows > SHORT_RUN:
+                yield told(rows=held)
+                held, going, opening = None, token[-1], False
         if held is not None:
-            yield told(ends=held, long=long)
-
-    def ends(run: pa.Table, begin: bool, end: bool) -> pa.Table:
-        """The outermost rows of a run."""
-        return run.take(pa.array([0] * begin + [run.num_rows - 1] * end, pa.int64()))
-
-    def told(edges: np.ndarray = np.zeros((0, 2), np.int64), ends: pa.Table | None = None, long: bool = False) -> pa.RecordBatch:
-        """Edges (token null), and rows at range ends (a and b null)."""
-        m, rows = len(edges), 0 if ends is None else ends.num_rows
-        kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
-        none = pa.nulls(rows, pa.int64())
-        columns = [pa.concat_arrays([pa.array(edges[:, k]), none]) for k in (0, 1)]
-        columns += [pa.concat_arrays([pa.nulls(m, kind), *(ends.column(c).chunks if rows else [])]) for c, kind in kinds.items()]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(m + rows, long))], ["a", "b", *kinds, "long"])
-
-    def found(table: pa.Table, long: bool | np.ndarray = False) -> np.ndarray:
-        """Edges of whole runs. long: rows of runs that count as long whatever is here of them."""
-        token, node, n, place = (table.column(c).to_numpy() for c in ("token", "node", "n", "place"))
-        if len(token) < 2:
-            return np.zeros((0, 2), np.int64)
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        run = np.cumsum(new) - 1
-        size = (np.bincount(run) + SHORT_RUN * np.bincount(run, np.broadcast_to(long, len(run))).astype(np.int64))[run]
+            yield told(rows=held)
+
+    def told(edges: np.ndarray = np.zeros((0, 2), np.int64), rows: pa.Table | None = None) -> pa.RecordBatch:
+        m, n = len(edges), 0 if rows is None else rows.num_rows
+        columns = [pa.concat_arrays([pa.array(edges[:, k]), pa.nulls(n, pa.int64())]) for k in (0, 1)]
+        columns += [pa.concat_arrays([pa.nulls(m, pa.int64()), *(rows.column(c).chunks if n else [])]) for c in ("token", "node")]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "token", "node"])
+
+    def split(table: pa.Table) -> pa.RecordBatch:
+        """Whole runs: pairs of the short ones, rows of the others."""
+        if not table.num_rows:
+            return told()
+        token, rank, node = (table.column(c).to_numpy() for c in order)
+        n, place = rank >> 32, rank & 0xFFFFFFFF
+        number = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+        size = np.bincount(number)[number]
         out = []
         for s in range(1, SHORT_RUN):
-            i = np.flatnonzero((token[s:] == token[:-s]) & ((size[s:] <= SHORT_RUN) | (s == 1)))
+            i = np.flatnonzero((token[s:] == token[:-s]) & (size[s:] <= SHORT_RUN))
             if not len(i):
                 break
             j = i + s
-            fits = 100 * n[i].astype(np.int64) >= percent * n[j].astype(np.int64)  # n ascends in a run
-            most = 1 + np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-            fits &= (size[i] > SHORT_RUN) | ((100 + percent) * most.astype(np.int64) >= percent * (n[i].astype(np.int64) + n[j]))
+            most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+            fits = (100 * n[i] >= percent * n[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))  # n ascends in a run
             out.append(np.stack([node[i[fits]], node[j[fits]]], axis=1))
         edges = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-        return edges[edges[:, 0] != edges[:, 1]]
+        return told(edges[edges[:, 0] != edges[:, 1]], table.filter(pa.array(size > SHORT_RUN)))
+
+    # n and place in one number: the fewer columns, the less is shuffled and sorted
+    posted = classes.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", F.expr("shiftleft(cast(n AS BIGINT), 32) | place").alias("rank"), "node")
+    ascending = ["token", F.shiftright("rank", 32), "node"]
+    dealt = posted.repartitionByRange(*ascending).sortWithinPartitions(*ascending)
+    return materialise(dealt.mapInArrow(run, "a long, b long, token long, node long"), "line-candidates")
+
 
-    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            table = pa.Table.from_batches(rows)
-            edges = found(table, table.column("long").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+def apart(percent: int) -> tuple[int, int]:
+    """(x, y): matching sets of n and m values differ in d values with x * d <= y * (n + m)."""
+    return 100 + percent, 100 - percent
 
-    posted = classes.select("node", "n", "prefix").mapInArrow(post, "token long, node long, n int, place int")
-    order = ["token", "n", "node"]
-    dealt = posted.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = materialise(dealt.mapInArrow(pairs, "a long, b long, token long, node long, n int, place int, long boolean"), "line-edges")
-    # the first and last runs of ranges, SHORT_RUN rows of each at most, meet those of neighbouring ranges by their token
-    cut = stored.filter(F.col("token").isNotNull()).select("token", "node", "n", "place", "long").repartition("token").sortWithinPartitions(*order)
-    return stored.filter(F.col("token").isNull()).select("a", "b").unionByName(cut.mapInArrow(stitch, "a long, b long"))
 
+def candidate_edges(found: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges whose components hold every match. found: of candidates(). lines: node, n, SIGNS.
 
-def _decide(percent: int):
+    The parity signatures of two sets differ in no more bits than the sets in values, so pairs whose signatures are further
+    apart are no match: short runs' pairs are looked at one by one, rows of other runs block by block, each run a
+    family of its own."""
+    pairs = found.filter("token IS NULL").select("a", "b").distinct()
+    rows = found.filter("token IS NOT NULL").select("node", F.col("token").alias("family"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rows.select("node"))
+    signs = materialise(likely(lines.select("node", F.col("n").cast("long").alias("size"), *SIGNS), nodes, ["node"]), "line-signatures")
+    x, y = apart(percent)
+    of = lambda side: signs.select(F.col("node").alias(side), F.struct("size", *SIGNS).alias(f"of_{side}"))
+    bits = " + ".join(f"bit_count(of_a.{k} ^ of_b.{k})" for k in SIGNS)
+    near = F.expr(f"{x} * ({bits}) <= {y} * (of_a.size + of_b.size)")
+    short = pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b")
+
+    def decide(table: pa.Table) -> pa.RecordBatch:
+        node, size, family = (table.column(c).to_numpy() for c in ("node", "size", "family"))
+        signs = [table.column(k).to_numpy().view(np.uint64) for k in SIGNS]
+
+        def close(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+            bits = sum(np.bitwise_count(k[one] ^ k[others]).astype(np.int64) for k in signs)
+            return (x * bits <= y * (size[one] + size[others])) & (family[one] == family[others])
+
+        everyone = np.arange(len(node))
+        if len(node) <= families.BLOCK_SETS:
+            label = families.labels_of(close(everyone[:, None], everyone[None, :]))
+        else:
+            # a walk over the rows not reached yet: a dense run is done after a few of them
+            label, left, waiting = everyone.copy(), everyone, []
+            while len(left):
+                if not waiting:
+                    waiting, left = [left[0]], left[1:]
+                one = waiting.pop()
+                hit = close(one, left)
+                label[left[hit]] = label[one]
+                waiting += left[hit].tolist()
+                left = left[~hit]
+        other = label != everyone
+        return pa.RecordBatch.from_arrays([pa.array(node[label[other]]), pa.array(node[other])], ["a", "b"])
+
+    long = families.verify(rows.join(signs, "node"), percent, decide, "a long, b long", block_sets=2048)
+    return short.unionByName(long)
+
+
+def _decide(percent: int, width: int):
     def decide(table: pa.Table) -> pa.RecordBatch:
         side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
-        values = families.sets_of(table.column("set"))
+        found, counts = sets(table.column("text"), width)
+        values = np.split(found, np.cumsum(counts)[:-1])
         rank = np.empty(len(node), np.int64)
         rank[np.lexsort(tuple(table.column(c).to_numpy() for c in ("line", "text_hash", "doc")))] = np.arange(len(node))
         if table.column("low")[0].as_py() == table.column("high")[0].as_py():
@@ -222,39 +265,28 @@ def matched_lines(docs: DataFrame, width: int = 5, percent: int = 75, short: boo
     """doc, text_hash, line, exact (an earlier line has the same set), links (other sets it matches) of every line that
     an earlier one matches."""
     rows = keyed(docs)
-    least = 1 if short else width
-    lines = materialise(lines_of(rows, word_counts(rows), width, percent, least), "lines")
-    first = F.min(F.struct(*KEY, "line", "n", "prefix")).alias("f")
-    classes = materialise(lines.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies")).select("digest", "copies", "f.*", F.monotonically_increasing_id().alias("node")), "line-classes")
-    family = materialise(families.components(candidate_edges(classes, percent)), "line-families")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, size=1 << 17):
-                wanted = [(t, w) for t, ws in enumerate(part.column("wanted").to_pylist()) for w in ws]
-                words, many, text, number = line_sets(*text_buffer(part.column("text")), least)
-                begin = np.searchsorted(text, np.arange(part.num_rows))
-                places = [int(begin[t]) + w["line"] for t, w in wanted]
-                asked = np.zeros(len(many), bool)
-                asked[places] = True
-                words, many = words[np.repeat(asked, many)], np.where(asked, many, 0)
-                values, sizes = distinct_in_groups(*shingle_hashes(words, many, width))
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                out = [(w["family"], w["node"], int(sizes[i]), w["doc"], w["text_hash"], w["line"]) for i, (_, w) in zip(places, wanted)]
-                data = [values[at[i] : at[i + 1]].tobytes() for i in places]
-                columns = [pa.array(c, pa.int64()) for c in zip(*out)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["family", "node", "size", "doc", "text_hash", "line", "set"])
-
-    wanted = family.select("node", F.col("component").alias("family")).join(classes.select("node", *KEY, "line"), "node")
-    wanted = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("line", "node", "family", *KEY)).alias("wanted"))
-    texts = rows.join(wanted, KEY).dropDuplicates(KEY)
-    members = materialise(texts.select("text", "wanted").mapInArrow(sets, "family long, node long, size long, doc long, text_hash long, line long, set binary"), "line-members")
-    verdict = families.verify(members, _decide(percent), "node long, links long, earlier boolean").groupBy("node").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier")).filter("links > 0")
-    told = classes.join(materialise(verdict, "line-verdicts"), "node", "left").filter("copies > 1 OR links > 0")
-    told = materialise(told.select("digest", F.struct(*KEY, "line").alias("first"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")), "line-told")
-    out = lines.select(*KEY, "line", "digest").join(told, "digest").withColumn("exact", F.struct(*KEY, "line") != F.col("first"))
-    return out.filter("exact OR earlier").select(*KEY, "line", "exact", "links").distinct()
+    place = [*KEY, "line"]
+    lines = materialise(lines_of(rows, word_counts(rows), width, percent, 1 if short else width).withColumn("node", F.monotonically_increasing_id()), "lines")
+    # the sets of several lines: few, and prefixes stay out of this shuffle
+    first = F.min(F.struct(*place, "node")).alias("first")
+    copied = materialise(lines.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "first"), "line-copies")
+    # one line a class: those that surely have no copy, and of the others the first of their digest
+    alone = unlikely(lines, copied, ["digest"]).select("node", "n", "prefix")
+    others = likely(lines.select("digest", "node", "n", "prefix"), copied, ["digest"]).join(copied, "digest", "left").filter("first IS NULL OR first.node = node")
+    found = candidates(alone.unionByName(others.select("node", "n", "prefix")), percent)
+    family = materialise(families.components(candidate_edges(found, lines, percent)), "line-families")
+    wanted = likely(lines.select(*place, "node", "digest", "n"), family, ["node"]).join(family.select("node", F.col("component").alias("family")), "node")
+    wanted = materialise(wanted.withColumn("size", F.col("n").cast("long")), "line-members")
+    # candidate lines are taken out of their texts before anything moves
+    texts = rows.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "text")).select(*KEY, F.col("at").cast("long").alias("line"), "text")
+    texts = likely(texts, wanted, place).dropDuplicates(place)
+    verdict = families.verify(wanted.select("family", "node", "size", *place), percent, _decide(percent, width), "node long, links long, earlier boolean", lambda dealt: texts.join(dealt.hint("shuffle_merge"), place))
+    verdict = verdict.groupBy("node").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier")).filter("links > 0")
+    linked = wanted.join(materialise(verdict, "line-verdicts"), "node").select("digest", F.struct(*place).alias("first"), "links", "earlier")
+    same = copied.select("digest", F.struct(*[F.col(f"first.{c}").alias(c) for c in place]).alias("first"), F.lit(0).cast("long").alias("links"), F.lit(False).alias("earlier"))
+    told = materialise(same.unionByName(linked).groupBy("digest").agg(F.min("first").alias("first"), F.max("links").alias("links"), F.max("earlier").alias("earlier")), "line-told")
+    out = likely(lines.select(*place, "digest"), told, ["digest"]).join(told, "digest").withColumn("exact", F.struct(*place) != F.col("first"))
+    return out.filter("exact OR earlier").select(*place, "exact", "links").distinct()
 
 
 def removals(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = False) -> DataFrame:
@@ -265,11 +297,12 @@ def removals(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = F
 
 def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 75, short: bool = False) -> DataFrame:
     """docs, same columns, with the removed lines taken out of text."""
-    gone = materialise(removals(docs, width, percent, short), "removals").select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
+    doc, text_hash, removed = (fresh(x) for x in ("doc", "hash", "removed"))
+    gone = materialise(removals(docs, width, percent, short), "removals").select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("removed").alias(removed))
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(doc)) & (F.xxhash64("text") == F.col(text_hash))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(removed, i.cast("long"))), "\n")
     rows = docs.join(gone, key, "left")
-    return rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    return rows.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

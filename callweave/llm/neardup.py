@@ -40,7 +40,7 @@ def sets(column, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return distinct_in_groups(*shingle_hashes(words.hashes(), words.counts, width))
 
 
-def _folded(values: np.ndarray, counts: np.ndarray, what) -> np.ndarray:
+def folded(values: np.ndarray, counts: np.ndarray, what) -> np.ndarray:
     """A reduction over each group's values; 0 for empty ones."""
     out = np.zeros(len(counts), np.uint64)
     some = counts > 0
@@ -51,14 +51,14 @@ def _folded(values: np.ndarray, counts: np.ndarray, what) -> np.ndarray:
 
 def set_digests(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """16 bytes a set, equal for equal sets; null for empty ones."""
-    sums = np.stack([_folded(mix(values ^ U(x)), counts, np.add.reduceat) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+    sums = np.stack([folded(mix(values ^ U(x)), counts, np.add.reduceat) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
     data = [None if not c else s.tobytes() for c, s in zip(counts.tolist(), sums)]
     return pa.array(data, pa.binary())
 
 
 def collection_keys(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text x A_KEYS, text x B_KEYS)."""
-    least = [_folded((values ^ x) * m, counts, np.minimum.reduceat) for x, m in zip(_XOR, _ODD)]
+    least = [folded((values ^ x) * m, counts, np.minimum.reduceat) for x, m in zip(_XOR, _ODD)]
     at, out = 0, []
     for keys, rows in ((A_KEYS, A_ROWS), (B_KEYS, B_ROWS)):
         table = np.zeros((len(counts), keys), np.uint64)
