@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import WORD, materialise, read_table
+from callweave.llm.common import WORD, likely, materialise, read_table
 from callweave.llm.kernels import Words, shingle_hashes, slices, text_buffer
 from callweave.llm.linededup import KEY, keyed
 
@@ -101,7 +101,7 @@ def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "doc", "text_hash", "place", "right", "left"])
 
     wanted = places.groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("wanted"))
-    return rows.join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").mapInArrow(run, "gram long, doc long, text_hash long, place int, right binary, left binary")
+    return likely(rows, places, KEY).join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").mapInArrow(run, "gram long, doc long, text_hash long, place int, right binary, left binary")
 
 
 def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
