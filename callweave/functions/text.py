@@ -215,8 +215,8 @@ def composite_actions(text: Column, patterns: dict[str, str] = COMPOSITE_ACTIONS
 
 
 def clean_utterance(text: Column) -> Column:
-    """Without line breaks and start marks, single spaces."""
-    return collapse(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"\[?NEW_START\]?", " "))
+    """Without line breaks and start marks of either bracket and any case, single spaces."""
+    return collapse(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"(?i)[\[<]?NEW_START[\]>]?", " "))
 
 
 def is_spam(text: Column) -> Column:

@@ -17,16 +17,17 @@ RRF_K = 60
 QUERY_VALUES = 1 << 24
 
 
-def vector_topk(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def vector_topk(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None) -> DataFrame:
     """query_id, id, score, rank: the k nearest of each query. docs: id, embedding. queries: query_id, embedding.
 
     Each task multiplies its rows with the query matrix and keeps k a query, so only k rows a task and query are
     shuffled. Queries are a stated set; they are broadcast in blocks of bounded size, one pass of the rows a block. Null
-    and zero vectors and those of another length are left out; score is 1 - distance."""
+    and zero vectors and those of another length are left out; score is 1 - distance. With `group`, a column of both, only
+    rows of a query's own group count."""
     out = None
     width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    for block in _blocks(queries, max(1, QUERY_VALUES // width)):
-        part = _topk_block(docs, block, k, metric)
+    for block in _blocks(queries, max(1, QUERY_VALUES // width), group):
+        part = _topk_block(docs, block, k, metric, group)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
@@ -34,10 +35,10 @@ def vector_topk(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     return out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+def _blocks(queries: DataFrame, size: int, group: str | None) -> Iterator[list]:
     """Blocks of the stated query set, in id order; one is held at a time."""
     block: list = []
-    for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+    for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *([group] if group else [])).orderBy("query_id").toLocalIterator():
         block.append(r)
         if len(block) >= size:
             yield block
@@ -46,13 +47,14 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
         yield block
 
 
-def _topk_block(docs: DataFrame, block: list, k: int, metric: str) -> DataFrame:
+def _topk_block(docs: DataFrame, block: list, k: int, metric: str, group: str | None) -> DataFrame:
     ids = np.array([r["query_id"] for r in block], np.int64)
     matrix = np.array([r["embedding"] for r in block], np.float64)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, matrix))
+    groups = np.array([r[group] for r in block], object) if group else None
+    shared = docs.sparkSession.sparkContext.broadcast((ids, matrix, groups))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        ids, q, groups = shared.value
         q_norm = np.linalg.norm(q, axis=1)
         best: pd.DataFrame | None = None
         for f in frames:
@@ -61,31 +63,54 @@ def _topk_block(docs: DataFrame, block: list, k: int, metric: str) -> DataFrame:
                 continue
             x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
             norm = np.linalg.norm(x, axis=1)
-            x, own, norm = x[norm > 0], f["id"].to_numpy()[norm > 0], norm[norm > 0]
+            f, x, norm = f[norm > 0], x[norm > 0], norm[norm > 0]
+            own = f["id"].to_numpy()
             if metric == "cosine":
                 score = (x @ q.T) / np.outer(norm, np.where(q_norm > 0, q_norm, np.inf))
             else:
                 score = 1 - np.sqrt(np.maximum((x**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * x @ q.T, 0))
+            if groups is not None:
+                score = np.where(f[group].to_numpy(object)[:, None] == groups[None, :], score, -np.inf)
             order = np.lexsort((np.broadcast_to(own[:, None], score.shape), -score), axis=0)[:k]
             table = pd.DataFrame({"query_id": np.tile(ids, len(order)), "id": own[order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
+            table = table[np.isfinite(table["score"])]
             best = table if best is None else pd.concat([best, table])
             best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
             yield best
 
-    return docs.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
+    return docs.select("id", "embedding", *([group] if group else [])).mapInPandas(run, "query_id long, id long, score double")
 
 
-def term_index(docs: DataFrame, text: str = "content") -> DataFrame:
-    """term, id, n: distinct words of every document with their counts."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+def consult_case_search(cases: DataFrame, queries: DataFrame, k: int, text_rank: Column, weight: float = 0.2) -> DataFrame:
+    """query_id, id, stage, rank, vector_score, text_score, score. cases: id, embedding, category, and what text_rank needs;
+    queries: query_id, embedding, category, and what it needs. Nearest cases of the query's category; a query without any
+    searches all; one still without takes the best by text alone. Order is by vector distance (by text in the last stage),
+    the combined score is only reported."""
+    found = vector_topk(cases, queries, k, group="category").withColumn("stage", F.lit("category"))
+    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    found = found.unionByName(vector_topk(cases, left, k).withColumn("stage", F.lit("all")))
+    own = queries.drop("embedding", "category")
+    texts = cases.drop("embedding", "category")
+    rows = found.join(texts, "id").join(own, "query_id").select("query_id", "id", "stage", "rank", F.col("score").alias("vector_score"), text_rank.cast("double").alias("text_score"))
+    return rows.withColumn("score", (1 - weight) * F.col("vector_score") + weight * F.least(F.coalesce("text_score", F.lit(0.0)), F.lit(1.0)))
 
 
-def query_doc_match(docs: DataFrame, queries: DataFrame, terms: int = 3) -> DataFrame:
-    """query_id, id, hits: documents that hold any of a query's first terms as words. queries: query_id, terms."""
+def rerank_by_terms(rows: DataFrame, terms: Column, *fields: str) -> DataFrame:
+    """rows: query_id, id, rank. A stable order by the number of terms that stand in one of the fields."""
+    low = [F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    held = F.filter(terms, lambda t: (t != "") & F.exists(F.array(*low), lambda x: F.contains(x, F.lower(t))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "rank")
+    return rows.withColumn("hits", F.size(held).cast("long")).withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def query_doc_match(docs: DataFrame, queries: DataFrame, terms: int = 3, text: str = "content") -> DataFrame:
+    """query_id, id, hits: documents that hold any of a query's first terms as words. queries: query_id, terms. Words that no
+    query asks for are dropped where they are read."""
     wanted = queries.select("query_id", F.explode(F.slice("terms", 1, terms)).alias("term")).distinct()
-    return term_index(docs).join(wanted, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    held = docs.select("id", F.explode(words).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    return held.distinct().join(wanted, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def trigram_matches(titles: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
@@ -122,16 +147,16 @@ def text_rank_cd(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def rrf_rank(hits: DataFrame) -> DataFrame:
-    """Places by (query, source): repeated documents count at their first place, noisy ones keep theirs and go later."""
-    order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")
-    first = Window.partitionBy("query_id", "source", "id").orderBy(F.desc("score"))
-    rows = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+    """query_id, source, table, id, place. hits also has score and noisy. Rows are numbered by (query, source, table); of a
+    document's rows the first counts, and noisy ones go, but the places they took stay taken."""
+    order = Window.partitionBy("query_id", "source", "table").orderBy(F.desc("score"), "id")
+    rows = hits.select("*", F.row_number().over(order).cast("long").alias("place")).filter(~F.coalesce("noisy", F.lit(False)))
+    return rows.groupBy("query_id", "source", "table", "id").agg(F.min("place").alias("place"))
 
 
 def hybrid_fusion(ranked: DataFrame) -> DataFrame:
-    """query_id, id, score: sum of 1 / (60 + place) over sources."""
-    return ranked.groupBy("query_id", "id").agg(F.round(F.sum(F.lit(1.0) / (RRF_K + F.col("place"))), 9).alias("score"))
+    """query_id, table, id, score: sum of 1 / (60 + place) over sources; documents are told apart by table and id."""
+    return ranked.groupBy("query_id", "table", "id").agg(F.round(F.sum(F.lit(1.0) / (RRF_K + F.col("place"))), 9).alias("score"))
 
 
 def noisy_guides(docs: DataFrame, least: int = 60) -> DataFrame:
@@ -139,7 +164,7 @@ def noisy_guides(docs: DataFrame, least: int = 60) -> DataFrame:
     return docs.filter((F.trim("title") != "") & (F.length(F.regexp_replace("content", r"\s", "")) >= least))
 
 
-#: Additive boosts and penalties by rule.
+# Results depend on them. Additive boosts and penalties by rule.
 BOOSTS = {"card": 0.2, "guide_card": 0.25, "intent": 0.15, "guide_title": 0.02, "payment": 0.1, "weak": 0.05, "category": 0.05, "reservation": 1.2, "guide_token": 0.004, "guide_hits": 0.01, "card_product_penalty": -0.06, "filter_term": 0.08, "card_product": 0.6, "noise": -0.15, "noise_strong": -0.2}
 
 
@@ -213,13 +238,6 @@ def retrieval_failed(results: DataFrame, queries: DataFrame, least: float = 0.05
     return queries.select("query_id").distinct().join(top, "query_id", "left").select("query_id", F.coalesce(F.col("top") < least, F.lit(True)).alias("failed"))
 
 
-def lexical_enough(results: DataFrame, top: float = 0.35, gap: float = 0.08) -> DataFrame:
-    """query_id, enough: the best result is good and clearly ahead, or alone."""
-    scores = results.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
-    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    return scores.select("query_id", ((first >= top) & (second.isNull() | (first - second >= gap))).alias("enough"))
-
-
 def card_info_stop(results: DataFrame, top: float = 0.35, gap: float = 0.08, low: float = 0.22, low_gap: float = 0.04) -> DataFrame:
     """results: query_id, rank (from 1), score, card. query_id, stop (the lexical pass is enough: a good result clearly
     ahead or alone, or the first three share one card) and vector (a further pass pays: weak, close or mixed results)."""

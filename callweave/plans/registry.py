@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from callweave.plans import calls, conformed, filtered, search, texts
+from callweave.plans import calls, conformed, filtered, routing, search, texts
 
-_MODULES = (calls, texts, search, conformed, filtered)
-QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
-ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+_MODULES = (calls, texts, search, conformed, filtered, routing)
+
+
+def _merged(tables: list[dict]) -> dict:
+    out: dict = {}
+    for table in tables:
+        if again := out.keys() & table:
+            raise ValueError(f"registered twice: {sorted(again)}")
+        out |= table
+    return out
+
+
+QUERIES = _merged([m.QUERIES for m in _MODULES])
+ORACLE_SQL = _merged([m.ORACLE_SQL for m in _MODULES])

@@ -27,9 +27,15 @@ def _matches(s, d):
 
 
 def _ranked(s, d):
-    hits = _matches(s, d).select("query_id", "id", F.col("hits").cast("double").alias("score"), F.lit("keyword").alias("source"))
-    near = op.vector_topk(_vectors(s, d), _queries(s, d), 20).select((F.col("query_id") / 50).cast("long").alias("query_id"), "id", "score", F.lit("vector").alias("source"))
-    return op.rrf_rank(hits.unionByName(near))
+    """Two lanes over parts: those of the query's size by price, those of its type by name; every seventh is noisy, and the
+    second lane lists some parts twice."""
+    part = b.table(s, d, "part")
+    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", "p_type", F.col("p_brand").alias("brand"))
+    row = lambda source, score: ("query_id", F.col("p_partkey").alias("id"), F.lit(source).alias("source"), F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("table"), score.alias("score"), (F.col("p_partkey") % 7 == 0).alias("noisy"))
+    one = part.join(q.select("query_id", "p_size"), "p_size").select(*row("size", F.col("p_retailprice")))
+    two = part.join(q.select("query_id", "p_type", "brand"), "p_type").filter("p_brand = brand")
+    again = two.filter("p_partkey % 3 = 0").select(*row("type", -F.col("p_retailprice") - 50))
+    return op.rrf_rank(one.unionByName(two.select(*row("type", -F.col("p_retailprice")))).unionByName(again))
 
 
 def _candidates(s, d):
@@ -87,7 +93,7 @@ QUERIES = {
     "trigram_similarity": lambda s, d: op.trigram_matches(b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), b.table(s, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), 0.6).withColumn("similarity", F.round("similarity", 6)),
     "text_topk": lambda s, d: op.text_topk(_matches(s, d), 5, "hits"),
     "text_rank_cd": lambda s, d: op.text_rank_cd(b.guide_documents(s, d), ["the", "and", "of"]),
-    "rrf_rank": lambda s, d: _ranked(s, d).select("query_id", "source", "id", "place"),
+    "rrf_rank": lambda s, d: _ranked(s, d).select("query_id", "source", "table", "id", "place"),
     "hybrid_fusion": lambda s, d: op.hybrid_fusion(_ranked(s, d)),
     "noisy_guide_filter": lambda s, d: op.noisy_guides(b.guide_documents(s, d)).select("id"),
     "candidate_boost": _boosted,
@@ -99,7 +105,6 @@ QUERIES = {
     "promote_definition": lambda s, d: op.promote(_final(s, d), F.col("id") % 2 == 0).select("query_id", "id", "rank"),
     "split_current_next": lambda s, d: op.split_current_next(_final(s, d), F.col("id") % 3 == 0),
     "retrieval_failed": lambda s, d: op.retrieval_failed(_final(s, d).withColumn("score", F.col("score") - 0.06), _text_queries(s, d)),
-    "card_info_stop": lambda s, d: op.lexical_enough(_candidates(s, d).groupBy("query_id", "id").agg(F.max("score").alias("score")), 0.2, 0.05),
     "fetch_docs_by_ids": lambda s, d: op.fetch_by_ids(_final(s, d).select("query_id", F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("id")).alias("id"), "score"), b.guide_documents(s, d)),
     "retrieval_regression": _regression,
     "random_per_category": lambda s, d: op.random_per_category(b.guide_documents(s, d), "category"),
@@ -117,11 +122,51 @@ QUERIES = {
     "repeat_query_suppression": _stream(lambda x: jobs.suppress_repeats(x, "40 days"), lambda s, d: b.session_turns(s, d).select(F.col("value").alias("key"), "ts").filter("key IS NOT NULL")),
 }
 
+_FINE = r"length(t) >= 2 AND t NOT IN ('the', 'and', 'of') AND NOT regexp_full_match(t, '\d+')"
+
+
+def terms_sql(stripped: str) -> str:
+    """CTEs up to q (query_id, terms), the terms of benchmark texts; stripped: what a term t becomes."""
+    return rf"""q0 AS (SELECT item_id AS query_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^\pL\pN_\s]', ' ', 'g')), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+q1 AS (SELECT query_id, list_transform(list_filter(w, lambda t: {_FINE}), lambda t: {stripped}) AS w FROM q0),
+q2 AS (SELECT query_id, list_filter(w, lambda t: {_FINE}) AS w FROM q1),
+q AS (SELECT query_id, list_filter(w, lambda t, i: list_position(w, t) = i) AS terms FROM q2)"""
+
+
+_M = "WITH " + terms_sql("t") + r""", words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM documents),
+wanted AS (SELECT DISTINCT query_id, unnest(terms[1:3]) AS term FROM q), m AS (SELECT query_id, id, count(*) AS hits FROM words JOIN wanted USING (term) GROUP BY query_id, id),
+c AS (SELECT m.*, text[1:40] AS title, length(text) AS content_length, coalesce(lang = 'en', false) AS matched, hits / 10.0 AS score FROM m JOIN documents ON doc_id = id),
+f0 AS (SELECT *, max(CAST(matched AS INT)) OVER (PARTITION BY query_id) AS any_match FROM c), f1 AS (SELECT * FROM f0 WHERE any_match = 0 OR matched),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(nullif(trim(title), ''), '#' || id) ORDER BY content_length DESC, score DESC, id) AS n FROM f1),
+f3 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f2 WHERE n = 1), f AS (SELECT * FROM f3 WHERE rank <= 5)"""
+_RANKED = """WITH q AS (SELECT p_partkey AS query_id, p_size, p_type, p_brand FROM part WHERE p_partkey % 50 = 0),
+h AS (SELECT query_id, p_partkey AS id, 'size' AS source, p_retailprice AS score FROM part JOIN q USING (p_size)
+UNION ALL SELECT query_id, p_partkey, 'type', -p_retailprice FROM part JOIN q USING (p_type, p_brand)
+UNION ALL SELECT query_id, p_partkey, 'type', -p_retailprice - 50 FROM part JOIN q USING (p_type, p_brand) WHERE p_partkey % 3 = 0),
+t AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS "table" FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, "table" ORDER BY score DESC, id) AS place FROM t),
+k AS (SELECT query_id, source, "table", id, min(place) AS place FROM r WHERE id % 7 <> 0 GROUP BY ALL)"""
 _Q = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS f FROM v WHERE id % 50 = 0)"
 _TURNS = "WITH t AS (SELECT event_id AS id, user_id AS session_id, ts, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
 _CONTEXT = _TURNS + ", l AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN {'v': value, 'ts': ts, 'turn': turn} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM t) SELECT id, session_id, turn, value, CASE WHEN epoch(ts) - epoch(o.ts) <= 180 AND turn - o.turn <= 3 THEN o.v END AS carried FROM l"
 
 ORACLE_SQL = {
+    "query_terms": "WITH " + terms_sql("CASE WHEN t LIKE '%tion' AND length(t) > 5 THEN t[1:length(t) - 4] WHEN t LIKE '%ly' AND length(t) > 3 THEN t[1:length(t) - 2] ELSE t END") + " SELECT query_id AS item_id, terms FROM q",
+    "rrf_rank": _RANKED + " SELECT * FROM k",
+    "hybrid_fusion": _RANKED + """ SELECT query_id, "table", id, round(sum(1.0 / (60 + place)), 9) AS score FROM k GROUP BY ALL""",
+    "query_doc_match": _M + " SELECT query_id, id, hits FROM m",
+    "text_topk": _M + ", r AS (SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM m) SELECT * FROM r WHERE rank <= 5",
+    "finalize_candidates": _M + " SELECT * FROM f",
+    "candidate_boost": _M + " SELECT query_id, id, CAST(round(score + CASE WHEN hits = 3 THEN 0 ELSE 0.2 * CAST(matched AS INT) + 0.15 * CAST(hits > 1 AS INT) + 0.05 * CAST(content_length > 1000 AS INT) - 0.15 * CAST(content_length < 200 AS INT) END, 6) AS DOUBLE) AS score FROM c",
+    "lane_selection": _M + ", l AS (SELECT query_id, id, CASE WHEN matched THEN 'card' ELSE 'guide' END AS lane, score FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, id) AS n FROM l), r AS (SELECT query_id, id, lane, row_number() OVER (PARTITION BY query_id ORDER BY (lane = 'card' AND n <= 3 OR lane = 'guide' AND n <= 1) DESC, score DESC, id) AS rank FROM n) SELECT * FROM r WHERE rank <= 4",
+    "stage_fallback": _M + ", x AS (SELECT *, max(CAST(hits >= 3 AS INT)) OVER (PARTITION BY query_id) AS any_one FROM m) SELECT query_id, id, hits FROM x WHERE hits >= 3 OR any_one = 0",
+    "pin_documents": _M + ", p AS (SELECT query_id + 1 AS query_id, id, rank AS pin_rank FROM f WHERE rank <= 3), j AS (SELECT coalesce(f.query_id, p.query_id) AS query_id, coalesce(f.id, p.id) AS id, rank, pin_rank FROM f FULL JOIN p ON f.query_id = p.query_id AND f.id = p.id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank IS NULL ORDER BY pin_rank, id) AS n FROM j) SELECT query_id, id, rank, pin_rank IS NOT NULL AS pinned, pin_rank FROM n WHERE rank IS NOT NULL OR n <= 2",
+    "guidance_topk": _M + ", g AS (SELECT query_id, id, CASE WHEN id % 7 = 0 THEN id % 3 END AS pin_rank, hits, score FROM c), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pin_rank NULLS LAST, hits DESC, score DESC, id) AS place FROM g) SELECT * FROM r WHERE place <= 4",
+    "promote_definition": _M + ", x AS (SELECT *, min(CASE WHEN id % 2 = 0 THEN rank END) OVER (PARTITION BY query_id) AS first_one FROM f) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rank = first_one, false) DESC, rank) AS rank FROM x",
+    "split_current_next": _M + ", x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(id % 3 = 0 AS INT), rank) AS place FROM f) SELECT query_id, id, CASE WHEN place <= 2 THEN 'current' ELSE 'next' END AS slot, place FROM x WHERE place <= 4",
+    "retrieval_failed": _M + ", x AS (SELECT query_id, max(score - 0.06) AS top FROM f GROUP BY query_id) SELECT query_id, coalesce(top < 0.05, true) AS failed FROM q LEFT JOIN x USING (query_id)",
+    "fetch_docs_by_ids": _M + ", w AS (SELECT query_id, CASE WHEN id % 11 = 0 THEN -1 ELSE id END AS id, score FROM f), x AS (SELECT w.*, text[1:40] AS title, sum(CAST(doc_id IS NULL AS INT)) OVER (PARTITION BY query_id) AS missing FROM w LEFT JOIN documents ON doc_id = id) SELECT query_id, id, score, title FROM x WHERE missing = 0",
+    "retrieval_regression": _M + ", x AS (SELECT query_id, list(id) AS ids FROM f GROUP BY query_id) SELECT query_id, coalesce(list_contains(ids, query_id) AND NOT list_contains(ids, -1), false) AS passed FROM q LEFT JOIN x USING (query_id)",
     "vector_topk": _Q + ", r AS (SELECT query_id, id, list_cosine_similarity(e, f) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, f) DESC, id) AS rank FROM v, q) SELECT query_id, id, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
     "vector_topk_l2": _Q + ", r AS (SELECT query_id, id, 1 - list_distance(e, f) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(e, f), id) AS rank FROM v, q) SELECT query_id, id, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
     "noisy_guide_filter": "SELECT doc_id AS id FROM documents WHERE trim(text[1:40]) <> '' AND length(regexp_replace(text, '\\s', '', 'g')) >= 60",

@@ -64,12 +64,6 @@ def _script_pairs(s, d):
     return rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), F.col("message").alias("before"), F.replace("message", F.lit(" the "), F.lit(" a ")).alias("after"))
 
 
-def _script_heads(s, d):
-    """The first 400 characters of each side, as the SQL of correction_summary has them."""
-    rows = b.utterances(s, d)
-    return rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), F.substring("message", 1, 400).alias("before"), F.replace(F.substring("message", 1, 400), F.lit(" the "), F.lit(" a ")).alias("after"))
-
-
 QUERIES = {
     "normalize_category": lambda s, d: b.table(s, d, "part").select("p_partkey", T.normalize_category(F.col("p_name"), {}, _RULES).alias("normalized")),
     "map_category": _map_category,
@@ -93,7 +87,7 @@ QUERIES = {
     "search_mode": lambda s, d: _docs(s, d).select("id", T.search_mode(F.col("content"), ["!!"], ["|"]).alias("mode")),
     "composite_actions": lambda s, d: _docs(s, d).select("id", T.composite_actions(F.col("content"), {"shout": "(?s)!!.*!!", "table": r"\| \w+ \|", "licence": "[Rr]ights.{0,9}reserved"}).alias("actions")),
     "correction_map": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.correct_terms(F.col("message"), {"the": "da", "there": "dar", "and": "und", "x": "x"}).alias("message")),
-    "clean_utterance": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.clean_utterance(F.col("message")).alias("message")),
+    "clean_utterance": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.clean_utterance(F.concat(F.lit("<new_start> "), F.col("message"), F.lit(" [NEW_START]\n"))).alias("message")),
     "spam_repetition": lambda s, d: b.fragments(s, d).select("session_id", "seq", "pos", T.is_spam(F.col("message")).alias("spam")),
     "sentence_split": lambda s, d: b.utterances(s, d).select("session_id", "seq", F.posexplode(T.sentences(F.col("message"))).alias("pos", "sentence")),
     "redact_text": lambda s, d: _docs(s, d).select("id", F.sha2(T.redact(F.col("content")), 256).alias("redacted"), (T.redact(F.col("content")) != F.col("content")).alias("changed")),
@@ -113,7 +107,7 @@ QUERIES = {
     "merge_batches": lambda s, d: transcripts.merge_batches(_batches(s, d)),
     "sequence_ratio": lambda s, d: transcripts.sequence_ratio(_script_pairs(s, d), "before", "after"),
     "word_diff": lambda s, d: transcripts.word_diff(_script_pairs(s, d), "before", "after"),
-    "correction_summary": lambda s, d: transcripts.correction_summary(_script_heads(s, d), "before", "after"),
+    "correction_summary": lambda s, d: transcripts.correction_summary(_script_pairs(s, d), "before", "after"),
     "diarization_confusion": _confusion,
     "style_sample": lambda s, d: transcripts.style_sample(b.utterances(s, d).filter("length(message) >= 4").select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id", 300, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}).groupBy("style").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("style") == "plain").alias("plain")).agg(F.sum("n").alias("n")),
     "train_test_split": lambda s, d: transcripts.train_test_split(b.utterances(s, d).select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id").select("id", "is_test"),
@@ -122,7 +116,7 @@ QUERIES = {
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 _U = "u AS (SELECT conv_id AS session_id, turn AS seq, CASE role WHEN 'user' THEN 'customer' WHEN 'assistant' THEN 'agent' END AS speaker, text AS message FROM conversations WHERE role IN ('user', 'assistant'))"
 _F = "WITH " + _U + ", x AS (SELECT session_id, seq, speaker, string_split(message, chr(10)) AS parts FROM u), y AS (SELECT session_id, seq, speaker, unnest(parts) AS message, CAST(unnest(range(len(parts))) AS BIGINT) AS pos FROM x), g AS (SELECT * FROM y WHERE trim(message, ' ') <> '')"
-_PAIRS = "WITH " + _U + ", p AS (SELECT session_id * 1000 + seq AS id, message[1:400] AS before, replace(message[1:400], ' the ', ' a ') AS after FROM u)"
+_PAIRS = "WITH " + _U + ", p AS (SELECT session_id * 1000 + seq AS id, message AS before, replace(message, ' the ', ' a ') AS after FROM u)"
 _ORDERS = "b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS down, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS st FROM orders)"
 _WORDS = "(['부정','중립','긍정'])"
 
