@@ -151,6 +151,8 @@ _TURNS = "WITH t AS (SELECT event_id AS id, user_id AS session_id, ts, CASE WHEN
 _CONTEXT = _TURNS + ", l AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN {'v': value, 'ts': ts, 'turn': turn} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM t) SELECT id, session_id, turn, value, CASE WHEN epoch(ts) - epoch(o.ts) <= 180 AND turn - o.turn <= 3 THEN o.v END AS carried FROM l"
 
 ORACLE_SQL = {
+    "trigram_similarity": r"""WITH p AS (SELECT p_partkey AS id, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\w]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2])))) AS g FROM part),
+j AS (SELECT q.id AS query_id, p.id, len(list_intersect(p.g, q.g)) AS n_both, len(p.g) AS n, len(q.g) AS m FROM p JOIN p q ON q.id % 50 = 0), s AS (SELECT query_id, id, CAST(n_both AS DOUBLE) / (n + m - n_both) AS similarity FROM j) SELECT query_id, id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.6""",
     "query_terms": "WITH " + terms_sql("CASE WHEN t LIKE '%tion' AND length(t) > 5 THEN t[1:length(t) - 4] WHEN t LIKE '%ly' AND length(t) > 3 THEN t[1:length(t) - 2] ELSE t END") + " SELECT query_id AS item_id, terms FROM q",
     "rrf_rank": _RANKED + " SELECT * FROM k",
     "hybrid_fusion": _RANKED + """ SELECT query_id, "table", id, round(sum(1.0 / (60 + place)), 9) AS score FROM k GROUP BY ALL""",

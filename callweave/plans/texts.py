@@ -121,6 +121,8 @@ _ORDERS = "b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_
 _WORDS = "(['부정','중립','긍정'])"
 
 ORACLE_SQL = {
+    "card_name_synonyms": "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, list_sort(list_filter(list_distinct([replace(name, ' ', ''), replace(name, ' ', '-'), replace(name, '-', ''), replace(name, '-', ' '), replace(name, '.', ''), replace(name, '.', ' ')]), lambda x: x <> name)) AS variants FROM n",
+    "composite_actions": r"SELECT doc_id AS id, list_filter([CASE WHEN regexp_matches(text, '(?s)!!.*!!') THEN 'shout' END, CASE WHEN regexp_matches(text, '\| \w+ \|') THEN 'table' END, CASE WHEN regexp_matches(text, '[Rr]ights.{0,9}reserved') THEN 'licence' END], lambda x: x IS NOT NULL) AS actions FROM documents",
     "normalize_category": "SELECT p_partkey, replace(replace(replace(trim(p_name), 'small ', 'small-'), 'ring', 'band'), 'large ', 'large-') AS normalized FROM part",
     "map_category": "SELECT event_id AS id, CASE event_type WHEN 'view' THEN '결제/승인' WHEN 'purchase' THEN '결제/승인' WHEN 'click' THEN '한도' ELSE '기타' END AS category_main, CASE event_type WHEN 'view' THEN '조회/안내' WHEN 'purchase' THEN '발급' WHEN 'click' THEN '변경' ELSE '기타' END AS category_sub, event_type AS normalized FROM events",
     "category_keywords": "SELECT p_partkey, list_filter(regexp_split_to_array(p_name || '/' || p_type, '[/\\s]+'), lambda x: x <> '') AS words FROM part",
