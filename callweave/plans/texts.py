@@ -121,6 +121,7 @@ _ORDERS = "b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_
 _WORDS = "(['부정','중립','긍정'])"
 
 ORACLE_SQL = {
+    "write_dialogue_json": f"WITH {_U} SELECT 'stt:' || session_id AS key, CAST(to_json(list({{'seq': seq, 'speaker': speaker, 'message': message}} ORDER BY seq, speaker, message)) AS VARCHAR) AS value FROM u GROUP BY session_id",
     "card_name_synonyms": "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, list_sort(list_filter(list_distinct([replace(name, ' ', ''), replace(name, ' ', '-'), replace(name, '-', ''), replace(name, '-', ' '), replace(name, '.', ''), replace(name, '.', ' ')]), lambda x: x <> name)) AS variants FROM n",
     "composite_actions": r"SELECT doc_id AS id, list_filter([CASE WHEN regexp_matches(text, '(?s)!!.*!!') THEN 'shout' END, CASE WHEN regexp_matches(text, '\| \w+ \|') THEN 'table' END, CASE WHEN regexp_matches(text, '[Rr]ights.{0,9}reserved') THEN 'licence' END], lambda x: x IS NOT NULL) AS actions FROM documents",
     "normalize_category": "SELECT p_partkey, replace(replace(replace(trim(p_name), 'small ', 'small-'), 'ring', 'band'), 'large ', 'large-') AS normalized FROM part",
