@@ -29,6 +29,18 @@ def expiring_cards(cards: DataFrame, as_of: dt.date, days: int = 30) -> DataFram
     return cards.filter(F.col("expiry").between(F.lit(as_of), F.lit(as_of + dt.timedelta(days=days))))
 
 
+def load_states(tables: dict[str, DataFrame], expected: dict[str, int], own: dict[str, Column], least: int = 10, share: float = 0.8) -> DataFrame:
+    """name, rows, skip: whether a load can be left out. A table with an expected count must have `least` rows and `share` of
+    that count, any other one a row; where `own` names a condition, a row must meet it (not only default rows are there)."""
+    out = None
+    for name, df in tables.items():
+        rows, real = F.count(F.lit(1)), F.count_if(own.get(name, F.lit(True)))
+        enough = (rows >= max(least, share * expected[name])) if name in expected else rows > 0
+        one = df.agg(rows.alias("rows"), (enough & (real > 0)).alias("skip")).select(F.lit(name).alias("name"), "rows", "skip")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def synonym_bags(entries: DataFrame) -> DataFrame:
     """category, terms: the distinct terms of a category and their spellings, sorted. entries: keyword, category, synonyms."""
     words = F.filter(F.concat(F.array("keyword"), F.coalesce("synonyms", F.array().cast("array<string>"))), lambda t: t.isNotNull() & (T.strip(t) != ""))

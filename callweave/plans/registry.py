@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from callweave.plans import calls, conformed, filtered, routing, search, texts
+from callweave.plans import calls, conformed, filtered, guided, routing, search, texts
 
-_MODULES = (calls, texts, search, conformed, filtered, routing)
+_MODULES = (calls, texts, search, conformed, filtered, routing, guided)
 
 
 def _merged(tables: list[dict]) -> dict:

@@ -67,7 +67,9 @@ def _regression(s, d):
     return op.regression(cases, _final(s, d))
 
 
-def _stream(job, make):
+def stream_query(job, make):
+    """A query that replays the rows of make() through a streaming job."""
+
     def run(s, d):
         import tempfile
 
@@ -115,11 +117,11 @@ QUERIES = {
     "scope_filter": lambda s, d: op.scope_filter(b.table(s, d, "supplier").select(F.col("s_name").alias("id")), "odd", scopes={"odd": [("Supplier%", True), ("%2", False), ("%_4", False)]}),
     "session_context": lambda s, d: jobs.session_context(b.session_turns(s, d)),
     "consult_cooldown": lambda s, d: jobs.cooldown(b.session_turns(s, d)),
-    "stream_suspicious_downloads": _stream(lambda x: jobs.suspicious_downloads(x, 2, "1 day", "12 hours"), _downloads),
-    "stream_daily_downloads": _stream(lambda x: jobs.daily_downloads(x), _downloads),
+    "stream_suspicious_downloads": stream_query(lambda x: jobs.suspicious_downloads(x, 2, "1 day", "12 hours"), _downloads),
+    "stream_daily_downloads": stream_query(lambda x: jobs.daily_downloads(x), _downloads),
     "call_sessions": lambda s, d: jobs.call_sessions(jobs.timed(b.session_turns(s, d)), "12 hours"),
-    "stream_session_context": _stream(lambda x: jobs.session_context_stream(x.withColumn("value", F.col("value"))), lambda s, d: b.session_turns(s, d)),
-    "repeat_query_suppression": _stream(lambda x: jobs.suppress_repeats(x, "40 days"), lambda s, d: b.session_turns(s, d).select(F.col("value").alias("key"), "ts").filter("key IS NOT NULL")),
+    "stream_session_context": stream_query(lambda x: jobs.session_context_stream(x.withColumn("value", F.col("value"))), lambda s, d: b.session_turns(s, d)),
+    "repeat_query_suppression": stream_query(lambda x: jobs.suppress_repeats(x, "40 days"), lambda s, d: b.session_turns(s, d).select(F.col("value").alias("key"), "ts").filter("key IS NOT NULL")),
 }
 
 _FINE = r"length(t) >= 2 AND t NOT IN ('the', 'and', 'of') AND NOT regexp_full_match(t, '\d+')"
