@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +106,16 @@ def agent_extremes(calls: DataFrame, k: int = 5) -> DataFrame:
 
 
 def category_rollup(calls: DataFrame) -> DataFrame:
-    """Calls and agents by raw category and in total."""
-    return calls.rollup("category_raw").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("agent_id").alias("agents"), F.grouping("category_raw").cast("long").alias("is_total"))
+    """Calls and agents by main and raw category, by main category (level 1) and in total (level 3)."""
+    return calls.rollup("category_main", "category_raw").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("agent_id").alias("agents"), F.grouping_id().cast("long").alias("level"))
+
+
+def category_pools(calls: DataFrame, expected: dict[str, int], gap: int = 2) -> DataFrame:
+    """category_main, agents, expected, warn: a pool that is more than `gap` agents off. A category without an expected size
+    is what it is. Agents are made distinct before they are counted, so a hot category needs no large group."""
+    sizes = F.coalesce(*[F.when(F.col("category_main") == c, F.lit(n).cast("long")) for c, n in expected.items()], F.col("agents"))
+    pools = calls.select("category_main", "agent_id").distinct().groupBy("category_main").agg(F.count("agent_id").alias("agents"))
+    return pools.withColumn("expected", sizes).withColumn("warn", F.abs(F.col("agents") - F.col("expected")) > gap)
 
 
 def type_distribution(rows: DataFrame, code: str) -> DataFrame:
@@ -174,18 +183,32 @@ def round_robin(calls: DataFrame, pools: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(many), "category_raw").withColumn("slot", ((F.col("offset") + F.col("place")) % F.col("size"))).join(F.broadcast(pools), ["category_raw", "slot"]).select("id", "category_raw", "agent")
 
 
-def agent_targets(ranked: DataFrame, high: int = 200, low: int = 50, bands: int = 3) -> DataFrame:
-    """ranked: agent_id, rank. Target by rank band, linear inside a band, rounded half to even."""
-    n = ranked.agg(F.count(F.lit(1)).alias("n"))
-    rows = ranked.join(F.broadcast(n), F.lit(True))
-    share = (F.col("rank") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
-    band = F.least(F.floor(share * bands), F.lit(bands - 1)).cast("long")
-    return rows.select("agent_id", band.alias("band"), F.bround(F.lit(high) - (high - low) * share).cast("long").alias("target"))
+# First and last rank of a band, targets of these two.
+TARGET_BANDS = [(1, 5, 132, 124), (6, 15, 122, 108), (16, 35, 106, 88), (36, 55, 87, 79), (56, 60, 78, 75)]
+
+
+def agent_targets(ranked: DataFrame, total: DataFrame | None = None, bands: Sequence[tuple[int, int, int, int]] = TARGET_BANDS, default: int = 93, adjusted: tuple[int, int] = (15, 55)) -> DataFrame:
+    """agent_id, target. ranked: agent_id, rank (agents, so a short table; null counts as rank 35). Linear between a band's
+    targets, rounded half to even; `default` beyond the bands. With total (one row: calls), what is missing or left over is
+    spread one by one over the ranks of `adjusted` in order, again and again; without such an agent nothing is."""
+    rank = F.coalesce("rank", F.lit(35))
+    bands_of = [F.when(rank.between(a, z), F.bround(F.lit(float(high)) - (high - low) * (rank - a) / max(z - a, 1)).cast("long")) for a, z, high, low in bands]
+    rows = ranked.select("agent_id", "rank", F.coalesce(*bands_of, F.lit(default).cast("long")).alias("target"))
+    if total is None:
+        return rows.select("agent_id", "target")
+    inside = F.coalesce(F.col("rank").between(*adjusted), F.lit(False))
+    sums = rows.agg(F.sum("target").alias("__given"), F.count_if(inside).alias("__n")).join(F.broadcast(total.select(F.col("calls").alias("__calls"))), F.lit(True))
+    rows = rows.withColumn("__in", inside).withColumn("__place", F.row_number().over(Window.partitionBy("__in").orderBy("rank", "agent_id")))
+    rows = rows.join(F.broadcast(sums), F.lit(True)).withColumn("__gap", F.col("__calls") - F.col("__given"))
+    more = F.expr("abs(__gap) div __n + CAST(__place <= abs(__gap) % __n AS BIGINT)")
+    return rows.select("agent_id", (F.col("target") + F.when(F.col("__in"), F.signum("__gap").cast("long") * more).otherwise(0)).alias("target"))
 
 
-def calls_per_agent(calls: DataFrame, each: int = 3) -> DataFrame:
+def calls_per_agent(calls: DataFrame, each: int = 3, most: int = 100) -> DataFrame:
+    """The first calls of each agent, `each` at most, and the first `most` of these overall."""
     order = Window.partitionBy("agent_id").orderBy("id")
-    return calls.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("agent_id", "id", F.col("place").cast("long").alias("place"))
+    rows = calls.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
+    return rows.select("agent_id", "id", F.col("place").cast("long").alias("place")).orderBy("agent_id", "place").limit(most)
 
 
 def learning_analytics(results: DataFrame, edge: int = 5) -> DataFrame:
@@ -202,11 +225,22 @@ def learning_analytics(results: DataFrame, edge: int = 5) -> DataFrame:
         F.round(F.avg(F.when(F.col("down") <= edge, score)) - F.avg(F.when(F.col("up") <= edge, score)), 6).alias("improvement"),
         F.array_sort(F.collect_set(F.when(F.col("passed"), F.col("scenario_id")))).alias("completed"),
         F.sum("call_seconds").alias("total_seconds"),
+        F.round(F.avg("similarity"), 6).alias("avg_similarity"),
+        F.round(F.avg("completion"), 6).alias("avg_completion"),
         F.max("started_at").alias("latest_at"),
         F.max(F.when(F.col("down") == 1, score)).alias("latest_score"),
     )
 
 
+def learning_breakdown(results: DataFrame, by: str) -> DataFrame:
+    """Attempts, mean and best score and pass rate per employee and value of a column (type or category)."""
+    score = F.col("overall_score")
+    return results.groupBy("employee_id", by).agg(
+        F.count(F.lit(1)).alias("attempts"), F.round(F.avg(score), 6).alias("avg_score"), F.max(score).alias("best_score"),
+        F.round(F.count_if("passed") * 100.0 / F.count(F.lit(1)), 2).cast("double").alias("pass_rate"),
+    )
+
+
 def weighted_evaluation(scores: DataFrame, weights: DataFrame, pass_at: float = 70.0) -> DataFrame:
     """scores: id, criterion, score. weights: criterion, weight (percent). Overall = sum of weight * score / 100."""
     total = F.round(F.sum(F.col("weight") * F.col("score") / 100.0), 6)
@@ -224,8 +258,10 @@ def personality_majority(labels: DataFrame) -> DataFrame:
     return rows.select("id", "customer_id", "label", F.coalesce(twice, strong, F.col("label")).alias("personality"))
 
 
-def model_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("res")).cast("int")) * 100, 6).alias("accuracy"))
+def model_summary(rows: DataFrame, measures: Sequence[str] = ("ttft", "tps", "tokens")) -> DataFrame:
+    """Rows, accuracy in percent and the mean of each measure by model; nulls don't count in a mean."""
+    means = [F.round(F.avg(m), 6).alias(f"mean_{m}") for m in measures]
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("res")).cast("int")) * 100, 6).alias("accuracy"), *means)
 
 
 def class_accuracy(rows: DataFrame, classes: list) -> DataFrame:
@@ -238,9 +274,11 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def table_counts(tables: dict[str, DataFrame], least: dict[str, int] | None = None) -> DataFrame:
+    """name, rows, status: empty, few (under the expected minimum, one row where none is given) or ok."""
     out = None
     for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        status = F.when(F.col("rows") == 0, "empty").when(F.col("rows") < (least or {}).get(name, 1), "few").otherwise("ok")
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows", status.alias("status"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from callweave.operators import calls as op
+from callweave.operators import ingest
 from callweave.sources import bindings as b
 
 C = """c AS (SELECT event_id AS id, user_id AS customer_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
@@ -46,6 +47,22 @@ def _weighted(spark, d):
     return op.weighted_evaluation(li, weights)
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+LEAST = {"region": 10, "supplier": 10}
+POOLS = {"결제/승인": 12, "한도": 19}
+
+
+def _main_categories(spark, d):
+    calls = b.consultations(spark, d).select("id", "agent_id", "category_raw")
+    mapping = spark.createDataFrame([("view", "결제/승인", "조회/안내"), ("purchase", "결제/승인", "발급"), ("click", "한도", "변경")], "category_raw string, category_main string, category_sub string")
+    return ingest.map_category(calls, mapping)
+
+
+def _targets(spark, d):
+    calls = b.consultations(spark, d)
+    return op.agent_targets(op.agent_performance(_flagged(spark, d)), calls.agg(F.count(F.lit(1)).alias("calls")))
+
+
 QUERIES = {
     "fcr_flags": lambda s, d: _flagged(s, d).select("id", "customer_id", "category_raw", "call_date", "fcr"),
     "similar_recent_consultations": lambda s, d: op.similar_recent(b.consultations(s, d), b.AS_OF),
@@ -60,7 +77,8 @@ QUERIES = {
     "agent_distribution": lambda s, d: op.agent_distribution(b.consultations(s, d)),
     "agent_balance": lambda s, d: op.agent_balance(b.consultations(s, d)),
     "agent_extremes": lambda s, d: op.agent_extremes(b.consultations(s, d)),
-    "category_rollup": lambda s, d: op.category_rollup(b.consultations(s, d)),
+    "category_rollup": lambda s, d: op.category_rollup(_main_categories(s, d)),
+    "category_pools": lambda s, d: op.category_pools(_main_categories(s, d), POOLS),
     "type_distribution": lambda s, d: op.type_distribution(b.customers(s, d), "grade"),
     "frequency_of_frequencies": lambda s, d: op.frequency_of_frequencies(b.consultations(s, d)),
     "scenario_catalog": lambda s, d: op.scenario_catalog(b.consultations(s, d), "category_raw"),
@@ -70,19 +88,27 @@ QUERIES = {
     "customer_guidance_info": lambda s, d: op.customer_guidance_info(_stats_applied(s, d), b.AS_OF),
     "slot_conflicts": lambda s, d: op.slot_conflicts(b.consultations(s, d)),
     "agent_round_robin": _round_robin,
-    "agent_targets": lambda s, d: op.agent_targets(op.agent_performance(_flagged(s, d))),
+    "agent_targets": _targets,
     "calls_per_agent_lateral": lambda s, d: op.calls_per_agent(b.consultations(s, d)),
     "learning_analytics": lambda s, d: op.learning_analytics(b.simulation_results(s, d)),
+    "learning_by_type": lambda s, d: op.learning_breakdown(b.simulation_results(s, d), "kind"),
+    "learning_by_category": lambda s, d: op.learning_breakdown(b.simulation_results(s, d), "category"),
     "weighted_evaluation": _weighted,
     "personality_majority": lambda s, d: op.personality_majority(b.personality_labels(s, d)),
     "model_summary": lambda s, d: op.model_summary(b.evaluation_rows(s, d)),
     "class_accuracy_pivot": lambda s, d: op.class_accuracy(b.evaluation_rows(s, d), [0, 1]),
     "value_counts": lambda s, d: op.value_counts(b.personality_labels(s, d), "label"),
-    "table_counts": lambda s, d: op.table_counts({t: b.table(s, d, t) for t in ("customer", "events", "lineitem", "orders", "supplier")}),
+    "table_counts": lambda s, d: op.table_counts({t: b.table(s, d, t).filter("n_nationkey < 0") if t == "nation" else b.table(s, d, t) for t in TABLES}, LEAST),
 }
 
+_MAIN = W + ", m AS (SELECT *, CASE category_raw WHEN 'view' THEN '결제/승인' WHEN 'purchase' THEN '결제/승인' WHEN 'click' THEN '한도' ELSE '기타' END AS category_main FROM c)"
 _LABELS = "WITH l AS (SELECT event_id AS id, user_id AS customer_id, ts, (['N1','N2','N3','S1','S2','S3'])[CAST(json_extract(props, '$.k') AS BIGINT) % 6 + 1] AS label FROM events)"
-_EVAL = "WITH e AS (SELECT l.doc_id AS id, d.source AS model, CAST(l.quality AS BIGINT) AS truth, CAST(l.toxic AS BIGINT) AS res FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+_EVAL = "WITH e AS (SELECT l.doc_id AS id, d.source AS model, CAST(l.quality AS BIGINT) AS truth, CAST(l.toxic AS BIGINT) AS res, d.doc_id % 100 / 100 AS ttft, CAST(n_chars % 50 AS DOUBLE) AS tps, CASE WHEN d.doc_id % 5 > 0 THEN n_chars END AS tokens FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def _breakdown(value: str, name: str) -> str:
+    return f"WITH r AS (SELECT user_id AS employee_id, CAST(floor(value) AS BIGINT) % 101 AS score, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'purchase') SELECT employee_id, {value} AS {name}, count(*) AS attempts, round(avg(score), 6) AS avg_score, max(score) AS best_score, CAST(round(count(*) FILTER (score >= 70) * 100.0 / count(*), 2) AS DOUBLE) AS pass_rate FROM r GROUP BY 1, 2"
+
 
 ORACLE_SQL = {
     "fcr_flags": W + " SELECT id, customer_id, category_raw, call_date, fcr FROM f",
@@ -98,7 +124,8 @@ ORACLE_SQL = {
     "agent_distribution": W + ", n AS (SELECT agent_id, count(*) AS n FROM c GROUP BY 1) SELECT count(*) AS agents, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 2) AS average, min(n) AS least, max(n) AS most, max(n) - min(n) AS spread FROM n",
     "agent_balance": W + ", n AS (SELECT agent_id, count(*) AS n FROM c GROUP BY 1) SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation, stddev_pop(n) / avg(n) > 0.5 AS uneven FROM n",
     "agent_extremes": W + ", n AS (SELECT agent_id, count(*) AS calls FROM c GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY calls DESC, agent_id) AS a, row_number() OVER (ORDER BY calls, agent_id) AS z FROM n) SELECT agent_id, calls, 'top' AS side FROM t WHERE a <= 5 UNION ALL SELECT agent_id, calls, 'bottom' FROM t WHERE z <= 5",
-    "category_rollup": W + " SELECT category_raw, count(*) AS calls, count(DISTINCT agent_id) AS agents, CAST(grouping(category_raw) AS BIGINT) AS is_total FROM c GROUP BY ROLLUP (category_raw)",
+    "category_rollup": _MAIN + " SELECT category_main, category_raw, count(*) AS calls, count(DISTINCT agent_id) AS agents, CAST(grouping(category_main, category_raw) AS BIGINT) AS level FROM m GROUP BY ROLLUP (category_main, category_raw)",
+    "category_pools": _MAIN + ", n AS (SELECT category_main, count(DISTINCT agent_id) AS agents FROM m GROUP BY 1), e AS (SELECT *, CASE category_main WHEN '결제/승인' THEN 12 WHEN '한도' THEN 19 ELSE agents END AS expected FROM n) SELECT *, abs(agents - expected) > 2 AS warn FROM e",
     "type_distribution": "SELECT c_mktsegment AS code, count(*) AS n, CAST(round(count(*) * 100.0 / (SELECT count(*) FROM customer), 1) AS DOUBLE) AS percent FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1",
     "frequency_of_frequencies": W + ", n AS (SELECT customer_id, count(*) AS calls FROM c GROUP BY 1) SELECT calls, count(*) AS customers FROM n GROUP BY calls",
     "scenario_catalog": W + " SELECT category_raw AS category, count(*) AS n, level FROM c, (VALUES ('beginner'), ('advanced')) AS v(level) GROUP BY category_raw, level",
@@ -108,16 +135,21 @@ ORACLE_SQL = {
     "customer_guidance_info": "WITH " + STATS + ", j AS (SELECT c_custkey AS id, total_consultations AS t, resolved_first_call AS r, date_diff('day', last_consultation_date, DATE '2024-01-31') AS d FROM customer LEFT JOIN s ON customer_id = c_custkey) SELECT id, CASE WHEN t IS NULL THEN 'new' WHEN d <= 7 THEN 'very_recent' WHEN d <= 30 THEN 'recent' WHEN d <= 90 THEN 'quarter' WHEN d <= 365 THEN 'year' ELSE 'inactive' END AS tier, CAST(round(CAST(r * 100 AS DECIMAL(20, 6)) / t, 1) AS DOUBLE) AS fcr_rate FROM j",
     "slot_conflicts": W + ", m AS (SELECT id, agent_id, date_trunc('minute', call_ts) AS minute, count(*) OVER (PARTITION BY agent_id, date_trunc('minute', call_ts)) AS booked FROM c) SELECT * FROM m WHERE booked > 1",
     "agent_round_robin": W + ", n AS (SELECT category_raw, count(*) AS n FROM c GROUP BY 1), p AS (SELECT n_name AS agent, (['click', 'error', 'purchase', 'signup', 'view'])[n_nationkey % 5 + 1] AS category_raw, n_nationkey // 5 AS slot FROM nation) SELECT category_raw, agent, (n - slot + 4) // 5 AS calls FROM n JOIN p USING (category_raw) WHERE n > slot",
-    "agent_targets": "WITH " + PERF + ", n AS (SELECT *, (rank - 1) / CAST(greatest((SELECT count(*) FROM p) - 1, 1) AS DOUBLE) AS share FROM p) SELECT agent_id, CAST(least(floor(share * 3), 2) AS BIGINT) AS band, CAST(round_even(200 - 150 * share, 0) AS BIGINT) AS target FROM n",
-    "calls_per_agent_lateral": W + ", r AS (SELECT agent_id, id, row_number() OVER (PARTITION BY agent_id ORDER BY id) AS place FROM c) SELECT * FROM r WHERE place <= 3",
-    "learning_analytics": """WITH r AS (SELECT event_id AS id, user_id AS employee_id, CAST(floor(value) AS BIGINT) % 101 AS score, CAST(floor(value) AS BIGINT) AS secs, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS scenario_id, ts FROM events WHERE event_type = 'purchase'),
+    "agent_targets": "WITH " + PERF + """, b(a, z, hi, lo) AS (VALUES (1, 5, 132, 124), (6, 15, 122, 108), (16, 35, 106, 88), (36, 55, 87, 79), (56, 60, 78, 75)),
+t AS (SELECT agent_id, rank, coalesce(CAST(round_even(CAST(hi AS DOUBLE) - (hi - lo) * (rank - a) / CAST(z - a AS DOUBLE), 0) AS BIGINT), 93) AS target FROM p LEFT JOIN b ON rank BETWEEN a AND z),
+g AS (SELECT (SELECT count(*) FROM c) - sum(target) AS gap, count(*) FILTER (rank BETWEEN 15 AND 55) AS n FROM t)
+SELECT agent_id, CAST(target + CASE WHEN rank BETWEEN 15 AND 55 THEN sign(gap) * (abs(gap) // n + CASE WHEN rank - 14 <= abs(gap) % n THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS target FROM t, g""",
+    "calls_per_agent_lateral": W + ", r AS (SELECT agent_id, id, row_number() OVER (PARTITION BY agent_id ORDER BY id) AS place FROM c) SELECT * FROM r WHERE place <= 3 ORDER BY agent_id, place LIMIT 100",
+    "learning_analytics": """WITH r AS (SELECT event_id AS id, user_id AS employee_id, CAST(floor(value) AS BIGINT) % 101 AS score, CAST(floor(value) AS BIGINT) AS secs, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS scenario_id, ts FROM events WHERE event_type = 'purchase'),
 o AS (SELECT *, score >= 70 AS passed, row_number() OVER (PARTITION BY employee_id ORDER BY ts, id) AS up, row_number() OVER (PARTITION BY employee_id ORDER BY ts DESC, id DESC) AS down FROM r)
 SELECT employee_id, count(*) AS attempts, round(avg(score), 6) AS avg_score, max(score) AS best_score, CAST(round(count(*) FILTER (passed) * 100.0 / count(*), 2) AS DOUBLE) AS pass_rate,
-round(avg(score) FILTER (down <= 5) - avg(score) FILTER (up <= 5), 6) AS improvement, list_sort(coalesce(list(DISTINCT scenario_id) FILTER (passed), [])) AS completed, CAST(sum(secs) AS BIGINT) AS total_seconds, max(ts) AS latest_at, max(score) FILTER (down = 1) AS latest_score FROM o GROUP BY employee_id""",
+round(avg(score) FILTER (down <= 5) - avg(score) FILTER (up <= 5), 6) AS improvement, list_sort(coalesce(list(DISTINCT scenario_id) FILTER (passed), [])) AS completed, CAST(sum(secs) AS BIGINT) AS total_seconds, round(avg(k % 10 / 10), 6) AS avg_similarity, round(avg(CASE WHEN k % 7 > 0 THEN k % 100 / 100 END), 6) AS avg_completion, max(ts) AS latest_at, max(score) FILTER (down = 1) AS latest_score FROM o GROUP BY employee_id""",
+    "learning_by_type": _breakdown("CASE WHEN k % 2 = 0 THEN 'practice' ELSE 'exam' END", "kind"),
+    "learning_by_category": _breakdown("'c' || k % 4", "category"),
     "weighted_evaluation": "WITH s AS (SELECT l_orderkey AS id, ([30.0, 25.0, 25.0, 20.0])[l_linenumber % 4 + 1]::DOUBLE * (CAST(floor(l_quantity) AS BIGINT) % 101) / 100.0 AS x FROM lineitem) SELECT id, round(sum(x), 6) AS overall, round(sum(x), 6) >= 70 AS passed FROM s GROUP BY id",
     "personality_majority": _LABELS + ", w AS (SELECT id, customer_id, label, lag(label, 1) OVER o AS b, lag(label, 2) OVER o AS a FROM l WINDOW o AS (PARTITION BY customer_id ORDER BY ts, id)) SELECT id, customer_id, label, CASE WHEN label = b OR label = a THEN label WHEN a = b THEN a WHEN 'S3' IN (label, a, b) THEN 'S3' WHEN 'S2' IN (label, a, b) THEN 'S2' WHEN 'S1' IN (label, a, b) THEN 'S1' ELSE label END AS personality FROM w",
-    "model_summary": _EVAL + " SELECT model, count(*) AS n, round(avg(CAST(truth = res AS INT)) * 100, 6) AS accuracy FROM e GROUP BY model",
+    "model_summary": _EVAL + " SELECT model, count(*) AS n, round(avg(CAST(truth = res AS INT)) * 100, 6) AS accuracy, round(avg(ttft), 6) AS mean_ttft, round(avg(tps), 6) AS mean_tps, round(avg(tokens), 6) AS mean_tokens FROM e GROUP BY model",
     "class_accuracy_pivot": _EVAL + " SELECT model, round(avg(CAST(res = 0 AS INT)) FILTER (truth = 0) * 100, 6) AS class_0, round(avg(CAST(res = 1 AS INT)) FILTER (truth = 1) * 100, 6) AS class_1 FROM e GROUP BY model",
     "value_counts": _LABELS + " SELECT label AS value, count(*) AS n FROM l GROUP BY 1",
-    "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("customer", "events", "lineitem", "orders", "supplier")),
+    "table_counts": "WITH n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}{' WHERE n_nationkey < 0' if t == 'nation' else ''}" for t in TABLES) + ") SELECT *, CASE WHEN rows = 0 THEN 'empty' WHEN name IN ('region', 'supplier') AND rows < 10 THEN 'few' ELSE 'ok' END AS status FROM n",
 }

@@ -53,6 +53,8 @@ def simulation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).filter("event_type = 'purchase'").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("employee_id"), score.alias("overall_score"), (score >= 70).alias("passed"),
         (F.col("k") % 5).alias("scenario_id"), F.floor("value").cast("long").alias("call_seconds"), F.col("ts").alias("started_at"),
+        F.when(F.col("k") % 2 == 0, "practice").otherwise("exam").alias("kind"), F.concat(F.lit("c"), F.col("k") % 4).alias("category"),
+        (F.col("k") % 10 / 10).alias("similarity"), F.when(F.col("k") % 7 > 0, F.col("k") % 100 / 100).alias("completion"),
     )
 
 
@@ -81,5 +83,7 @@ def guide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"))
-    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("id"), "model", F.col("quality").cast("long").alias("truth"), F.col("toxic").cast("long").alias("res"))
+    tokens = F.col("n_chars").cast("long")
+    speed = (F.col("doc_id") % 100 / 100).alias("ttft"), (tokens % 50).cast("double").alias("tps"), F.when(F.col("doc_id") % 5 > 0, tokens).alias("tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"), *speed)
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("id"), "model", F.col("quality").cast("long").alias("truth"), F.col("toxic").cast("long").alias("res"), "ttft", "tps", "tokens")
