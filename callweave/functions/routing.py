@@ -126,6 +126,37 @@ def route_decision(s: Column, applepay: Column, words: RouteTerms, weak_routes:
     return F.when(phone, fixed("phone_lookup", "guide_tbl", filters(intent=one("phone_lookup")), guides, "B")).when(force, fixed(USAGE, "card_tbl", empty, no_terms(), "C")).otherwise(decided)
 
 
+# Results depend on them. Words that are actions or intents, and those that never count.
+ACTION_WORDS = ["방법", "어떻게", "신청", "등록", "추가", "설정", "변경", "해지", "취소", "안됨", "오류", "실패", "인증", "재발급", "재발행", "재교부", "분실", "도난", "발급", "결제", "승인", "환불", "에러", "안돼", "불가", "거절", "신고", "서류", "사용", "사용처", "교통", "충전", "연체", "수수료", "이자", "이자율", "대출", "현금서비스", "카드론", "리볼빙", "입금", "납부", "한도"]
+INTENT_WORDS = {w: [] for w in ("혜택", "연회비", "조건", "추천", "비교", "좋아", "좋은", "괜찮", "정보", "소개", "어떤", "뭐가")}
+KEYWORD_STOP = ["체크", "신용", "card", "check", "신용카드", "체크카드", "있어요", "있나요", "있나", "뭐에요", "뭐예요", "뭐야", "어떻게", "어떤", "그", "이", "저", "그런", "이런"]
+PAYMENT_NAMES = {
+    "iM유페이": ["iM 유페이", "iM유 페이", "im유페이"],
+    "네이버페이": ["naver pay", "네이버 페이"],
+    "삼성페이": ["samsung pay", "삼성 페이"],
+    "애플페이": ["apple pay", "applepay", "애플 페이"],
+    "카카오페이": ["kakao pay", "카카오 페이"],
+    "티머니": ["t-money", "tmoney", "t머니", "티 머니"],
+}
+
+
+def extract_keywords(text: Column, corrections: dict[str, str], cards: dict[str, list[str]], actions: list[str] = ACTION_WORDS, payments: dict[str, list[str]] = PAYMENT_NAMES, intents: dict[str, list[str]] = INTENT_WORDS, patterns: dict[str, str] = T.COMPOSITE_ACTIONS, stop: list[str] = KEYWORD_STOP) -> Column:
+    """struct<corrected, cards, actions, payments, intents, query> of a spoken text: known errors corrected (longest first),
+    cards by containment, actions and intents by words between white space (stop words aside) in order, actions also by
+    patterns, payments anywhere without blanks; query joins cards, actions and intents, each once. Null is an empty text."""
+    fixed = T.correct_terms(F.coalesce(text, F.lit("")), corrections)
+    words = F.array_distinct(F.filter(F.split(fixed, r"(?U)\s+"), lambda w: w != ""))
+    acts = F.filter(words, lambda w: w.isin(actions) & ~w.isin(stop))
+    acts = F.array_distinct(F.concat(acts, T.composite_actions(fixed, patterns)))
+    canonical = {w: c for c, terms in intents.items() for w in (c, *terms)}
+    table = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
+    means = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda i: i.isNotNull() & ~i.isin(stop)))
+    tight = F.replace(F.lower(fixed), F.lit(" "), F.lit(""))
+    pays = flagged([(c, any_of(tight, [t.replace(" ", "").lower() for t in (c, *terms)])) for c, terms in payments.items()])
+    named = fallback_contains(F.lower(fixed), cards)
+    return F.struct(fixed.alias("corrected"), named.alias("cards"), acts.alias("actions"), pays.alias("payments"), means.alias("intents"), F.array_join(F.array_distinct(F.concat(named, acts, means)), " ").alias("query"))
+
+
 def expand_terms(terms: Column, synonyms: dict[str, list[str]], no_space: bool = False) -> Column:
     """The terms, then the synonyms of each, distinct in order; with no_space also every term without its blanks."""
     table = F.create_map(*[x for c, s in synonyms.items() for x in (F.lit(c), F.array(*map(F.lit, s)))])

@@ -63,6 +63,17 @@ PARTICLES = ["으로", "에서", "에게", "로", "와", "과", "은", "는", "
 STOP_TERMS = ["무엇", "무엇인가요", "뭔가요", "뭐야", "뭐에요", "뭐예요", "뭔지", "어떤", "어떻게", "왜", "언제", "어디", "가능", "되나요", "되요", "해주세요", "알려줘", "알려주세요", "알려줘요", "방법", "소개", "정의", "란", "카드"]
 ISSUE_TERMS = ["발급", "신청", "재발급", "대상", "서류", "오류", "에러"]
 BENEFIT_TERMS = ["적립", "혜택", "할인", "포인트"]
+CATEGORY_HINTS = ["발급", "신청", "재발급", "대상", "서류", "적립", "혜택"]
+JOINED_HINT = ("발급", "대상", "발급 대상")
+PRIORITY_TERMS = {
+    "발급": ["발급 대상"],
+    "신청": ["발급 대상"],
+    "재발급": ["발급 대상"],
+    "적립": ["적립 서비스", "일상 생활비 적립", "필수 생활비 적립", "포인트 적립"],
+}
+ISSUE_FILTER = ["발급", "신청", "재발급", "대상", "서류"]
+BENEFIT_FILTER = ["적립", "혜택", "유의", "제외", "포인트", "할인"]
+SPEAKERS = {"agent": ["agent", "counselor", "상담사", "상담원"], "customer": ["customer", "client", "손님", "고객"]}
 COMPOSITE_ACTIONS = {
     "결제오류": "(결제|승인).*(안|오류|실패|불가)",
     "분실신고": "(카드|분실).*(신고|접수)",
@@ -176,6 +187,28 @@ def search_mode(text: Column, issue: Sequence[str] = ISSUE_TERMS, benefit: Seque
     return F.when(contains_any(text, issue), "ISSUE").when(contains_any(text, benefit), "BENEFIT").otherwise("GENERAL")
 
 
+def category_hints(terms: Column, hints: Sequence[str] = CATEGORY_HINTS, joined: tuple[str, str, str] = JOINED_HINT) -> Column:
+    """The hints that terms contain, in order of terms and hints, each once; two certain ones together add a third."""
+    held = F.flatten(F.transform(terms, lambda t: F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(t, h))))
+    first, second, both = joined
+    pair = F.array_contains(held, first) & F.array_contains(held, second)
+    return F.array_distinct(F.when(pair, F.array_append(held, F.lit(both))).otherwise(held))
+
+
+def priority_terms(hints: Column, table: dict[str, Sequence[str]] = PRIORITY_TERMS) -> Column:
+    """The search terms that each hint puts first, each once."""
+    none = F.array().cast("array<string>")
+    found = lambda h: F.coalesce(*[F.when(h == c, F.array(*map(F.lit, terms))) for c, terms in table.items()], none)
+    return F.array_distinct(F.flatten(F.transform(hints, found)))
+
+
+def blocked_by_mode(terms: Column, text: Column, issue: Sequence[str] = ISSUE_FILTER, benefit: Sequence[str] = BENEFIT_FILTER) -> Column:
+    """Whether a card's text holds words of the other kind than the query's: benefits for a query with an issue term, else
+    issues for one with a benefit term. Without such a term nothing is blocked."""
+    asks = lambda words: F.arrays_overlap(terms, F.array(*map(F.lit, words)))
+    return F.coalesce(F.when(asks(issue), contains_any(text, benefit)).when(asks(benefit), contains_any(text, issue)), F.lit(False))
+
+
 def domain_score(text: Column, terms: Sequence[str] = DOMAIN_TERMS, cards: Column | None = None, actions: Column | None = None) -> Column:
     t, c = F.lower(text), F.replace(F.lower(text), F.lit(" "), F.lit(""))
     score = F.size(F.filter(F.array(*map(F.lit, terms)), lambda k: t.contains(k) | c.contains(k))).cast("long")
@@ -219,6 +252,11 @@ def clean_utterance(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"(?i)[\[<]?NEW_START[\]>]?", " "))
 
 
+def speaker_of(name: Column, table: dict[str, Sequence[str]] = SPEAKERS) -> Column:
+    """agent or customer by the names each goes by, else null."""
+    return F.coalesce(*[F.when(name.isin(list(names)), F.lit(s)) for s, names in table.items()])
+
+
 def is_spam(text: Column) -> Column:
     """Ten or more characters without spaces, of two kinds at most."""
     t = F.regexp_replace(text, r"(?U)\s", "")
@@ -254,8 +292,13 @@ def step_score(before: Column, after: Column, steps: dict[tuple[str, str], int]
     return out.otherwise(0)
 
 
+def transition_score(early: Column, middle: Column, late: Column, steps: dict[tuple[str, str], int] = EMOTION_STEPS) -> Column:
+    """Points of both changes of a call's three emotions."""
+    return step_score(early, middle, steps) + step_score(middle, late, steps)
+
+
 def work_score(seconds: Column) -> Column:
-    return F.when(seconds <= 90, 20).when(seconds <= 120, 15).when(seconds <= 150, 10).when(seconds <= 200, 5).otherwise(0)
+    return F.when(seconds <= 90, 20).when(seconds < 120, 15).when(seconds < 150, 10).when(seconds < 200, 5).otherwise(0)
 
 
 def timeline(start_seconds: Column, duration: Column, steps: Sequence[str]) -> Column:
@@ -279,6 +322,12 @@ def from_pg_array(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
 
 
+def struct_or_default(text: Column, schema: str, defaults: dict[str, str]) -> Column:
+    """struct of JSON text; members that are null, and all of them where the text is no JSON object, take their default."""
+    found = F.from_json(text, schema)
+    return F.struct(*[F.coalesce(found[k], F.lit(v)).alias(k) for k, v in defaults.items()])
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of lower-cased words padded by two blanks before and one after."""
     words = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")

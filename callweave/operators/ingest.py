@@ -82,6 +82,12 @@ def spelling_variants(name):
     return F.array_sort(F.array_except(F.array_distinct(F.array(*forms)), F.array(name)))
 
 
+def card_synonyms(products: DataFrame, guides: DataFrame) -> DataFrame:
+    """name, variants: the card names of products and of guides' metadata, each once, blank ones left out."""
+    names = products.select("name").union(guides.select("name")).filter(F.trim("name") != "").distinct()
+    return names.select("name", spelling_variants(F.col("name")).alias("variants"))
+
+
 def conform_documents(rows: DataFrame) -> DataFrame:
     """content from content or text, keyword text split at commas, clause number from the title."""
     words = F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), T.strip), lambda w: w != "")

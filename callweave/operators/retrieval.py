@@ -197,6 +197,20 @@ def lane_selection(ranked: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "lane", "rank")
 
 
+def lanes_by_route(ranked: DataFrame, k: int) -> DataFrame:
+    """query_id, id, lane, rank. ranked: query_id, id, lane (card, guide), score, route, mixed. Without mixing only the
+    route's own lane counts. Mixed, information takes k - 1 cards (one at least) and a guide first, usage one card and one
+    guide; the best of the rest fill up. The chosen are ranked by score."""
+    in_lane = Window.partitionBy("query_id", "lane").orderBy(F.desc("score"), "id")
+    info, card, n = F.col("route") == "card_info", F.col("lane") == "card", F.col("__lane")
+    rows = ranked.filter(F.coalesce("mixed", F.lit(False)) | (card == F.coalesce(info, F.lit(False)))).withColumn("__lane", F.row_number().over(in_lane))
+    first = F.when(card, n <= F.when(info, max(1, k - 1)).otherwise(1)).otherwise(n <= 1)
+    chosen = Window.partitionBy("query_id").orderBy(F.desc(first), F.when(info & first, card.cast("int")).desc(), F.desc("score"), "id")
+    rows = rows.withColumn("__n", F.row_number().over(chosen)).filter(F.col("__n") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.select("query_id", "id", "lane", F.row_number().over(order).cast("long").alias("rank"))
+
+
 def stage_fallback(rows: DataFrame, flag: Column) -> DataFrame:
     """Rows with the flag; all of a query's rows where none has it."""
     some = F.max("__flag").over(Window.partitionBy("query_id"))
@@ -238,6 +252,21 @@ def retrieval_failed(results: DataFrame, queries: DataFrame, least: float = 0.05
     return queries.select("query_id").distinct().join(top, "query_id", "left").select("query_id", F.coalesce(F.col("top") < least, F.lit(True)).alias("failed"))
 
 
+def retry_decision(results: DataFrame, queries: DataFrame, least: float = 0.05, domain: int = 3) -> DataFrame:
+    """query_id, failed, action, route. results: query_id, rank (from 1), score, card_match. queries: query_id, route,
+    card_asked, mode, domain_score, each once. A search failed without a result, with a first score below `least`, or where
+    information on a card was asked and the first result is no match of it. Failed ones that were not hybrid are searched
+    again so; otherwise those without any result and a domain score of `domain` or more take the other route."""
+    top = results.filter("rank = 1").select("query_id", "score", "card_match", F.lit(True).alias("__found"))
+    rows = queries.join(top, "query_id", "left")
+    none, wrong = F.col("__found").isNull(), (F.col("route") == "card_info") & F.col("card_asked") & ~F.col("card_match")
+    failed = none | F.coalesce(F.col("score") < least, F.lit(False)) | F.coalesce(wrong, F.lit(False))
+    action = F.when(failed & ~F.col("mode").eqNullSafe("hybrid"), "hybrid").when(none & (F.col("domain_score") >= domain), "flip").otherwise("keep")
+    flipped = F.when(F.col("route") == "card_info", "card_usage").when(F.col("route") == "card_usage", "card_info").otherwise(F.col("route"))
+    rows = rows.withColumn("failed", failed).withColumn("action", action)
+    return rows.select("query_id", "failed", "action", F.when(F.col("action") == "flip", flipped).otherwise(F.col("route")).alias("route"))
+
+
 def card_info_stop(results: DataFrame, top: float = 0.35, gap: float = 0.08, low: float = 0.22, low_gap: float = 0.04) -> DataFrame:
     """results: query_id, rank (from 1), score, card. query_id, stop (the lexical pass is enough: a good result clearly
     ahead or alone, or the first three share one card) and vector (a further pass pays: weak, close or mixed results)."""

@@ -119,6 +119,33 @@ def correction_summary(rows: DataFrame, before: str, after: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("utterances"), changed.alias("changed"), F.round(changed * 100.0 / F.count(F.lit(1)), 6).cast("double").alias("percent"))
 
 
+def clean_items(rows: DataFrame) -> DataFrame:
+    """rows with speakers by their usual names and clean messages; other speakers and blank messages go."""
+    rows = rows.withColumn("speaker", T.speaker_of(F.col("speaker"))).withColumn("message", T.clean_utterance(F.col("message")))
+    return rows.filter(F.col("speaker").isNotNull() & (F.col("message") != ""))
+
+
+def correction_similarity(rows: DataFrame, before: str, after: str, truth: str) -> DataFrame:
+    """Rows, mean ratio to the truth before and after a correction, and the gain. Nulls count as empty; no rows give nulls."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({c: [matching.ratio(x or "", t or "") for x, t in zip(f[c], f["t"])] for c in ("a", "b")})
+
+    scored = rows.select(F.col(before).alias("a"), F.col(after).alias("b"), F.col(truth).alias("t")).mapInPandas(run, "a double, b double")
+    return scored.agg(F.count(F.lit(1)).alias("utterances"), F.round(F.avg("a"), 6).alias("before"), F.round(F.avg("b"), 6).alias("after"), F.round(F.avg("b") - F.avg("a"), 6).alias("gain"))
+
+
+def speaker_accuracy(rows: DataFrame) -> DataFrame:
+    """aligned, truth_characters, accuracy (of the aligned characters) and coverage (of the true ones), 0 where there are
+    none. rows as in speaker_confusion."""
+    n = F.col("characters")
+    aligned = speaker_confusion(rows).agg(F.coalesce(F.sum(n), F.lit(0)).alias("aligned"), F.coalesce(F.sum(F.when(F.col("truth") == F.col("predicted"), n)), F.lit(0)).alias("same"))
+    size = rows.filter("kind = 'truth'").agg(F.coalesce(F.sum(F.length(F.replace("message", F.lit(" "), F.lit("")))), F.lit(0)).alias("truth_characters"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)), 6)
+    return aligned.join(F.broadcast(size), F.lit(True)).select("aligned", "truth_characters", share("same", "aligned").alias("accuracy"), share("aligned", "truth_characters").alias("coverage"))
+
+
 def speaker_confusion(rows: DataFrame) -> DataFrame:
     """truth, predicted, characters: per-character speakers on the equal stretches of two versions of a session.
     rows: session_id, kind (truth or predicted), seq, speaker, message."""
@@ -163,6 +190,18 @@ def style_sample(rows: DataFrame, key: str, n: int, labels: dict[str, float], se
     return rows.join(chosen, key, "left").withColumn("style", F.when(F.col("__in"), label.otherwise(list(labels)[-1])).otherwise("plain")).drop("__in")
 
 
-def train_test_split(rows: DataFrame, key: str, test: int = 10, seed: int = 42) -> DataFrame:
-    """rows with is_test for about `test` percent, by a hash of the key."""
-    return rows.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100)) < test)
+def train_test_split(rows: DataFrame, key: str, n: int | None = None, test: int = 10, seed: int = 42) -> DataFrame:
+    """The first n rows (default: all) in a seeded order, with is_test for the first `test` percent of these, rounded up.
+
+    The order is that of the md5 of seed and key, then the key. Rows are numbered inside buckets by the first digits of the
+    hash and offset by the sizes of the buckets before, so no window spans all rows."""
+    rows = rows.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    rows = rows.withColumn("__bucket", F.substring("__hash", 1, 3))
+    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("__bucket").alias("__of"), before.alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))  # 4,096 rows and one of nulls at most
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__hash", key))
+    rows = rows.withColumn("__place", place).join(F.broadcast(offsets), F.col("__bucket").eqNullSafe(F.col("__of")))
+    most = F.col("__all") if n is None else F.least(F.col("__all"), F.lit(n))
+    rows = rows.withColumn("__place", F.col("__before") + F.col("__place")).filter(F.col("__place") <= most)
+    return rows.withColumn("is_test", F.col("__place") <= F.ceil(most * test / 100)).drop("__hash", "__bucket", "__of", "__before", "__all", "__place")

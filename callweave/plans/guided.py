@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from callweave.operators import checks, guidance
+from callweave.functions import routing as R
+from callweave.operators import checks, grounding, guidance
 from callweave.plans.search import stream_query
-from callweave.plans.texts import _batches, _F
+from callweave.plans.texts import _batches, _F, _U
 from callweave.sources import bindings as b
 from callweave.streaming import live
 
@@ -37,7 +38,31 @@ def _ends(rows, *order):
     return rows.withColumn("ts", at).withColumn("last", F.row_number().over(down) == 1)
 
 
+# Patterns that the tables' invented prose holds, so that every rule takes effect.
+RULES = grounding.GroundingRules(title=r"^(Th.*|.*ung\.)$", question=r"(en|on)\?$", noise="(schl|ción)", legal="(der|los) ", private="(quel|ther) ", general=r"^.*(ent|es|en)\.?$", link=r"\S+\.(com|kr)\b", by_title=("see '", "'."), default="none")
+KEYWORDS = ["the", "der", "que", "en", "es "]
+
+
+def _sentences(s, d):
+    """Every three documents are a query's guides; the fourth query of each ten may say telephone numbers."""
+    k = F.col("doc_id")
+    query = F.floor(k / 3)
+    rows = b.table(s, d, "documents").select(query.alias("query_id"), (k % 3 + 1).alias("rank"), F.substring("text", 1, 12).alias("title"), F.when(k % 7 > 0, F.col("text")).alias("content"), F.when(query % 4 > 0, F.array(*map(F.lit, KEYWORDS))).alias("keywords"), (query % 10 == 4).alias("phone"))
+    return grounding.grounding_sentence(rows, RULES)
+
+
+FIXES = {"the": "teh", "there": "thar", "und": "unt"}
+SPOKEN = dict(cards={"Gold": ["ing teh"], "Blue Sky": ["ere a"]}, actions=["and", "on", "que", "unt"], payments={"Pay": ["ed a"], "Cash": ["de l"]}, intents={"limit": ["die", "los"], "fee": ["les"], "on": ["an"]}, patterns={"shout": "!!", "and": "and teh"}, stop=["on"])
+
+
+def _spoken(s, d):
+    rows = b.utterances(s, d).select("session_id", "seq", R.extract_keywords(F.col("message"), FIXES, **SPOKEN).alias("k"))
+    return rows.select("session_id", "seq", *[f"k.{c}" for c in ("cards", "actions", "payments", "intents", "query")], F.length("k.corrected").cast("long").alias("characters"))
+
+
 QUERIES = {
+    "grounding_sentence": _sentences,
+    "extract_keywords": _spoken,
     "guidance_gates": _gates,
     "guidance_documents": lambda s, d: guidance.guidance_documents(_guides(s, d), tags=TAGS, core=CORE, brands=BRANDS),
     "stream_fragments": stream_query(live.fragment_batches, lambda s, d: _ends(b.fragments(s, d), "seq", "pos").select("session_id", "seq", "pos", "ts", "message", "last")),
@@ -87,7 +112,44 @@ g0 AS (SELECT query_id, p_partkey AS id, lower(p_name) AS title, lower(p_name ||
     ]
 ) + f", o AS (SELECT query_id, id, pin_rank, CAST({_count('everything', 'words')} AS BIGINT) AS hits, score, {_count('title', 'brands')} > 0 AS entity FROM g7)"
 
+def _re(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, '{pattern}', 'i')"
+
+
+_STRIP = r"'^\s+|\s+$', '', 'g'"
+_SENTENCES = rf"""WITH d AS (SELECT doc_id // 3 AS query_id, doc_id % 3 AS rank, regexp_replace(text[1:12], {_STRIP}) AS title, regexp_replace(regexp_replace(CASE WHEN doc_id % 7 > 0 THEN text ELSE '' END, {_STRIP})[1:420], {_STRIP}) AS snippet FROM documents),
+p AS (SELECT query_id, rank, string_split(regexp_replace(snippet, '([.!?])\s+|\n+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d),
+u AS (SELECT query_id, rank, unnest(parts) AS raw, unnest(range(len(parts))) AS pos FROM p),
+s AS (SELECT query_id, rank, pos, regexp_replace(regexp_replace(regexp_replace(raw, {_STRIP}), '^\s*([0-9]+[).]|[①②③④⑤⑥⑦⑧⑨]|[-•]\s+)\s*', ''), {_STRIP}) AS s FROM u),
+g AS (SELECT *, CASE WHEN query_id % 4 > 0 THEN {" + ".join(f"CAST(contains(s, '{k}') AS INT)" for k in KEYWORDS)} ELSE 0 END - CAST(s LIKE '%?' AS INT) - CAST(regexp_matches(s, '{RULES.general}') AND length(s) < 25 AS INT) AS score FROM s
+ WHERE length(s) >= 8 AND NOT regexp_matches(s, '{RULES.title}') AND NOT {_re('s', RULES.question)} AND NOT {_re('s', RULES.noise)} AND NOT ({_re('s', RULES.legal)} AND length(s) < 45) AND NOT {_re('s', RULES.private)}),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY pos) AS n FROM g WHERE score >= 2),
+b AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS n FROM a WHERE n = 1),
+c AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) AS n FROM g WHERE score >= 0),
+t AS (SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM d WHERE title <> ''),
+o AS (SELECT q.query_id, coalesce(b.s, c.s) AS s, title FROM (SELECT DISTINCT query_id FROM d) q LEFT JOIN b ON b.query_id = q.query_id AND b.n = 1 LEFT JOIN c ON c.query_id = q.query_id AND c.n = 1 LEFT JOIN t ON t.query_id = q.query_id AND t.n = 1),
+w AS (SELECT query_id, title, regexp_replace(s, '\S+\.(com|kr)\b', '', 'gi') AS s FROM o),
+x AS (SELECT query_id, title, CASE WHEN query_id % 10 = 4 THEN s ELSE regexp_replace(s, '\b\d{{2,4}}\s*[-–—]\s*\d{{3,4}}\s*[-–—]\s*\d{{4}}\b|\b\d{{8,11}}\b', '', 'g') END AS s FROM w)
+SELECT query_id, coalesce(regexp_replace(regexp_replace(regexp_replace(s, '\s{{2,}}', ' ', 'g'), '\(\s*\)', '', 'g'), {_STRIP}), 'see ' || chr(39) || title || chr(39) || '.', 'none') AS sentence FROM x"""
+
+
+def _firsts(x: str) -> str:
+    return f"list_filter({x}, lambda v, nth: v IS NOT NULL AND list_position({x}, v) = nth)"
+
+
+_SPOKEN = rf"""WITH {_U}, f AS (SELECT session_id, seq, replace(replace(replace(message, 'there', 'thar'), 'the', 'teh'), 'und', 'unt') AS m FROM u),
+w AS (SELECT *, list_filter(regexp_split_to_array(m, '\s+'), lambda t: t <> '') AS w, replace(lower(m), ' ', '') AS tight FROM f),
+h AS (SELECT session_id, seq, length(m) AS characters,
+ list_filter([CASE WHEN contains(lower(m), 'gold') OR contains(lower(m), 'ing teh') OR contains(tight, 'gold') OR contains(tight, 'ingteh') THEN 'Gold' END, CASE WHEN contains(lower(m), 'blue sky') OR contains(lower(m), 'ere a') OR contains(tight, 'bluesky') OR contains(tight, 'erea') THEN 'Blue Sky' END], lambda v: v IS NOT NULL) AS cards,
+ list_concat(list_filter(w, lambda t: t IN ('and', 'que', 'unt')), [CASE WHEN contains(m, '!!') THEN 'shout' END, CASE WHEN contains(m, 'and teh') THEN 'and' END]) AS a,
+ list_filter([CASE WHEN contains(tight, 'pay') OR contains(tight, 'eda') THEN 'Pay' END, CASE WHEN contains(tight, 'cash') OR contains(tight, 'del') THEN 'Cash' END], lambda v: v IS NOT NULL) AS payments,
+ list_transform(w, lambda t: CASE WHEN t IN ('limit', 'die', 'los') THEN 'limit' WHEN t IN ('fee', 'les') THEN 'fee' END) AS i FROM w),
+k AS (SELECT session_id, seq, cards, {_firsts('a')} AS actions, payments, {_firsts('i')} AS intents, characters FROM h), j AS (SELECT *, list_concat(cards, list_concat(actions, intents)) AS j FROM k)
+SELECT session_id, seq, cards, actions, payments, intents, coalesce(array_to_string({_firsts('j')}, ' '), '') AS query, characters FROM j"""
+
 ORACLE_SQL = {
+    "grounding_sentence": _SENTENCES,
+    "extract_keywords": _SPOKEN,
     "guidance_gates": _GATES + " SELECT * FROM o",
     "guidance_documents": _GATES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pin_rank NULLS LAST, hits DESC, score DESC, id) AS place FROM o), k AS (SELECT *, max(CAST(score > 0 OR entity AS INT)) OVER (PARTITION BY query_id) AS found FROM r WHERE place <= 4) SELECT query_id, id, hits, place FROM k WHERE score > 0 OR entity OR found = 0",
     "stream_fragments": _F + ", r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY seq, pos) - 1) // 3 AS batch FROM g) SELECT session_id, batch, count(*) AS n, CASE WHEN count(*) = 1 THEN 'agent' END AS speaker, string_agg(message, ' ' ORDER BY seq, pos) AS message FROM r GROUP BY session_id, batch",

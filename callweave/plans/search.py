@@ -57,6 +57,18 @@ def _lanes(s, d):
     return op.lane_selection(_candidates(s, d).select("query_id", "id", F.when(F.col("matched"), "card").otherwise("guide").alias("lane"), "score"), 4)
 
 
+def _by_mode(s, d):
+    rows = _final(s, d).join(_text_queries(s, d).select("query_id", "terms"), "query_id").join(b.guide_documents(s, d).select("id", "content"), "id")
+    return op.split_current_next(rows, T.blocked_by_mode(F.col("terms"), F.col("content"), ISSUE, BENEFIT))
+
+
+def _retries(s, d):
+    q = F.col("query_id")
+    found = _final(s, d).filter(q % 5 > 0).select("query_id", "rank", (F.col("score") - 0.16).alias("score"), (F.col("id") % 2 == 0).alias("card_match"))
+    asked = _text_queries(s, d).select("query_id", F.when(q % 2 == 0, "card_info").otherwise("card_usage").alias("route"), (q % 4 == 0).alias("card_asked"), F.when(q % 3 > 0, "hybrid").alias("mode"), (q % 7).alias("domain_score"))
+    return op.retry_decision(found, asked)
+
+
 def _pins(s, d):
     pins = _final(s, d).select((F.col("query_id") + 1).alias("query_id"), "id", F.col("rank").alias("pin_rank")).filter("pin_rank <= 3")
     return op.pin_documents(_final(s, d).select("query_id", "id", "rank"), pins)
@@ -88,6 +100,9 @@ def _downloads(s, d):
     return b.downloads(s, d).withColumnRenamed("downloaded_at", "ts")
 
 
+#: Words of the tables' prose that stand for issues and benefits.
+ISSUE, BENEFIT = ["und", "dans", "that"], ["los", "with", "der", "this"]
+
 QUERIES = {
     "vector_topk": lambda s, d: op.vector_topk(_vectors(s, d), _queries(s, d), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
     "vector_topk_l2": lambda s, d: op.vector_topk(_vectors(s, d), _queries(s, d), 10, "l2").select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
@@ -101,6 +116,9 @@ QUERIES = {
     "candidate_boost": _boosted,
     "finalize_candidates": _final,
     "lane_selection": _lanes,
+    "lanes_by_route": lambda s, d: op.lanes_by_route(_candidates(s, d).select("query_id", "id", F.when(F.col("matched"), "card").otherwise("guide").alias("lane"), "score", F.when(F.col("query_id") % 2 == 0, "card_info").otherwise("card_usage").alias("route"), (F.col("query_id") % 3 > 0).alias("mixed")), 4),
+    "split_by_mode": lambda s, d: _by_mode(s, d),
+    "retry_decision": lambda s, d: _retries(s, d),
     "stage_fallback": lambda s, d: op.stage_fallback(_candidates(s, d), F.col("hits") >= 3).select("query_id", "id", "hits"),
     "pin_documents": _pins,
     "guidance_topk": lambda s, d: op.guidance_topk(_candidates(s, d).select("query_id", "id", F.when(F.col("id") % 7 == 0, F.col("id") % 3).alias("pin_rank"), "hits", "score")).select("query_id", "id", "place"),
@@ -163,6 +181,14 @@ j AS (SELECT q.id AS query_id, p.id, len(list_intersect(p.g, q.g)) AS n_both, le
     "finalize_candidates": _M + " SELECT * FROM f",
     "candidate_boost": _M + " SELECT query_id, id, CAST(round(score + CASE WHEN hits = 3 THEN 0 ELSE 0.2 * CAST(matched AS INT) + 0.15 * CAST(hits > 1 AS INT) + 0.05 * CAST(content_length > 1000 AS INT) - 0.15 * CAST(content_length < 200 AS INT) END, 6) AS DOUBLE) AS score FROM c",
     "lane_selection": _M + ", l AS (SELECT query_id, id, CASE WHEN matched THEN 'card' ELSE 'guide' END AS lane, score FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, id) AS n FROM l), r AS (SELECT query_id, id, lane, row_number() OVER (PARTITION BY query_id ORDER BY (lane = 'card' AND n <= 3 OR lane = 'guide' AND n <= 1) DESC, score DESC, id) AS rank FROM n) SELECT * FROM r WHERE rank <= 4",
+    "lanes_by_route": _M + """, l AS (SELECT query_id, id, CASE WHEN matched THEN 'card' ELSE 'guide' END AS lane, score, query_id % 2 = 0 AS info FROM c WHERE query_id % 3 > 0 OR matched = (query_id % 2 = 0)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, id) AS n FROM l),
+p AS (SELECT *, CASE WHEN lane = 'card' THEN n <= CASE WHEN info THEN 3 ELSE 1 END ELSE n <= 1 END AS h FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, CASE WHEN info AND h THEN lane END, score DESC, id) AS m FROM p)
+SELECT query_id, id, lane, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r WHERE m <= 4""",
+    "split_by_mode": _M + f", x AS (SELECT query_id, id, rank, CASE WHEN list_has_any(terms, {ISSUE}) THEN {' OR '.join(f'contains(text, {t!r})' for t in BENEFIT)} WHEN list_has_any(terms, {BENEFIT}) THEN {' OR '.join(f'contains(text, {t!r})' for t in ISSUE)} ELSE false END AS blocked FROM f JOIN q USING (query_id) JOIN documents ON doc_id = id), y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(blocked AS INT), rank) AS place FROM x) SELECT query_id, id, CASE WHEN place <= 2 THEN 'current' ELSE 'next' END AS slot, place FROM y WHERE place <= 4",
+    "retry_decision": _M + """, t AS (SELECT query_id, score - 0.16 AS score, id % 2 = 0 AS hit FROM f WHERE rank = 1 AND query_id % 5 > 0), x AS (SELECT q.query_id, t.query_id IS NULL AS lacking, t.query_id IS NULL OR score < 0.05 OR (q.query_id % 4 = 0 AND NOT hit) AS failed FROM q LEFT JOIN t USING (query_id)),
+y AS (SELECT query_id, failed, CASE WHEN failed AND query_id % 3 = 0 THEN 'hybrid' WHEN lacking AND query_id % 7 >= 3 THEN 'flip' ELSE 'keep' END AS action FROM x) SELECT *, CASE WHEN (query_id % 2 = 0) = (action <> 'flip') THEN 'card_info' ELSE 'card_usage' END AS route FROM y""",
     "stage_fallback": _M + ", x AS (SELECT *, max(CAST(hits >= 3 AS INT)) OVER (PARTITION BY query_id) AS any_one FROM m) SELECT query_id, id, hits FROM x WHERE hits >= 3 OR any_one = 0",
     "pin_documents": _M + ", p AS (SELECT query_id + 1 AS query_id, id, rank AS pin_rank FROM f WHERE rank <= 3), j AS (SELECT coalesce(f.query_id, p.query_id) AS query_id, coalesce(f.id, p.id) AS id, rank, pin_rank FROM f FULL JOIN p ON f.query_id = p.query_id AND f.id = p.id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank IS NULL ORDER BY pin_rank, id) AS n FROM j) SELECT query_id, id, rank, pin_rank IS NOT NULL AS pinned, pin_rank FROM n WHERE rank IS NOT NULL OR n <= 2",
     "guidance_topk": _M + ", g AS (SELECT query_id, id, CASE WHEN id % 7 = 0 THEN id % 3 END AS pin_rank, hits, score FROM c), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pin_rank NULLS LAST, hits DESC, score DESC, id) AS place FROM g) SELECT * FROM r WHERE place <= 4",
@@ -175,6 +201,9 @@ j AS (SELECT q.id AS query_id, p.id, len(list_intersect(p.g, q.g)) AS n_both, le
     "vector_topk_l2": _Q + ", r AS (SELECT query_id, id, 1 - list_distance(e, f) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(e, f), id) AS rank FROM v, q) SELECT query_id, id, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
     "noisy_guide_filter": "SELECT doc_id AS id FROM documents WHERE trim(text[1:40]) <> '' AND length(regexp_replace(text, '\\s', '', 'g')) >= 60",
     "scope_filter": "SELECT s_name AS id FROM supplier WHERE s_name LIKE 'Supplier%' AND s_name NOT LIKE '%2' AND s_name NOT LIKE '%_4'",
+    "call_sessions": """WITH t AS (SELECT event_id AS id, user_id AS session_id, ts, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN event_type ELSE '' END AS value FROM events),
+m AS (SELECT *, CASE WHEN ts < lag(ts) OVER o + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM t WINDOW o AS (PARTITION BY session_id ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts) AS n FROM m)
+SELECT session_id, min(ts) AS begin, count(*) AS turns, list(value ORDER BY ts, id) AS history, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM n GROUP BY session_id, n""",
     "session_context": _CONTEXT,
     "stream_session_context": _CONTEXT,
 }

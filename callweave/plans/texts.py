@@ -52,11 +52,25 @@ def _batches(s, d):
     return members.join(place.select("session_id", "place", "speaker", "message"), ["session_id", "place"]).select("session_id", "batch", F.col("place").alias("seq"), "speaker", "message")
 
 
-def _confusion(s, d):
+def _emotion(k):
+    return F.get(F.array(*map(F.lit, ("부정", "중립", "긍정"))), (k % 3).cast("int"))
+
+
+def _said(speaker, at, names):
+    """The speaker's name among others it goes by; other speakers are the counselor."""
+    other = F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    return F.when(F.col("speaker") == speaker, other).otherwise("상담사")
+
+
+def _diarized(s, d):
     rows = b.utterances(s, d)
     truth = rows.withColumn("kind", F.lit("truth"))
     guess = rows.withColumn("kind", F.lit("predicted")).withColumn("speaker", F.when(F.col("seq") % 5 == 0, "agent").otherwise(F.col("speaker")))
-    return transcripts.speaker_confusion(truth.unionByName(guess))
+    return truth.unionByName(guess)
+
+
+def _confusion(s, d):
+    return transcripts.speaker_confusion(_diarized(s, d))
 
 
 def _script_pairs(s, d):
@@ -78,7 +92,7 @@ QUERIES = {
     "flatten_keywords": lambda s, d: ingest.flatten_keywords(_dictionary(s, d)),
     "flatten_synonyms": lambda s, d: ingest.flatten_synonyms(_dictionary(s, d)),
     "dictionary_priority": _priority,
-    "card_name_synonyms": lambda s, d: b.table(s, d, "part").select(F.col("p_name").alias("name")).distinct().select("name", ingest.spelling_variants(F.col("name")).alias("variants")),
+    "card_name_synonyms": lambda s, d: ingest.card_synonyms(b.table(s, d, "part").select(F.col("p_name").alias("name")), b.table(s, d, "supplier").select(F.concat_ws("-", F.lit("No.1"), "s_name").alias("name"))),
     "exact_duplicate_docs": lambda s, d: ingest.exact_duplicates(_docs(s, d)),
     "normalize_query": lambda s, d: b.table(s, d, "benchmark").select("item_id", T.normalize_query(F.col("text")).alias("query")),
     "query_terms": lambda s, d: b.table(s, d, "benchmark").select("item_id", T.query_terms(F.col("text"), ["the", "and", "of"], ["tion", "ly"]).alias("terms")),
@@ -92,7 +106,7 @@ QUERIES = {
     "sentence_split": lambda s, d: b.utterances(s, d).select("session_id", "seq", F.posexplode(T.sentences(F.col("message"))).alias("pos", "sentence")),
     "redact_text": lambda s, d: _docs(s, d).select("id", F.sha2(T.redact(F.col("content")), 256).alias("redacted"), (T.redact(F.col("content")) != F.col("content")).alias("changed")),
     "dedupe_blocks": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.dedupe_blocks(F.replace("message", F.lit("\n"), F.lit("\n\n"))).alias("text")),
-    "emotion_score": lambda s, d: b.consultations(s, d).select("id", T.step_score(F.get(F.array(*map(F.lit, ("부정", "중립", "긍정"))), (F.col("k") % 3).cast("int")), F.get(F.array(*map(F.lit, ("부정", "중립", "긍정"))), (F.floor(F.col("k") / 3) % 3).cast("int"))).cast("long").alias("points"), T.work_score(F.col("k") * 3).cast("long").alias("work")),
+    "emotion_score": lambda s, d: b.consultations(s, d).select("id", T.transition_score(*[_emotion(F.floor(F.col("k") / n)) for n in (1, 3, 9)]).cast("long").alias("points"), T.work_score(F.col("k") * 3).cast("long").alias("work")),
     "retrieval_cache_key": lambda s, d: b.table(s, d, "benchmark").select("item_id", T.cache_key(F.lit("card_info"), F.col("text"), F.array(F.lit("b"), F.lit("a")), 5).alias("key")),
     "pg_array_text": lambda s, d: b.table(s, d, "part").select("p_partkey", T.pg_array(F.split("p_name", " ")).alias("text"), T.from_pg_array(T.pg_array(F.split("p_name", " "))).alias("parts")),
     "merge_same_speaker": lambda s, d: transcripts.merge_same_speaker(b.fragments(s, d)),
@@ -110,7 +124,12 @@ QUERIES = {
     "correction_summary": lambda s, d: transcripts.correction_summary(_script_pairs(s, d), "before", "after"),
     "diarization_confusion": _confusion,
     "style_sample": lambda s, d: transcripts.style_sample(b.utterances(s, d).filter("length(message) >= 4").select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id", 300, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}).groupBy("style").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("style") == "plain").alias("plain")).agg(F.sum("n").alias("n")),
-    "train_test_split": lambda s, d: transcripts.train_test_split(b.utterances(s, d).select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id").select("id", "is_test"),
+    "train_test_split": lambda s, d: transcripts.train_test_split(b.utterances(s, d).select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), "message"), "id", 5000).select("id", "is_test"),
+    "category_hints": lambda s, d: b.table(s, d, "part").select("p_partkey", T.category_hints(F.split("p_name", " "), ["l", "ar", "ring", "co"], ("ring", "co", "cold ring")).alias("hints")).select("p_partkey", "hints", T.priority_terms(F.col("hints"), {"ring": ["cold ring", "ring first"], "cold ring": ["cold ring"], "co": ["cobalt"]}).alias("terms")),
+    "clean_items": lambda s, d: transcripts.clean_items(b.utterances(s, d).select("session_id", "seq", _said("customer", F.col("seq") % 4, ["customer", "client", "손님", "someone"]).alias("speaker"), F.when(F.col("seq") % 9 == 0, " \n<NEW_START>").otherwise(F.concat("message", F.lit(" [new_start]"))).alias("message"))),
+    "correction_similarity": lambda s, d: transcripts.correction_similarity(_script_pairs(s, d).withColumn("said", F.replace("before", F.lit("the"), F.lit("teh"))), "said", "after", "before"),
+    "diarization_accuracy": lambda s, d: transcripts.speaker_accuracy(_diarized(s, d)),
+    "json_or_default": lambda s, d: b.table(s, d, "events").select("event_id", T.struct_or_default(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken"), "props")).when(F.col("event_id") % 7 == 0, '{"tone": "warm"}').otherwise(F.replace("props", F.lit('"k"'), F.lit('"speed"'))), "tone string, speed string", {"tone": "neutral", "speed": "moderate"}).alias("j")).select("event_id", "j.tone", "j.speed"),
 }
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -120,9 +139,18 @@ _PAIRS = "WITH " + _U + ", p AS (SELECT session_id * 1000 + seq AS id, message A
 _ORDERS = "b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS down, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS st FROM orders)"
 _WORDS = "(['부정','중립','긍정'])"
 
+
+def _step(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 3 WHEN {a} = '부정' AND {b} = '중립' THEN 5 WHEN {b} = '긍정' THEN 10 WHEN {a} = '긍정' AND {b} = '중립' THEN 5 ELSE 0 END"
+
+
 ORACLE_SQL = {
+    "train_test_split": f"WITH {_U}, r AS (SELECT session_id * 1000 + seq AS id, row_number() OVER (ORDER BY md5('42:' || (session_id * 1000 + seq)), session_id * 1000 + seq) AS n, least(count(*) OVER (), 5000) AS most FROM u) SELECT id, n <= ceil(most * 10 / 100) AS is_test FROM r WHERE n <= most",
+    "category_hints": "WITH t AS (SELECT p_partkey, flatten(list_transform(string_split(p_name, ' '), lambda t: list_filter(['l', 'ar', 'ring', 'co'], lambda h: contains(t, h)))) AS h FROM part), j AS (SELECT p_partkey, CASE WHEN list_contains(h, 'ring') AND list_contains(h, 'co') THEN list_append(h, 'cold ring') ELSE h END AS h FROM t), k AS (SELECT p_partkey, list_filter(h, lambda x, i: list_position(h, x) = i) AS hints FROM j), p AS (SELECT p_partkey, hints, flatten(list_transform(hints, lambda x: CASE x WHEN 'ring' THEN ['cold ring', 'ring first'] WHEN 'cold ring' THEN ['cold ring'] WHEN 'co' THEN ['cobalt'] ELSE [] END)) AS q FROM k) SELECT p_partkey, hints, list_filter(q, lambda x, i: list_position(q, x) = i) AS terms FROM p",
+    "clean_items": f"WITH {_U} SELECT session_id, seq, speaker, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message FROM u WHERE seq % 9 > 0 AND NOT (speaker = 'customer' AND seq % 4 = 3) AND trim(regexp_replace(message, '\\s+', ' ', 'g')) <> ''",
+    "json_or_default": f"SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 7 = 0 THEN 'warm' ELSE 'neutral' END AS tone, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'moderate' ELSE CAST({_K} AS VARCHAR) END AS speed FROM events",
     "write_dialogue_json": f"WITH {_U} SELECT 'stt:' || session_id AS key, CAST(to_json(list({{'seq': seq, 'speaker': speaker, 'message': message}} ORDER BY seq, speaker, message)) AS VARCHAR) AS value FROM u GROUP BY session_id",
-    "card_name_synonyms": "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, list_sort(list_filter(list_distinct([replace(name, ' ', ''), replace(name, ' ', '-'), replace(name, '-', ''), replace(name, '-', ' '), replace(name, '.', ''), replace(name, '.', ' ')]), lambda x: x <> name)) AS variants FROM n",
+    "card_name_synonyms": "WITH n AS (SELECT p_name AS name FROM part UNION SELECT 'No.1-' || s_name FROM supplier) SELECT name, list_sort(list_filter(list_distinct([replace(name, ' ', ''), replace(name, ' ', '-'), replace(name, '-', ''), replace(name, '-', ' '), replace(name, '.', ''), replace(name, '.', ' ')]), lambda x: x <> name)) AS variants FROM n",
     "composite_actions": r"SELECT doc_id AS id, list_filter([CASE WHEN regexp_matches(text, '(?s)!!.*!!') THEN 'shout' END, CASE WHEN regexp_matches(text, '\| \w+ \|') THEN 'table' END, CASE WHEN regexp_matches(text, '[Rr]ights.{0,9}reserved') THEN 'licence' END], lambda x: x IS NOT NULL) AS actions FROM documents",
     "normalize_category": "SELECT p_partkey, replace(replace(replace(trim(p_name), 'small ', 'small-'), 'ring', 'band'), 'large ', 'large-') AS normalized FROM part",
     "map_category": "SELECT event_id AS id, CASE event_type WHEN 'view' THEN '결제/승인' WHEN 'purchase' THEN '결제/승인' WHEN 'click' THEN '한도' ELSE '기타' END AS category_main, CASE event_type WHEN 'view' THEN '조회/안내' WHEN 'purchase' THEN '발급' WHEN 'click' THEN '변경' ELSE '기타' END AS category_sub, event_type AS normalized FROM events",
@@ -144,7 +172,7 @@ ORACLE_SQL = {
     "correction_map": f"WITH {_U} SELECT session_id, seq, replace(replace(replace(message, 'there', 'dar'), 'the', 'da'), 'and', 'und') AS message FROM u",
     "clean_utterance": f"WITH {_U} SELECT session_id, seq, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message FROM u",
     "spam_repetition": _F + " SELECT session_id, seq, pos, length(regexp_replace(message, '\\s', '', 'g')) >= 10 AND len(list_distinct(string_split(regexp_replace(message, '\\s', '', 'g'), ''))) <= 2 AS spam FROM g",
-    "emotion_score": f"WITH e AS (SELECT event_id AS id, {_K} AS k FROM events), m AS (SELECT id, k, {_WORDS}[k % 3 + 1] AS a, {_WORDS}[k // 3 % 3 + 1] AS b FROM e) SELECT id, CAST(CASE WHEN a = b THEN 3 WHEN a = '부정' AND b = '중립' THEN 5 WHEN b = '긍정' THEN 10 WHEN a = '긍정' AND b = '중립' THEN 5 ELSE 0 END AS BIGINT) AS points, CAST(CASE WHEN k * 3 <= 90 THEN 20 WHEN k * 3 <= 120 THEN 15 WHEN k * 3 <= 150 THEN 10 WHEN k * 3 <= 200 THEN 5 ELSE 0 END AS BIGINT) AS work FROM m",
+    "emotion_score": f"WITH e AS (SELECT event_id AS id, {_K} AS k FROM events), m AS (SELECT id, k, {_WORDS}[k % 3 + 1] AS a, {_WORDS}[k // 3 % 3 + 1] AS b, {_WORDS}[k // 9 % 3 + 1] AS c FROM e) SELECT id, CAST({_step('a', 'b')} + {_step('b', 'c')} AS BIGINT) AS points, CAST(CASE WHEN k * 3 <= 90 THEN 20 WHEN k * 3 < 120 THEN 15 WHEN k * 3 < 150 THEN 10 WHEN k * 3 < 200 THEN 5 ELSE 0 END AS BIGINT) AS work FROM m",
     "pg_array_text": "SELECT p_partkey, '{' || replace(p_name, ' ', ',') || '}' AS text, string_split(p_name, ' ') AS parts FROM part",
     "merge_same_speaker": _F + ", m AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY session_id ORDER BY seq, pos) THEN 1 ELSE 0 END AS c FROM g), n AS (SELECT *, CAST(sum(c) OVER (PARTITION BY session_id ORDER BY seq, pos) AS BIGINT) AS turn FROM m) SELECT session_id, turn, min(speaker) AS speaker, string_agg(message, ' ' ORDER BY seq, pos) AS message FROM n GROUP BY session_id, turn",
     "recent_context": f"WITH {_U}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM u) SELECT session_id, seq, speaker, message FROM r WHERE n <= 10",

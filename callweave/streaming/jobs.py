@@ -30,9 +30,11 @@ def daily_downloads(log: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def call_sessions(turns: DataFrame, gap: str = "3 minutes", late: str = "10 minutes") -> DataFrame:
-    """Turns and seconds of sessions that a pause of `gap` ends. turns: session_id, ts."""
-    out = turns.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("turns"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return out.select("session_id", F.col("first").cast("timestamp_ntz").alias("begin"), "turns", F.round(F.col("last").cast("double") - F.col("first").cast("double"), 3).alias("seconds"))
+    """Turns, seconds and history (values in order, '' for none) of sessions that a pause of `gap` ends. turns: session_id,
+    id, ts, value. A session's history is one row, so its size is that of the session."""
+    said = F.array_sort(F.collect_list(F.struct("ts", "id", F.coalesce("value", F.lit("")).alias("value"))))
+    out = turns.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("turns"), F.min("ts").alias("first"), F.max("ts").alias("last"), said.alias("said"))
+    return out.select("session_id", F.col("first").cast("timestamp_ntz").alias("begin"), "turns", F.transform("said", lambda x: x["value"]).alias("history"), F.round(F.col("last").cast("double") - F.col("first").cast("double"), 3).alias("seconds"))
 
 
 def suppress_repeats(queries: DataFrame, within: str = "60 seconds") -> DataFrame:
