@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import read_table, shared_path
+from callweave.llm.common import in_tasks, read_table, shared_path
 from callweave.llm.kernels import slices
 from callweave.llm.tokens import default_path, encoder
 
@@ -163,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     # ranges are cut by id and text hash, as what is sampled for them goes to the driver; a text is compared in its task alone
     place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, F.col("text").asc_nulls_first())
-    written = ordered.mapInArrow(shard, "shard long, path string, documents long, tokens long")
+    written = ordered.transform(in_tasks, shard, "shard long, path string, documents long, tokens long")
     written.write.parquet(f"{folder}-manifest")
     return docs.sparkSession.read.schema(written.schema).parquet(f"{folder}-manifest")
 

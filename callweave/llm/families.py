@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import materialise
+from callweave.llm.common import in_tasks, materialise
 from callweave.llm.kernels import text_buffer
 
 
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     are ones whose large partitions Spark can split.
     """
     spark = edges.sparkSession
-    left = materialise(edges.select("a", "b").filter("a <> b").mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
+    left = materialise(edges.select("a", "b").filter("a <> b").transform(in_tasks, _local_stars, "a long, b long").distinct(), "edges")
     levels: list[DataFrame] = []
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("next")))
@@ -228,7 +228,7 @@ def verify(members: DataFrame, percent: int, decide: Callable[[pa.Table], pa.Rec
         if waiting:
             yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.transform(in_tasks, run, schema)
 
 
 def labels_of(adjacent: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import key_crc, read_table
+from callweave.llm.common import in_tasks, key_crc, read_table
 from callweave.llm.kernels import slices, text_buffer
 
 BUCKETS = 1 << 16
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, sample: int = 3000, size: int = 16, epochs: int = 6, ra
     total = docs.filter(F.col("lang").isNotNull()).count()
     share = min(1.0, 1.25 * sample / max(total, 1))
     top = F.lit(min(int((2.0 * share - 1.0) * 2**63), 2**63 - 1))
-    counted = rows.filter(F.col("place") <= top).mapInArrow(_counted, "place long, lang string, ids binary, many binary")
+    counted = rows.filter(F.col("place") <= top).transform(in_tasks, _counted, "place long, lang string, ids binary, many binary")
     chosen = counted.orderBy("place", "lang", "ids", "many").limit(sample).collect()
     chosen = sorted(chosen, key=lambda r: (r["lang"], r["ids"], r["many"]))
     labels = sorted({r["lang"] for r in chosen})
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[best], pa.string()), "score": top, "rejected": rejected})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.transform(in_tasks, score, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -174,7 +174,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, size=1 << 17):
                 yield part.filter(pa.array(~_scored(part, shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_tasks, run, docs.schema)
 
 
 def held_out() -> Column:

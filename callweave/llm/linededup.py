@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import families
-from callweave.llm.common import fresh, likely, materialise, read_table, unlikely
+from callweave.llm.common import fresh, in_tasks, likely, materialise, read_table, unlikely
 from callweave.llm.kernels import U, Words, grouped_order, shingle_hashes, slices, text_buffer
 from callweave.llm.neardup import folded, set_digests, sets
 
@@ -62,7 +62,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], ["bucket", "n"])
 
     out = np.zeros(COUNTERS, np.int64)
-    for r in rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").transform(in_tasks, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -122,7 +122,7 @@ def lines_of(rows: DataFrame, counts: np.ndarray, width: int, percent: int, leas
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "doc long, text_hash long, line long, digest binary, n int, prefix array<bigint>, " + ", ".join(f"{x} long" for x in SIGNS))
+    return rows.transform(in_tasks, run, "doc long, text_hash long, line long, digest binary, n int, prefix array<bigint>, " + ", ".join(f"{x} long" for x in SIGNS))
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     posted = classes.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", F.expr("shiftleft(cast(n AS BIGINT), 32) | place").alias("rank"), "node")
     ascending = ["token", F.shiftright("rank", 32), "node"]
     dealt = posted.repartitionByRange(*ascending).sortWithinPartitions(*ascending)
-    return materialise(dealt.mapInArrow(run, "a long, b long, token long, node long"), "line-candidates")
+    return materialise(dealt.transform(in_tasks, run, "a long, b long, token long, node long"), "line-candidates")
 
 
 def apart(percent: int) -> tuple[int, int]:

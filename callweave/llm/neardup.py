@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import families
-from callweave.llm.common import likely, materialise, read_table
+from callweave.llm.common import in_tasks, likely, materialise, read_table
 from callweave.llm.kernels import U, Words, binaries, distinct_in_groups, mix, shingle_hashes, slices, text_buffer
 
 A_KEYS, A_ROWS, B_KEYS, B_ROWS = 10, 2, 16, 3
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, a binary, b binary")
+    return rows.transform(in_tasks, run, "doc_id long, n_shingles long, digest binary, a binary, b binary")
 
 
 def _cells(key: np.ndarray, doc: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,8 +141,8 @@ def candidate_edges(sketched: DataFrame) -> DataFrame:
             where = pa.array(np.repeat(np.arange(batch.num_rows), A_KEYS))
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(where), batch.column("b").take(where)], ["key", "doc_id", "b"])
 
-    rows = sketched.select("doc_id", "a", "b").mapInArrow(split, "key long, doc_id long, b binary")
-    found = materialise(rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_edges, "cell long, a long, b long"), "cells")
+    rows = sketched.select("doc_id", "a", "b").transform(in_tasks, split, "key long, doc_id long, b binary")
+    found = materialise(rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").transform(in_tasks, _edges, "cell long, a long, b long"), "cells")
     cut = found.filter(F.col("cell").isNotNull()).select("cell", "b")
     heads = materialise(cut.groupBy("cell").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "cut-cells")
     return found.filter(F.col("cell").isNull()).select("a", "b").unionByName(cut.join(heads.select("cell", "a"), "cell").filter("a <> b").select("a", "b"))
@@ -188,7 +188,7 @@ def _resolve(docs: DataFrame, rows: DataFrame, classes: DataFrame, family: DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     wanted = family.select("node", F.col("component").alias("family"))
     # only candidates' texts move, whatever the size of either side
-    members = likely(texts, wanted, ["node"]).join(wanted.hint("shuffle_merge"), "node").select("family", "node", "text").mapInArrow(resolved, "family long, node long, size long, set binary")
+    members = likely(texts, wanted, ["node"]).join(wanted.hint("shuffle_merge"), "node").select("family", "node", "text").transform(in_tasks, resolved, "family long, node long, size long, set binary")
     found = materialise(families.verify(materialise(members, "members").filter("size > 0"), percent, _decide(percent), "a long, b long, whole boolean"), "links")
     # a doc_id with several texts can be in two classes; their links meet in the node
     repeated = rows.filter(F.col("digest").isNotNull()).join(classes.select("digest", F.col("doc_id").alias("head")), "digest").select("doc_id", "digest", "head")

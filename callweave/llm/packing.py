@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import read_table, shared_path
+from callweave.llm.common import in_tasks, read_table, shared_path
 from callweave.llm.kernels import binaries, slices
 from callweave.llm.tokens import default_path, encoder
 
@@ -55,7 +55,7 @@ def decompose(docs: DataFrame, longest: int = 2048, tokenizer: str | None = None
                 number += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pieces, SCHEMA)
+    return rows.transform(in_tasks, pieces, SCHEMA)
 
 
 def pack(docs: DataFrame, folder: str, longest: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import key_crc, materialise, read_table
+from callweave.llm.common import in_tasks, key_crc, materialise, read_table
 from callweave.llm.kernels import Words, distinct_in_groups, mix, slices, text_buffer
 
 _CLASSES = {
@@ -82,7 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.transform(in_tasks, run, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, shrink: float = 0.1, diagonal: float = 0.1, floor:
     rows = labelled.filter(F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), "x")
     d = len(FEATURES) + 1
     sums = np.zeros((2, d, d))
-    for r in rows.mapInArrow(moments, "label int, i int, j int, total double").groupBy("label", "i", "j").agg(F.sum("total").alias("total")).collect():
+    for r in rows.transform(in_tasks, moments, "label int, i int, j int, total double").groupBy("label", "i", "j").agg(F.sum("total").alias("total")).collect():
         sums[r["label"], r["i"], r["j"]] = r["total"]
     counts = sums[:, 0, 0]
     if (counts < 2).any():
@@ -142,7 +142,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": shared.value.score(x)})
 
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return rows.select("doc_id", "x").transform(in_tasks, run, "doc_id long, score double")
 
 
 def held_out() -> Column:

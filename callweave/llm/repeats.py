@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import WORD, likely, materialise, read_table
+from callweave.llm.common import WORD, in_tasks, likely, materialise, read_table
 from callweave.llm.kernels import Words, shingle_hashes, slices, text_buffer
 from callweave.llm.linededup import KEY, keyed
 
@@ -77,7 +77,7 @@ def suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "gram long, doc long, text_hash long, place int")
+    return rows.transform(in_tasks, run, "gram long, doc long, text_hash long, place int")
 
 
 def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataFrame:
@@ -101,7 +101,7 @@ def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "doc", "text_hash", "place", "right", "left"])
 
     wanted = places.groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("wanted"))
-    return likely(rows, places, KEY).join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").mapInArrow(run, "gram long, doc long, text_hash long, place int, right binary, left binary")
+    return likely(rows, places, KEY).join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").transform(in_tasks, run, "gram long, doc long, text_hash long, place int, right binary, left binary")
 
 
 def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +193,10 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), found.column("begin"), found.column("end"), *[own[f] if f in own else pa.nulls(m, empty[f]) for f in fields]], ["range", "begin", "end", *fields])
 
     order = ["gram", "right", *KEY, "place"]
-    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"range long, begin long, end long, {kind}"), "suffix-matches")
+    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, run, f"range long, begin long, end long, {kind}"), "suffix-matches")
     # rows at range ends, few a range, meet those of neighbouring ranges by their gram
     cut = found.filter(F.col("range").isNotNull()).select(fields).repartition("gram").sortWithinPartitions(*order)
-    stitched = cut.mapInArrow(lambda batches: _stitch(batches, gram, reach, least), "doc long, text_hash long, begin long, end long")
+    stitched = cut.transform(in_tasks, lambda batches: _stitch(batches, gram, reach, least), "doc long, text_hash long, begin long, end long")
     return found.filter(F.col("range").isNull()).select(*KEY, "begin", "end").unionByName(stitched)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.bitpack import _filesystem
-from callweave.llm.common import materialise, read_table, shared_path
+from callweave.llm.common import in_tasks, materialise, read_table, shared_path
 
 FRAME = 1 << 20
 BUNDLE = 1 << 28  # plain bytes after which a task begins another bundle
@@ -153,7 +153,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
             writer.close()
             sink.close()
 
-    return materialise(revisits(pages, least).mapInArrow(bundles, INDEX), "warc-index")
+    return materialise(revisits(pages, least).transform(in_tasks, bundles, INDEX), "warc-index")
 
 
 def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
