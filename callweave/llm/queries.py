@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import bitpack, decontaminate, langid, linededup, neardup, packing, quality, repeats, rules, warc
+from callweave.llm import bitpack, centroids, collocations, decontaminate, langid, linededup, neardup, packing, quality, repeats, rules, secretscan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": bitpack.token_ids,
     "op9_minhash_neardup": neardup.minhash_neardup,
     "op10_warc": warc.warc,
+    "op11_phrase_collocations": collocations.phrase_collocations,
+    "op12_secret_scan": secretscan.secret_scan,
+    "op13_centroid_clustering": centroids.centroid_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +33,6 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
+    "op11_phrase_collocations": collocations.ORACLE,
+    "op13_centroid_clustering": centroids.oracle(),
 }
