@@ -2,7 +2,7 @@
 
 A text's subwords are its byte 3-grams and 4-grams (A-Z lower-cased, other ASCII signs one boundary byte), hashed into
 2**16 buckets. Its vector is the mean of its subwords' embeddings; class scores are linear in it. fit() learns both by
-stochastic gradient descent in numpy on at most `sample` labelled rows, those with the smallest hashes of their ids
+stochastic gradient descent in numpy on at most `sample` labelled rows, those with the smallest hashes of id and text
 (the documented bound of the fit; ties go by language and counts, so repeated ids change nothing); a fifth of them sets the temperature and the rejection level. predict() is one narrow pass over whole
 texts: as everything is linear, a subword adds one row of the table embeddings x weights.
 
@@ -75,14 +75,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"place": part.column("place"), "lang": part.column("lang"), "ids": ids, "many": many})
 
 
+def _counted_rows(rows: DataFrame) -> DataFrame:
+    return rows.transform(in_tasks, _counted, "place long, lang string, ids binary, many binary")
+
+
 def fit(docs: DataFrame, sample: int = 3000, size: int = 16, epochs: int = 6, rate: float = 0.4, lost: float = 0.002, seed: int = 7) -> Model:
     """docs: text, lang, doc_id. lost: share of the calibration rows that the rejection level may reject."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("place"))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # the text is part of the place, so that rows are told apart where ids are missing or repeated
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("place"))
     total = docs.filter(F.col("lang").isNotNull()).count()
     share = min(1.0, 1.25 * sample / max(total, 1))
     top = F.lit(min(int((2.0 * share - 1.0) * 2**63), 2**63 - 1))
-    counted = rows.filter(F.col("place") <= top).transform(in_tasks, _counted, "place long, lang string, ids binary, many binary")
-    chosen = counted.orderBy("place", "lang", "ids", "many").limit(sample).collect()
+    # rows that are alike in id and text tie: their langs come in the order of a hash
+    order = ["place", F.xxhash64("lang", F.lit(seed)), "lang", "ids", "many"]
+    chosen = _counted_rows(rows.filter(F.col("place") <= top)).orderBy(*order).limit(sample).collect()
+    if share < 1 and len(chosen) < sample:  # many alike rows beyond the bound
+        chosen = _counted_rows(rows).orderBy(*order).limit(sample).collect()
     chosen = sorted(chosen, key=lambda r: (r["lang"], r["ids"], r["many"]))
     labels = sorted({r["lang"] for r in chosen})
     if not labels:

@@ -426,3 +426,17 @@ def test_warc(spark, nothing):
     with files.open_input_file(name) as source:
         assert warc.BundleReader(source).record(place.frame, place.offset)[1] == b"x" * 3_000_000
     assert warc.read_bundles(warc.write_bundles(frame.limit(0), shared_path(spark, "w"))).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "each twice"])
+def test_language_sample_without_ids(spark, ids):
+    """Missing and repeated ids change neither the labels that are learned nor what is kept; also beyond the sample's size."""
+    words = {"en": "the and of house water", "de": "der und nicht haus wasser", "fr": "le et dans maison eau", "es": "el y los casa agua"}
+    rng = random.Random(4)
+    texts = [(lang, " ".join(rng.choice(w.split()) + rng.choice(["", "s"]) for _ in range(30))) for _ in range(60) for lang, w in words.items()]
+    rows = [(None if ids == "null" else 1 if ids == "one" else i, t, lang) for i, (lang, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows * (2 if ids == "each twice" else 1), "doc_id long, text string, lang string")
+    for sample in (3000, 120):
+        model = langid.fit(docs, sample=sample, epochs=30)
+        assert model.labels == ["de", "en", "es", "fr"]
+        assert langid.accepted(docs, model).count() > 0.9 * docs.count()
