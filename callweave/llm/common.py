@@ -51,9 +51,16 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Bytes of a batch of rows on the way to a task's Python worker, one row at least. Each worker and its JVM hold some copies.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def in_tasks(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """rows.mapInArrow(run, schema) whose tasks release what they freed. Spark reuses Python workers, and what each kind of
-    task leaves in them adds up over a pipeline."""
+    task leaves in them adds up over a pipeline. Batches hold BATCH_BYTES at most, unless the session has its own setting."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -48,11 +48,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of a task's own edges as stars, which leaves few rounds for the joins."""
-    data = [b for b in batches if b.num_rows]
-    if not data:
-        return
-    table = pa.Table.from_batches(data)
+    """The components of a block of edges as stars, which leaves few rounds for the joins."""
+    for table in blocks(batches, BLOCK_EDGES):
+        yield _stars(table)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """The rows in their order, `least` or somewhat more at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stars(table: pa.Table) -> pa.RecordBatch:
     nodes, number = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
     a, b = number[: table.num_rows], number[table.num_rows :]
     label = np.arange(len(nodes))
@@ -66,9 +80,11 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             break
         label = least
     other = np.flatnonzero(label != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[other]]), pa.array(nodes[other])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[label[other]]), pa.array(nodes[other])], ["a", "b"])
 
 
+#: Edges that a task looks at together.
+BLOCK_EDGES = 1 << 18
 #: Most sets and set members of a block; a task holds two blocks.
 BLOCK_SETS, BLOCK_MEMBERS = 256, 1 << 20
 

@@ -6,7 +6,8 @@ tables of 5 minhashes each cost 68 minhashes, not 800. Two sets with Jaccard sim
 
 Documents with equal shingle sets are one class. Class representatives are range-partitioned by (A key, document), B keys
 ride along; a run of one A key is split by each B key, and each table cell gives a star of edges to its smallest document.
-Range partitions cut hot runs; the cells of cut runs are joined by a second, small aggregation. Families (components of
+Ranges, and the blocks that a task reads its range in, cut hot runs; the cells of cut runs are joined by a second, small
+aggregation. Families (components of
 those edges) are re-read as whole sets and all their pairs verified exactly (families.py).
 
 Defined cases: null text, and text without words, has no set, links with nothing and is kept; fewer words than the
@@ -28,6 +29,8 @@ from callweave.llm.common import in_tasks, likely, materialise, read_table
 from callweave.llm.kernels import U, Words, binaries, distinct_in_groups, mix, shingle_hashes, slices, text_buffer
 
 A_KEYS, A_ROWS, B_KEYS, B_ROWS = 10, 2, 16, 3
+#: Rows of table keys that a task looks at together.
+BLOCK_ROWS = 1 << 15
 _RNG = np.random.default_rng(9)
 _N = A_KEYS * A_ROWS + B_KEYS * B_ROWS
 _XOR = _RNG.integers(1, 2**64 - 1, _N, dtype=np.uint64)
@@ -101,11 +104,13 @@ def _cells(key: np.ndarray, doc: np.ndarray, b: np.ndarray) -> Iterator[tuple[np
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of rows (key, doc, b) in order: edges (cell null), and for cut runs each cell's smallest document (a null)."""
-    data = [b for b in batches if b.num_rows]
-    if not data:
-        return
-    table = pa.Table.from_batches(data)
+    """Of one range of rows (key, doc, b) in order: edges (cell null), and for cut runs each cell's smallest document (a null).
+    A range is read in blocks of bounded size, and a run that goes on in the next block counts as cut."""
+    for table in families.blocks(batches, BLOCK_ROWS):
+        yield from _block_edges(table)
+
+
+def _block_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
     key = table.column("key").to_numpy().view(np.uint64)
     doc = table.column("doc_id").to_numpy()
     raw = text_buffer(table.column("b"))[0]
