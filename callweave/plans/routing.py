@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from callweave.functions import matching
 from callweave.functions import routing as R
 from callweave.functions import text as T
-from callweave.operators import calls, checks, ingest, retrieval, transcripts
+from callweave.operators import calls, checks, ingest, lexicon, retrieval, transcripts
 from callweave.plans.texts import _F, _U
 from callweave.sources import bindings as b
 
@@ -34,6 +34,22 @@ def _signals(s, d):
     return rows.select("session_id", "seq", "pos", R.signals(F.col("message"), CARDS, ACTIONS, PAYMENTS, WEAK, {"shout": "!!"}, INFO, USAGE, ISSUANCE).alias("s"))
 
 
+def _chained_signals(s, d):
+    terms = lexicon.dictionaries(s, {"card": CARDS, "action": ACTIONS, "payment": PAYMENTS, "weak": WEAK})
+    found = lexicon.signals(b.fragments(s, d), "message", terms, {"shout": "!!"}, INFO, USAGE, ISSUANCE)
+    return found.select("session_id", "seq", "pos", "cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")
+
+
+def _lexicon(s, d):
+    """A dictionary table of the benchmark's word pairs, looked up in all documents."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    terms = b.table(s, d, "benchmark").select(words.alias("w")).filter(F.size("w") > 1).select(F.explode(pairs).alias("term")).distinct()
+    terms = terms.select(F.lit("pairs").alias("dictionary"), F.upper("term").alias("canonical"), "term", F.lit(True).alias("own"), F.xxhash64("term").alias("place"))
+    docs = b.table(s, d, "documents").select("doc_id", T.normalize_query(F.coalesce("text", F.lit(""))).alias("text"))
+    return lexicon.dictionary_terms(docs, "text", terms, "pairs").select("doc_id", "found")
+
+
 def _route(s, d):
     pay = F.when(F.contains(F.col("s.normalized"), F.lit("ñ")), "applepay_general")
     rows = _signals(s, d).select("session_id", "seq", "pos", R.route_decision(F.col("s"), pay, WORDS, {"limit": R.INFO, "fee": R.USAGE}).alias("r"))
@@ -90,7 +106,9 @@ def _picked(options: list, at):
 
 
 QUERIES = {
-    "extract_signals": lambda s, d: _signals(s, d).select("session_id", "seq", "pos", *[f"s.{c}" for c in ("cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")]),
+    "extract_signals": _chained_signals,
+    "dictionary_terms": _lexicon,
+    "contained_signals": lambda s, d: _signals(s, d).select("session_id", "seq", "pos", *[f"s.{c}" for c in ("cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")]),
     "route_decision": _route,
     "fallback_contains": lambda s, d: b.table(s, d, "documents").select("doc_id", R.fallback_contains(F.lower("text"), {**CARDS, **ACTIONS, **WEAK}).alias("found")),
     "expand_terms": lambda s, d: _part(s, d).select("p_partkey", R.expand_terms(F.split("p_name", " "), SYNONYMS, True).alias("terms")),
@@ -163,7 +181,7 @@ _SPELL = "[x, replace(x, ' ', ''), replace(x, ' ', '-'), replace(x, '-', ''), re
 _SCRIPTS = f"WITH {_U}, c AS (SELECT session_id, seq, trim(replace(replace(message, 'the ', ''), 'and ', ''), E' \\n\\t\\r') AS m FROM u WHERE speaker = 'customer') SELECT session_id, trim(regexp_replace(string_agg(m, ' ' ORDER BY seq, m), '\\s+', ' ', 'g')) AS script FROM c WHERE length(m) > 4 GROUP BY session_id"
 
 ORACLE_SQL = {
-    "extract_signals": _S + " SELECT session_id, seq, pos, cards, actions, payments, weak, patterns, info, usage, issuance FROM s",
+    "contained_signals": _S + " SELECT session_id, seq, pos, cards, actions, payments, weak, patterns, info, usage, issuance FROM s",
     "route_decision": _ROUTE,
     "fallback_contains": f"SELECT doc_id, {_held('lower(text)', chr(39).join(['replace(lower(text), ', ' ', ', ', '', ')']), {**CARDS, **ACTIONS, **WEAK})} AS found FROM documents",
     "expand_terms": "WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), a AS (SELECT p_partkey, list_concat(w, flatten(list_transform(w, lambda t: CASE t WHEN 'small' THEN ['tiny', 'very small'] WHEN 'widget' THEN ['gadget'] WHEN 'large' THEN ['big one'] ELSE [] END))) AS w FROM s), "
