@@ -177,10 +177,13 @@ def strip_particle(term: Column, particles: Sequence[str] = PARTICLES) -> Column
 
 
 def query_terms(text: Column, stop: Sequence[str] = STOP_TERMS, particles: Sequence[str] = PARTICLES) -> Column:
-    """Distinct terms in order: no stop words, numbers or single characters; endings removed."""
-    tokens = F.split(normalize_query(F.regexp_replace(text, r"(?U)[^\w\s]", " ")), " ")
-    fine = lambda t: (F.length(t) >= 2) & ~t.isin(list(stop)) & ~t.rlike(r"^\d+$")
-    return F.array_distinct(F.filter(F.transform(F.filter(tokens, fine), lambda t: strip_particle(t, particles)), fine))
+    """Distinct terms in order: what stands between blanks, without its marks. No stop words, numbers or single characters;
+    a final `란` and one ending are removed."""
+    words = F.transform(F.split(normalize_query(text), " "), lambda t: F.regexp_replace(t, r"(?U)[^\w]+", ""))
+    known = lambda t: (t != "") & ~t.isin(list(stop))
+    fine = lambda t: known(t) & (F.length(t) >= 2) & ~t.rlike(r"^\d+$")
+    named = F.transform(F.filter(words, known), lambda t: F.when(t.endswith("란") & (F.length(t) > 1), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    return F.array_distinct(F.filter(F.transform(named, lambda t: strip_particle(t, particles)), fine))
 
 
 def search_mode(text: Column, issue: Sequence[str] = ISSUE_TERMS, benefit: Sequence[str] = BENEFIT_TERMS) -> Column:

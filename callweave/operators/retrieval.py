@@ -1,99 +1,16 @@
-"""Search over documents: vectors, text, rank fusion, boosts, per-title dedupe, lanes, retries, pins."""
+"""After a search: rank fusion, boosts, per-title dedupe, lanes, retries, pins. vectors.py and textsearch.py search."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import matching
-from callweave.functions import text as T
 
 RRF_K = 60
-#: Most query values that are broadcast at once; more queries are searched in blocks of this size.
-QUERY_VALUES = 1 << 24
-
-
-def vector_topk(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", group: str | None = None) -> DataFrame:
-    """query_id, id, score, rank: the k nearest of each query. docs: id, embedding. queries: query_id, embedding.
-
-    Each task multiplies its rows with the query matrix and keeps k a query, so only k rows a task and query are
-    shuffled. Queries are a stated set; they are broadcast in blocks of bounded size, one pass of the rows a block. Null
-    and zero vectors and those of another length are left out; score is 1 - distance. With `group`, a column of both, only
-    rows of a query's own group count."""
-    out = None
-    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    for block in _blocks(queries, max(1, QUERY_VALUES // width), group):
-        part = _topk_block(docs, block, k, metric, group)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame, size: int, group: str | None) -> Iterator[list]:
-    """Blocks of the stated query set, in id order; one is held at a time."""
-    block: list = []
-    for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *([group] if group else [])).orderBy("query_id").toLocalIterator():
-        block.append(r)
-        if len(block) >= size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _topk_block(docs: DataFrame, block: list, k: int, metric: str, group: str | None) -> DataFrame:
-    ids = np.array([r["query_id"] for r in block], np.int64)
-    matrix = np.array([r["embedding"] for r in block], np.float64)
-    groups = np.array([r[group] for r in block], object) if group else None
-    shared = docs.sparkSession.sparkContext.broadcast((ids, matrix, groups))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, groups = shared.value
-        q_norm = np.linalg.norm(q, axis=1)
-        best: pd.DataFrame | None = None
-        for f in frames:
-            f = f[[v is not None and len(v) == q.shape[1] for v in f["embedding"]]]
-            if not len(f):
-                continue
-            x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            f, x, norm = f[norm > 0], x[norm > 0], norm[norm > 0]
-            own = f["id"].to_numpy()
-            if metric == "cosine":
-                score = (x @ q.T) / np.outer(norm, np.where(q_norm > 0, q_norm, np.inf))
-            else:
-                score = 1 - np.sqrt(np.maximum((x**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * x @ q.T, 0))
-            if groups is not None:
-                score = np.where(f[group].to_numpy(object)[:, None] == groups[None, :], score, -np.inf)
-            order = np.lexsort((np.broadcast_to(own[:, None], score.shape), -score), axis=0)[:k]
-            table = pd.DataFrame({"query_id": np.tile(ids, len(order)), "id": own[order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
-            table = table[np.isfinite(table["score"])]
-            best = table if best is None else pd.concat([best, table])
-            best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return docs.select("id", "embedding", *([group] if group else [])).mapInPandas(run, "query_id long, id long, score double")
-
-
-def consult_case_search(cases: DataFrame, queries: DataFrame, k: int, text_rank: Column, weight: float = 0.2) -> DataFrame:
-    """query_id, id, stage, rank, vector_score, text_score, score. cases: id, embedding, category, and what text_rank needs;
-    queries: query_id, embedding, category, and what it needs. Nearest cases of the query's category; a query without any
-    searches all; one still without takes the best by text alone. Order is by vector distance (by text in the last stage),
-    the combined score is only reported."""
-    found = vector_topk(cases, queries, k, group="category").withColumn("stage", F.lit("category"))
-    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    found = found.unionByName(vector_topk(cases, left, k).withColumn("stage", F.lit("all")))
-    own = queries.drop("embedding", "category")
-    texts = cases.drop("embedding", "category")
-    rows = found.join(texts, "id").join(own, "query_id").select("query_id", "id", "stage", "rank", F.col("score").alias("vector_score"), text_rank.cast("double").alias("text_score"))
-    return rows.withColumn("score", (1 - weight) * F.col("vector_score") + weight * F.least(F.coalesce("text_score", F.lit(0.0)), F.lit(1.0)))
 
 
 def rerank_by_terms(rows: DataFrame, terms: Column, *fields: str) -> DataFrame:
@@ -104,48 +21,6 @@ def rerank_by_terms(rows: DataFrame, terms: Column, *fields: str) -> DataFrame:
     return rows.withColumn("hits", F.size(held).cast("long")).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def query_doc_match(docs: DataFrame, queries: DataFrame, terms: int = 3, text: str = "content") -> DataFrame:
-    """query_id, id, hits: documents that hold any of a query's first terms as words. queries: query_id, terms. Words that no
-    query asks for are dropped where they are read."""
-    wanted = queries.select("query_id", F.explode(F.slice("terms", 1, terms)).alias("term")).distinct()
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    held = docs.select("id", F.explode(words).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    return held.distinct().join(wanted, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
-
-
-def trigram_matches(titles: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
-    """query_id, id, similarity: pairs of texts with trigram similarity of `least` or more, by an inverted join of trigrams.
-    titles: id, text. queries: query_id, text."""
-    a = titles.select("id", T.trigrams(F.col("text")).alias("g"))
-    b = queries.select("query_id", T.trigrams(F.col("text")).alias("g"))
-    left = a.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    right = b.select("query_id", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    # of two sizes the smaller must reach `least` of the larger
-    pairs = left.join(right, "gram").filter((F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)).groupBy("query_id", "id", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    value = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return pairs.select("query_id", "id", value.alias("similarity")).filter(F.col("similarity") >= least)
-
-
-def text_topk(matches: DataFrame, k: int, score: str = "similarity") -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
-    return matches.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-
-
-def text_rank_cd(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """id, rank of documents that hold all terms: cover density over word places."""
-    wanted = list(terms)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ranks = [matching.cover_density(t.lower().split(), wanted) for t in f["content"].fillna("")]
-            yield pd.DataFrame({"id": f["id"], "rank": np.round(ranks, 6)})[np.array(ranks) > 0]
-
-    held = docs
-    for t in wanted:
-        held = held.filter(F.lower("content").contains(t))
-    return held.select("id", "content").mapInPandas(run, "id long, rank double")
-
-
 def rrf_rank(hits: DataFrame) -> DataFrame:
     """query_id, source, table, id, place. hits also has score and noisy. Rows are numbered by (query, source, table); of a
     document's rows the first counts, and noisy ones go, but the places they took stay taken."""

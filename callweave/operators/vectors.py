@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.sources.stored import stored
+
 #: Numbers of a block of rows or of queries, and of all queries that are broadcast.
 BLOCK_VALUES, BROADCAST_VALUES = 1 << 18, 1 << 24
 SALTS = 64
@@ -128,7 +130,7 @@ def filtered(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The filter comes first. A query that it leaves without a row searches the rows whose title holds one of its intents, if it
     names intents alone, else all rows."""
     asked = queries.select("query_id", "embedding", F.coalesce("wanted", F.array().cast("array<string>")).alias("tags"), "intents")
-    found = nearest(rows.select("id", "embedding", "tags"), asked, k, tags="tags").withColumn("stage", F.lit("filtered"))
+    found = stored(nearest(rows.select("id", "embedding", "tags"), asked, k, tags="tags").withColumn("stage", F.lit("filtered")), "nearest")
     left = asked.filter(F.size("tags") > 0).join(found.select("query_id").distinct(), "query_id", "left_anti")
     again = nearest(rows.select("id", "embedding"), left.filter("intents IS NULL"), k).withColumn("stage", F.lit("all"))
     # rows whose title holds a term are told apart by tags again: the terms that it holds

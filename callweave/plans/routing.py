@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from callweave.functions import matching
 from callweave.functions import routing as R
 from callweave.functions import text as T
-from callweave.operators import calls, checks, ingest, lexicon, retrieval, transcripts
+from callweave.operators import calls, checks, ingest, lexicon, retrieval, textsearch, transcripts
+from callweave.plans.search import covers_sql
 from callweave.plans.texts import _F, _U
 from callweave.sources import bindings as b
 
@@ -26,6 +27,7 @@ WORDS = R.RouteTerms(
 SYNONYMS = {"small": ["tiny", "very small"], "widget": ["gadget"], "large": ["big one"]}
 GUIDE_CASES = [["분실", "안내"], ["분실/도난"], ["안내"], ["해지 방법", "한도"]]
 PAY_TEXTS = ["애플페이 카드 등록", "apple pay 결제 안돼", "지갑 분실", "테스트", "applepay 티머니 충전", "애플페이 뭐"]
+ASKED = ["the and", "der und", "les dans les", "que", "nowhere the"]
 DATES = ["yyyy-MM-dd", "yyyy.MM.dd", "'bad' dd"]
 
 
@@ -68,11 +70,13 @@ def _part(s, d):
 
 
 def _consult(s, d):
-    docs = b.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.split(F.lower("text"), " ").alias("words"))
+    """Every second query's category has no cases, every fifth has no vector; queries ask for two or three frequent words."""
+    docs = b.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     cases = b.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("category")).join(docs, "id", "left")
-    queries = cases.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") % 100 == 0, "none").otherwise(F.col("category")).alias("category"), F.col("words").alias("asked"))
-    rank = F.size(F.array_intersect("words", "asked")) / 20.0
-    found = retrieval.consult_case_search(cases, queries, 5, F.when(F.col("words").isNotNull() & F.col("asked").isNotNull(), rank))
+    q = F.col("id")
+    asked = F.get(F.array(*map(F.lit, ASKED)), (q / 50 % len(ASKED)).cast("int"))
+    queries = cases.filter("id % 50 = 0").select(q.alias("query_id"), F.when(q % 250 > 0, F.col("embedding")).alias("embedding"), F.when(q % 100 == 0, "none").otherwise(F.col("category")).alias("category"), asked.alias("text"))
+    found = textsearch.case_search(cases, queries, 5)
     return found.select("query_id", "id", "stage", "rank", F.round("vector_score", 5).alias("vector_score"), F.round("text_score", 5).alias("text_score"), F.round("score", 5).alias("score"))
 
 
@@ -180,6 +184,16 @@ CASE WHEN k = 20 THEN 'B' WHEN k = 21 THEN 'C' WHEN NOT plain OR route = 'card_i
 _SPELL = "[x, replace(x, ' ', ''), replace(x, ' ', '-'), replace(x, '-', ''), replace(x, '-', ' '), replace(x, '.', ''), replace(x, '.', ' ')]"
 _SCRIPTS = f"WITH {_U}, c AS (SELECT session_id, seq, trim(replace(replace(message, 'the ', ''), 'and ', ''), E' \\n\\t\\r') AS m FROM u WHERE speaker = 'customer') SELECT session_id, trim(regexp_replace(string_agg(m, ' ' ORDER BY seq, m), '\\s+', ' ', 'g')) AS script FROM c WHERE length(m) > 4 GROUP BY session_id"
 
+_CASES = f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS category, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+q AS (SELECT id AS query_id, CASE WHEN id % 250 > 0 THEN e END AS f, CASE WHEN id % 100 = 0 THEN 'none' ELSE category END AS category, {ASKED}[id // 50 % {len(ASKED)} + 1] AS text FROM v WHERE id % 50 = 0),
+asked AS (SELECT query_id, text FROM q), cases AS (SELECT id, text FROM v WHERE coalesce(text, '') <> ''), {covers_sql()},
+p AS (SELECT query_id, v.id, list_cosine_similarity(e, f) AS vector_score, v.category = q.category AS own FROM v, q WHERE f IS NOT NULL),
+s AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS held FROM p),
+n AS (SELECT query_id, id, CASE WHEN held = 1 THEN 'category' ELSE 'all' END AS stage, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, id) AS rank, vector_score FROM s WHERE held = 0 OR own),
+t AS (SELECT q.query_id, c.id, 'text' AS stage, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(k.rank, 0) DESC, c.id) AS rank, 0.0 AS vector_score FROM q CROSS JOIN cases c LEFT JOIN ranks k ON k.query_id = q.query_id AND k.id = c.id WHERE q.f IS NULL),
+u AS (SELECT u.*, coalesce(k.rank, 0) AS text_score FROM (SELECT * FROM n WHERE rank <= 5 UNION ALL SELECT * FROM t WHERE rank <= 5) u LEFT JOIN ranks k ON k.query_id = u.query_id AND k.id = u.id)
+SELECT query_id, id, stage, rank, CAST(round(vector_score, 5) AS DOUBLE) AS vector_score, CAST(round(text_score, 5) AS DOUBLE) AS text_score, CAST(round(0.8 * vector_score + 0.2 * least(text_score, 1), 5) AS DOUBLE) AS score FROM u"""
+
 ORACLE_SQL = {
     "contained_signals": _S + " SELECT session_id, seq, pos, cards, actions, payments, weak, patterns, info, usage, issuance FROM s",
     "route_decision": _ROUTE,
@@ -196,9 +210,7 @@ ORACLE_SQL = {
     "missing_expected": "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "expiring_cards": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS expiry FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'",
     "synonym_bags": f"WITH t AS (SELECT p_type AS category, p_name AS x FROM part UNION SELECT p_type, p_brand FROM part), v AS (SELECT category, unnest({_SPELL}) AS term FROM t) SELECT category, list_sort(list(DISTINCT term)) AS terms FROM v GROUP BY category",
-    "consult_case_search": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS category FROM embeddings), w AS (SELECT doc_id AS id, string_split(lower(text), ' ') AS words FROM documents), q AS (SELECT id AS query_id, e AS f, CASE WHEN id % 100 = 0 THEN 'none' ELSE category END AS category FROM v WHERE id % 50 = 0), "
-    + "r AS (SELECT query_id, id, list_cosine_similarity(e, f) AS vs, CASE WHEN query_id % 100 = 0 THEN 'all' ELSE 'category' END AS stage FROM v JOIN q ON q.category = v.category OR query_id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vs DESC, id) AS rank FROM r), "
-    + "t AS (SELECT n.query_id, n.id, stage, rank, vs, CASE WHEN a.words IS NOT NULL AND b.words IS NOT NULL THEN len(list_intersect(a.words, b.words)) / 20.0 END AS ts FROM n LEFT JOIN w a ON a.id = n.id LEFT JOIN w b ON b.id = n.query_id WHERE rank <= 5) SELECT query_id, id, stage, rank, round(vs, 5) AS vector_score, round(ts, 5) AS text_score, round(0.8 * vs + 0.2 * least(coalesce(ts, 0), 1), 5) AS score FROM t",
+    "consult_case_search": _CASES,
     "card_info_rerank": "WITH q AS (SELECT p_partkey AS query_id, p_size, string_split(p_name || ' ' || lower(p_type), ' ') AS terms FROM part WHERE p_partkey % 50 = 0), h AS (SELECT query_id, p_partkey AS id, CAST(len(list_filter(terms, lambda t: contains(lower(p_name), t) OR contains(lower(p_type), t) OR contains(lower(p_brand), t))) AS BIGINT) AS hits FROM part JOIN q USING (p_size)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM h",
     "parse_model_output": f"WITH {_U} SELECT session_id, seq, seq % 5 = 4 AS failed, CASE WHEN seq % 5 < 4 THEN speaker END AS speaker, CASE WHEN seq % 5 < 4 THEN message END AS message, CAST(seq % 5 < 4 AS BIGINT) AS n FROM u",
     "phonetic_similarity": "WITH p AS (SELECT DISTINCT p_name, p_type, lower(replace(p_name, ' ', '')) AS a, lower(replace(p_type, ' ', '')) AS b FROM part) SELECT p_name, p_type, round(1 - levenshtein(a, b) * 1.0 / greatest(length(a), length(b)), 6)::DOUBLE AS similarity FROM p",

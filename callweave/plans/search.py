@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from callweave.functions import text as T
 from callweave.operators import retrieval as op
+from callweave.operators import textsearch, vectors
 from callweave.sources import bindings as b
+from callweave.sources.stored import shared_folder
 from callweave.streaming import jobs
 
 
@@ -22,8 +24,44 @@ def _text_queries(s, d):
     return b.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.query_terms(F.col("text"), ["the", "and", "of"], []).alias("terms"))
 
 
+def _fields(s, d):
+    return b.guide_documents(s, d).withColumnRenamed("document_type", "category1")
+
+
+def _long_terms(s, d):
+    """The prose is made of few syllables, so short terms are in nearly every text: queries ask for their longer ones."""
+    return _text_queries(s, d).select("query_id", F.filter("terms", lambda t: F.length(t) >= LONG).alias("terms"))
+
+
 def _matches(s, d):
-    return op.query_doc_match(b.guide_documents(s, d), _text_queries(s, d))
+    return textsearch.query_doc_match(_fields(s, d), _long_terms(s, d))
+
+
+def _searched(s, d):
+    """Every third query also names a source."""
+    source = F.when(F.col("query_id") % 3 == 0, F.array(F.concat(F.lit("SRC"), (F.col("query_id") % 25).cast("string")))).otherwise(F.array().cast("array<string>"))
+    queries = _long_terms(s, d).select("query_id", F.concat(source, "terms").alias("terms"))
+    return textsearch.text_search(_fields(s, d), queries, 5, bonus={"%7": 0.01}).withColumn("score", F.round("score", 6))
+
+
+def _titled(s, d):
+    docs = b.guide_documents(s, d).select("id", "title")
+    rows = _vectors(s, d).join(docs, "id", "left").select("id", "embedding", F.array(F.col("label").cast("string")).alias("tags"), "title")
+    label = F.col("label").cast("string")
+    wanted = F.when(F.col("id") % 200 == 0, F.array().cast("array<string>")).when(F.col("id") % 100 == 0, F.array(F.lit("none"))).when(F.col("id") % 150 == 0, F.array(F.lit("other"))).otherwise(F.array(label, F.lit("0")))
+    queries = _vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding", wanted.alias("wanted"), F.when(F.col("id") % 150 == 0, F.array(F.lit("The"), F.lit("que"))).alias("intents"))
+    return vectors.filtered(rows, queries, 5).withColumn("score", F.round("score", 5))
+
+
+def _ranks(s, d):
+    return textsearch.cover_ranks(b.guide_documents(s, d), _asked(s, d))
+
+
+def _asked(s, d):
+    """The benchmark's texts, and pairs of frequent words."""
+    whole = b.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    pairs = b.table(s, d, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("query_id"), F.get(F.array(*map(F.lit, PAIRS)), F.col("r_regionkey").cast("int")).alias("text"))
+    return whole.unionByName(pairs.filter("text IS NOT NULL"))
 
 
 def _ranked(s, d):
@@ -82,18 +120,7 @@ def _regression(s, d):
 def stream_query(job, make):
     """A query that replays the rows of make() through a streaming job."""
 
-    def run(s, d):
-        import tempfile
-
-        root = s.conf.get("spark.checkpoint.dir", None)
-        if root is None and not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import uuid
-
-        folder = f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
-        return jobs.drained(s, jobs.timed(make(s, d)), job, "replay", folder)
-
-    return run
+    return lambda s, d: jobs.drained(s, jobs.timed(make(s, d)), job, "replay", shared_folder(s, "stream"))
 
 
 def _downloads(s, d):
@@ -102,14 +129,17 @@ def _downloads(s, d):
 
 #: Words of the tables' prose that stand for issues and benefits.
 ISSUE, BENEFIT = ["und", "dans", "that"], ["los", "with", "der", "this"]
+LONG = 7
+PAIRS = ["the and", "The of!", "und der", "les dans"]
 
 QUERIES = {
-    "vector_topk": lambda s, d: op.vector_topk(_vectors(s, d), _queries(s, d), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
-    "vector_topk_l2": lambda s, d: op.vector_topk(_vectors(s, d), _queries(s, d), 10, "l2").select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
+    "vector_topk": lambda s, d: vectors.nearest(_vectors(s, d), _queries(s, d), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
+    "vector_topk_l2": lambda s, d: vectors.nearest(_vectors(s, d), _queries(s, d), 10, "l2").select("query_id", "id", F.round("score", 5).alias("score"), "rank"),
+    "vector_filtered": _titled,
     "query_doc_match": _matches,
-    "trigram_similarity": lambda s, d: op.trigram_matches(b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), b.table(s, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), 0.6).withColumn("similarity", F.round("similarity", 6)),
-    "text_topk": lambda s, d: op.text_topk(_matches(s, d), 5, "hits"),
-    "text_rank_cd": lambda s, d: op.text_rank_cd(b.guide_documents(s, d), ["the", "and", "of"]),
+    "trigram_similarity": lambda s, d: textsearch.trigram_matches(b.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), b.table(s, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), 0.6).withColumn("similarity", F.round("similarity", 6)),
+    "text_topk": _searched,
+    "text_rank_cd": _ranks,
     "rrf_rank": lambda s, d: _ranked(s, d).select("query_id", "source", "table", "id", "place"),
     "hybrid_fusion": lambda s, d: op.hybrid_fusion(_ranked(s, d)),
     "noisy_guide_filter": lambda s, d: op.noisy_guides(b.guide_documents(s, d)).select("id"),
@@ -142,23 +172,60 @@ QUERIES = {
     "repeat_query_suppression": stream_query(lambda x: jobs.suppress_repeats(x, "40 days"), lambda s, d: b.session_turns(s, d).select(F.col("value").alias("key"), "ts").filter("key IS NOT NULL")),
 }
 
+_NAMED = "t <> '' AND t NOT IN ('the', 'and', 'of')"
 _FINE = r"length(t) >= 2 AND t NOT IN ('the', 'and', 'of') AND NOT regexp_full_match(t, '\d+')"
 
 
 def terms_sql(stripped: str) -> str:
     """CTEs up to q (query_id, terms), the terms of benchmark texts; stripped: what a term t becomes."""
-    return rf"""q0 AS (SELECT item_id AS query_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^\pL\pN_\s]', ' ', 'g')), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
-q1 AS (SELECT query_id, list_transform(list_filter(w, lambda t: {_FINE}), lambda t: {stripped}) AS w FROM q0),
+    return rf"""q0 AS (SELECT item_id AS query_id, list_transform(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda t: regexp_replace(t, '[^\pL\pN_]+', '', 'g')) AS w FROM benchmark),
+q1 AS (SELECT query_id, list_transform(list_filter(w, lambda t: {_NAMED}), lambda t: {stripped}) AS w FROM q0),
 q2 AS (SELECT query_id, list_filter(w, lambda t: {_FINE}) AS w FROM q1),
 q AS (SELECT query_id, list_filter(w, lambda t, i: list_position(w, t) = i) AS terms FROM q2)"""
 
 
-_M = "WITH " + terms_sql("t") + r""", words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) AS term FROM documents),
-wanted AS (SELECT DISTINCT query_id, unnest(terms[1:3]) AS term FROM q), m AS (SELECT query_id, id, count(*) AS hits FROM words JOIN wanted USING (term) GROUP BY query_id, id),
+_HELD = "contains(lower(text), term) OR coalesce(contains(lower(source), term), false) OR coalesce(contains(lower(lang), term), false)"
+_M = "WITH " + terms_sql("t") + rf""", wanted AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(terms) AS term FROM q) WHERE length(term) >= {LONG}), every_term AS (SELECT DISTINCT term FROM wanted),
+held AS (SELECT doc_id AS id, term FROM documents, every_term WHERE {_HELD}), m AS (SELECT query_id, id, count(*) AS hits FROM held JOIN wanted USING (term) GROUP BY query_id, id),
 c AS (SELECT m.*, text[1:40] AS title, length(text) AS content_length, coalesce(lang = 'en', false) AS matched, hits / 10.0 AS score FROM m JOIN documents ON doc_id = id),
 f0 AS (SELECT *, max(CAST(matched AS INT)) OVER (PARTITION BY query_id) AS any_match FROM c), f1 AS (SELECT * FROM f0 WHERE any_match = 0 OR matched),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(nullif(trim(title), ''), '#' || id) ORDER BY content_length DESC, score DESC, id) AS n FROM f1),
 f3 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f2 WHERE n = 1), f AS (SELECT * FROM f3 WHERE rank <= 5)"""
+def _grams(x: str) -> str:
+    """Distinct trigrams of x, as in trigram_similarity."""
+    words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\pL\\pN_]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
+
+
+_SEARCHED = "WITH " + terms_sql("t") + rf""", a AS (SELECT query_id, list_concat(CASE WHEN query_id % 3 = 0 THEN ['src' || query_id % 25] ELSE [] END, list_filter(terms, lambda t: length(t) >= {LONG})) AS terms FROM q),
+c AS (SELECT DISTINCT query_id, unnest(list_filter(terms, lambda t: length(t) >= 3)[1:3]) AS term FROM a),
+h AS (SELECT term, unnest({_grams('term')}) AS gram FROM (SELECT DISTINCT term FROM c)), hn AS (SELECT term, count(*) AS m FROM h GROUP BY term),
+v AS (SELECT doc_id AS id, unnest([struct_pack(f := 1, x := text), struct_pack(f := 2, x := text[1:40]), struct_pack(f := 3, x := source), struct_pack(f := 4, x := lang)]) AS s FROM documents),
+g AS (SELECT id, s.f AS f, unnest({_grams('s.x')}) AS gram FROM v WHERE s.x IS NOT NULL), gn AS (SELECT id, f, count(*) AS n FROM g GROUP BY id, f),
+o AS (SELECT id, f, term, count(*) AS o FROM g JOIN h USING (gram) GROUP BY id, f, term),
+sim AS (SELECT id, term, max(CAST(o AS DOUBLE) / (n + m - o)) AS v FROM o JOIN gn USING (id, f) JOIN hn USING (term) GROUP BY id, term),
+one AS (SELECT DISTINCT query_id, id, 'trigram' AS stage FROM sim JOIN c USING (term) WHERE v >= 0.3),
+w AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM a WHERE query_id NOT IN (SELECT query_id FROM one)),
+two AS (SELECT DISTINCT query_id, id, 'contained' AS stage FROM (SELECT doc_id AS id, term FROM documents, (SELECT DISTINCT term FROM w) WHERE {_HELD}) JOIN w USING (term)),
+p AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+z AS (SELECT query_id, p.id, stage, round(sum(coalesce(v, 0)) + CASE WHEN CAST(p.id AS VARCHAR) LIKE '%7' THEN 0.01 ELSE 0 END, 9) AS score FROM p LEFT JOIN c USING (query_id) LEFT JOIN sim ON sim.id = p.id AND sim.term = c.term GROUP BY query_id, p.id, stage),
+r AS (SELECT query_id, id, stage, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) SELECT query_id, id, stage, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+
+
+def covers_sql() -> str:
+    """CTEs up to ranks (query_id, id, rank): cover density of asked (query_id, text) in cases (id, text). Where the earliest
+    of the words' last places moves on, a shortest cover ends."""
+    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\pL\\pN_]+'), lambda w: w <> '')"
+    return f"""aw AS (SELECT DISTINCT query_id, unnest({words('text')}) AS word FROM asked), an AS (SELECT query_id, count(*) AS m FROM aw GROUP BY query_id),
+dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (SELECT id, {words("coalesce(text, '')")} AS w FROM cases)),
+dd AS (SELECT DISTINCT id, word FROM dw), pq AS (SELECT query_id, id FROM aw JOIN dd USING (word) JOIN an USING (query_id) GROUP BY query_id, id, m HAVING count(*) = m),
+en AS (SELECT query_id, id, word, place, row_number() OVER (PARTITION BY query_id, id ORDER BY place) AS number FROM pq JOIN aw USING (query_id) JOIN dw USING (id, word)),
+el AS (SELECT a.query_id, a.id, a.place, a.number, b.word, max(b.place) AS last, max(b.number) AS last_number FROM en a JOIN en b ON b.query_id = a.query_id AND b.id = a.id AND b.place <= a.place GROUP BY ALL),
+eb AS (SELECT query_id, id, place, number, min(last) AS first, min(last_number) AS first_number FROM el JOIN an USING (query_id) GROUP BY query_id, id, place, number, m HAVING count(*) = m),
+ec AS (SELECT *, lag(first) OVER (PARTITION BY query_id, id ORDER BY place) AS before FROM eb),
+ranks AS (SELECT query_id, id, round(sum(0.1 / (1 + (place - first) - (number - first_number))), 9) AS rank FROM ec WHERE before IS NULL OR first > before GROUP BY query_id, id)"""
+
+
 _RANKED = """WITH q AS (SELECT p_partkey AS query_id, p_size, p_type, p_brand FROM part WHERE p_partkey % 50 = 0),
 h AS (SELECT query_id, p_partkey AS id, 'size' AS source, p_retailprice AS score FROM part JOIN q USING (p_size)
 UNION ALL SELECT query_id, p_partkey, 'type', -p_retailprice FROM part JOIN q USING (p_type, p_brand)
@@ -167,6 +234,12 @@ t AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS "table" FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, "table" ORDER BY score DESC, id) AS place FROM t),
 k AS (SELECT query_id, source, "table", id, min(place) AS place FROM r WHERE id % 7 <> 0 GROUP BY ALL)"""
 _Q = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS f FROM v WHERE id % 50 = 0)"
+_TITLED = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS label, lower(coalesce(text[1:40], '')) AS title FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+q AS (SELECT id AS query_id, e AS f, CASE WHEN id % 200 = 0 THEN [] WHEN id % 100 = 0 THEN ['none'] WHEN id % 150 = 0 THEN ['other'] ELSE [label, '0'] END AS wanted, id % 150 = 0 AS named FROM v WHERE id % 50 = 0),
+p AS (SELECT query_id, id, list_cosine_similarity(e, f) AS score, len(wanted) = 0 OR list_contains(wanted, label) AS own, named, contains(title, 'the') OR contains(title, 'que') AS titled FROM v, q),
+x AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS held FROM p),
+y AS (SELECT query_id, id, CASE WHEN held = 1 THEN 'filtered' WHEN named THEN 'title' ELSE 'all' END AS stage, score FROM x WHERE CASE WHEN held = 1 THEN own WHEN named THEN titled ELSE true END),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y) SELECT query_id, id, stage, round(score, 5) AS score, rank FROM r WHERE rank <= 5"""
 _TURNS = "WITH t AS (SELECT event_id AS id, user_id AS session_id, ts, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
 _CONTEXT = _TURNS + ", l AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN {'v': value, 'ts': ts, 'turn': turn} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM t) SELECT id, session_id, turn, value, CASE WHEN epoch(ts) - epoch(o.ts) <= 180 AND turn - o.turn <= 3 THEN o.v END AS carried FROM l"
 
@@ -177,7 +250,9 @@ j AS (SELECT q.id AS query_id, p.id, len(list_intersect(p.g, q.g)) AS n_both, le
     "rrf_rank": _RANKED + " SELECT * FROM k",
     "hybrid_fusion": _RANKED + """ SELECT query_id, "table", id, round(sum(1.0 / (60 + place)), 9) AS score FROM k GROUP BY ALL""",
     "query_doc_match": _M + " SELECT query_id, id, hits FROM m",
-    "text_topk": _M + ", r AS (SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM m) SELECT * FROM r WHERE rank <= 5",
+    "text_topk": _SEARCHED,
+    "text_rank_cd": f"WITH asked AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - r_regionkey, {PAIRS}[r_regionkey + 1] FROM region WHERE r_regionkey < {len(PAIRS)}), cases AS (SELECT doc_id AS id, text FROM documents), {covers_sql()} SELECT query_id, id, rank FROM ranks",
+    "vector_filtered": _TITLED,
     "finalize_candidates": _M + " SELECT * FROM f",
     "candidate_boost": _M + " SELECT query_id, id, CAST(round(score + CASE WHEN hits = 3 THEN 0 ELSE 0.2 * CAST(matched AS INT) + 0.15 * CAST(hits > 1 AS INT) + 0.05 * CAST(content_length > 1000 AS INT) - 0.15 * CAST(content_length < 200 AS INT) END, 6) AS DOUBLE) AS score FROM c",
     "lane_selection": _M + ", l AS (SELECT query_id, id, CASE WHEN matched THEN 'card' ELSE 'guide' END AS lane, score FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, id) AS n FROM l), r AS (SELECT query_id, id, lane, row_number() OVER (PARTITION BY query_id ORDER BY (lane = 'card' AND n <= 3 OR lane = 'guide' AND n <= 1) DESC, score DESC, id) AS rank FROM n) SELECT * FROM r WHERE rank <= 4",

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
+from callweave.sources.stored import shared_folder
 
 UTTERANCES = "array<struct<speaker string, message string>>"
 
@@ -69,10 +67,5 @@ def dialogue_map(rows: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that every executor sees: under spark.checkpoint.dir, or in local mode a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{uuid.uuid4().hex}"
+    """A new folder that every executor sees."""
+    return shared_folder(spark, "files")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import matching
 from callweave.functions import text as T
-from callweave.operators import calls, ingest, retrieval, transcripts
+from callweave.operators import calls, ingest, retrieval, transcripts, vectors
 
 
 def test_fcr_days_and_null_keys(spark):
@@ -75,7 +75,7 @@ def test_near_duplicate_chain(spark):
 def test_vector_ties_and_bad_rows(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [0.0, 1.0])], "id long, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<double>")
-    got = retrieval.vector_topk(docs, queries, 2).orderBy("rank").collect()
+    got = vectors.nearest(docs, queries, 2).orderBy("rank").collect()
     assert [(r.query_id, r.id, r.rank) for r in got] == [(1, 1, 1), (1, 2, 2)]
 
 
