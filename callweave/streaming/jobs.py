@@ -54,13 +54,10 @@ def session_context(turns: DataFrame) -> DataFrame:
 
 
 def session_context_stream(turns: DataFrame) -> DataFrame:
-    """The same on a stream of turns in order, by state with a timeout of the carrying time."""
+    """The same on a stream of turns in order. State is four values a session and stays, as turns are numbered through."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn, value, at, when = state.get if state.exists else (0, None, 0, 0.0)
-        if state.hasTimedOut:
-            state.update((turn, None, 0, 0.0))
-            return
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
         out = []
         for r in rows.itertuples(index=False):
@@ -92,10 +89,19 @@ def cooldown(turns: DataFrame) -> DataFrame:
     return turns.select("id", "session_id", "ts", "hits").groupBy("session_id").applyInPandas(fold, "id long, session_id long, allowed boolean")
 
 
-def drained(spark: SparkSession, source: DataFrame, job, name: str, folder: str, mode: str = "append") -> DataFrame:
-    """source written once, streamed through job() until all of it is used, the result as a table. For replays and tests."""
+def drained(spark: SparkSession, source: DataFrame, job, name: str, folder: str, mode: str = "append", close: str | None = None) -> DataFrame:
+    """source written once, streamed through job() until all of it is used, the result as a table. For replays and tests.
+
+    close: the time column. Two more rows follow then, each a run of its own, with times beyond every window and nulls
+    otherwise: the first moves the watermark, and the second brings out what was open before it. What they make themselves
+    is for the caller to leave out."""
     source.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
-    query = job(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    last = source.agg(F.max(close).alias(close)).filter(F.col(close).isNotNull()) if close else None
+    for days in (0, 3650, 7300) if close else (0,):
+        if days:
+            fields = [(F.col(close) + F.make_interval(days=F.lit(days))).cast(f.dataType).alias(f.name) if f.name == close else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+            last.select(*fields).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+        query = job(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -150,3 +150,14 @@ def test_query_terms(spark):
     """Marks inside a word go, they don't split it; a final `란` goes before the ending."""
     row = spark.createDataFrame([("K-패스 국민행복(카드) 연회비란 ?! 란 12 a1 분실·도난은",)], "q string").select(T.query_terms(F.col("q"), ["연회"], ["은"]).alias("t")).first()
     assert row.t == ["k패스", "국민행복카드", "연회비", "a1", "분실도난"]
+
+
+def test_replays_bring_out_the_last_windows(spark):
+    """A replay gives the rows of its batch twin, the last day included."""
+    from callweave.plans import search
+    from callweave.streaming import jobs
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, search.QUERIES["stream_daily_downloads"](spark, folder).collect()))
+    want = sorted(map(tuple, jobs.daily_downloads(jobs.timed(search._downloads(spark, folder))).collect()))
+    assert got == want and len(want) == 30
