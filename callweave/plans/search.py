@@ -128,6 +128,12 @@ def stream_query(job, make, close: str | None = None):
     return run
 
 
+def _asking(s, d):
+    """Turns with all that can ask for a search. The tables' turns are hours apart, so the pause is longer than the default."""
+    i = F.col("id")
+    return b.session_turns(s, d).select("session_id", "id", "ts", "hits", (F.col("value").isNotNull() & (i % 2 == 0)).alias("flag"), F.when(i % 3 == 0, i % 10 / 10).alias("confidence"), F.when(i % 11 == 0, i % 4).alias("turn"), F.when(i % 7 == 0, i % 3).alias("sentences"))
+
+
 def _downloads(s, d):
     return b.downloads(s, d).withColumnRenamed("downloaded_at", "ts")
 
@@ -135,6 +141,7 @@ def _downloads(s, d):
 #: Words of the tables' prose that stand for issues and benefits.
 ISSUE, BENEFIT = ["und", "dans", "that"], ["los", "with", "der", "this"]
 LONG = 7
+COOLDOWN = 3 * 86_400
 PAIRS = ["the and", "The of!", "und der", "les dans"]
 
 QUERIES = {
@@ -169,7 +176,7 @@ QUERIES = {
     "chunk_documents": lambda s, d: op.chunk_documents(b.guide_documents(s, d)).select("id", "chunk", F.length("text").alias("n")),
     "scope_filter": lambda s, d: op.scope_filter(b.table(s, d, "supplier").select(F.col("s_name").alias("id")), "odd", scopes={"odd": [("Supplier%", True), ("%2", False), ("%_4", False)]}),
     "session_context": lambda s, d: jobs.session_context(b.session_turns(s, d)),
-    "consult_cooldown": lambda s, d: jobs.cooldown(b.session_turns(s, d)),
+    "consult_cooldown": lambda s, d: jobs.cooldown(_asking(s, d), COOLDOWN),
     "stream_suspicious_downloads": stream_query(lambda x: jobs.suspicious_downloads(x, 2, "1 day", "12 hours"), _downloads, "ts"),
     "stream_daily_downloads": stream_query(lambda x: jobs.daily_downloads(x), _downloads, "ts"),
     "call_sessions": lambda s, d: jobs.call_sessions(jobs.timed(b.session_turns(s, d)), "12 hours"),
@@ -286,6 +293,11 @@ m AS (SELECT *, CASE WHEN ts < lag(ts) OVER o + INTERVAL 12 HOUR THEN 0 ELSE 1 E
 SELECT session_id, min(ts) AS begin, count(*) AS turns, list(value ORDER BY ts, id) AS history, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM n GROUP BY session_id, n""",
     "stream_suspicious_downloads": """WITH v AS (SELECT user_id AS downloaded_by, CAST(json_extract(props, '$.k') AS BIGINT) AS consultation_id, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS begin FROM events WHERE event_type = 'view')
 SELECT begin, downloaded_by, count(*) AS downloads, list_sort(list(DISTINCT consultation_id)) AS consultations FROM v GROUP BY begin, downloaded_by HAVING count(*) >= 2""",
+    "consult_cooldown": f"""WITH RECURSIVE t AS (SELECT event_id AS id, user_id AS session_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+e AS (SELECT id, session_id, ts FROM t WHERE k % 4 >= 2 OR (k % 3 = 0 AND id % 2 = 0) OR (id % 3 = 0 AND id % 10 >= 6) OR (id % 11 = 0 AND id % 4 >= 2) OR (id % 7 = 0 AND id % 3 >= 2)),
+n AS (SELECT a.session_id, a.id, min(struct_pack(ts := b.ts, id := b.id)).id AS next FROM e a JOIN e b ON b.session_id = a.session_id AND b.ts >= a.ts + INTERVAL {COOLDOWN} SECOND GROUP BY a.session_id, a.id),
+c AS (SELECT session_id, min(struct_pack(ts := ts, id := id)).id AS id FROM e GROUP BY session_id UNION ALL SELECT c.session_id, n.next FROM c JOIN n ON n.session_id = c.session_id AND n.id = c.id)
+SELECT t.id, t.session_id, c.id IS NOT NULL AS allowed FROM t LEFT JOIN c ON c.session_id = t.session_id AND c.id = t.id""",
     "session_context": _CONTEXT,
     "stream_session_context": _CONTEXT,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from callweave.sources.stored import stored
+
 CONTEXT_SECONDS, CONTEXT_TURNS, COOLDOWN_SECONDS = 180, 3, 12.0
 
 
@@ -73,20 +75,44 @@ def session_context_stream(turns: DataFrame) -> DataFrame:
     return turns.withWatermark("ts", "10 minutes").groupBy("session_id").applyInPandasWithState(step, "id long, session_id long, turn long, value string, carried string", "turn long, value string, at long, `when` double", "append", GroupStateTimeout.NoTimeout)
 
 
-def cooldown(turns: DataFrame) -> DataFrame:
-    """turns with allowed: 2 hits or more, and 12 s since the last allowed one (a greedy rule, so folded in order).
-    turns: session_id, id, ts, hits."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        last, out = None, []
-        for when, hits in zip(pdf["ts"], pdf["hits"]):
-            fine = hits >= 2 and (last is None or (when - last).total_seconds() >= COOLDOWN_SECONDS)
-            last = when if fine else last
-            out.append(fine)
-        return pdf[["id", "session_id"]].assign(allowed=out)
-
-    return turns.select("id", "session_id", "ts", "hits").groupBy("session_id").applyInPandas(fold, "id long, session_id long, allowed boolean")
+def asks(turns: DataFrame) -> Column:
+    """Whether a turn asks for a case search: by its flag, keyword hits, confidence, place in the session or sentences. Columns
+    that are missing or null ask for nothing."""
+    least = {"hits": 2, "confidence": 0.6, "turn": 2, "sentences": 2}  # fixed values: results depend on them
+    out = F.coalesce(F.col("flag"), F.lit(False)) if "flag" in turns.columns else F.lit(False)
+    for name, n in least.items():
+        if name in turns.columns:
+            out = out | F.coalesce(F.col(name) >= n, F.lit(False))
+    return out
+
+
+def cooldown(turns: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
+    """id, session_id, allowed: a turn that asks is allowed if the last allowed one is `seconds` or more ago. turns:
+    session_id, id (each pair once), ts, and what asks() reads.
+
+    A turn so long after the asking turn before it is allowed whatever came earlier, and a chain begins there. Each turn's next
+    allowed one, should it be allowed itself, is known beforehand; chains are followed by doubling the jumps, so rounds grow
+    with the logarithm of the longest chain and no session is folded in order."""
+    key = ["session_id", "id"]
+    rows = turns.select(*key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), asks(turns).alias("asks"))
+    asking = rows.filter("asks").drop("asks")
+    wait = int(seconds * 1_000_000)
+    in_order = Window.partitionBy("session_id").orderBy("at", "id")
+    before = F.lag("at").over(in_order)
+    asking = asking.withColumn("first", before.isNull() | (F.col("at") - before >= wait))
+    asking = asking.withColumn("chain", F.sum(F.col("first").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    later = Window.partitionBy("session_id", "chain").orderBy("at").rangeBetween(wait, Window.unboundedFollowing)
+    asking = stored(asking.withColumn("next", F.min(F.struct("at", "id")).over(later)["id"]), "asking")
+    jumps = asking.filter(F.col("next").isNotNull()).select(*key, "next")
+    allowed = asking.filter("first").select(*key)
+    while True:
+        more = stored(allowed.join(jumps, key).select("session_id", F.col("next").alias("id")), "allowed")
+        if more.isEmpty():
+            break
+        allowed = stored(allowed.unionByName(more), "allowed")
+        twice = jumps.select("session_id", F.col("id").alias("next"), F.col("next").alias("after"))
+        jumps = stored(jumps.join(twice, ["session_id", "next"]).select(*key, F.col("after").alias("next")), "jumps")
+    return rows.select(*key).join(allowed.withColumn("allowed", F.lit(True)), key, "left").select("id", "session_id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 def drained(spark: SparkSession, source: DataFrame, job, name: str, folder: str, mode: str = "append", close: str | None = None) -> DataFrame:

@@ -161,3 +161,23 @@ def test_replays_bring_out_the_last_windows(spark):
     got = sorted(map(tuple, search.QUERIES["stream_daily_downloads"](spark, folder).collect()))
     want = sorted(map(tuple, jobs.daily_downloads(jobs.timed(search._downloads(spark, folder))).collect()))
     assert got == want and len(want) == 30
+
+
+def test_cooldown(spark):
+    """Greedy fold in order against jumps, with ties, all five reasons to ask, and one long session."""
+    import datetime as dt
+
+    from callweave.streaming import jobs
+
+    rng = random.Random(6)
+    begin = dt.datetime(2024, 1, 1)
+    rows = [(s, s * 1000 + i, begin + dt.timedelta(milliseconds=500 * rng.randrange(200 if s else 4000)), rng.choice([True, False, False, None]), rng.randrange(3), rng.choice([None, 0.5, 0.6]), rng.choice([None, 0, 1, 2]), rng.choice([None, 1, 2])) for s in range(4) for i in range(600 if s == 0 else 25)]
+    rows += [(9, 1, begin, None, None, None, None, None), (9, 2, begin, True, 0, 0.0, 0, 0), (9, 3, begin, True, 0, 0.0, 0, 0), (9, 4, begin + dt.timedelta(seconds=11.9), True, 0, 0.0, 0, 0), (9, 5, begin + dt.timedelta(seconds=12), True, 0, 0.0, 0, 0)]
+    want, last = {}, {}
+    for s, i, ts, flag, hits, confidence, turn, sentences in sorted(rows, key=lambda r: (r[2], r[1])):
+        fine = (bool(flag) or (hits or 0) >= 2 or (confidence or 0) >= 0.6 or (turn or 0) >= 2 or (sentences or 0) >= 2) and (s not in last or (ts - last[s]).total_seconds() >= 12)
+        last |= {s: ts} if fine else {}
+        want[s, i] = fine
+    df = spark.createDataFrame(rows, "session_id long, id long, ts timestamp_ntz, flag boolean, hits int, confidence double, turn int, sentences int")
+    assert {(r.session_id, r.id): r.allowed for r in jobs.cooldown(df).collect()} == want and 20 < sum(want.values()) < 400
+    assert jobs.cooldown(df.limit(0)).count() == 0
