@@ -139,6 +139,9 @@ _U = "WITH u AS (SELECT conv_id AS session_id, turn AS seq, CASE role WHEN 'user
 _ANCHOR_POINTS = [f"CASE WHEN regexp_matches(q, '{p}') THEN 10 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(c, '{w}') THEN 2 ELSE 0 END" for w in words) + f" AS {label}" for label, p, words in _ANCHORS]
 
 ORACLE_SQL = {
+    "strict_grounding": r"""WITH d AS (SELECT doc_id AS id, regexp_replace(text[1:40], 'a$', 'zq') AS script, text FROM documents),
+p AS (SELECT id, script, text, list_filter(list_transform(regexp_split_to_array(script, '[.!?\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS parts, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS ground FROM d)
+SELECT id, md5(CASE WHEN regexp_matches(text, '\S') AND len(list_filter(parts, lambda s: NOT contains(ground, trim(regexp_replace(lower(s), '\s+', ' ', 'g'))))) = 0 THEN script ELSE '' END) AS script FROM p""",
     "read_json_array": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS grade FROM customer",
     "read_chat_jsonl": _U + " SELECT session_id AS id, 'Split the turns.' AS system, string_agg(speaker, ',') OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS user, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INTEGER) AS pos, speaker, message FROM u",
     "read_eval_csv": "SELECT l.doc_id AS id, source AS model, CAST(quality AS BIGINT) AS truth, CAST(toxic AS BIGINT) AS res FROM labels l JOIN documents d ON l.doc_id = d.doc_id",

@@ -145,6 +145,15 @@ def _step(a: str, b: str) -> str:
 
 
 ORACLE_SQL = {
+    "sentence_split": "WITH " + _U + r""", p AS (SELECT session_id, seq, CASE WHEN length(message) <= 120 THEN [message] ELSE flatten(list_transform(list_filter(list_transform(regexp_extract_all(message, '([^.!?。！？]*[.!?。！？]+|[^.!?。！？]+$)'),
+ lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), lambda s: list_transform(range(0, CAST(ceil(length(s) / 120.0) AS BIGINT)), lambda i: s[i * 120 + 1:i * 120 + 120]))) END AS s FROM u)
+SELECT session_id, seq, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS sentence FROM p""",
+    "dedupe_blocks": "WITH " + _U + r""", x AS (SELECT session_id, seq, list_filter(regexp_split_to_array(message, '\n+'), lambda b: regexp_matches(b, '\S')) AS w FROM u),
+k AS (SELECT session_id, seq, list_transform(w, lambda b: trim(regexp_replace(lower(b), '\s+', ' ', 'g'))) AS k, list_transform(w, lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')) AS w FROM x)
+SELECT session_id, seq, array_to_string(list_filter(w, lambda b, i: list_position(k, k[i]) = i), chr(10) || chr(10)) AS text FROM k""",
+    "retrieval_cache_key": r"""SELECT item_id, sha1('{"route":"card_info","query":' || to_json(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) || ',"filters":["a","b"],"k":5}') AS key FROM benchmark""",
+    "redact_text": r"""WITH r AS (SELECT doc_id AS id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', '', 'g'), '\b\d{2,4}[-–—]\d{3,4}[-–—]\d{4}\b|\b\d{4}[-–—]\d{4}\b', '', 'g'), '\b\d{8,11}\b', '', 'g') AS clean FROM documents)
+SELECT id, sha256(clean) AS redacted, clean <> text AS changed FROM r""",
     "train_test_split": f"WITH {_U}, r AS (SELECT session_id * 1000 + seq AS id, row_number() OVER (ORDER BY md5('42:' || (session_id * 1000 + seq)), session_id * 1000 + seq) AS n, least(count(*) OVER (), 5000) AS most FROM u) SELECT id, n <= ceil(most * 10 / 100) AS is_test FROM r WHERE n <= most",
     "category_hints": "WITH t AS (SELECT p_partkey, flatten(list_transform(string_split(p_name, ' '), lambda t: list_filter(['l', 'ar', 'ring', 'co'], lambda h: contains(t, h)))) AS h FROM part), j AS (SELECT p_partkey, CASE WHEN list_contains(h, 'ring') AND list_contains(h, 'co') THEN list_append(h, 'cold ring') ELSE h END AS h FROM t), k AS (SELECT p_partkey, list_filter(h, lambda x, i: list_position(h, x) = i) AS hints FROM j), p AS (SELECT p_partkey, hints, flatten(list_transform(hints, lambda x: CASE x WHEN 'ring' THEN ['cold ring', 'ring first'] WHEN 'cold ring' THEN ['cold ring'] WHEN 'co' THEN ['cobalt'] ELSE [] END)) AS q FROM k) SELECT p_partkey, hints, list_filter(q, lambda x, i: list_position(q, x) = i) AS terms FROM p",
     "clean_items": f"WITH {_U} SELECT session_id, seq, speaker, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message FROM u WHERE seq % 9 > 0 AND NOT (speaker = 'customer' AND seq % 4 = 3) AND trim(regexp_replace(message, '\\s+', ' ', 'g')) <> ''",
