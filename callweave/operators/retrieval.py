@@ -162,13 +162,26 @@ def fetch_by_ids(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("__missing", missing).filter("__missing = 0").select("query_id", "id", "score", "title")
 
 
-def regression(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """query_id, passed. cases: query_id, must_have, must_not (ids)."""
+def regression(cases: DataFrame, results: DataFrame, answers: DataFrame) -> DataFrame:
+    """query_id, route_ok, required_ok, forbidden_ok, answer_ok, passed. cases: query_id, route, must_have and must_not (ids),
+    must_say and must_not_say (terms, whatever their case); null asks for nothing. answers: query_id, route, answer. A query
+    without results or answer has none of what is asked."""
     got = results.groupBy("query_id").agg(F.collect_set("id").alias("ids"))
-    none = F.array().cast("array<bigint>")
-    rows = cases.join(got, "query_id", "left").withColumn("ids", F.coalesce("ids", none))
-    passed = (F.size(F.array_except("must_have", "ids")) == 0) & ~F.arrays_overlap("must_not", "ids")
-    return rows.select("query_id", F.coalesce(passed, F.lit(False)).alias("passed"))
+    said = answers.select("query_id", F.col("route").alias("got_route"), F.lower(F.coalesce("answer", F.lit(""))).alias("answer"))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
+    rows = cases.join(got, "query_id", "left").join(said, "query_id", "left").withColumn("ids", none("ids", "bigint")).withColumn("answer", F.coalesce("answer", F.lit("")))
+    holds = lambda t: F.contains(F.col("answer"), F.lower(t))
+    rows = rows.select(
+        "query_id", (F.col("route").isNull() | F.col("route").eqNullSafe(F.col("got_route"))).alias("route_ok"), (F.size(F.array_except(none("must_have", "bigint"), F.col("ids"))) == 0).alias("required_ok"),
+        (F.size(F.array_intersect(none("must_not", "bigint"), F.col("ids"))) == 0).alias("forbidden_ok"), (F.forall(none("must_say", "string"), holds) & ~F.exists(none("must_not_say", "string"), holds)).alias("answer_ok"),
+    )
+    return rows.withColumn("passed", F.col("route_ok") & F.col("required_ok") & F.col("forbidden_ok") & F.col("answer_ok"))
+
+
+def pass_rate(checked: DataFrame) -> DataFrame:
+    """cases, passed, rate (percent). checked: of regression()."""
+    won = F.count_if("passed")
+    return checked.agg(F.count(F.lit(1)).alias("cases"), won.alias("passed"), F.round(100.0 * F.try_divide(won, F.count(F.lit(1))), 1).alias("rate"))
 
 
 def random_per_category(rows: DataFrame, category: str, seed: int = 42) -> DataFrame:

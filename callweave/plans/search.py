@@ -65,15 +65,13 @@ def _asked(s, d):
 
 
 def _ranked(s, d):
-    """Two lanes over parts: those of the query's size by price, those of its type by name; every seventh is noisy, and the
-    second lane lists some parts twice."""
-    part = b.table(s, d, "part")
-    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", "p_type", F.col("p_brand").alias("brand"))
-    row = lambda source, score: ("query_id", F.col("p_partkey").alias("id"), F.lit(source).alias("source"), F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("table"), score.alias("score"), (F.col("p_partkey") % 7 == 0).alias("noisy"))
-    one = part.join(q.select("query_id", "p_size"), "p_size").select(*row("size", F.col("p_retailprice")))
-    two = part.join(q.select("query_id", "p_type", "brand"), "p_type").filter("p_brand = brand")
-    again = two.filter("p_partkey % 3 = 0").select(*row("type", -F.col("p_retailprice") - 50))
-    return op.rrf_rank(one.unionByName(two.select(*row("type", -F.col("p_retailprice")))).unionByName(again))
+    """Two lanes of one query set, every fiftieth vector and its document: the nearest vectors, and the documents that hold
+    longer words of the title, some of them listed twice. Every seventh document is noisy."""
+    near = vectors.nearest(_vectors(s, d), _queries(s, d), 10).select("query_id", "id", F.lit("vector").alias("source"), (-F.col("rank")).cast("double").alias("score"))
+    asked = b.guide_documents(s, d).join(_queries(s, d).select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{5,}"), F.lit(0)).alias("terms"))
+    held = textsearch.query_doc_match(_fields(s, d), asked).select("query_id", "id", F.lit("text").alias("source"), F.col("hits").cast("double").alias("score"))
+    rows = near.unionByName(held).unionByName(held.filter("id % 3 = 0").withColumn("score", F.col("score") - 0.5))
+    return op.rrf_rank(rows.select("*", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("table"), (F.col("id") % 7 == 0).alias("noisy")))
 
 
 def _candidates(s, d):
@@ -113,8 +111,15 @@ def _pins(s, d):
 
 
 def _regression(s, d):
-    cases = _text_queries(s, d).select("query_id", F.array(F.col("query_id")).alias("must_have"), F.array(F.lit(-1).cast("long")).alias("must_not"))
-    return op.regression(cases, _final(s, d))
+    """Cases of every kind: required and forbidden documents, routes, terms that an answer must or must not have."""
+    q, none = F.col("query_id"), F.array().cast("array<long>")
+    words = lambda c: F.array(F.lit(c))
+    cases = _text_queries(s, d).select(
+        "query_id", F.when(q % 3 == 0, F.lit("card_info")).alias("route"), F.when(q % 4 > 0, none).otherwise(F.array(q)).alias("must_have"), F.when(q % 5 == 0, F.array(F.lit(-1).cast("long"), q)).otherwise(none).alias("must_not"),
+        F.when(q % 2 == 0, words("th")).alias("must_say"), F.when(q % 7 == 0, words("ZQ")).alias("must_not_say"),
+    )
+    answers = _text_queries(s, d).select("query_id", F.when(q % 6 == 0, "card_usage").otherwise("card_info").alias("route"), F.when(q % 14 == 0, F.concat("text", F.lit(" zq"))).otherwise(F.upper("text")).alias("answer"))
+    return op.regression(cases, _final(s, d), answers)
 
 
 def stream_query(job, make, close: str | None = None):
@@ -169,6 +174,7 @@ QUERIES = {
     "retrieval_failed": lambda s, d: op.retrieval_failed(_final(s, d).withColumn("score", F.col("score") - 0.06), _text_queries(s, d)),
     "fetch_docs_by_ids": lambda s, d: op.fetch_by_ids(_final(s, d).select("query_id", F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("id")).alias("id"), "score"), b.guide_documents(s, d)),
     "retrieval_regression": _regression,
+    "regression_rate": lambda s, d: op.pass_rate(_regression(s, d)),
     "random_per_category": lambda s, d: op.random_per_category(b.guide_documents(s, d), "category"),
     "dictionary_match": lambda s, d: op.dictionary_match(b.guide_documents(s, d), ["the", "and the", "der", "und", "que", "rights reserved", "les"]),
     "fuzzy_match": lambda s, d: op.fuzzy_match(b.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), ["small ring", "large bolt", "plate", "steel gear"], "p_name"),
@@ -238,14 +244,14 @@ ec AS (SELECT *, lag(first) OVER (PARTITION BY query_id, id ORDER BY place) AS b
 ranks AS (SELECT query_id, id, round(sum(0.1 / (1 + (place - first) - (number - first_number))), 9) AS rank FROM ec WHERE before IS NULL OR first > before GROUP BY query_id, id)"""
 
 
-_RANKED = """WITH q AS (SELECT p_partkey AS query_id, p_size, p_type, p_brand FROM part WHERE p_partkey % 50 = 0),
-h AS (SELECT query_id, p_partkey AS id, 'size' AS source, p_retailprice AS score FROM part JOIN q USING (p_size)
-UNION ALL SELECT query_id, p_partkey, 'type', -p_retailprice FROM part JOIN q USING (p_type, p_brand)
-UNION ALL SELECT query_id, p_partkey, 'type', -p_retailprice - 50 FROM part JOIN q USING (p_type, p_brand) WHERE p_partkey % 3 = 0),
+_Q = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS f FROM v WHERE id % 50 = 0)"
+_RANKED = f"""{_Q}, vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, f) DESC, id) AS r FROM v, q),
+w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text[1:40]), '[a-z]{{5,}}')) AS term FROM documents JOIN q ON doc_id = query_id),
+m AS (SELECT query_id, id, count(*) AS hits FROM (SELECT doc_id AS id, term FROM documents, (SELECT DISTINCT term FROM w) WHERE {_HELD}) JOIN w USING (term) GROUP BY query_id, id),
+h AS (SELECT query_id, id, 'vector' AS source, CAST(-r AS DOUBLE) AS score FROM vr WHERE r <= 10 UNION ALL SELECT query_id, id, 'text', hits FROM m UNION ALL SELECT query_id, id, 'text', hits - 0.5 FROM m WHERE id % 3 = 0),
 t AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS "table" FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, "table" ORDER BY score DESC, id) AS place FROM t),
 k AS (SELECT query_id, source, "table", id, min(place) AS place FROM r WHERE id % 7 <> 0 GROUP BY ALL)"""
-_Q = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS f FROM v WHERE id % 50 = 0)"
 _TITLED = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS VARCHAR) AS label, lower(coalesce(text[1:40], '')) AS title FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
 q AS (SELECT id AS query_id, e AS f, CASE WHEN id % 200 = 0 THEN [] WHEN id % 100 = 0 THEN ['none'] WHEN id % 150 = 0 THEN ['other'] ELSE [label, '0'] END AS wanted, id % 150 = 0 AS named FROM v WHERE id % 50 = 0),
 p AS (SELECT query_id, id, list_cosine_similarity(e, f) AS score, len(wanted) = 0 OR list_contains(wanted, label) AS own, named, contains(title, 'the') OR contains(title, 'que') AS titled FROM v, q),
@@ -283,7 +289,13 @@ y AS (SELECT query_id, failed, CASE WHEN failed AND query_id % 3 = 0 THEN 'hybri
     "split_current_next": _M + ", x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(id % 3 = 0 AS INT), rank) AS place FROM f) SELECT query_id, id, CASE WHEN place <= 2 THEN 'current' ELSE 'next' END AS slot, place FROM x WHERE place <= 4",
     "retrieval_failed": _M + ", x AS (SELECT query_id, max(score - 0.06) AS top FROM f GROUP BY query_id) SELECT query_id, coalesce(top < 0.05, true) AS failed FROM q LEFT JOIN x USING (query_id)",
     "fetch_docs_by_ids": _M + ", w AS (SELECT query_id, CASE WHEN id % 11 = 0 THEN -1 ELSE id END AS id, score FROM f), x AS (SELECT w.*, text[1:40] AS title, sum(CAST(doc_id IS NULL AS INT)) OVER (PARTITION BY query_id) AS missing FROM w LEFT JOIN documents ON doc_id = id) SELECT query_id, id, score, title FROM x WHERE missing = 0",
-    "retrieval_regression": _M + ", x AS (SELECT query_id, list(id) AS ids FROM f GROUP BY query_id) SELECT query_id, coalesce(list_contains(ids, query_id) AND NOT list_contains(ids, -1), false) AS passed FROM q LEFT JOIN x USING (query_id)",
+    "retrieval_regression": _M + """, x AS (SELECT query_id, list(id) AS ids FROM f GROUP BY query_id), y AS (SELECT q.query_id, item.text, coalesce(ids, []) AS ids, q.query_id AS n FROM q JOIN benchmark item ON item_id = q.query_id LEFT JOIN x USING (query_id)),
+z AS (SELECT query_id, n % 3 > 0 OR n % 6 > 0 AS route_ok, n % 4 > 0 OR list_contains(ids, n) AS required_ok, n % 5 > 0 OR NOT list_contains(ids, n) AS forbidden_ok,
+(n % 2 > 0 OR contains(lower(text), 'th')) AND (n % 7 > 0 OR NOT contains(CASE WHEN n % 14 = 0 THEN lower(text) || ' zq' ELSE lower(text) END, 'zq')) AS answer_ok FROM y)
+SELECT *, route_ok AND required_ok AND forbidden_ok AND answer_ok AS passed FROM z""",
+    "regression_rate": _M + """, x AS (SELECT query_id, list(id) AS ids FROM f GROUP BY query_id), y AS (SELECT item.text, coalesce(ids, []) AS ids, q.query_id AS n FROM q JOIN benchmark item ON item_id = q.query_id LEFT JOIN x USING (query_id)),
+z AS (SELECT (n % 3 > 0 OR n % 6 > 0) AND (n % 4 > 0 OR list_contains(ids, n)) AND (n % 5 > 0 OR NOT list_contains(ids, n)) AND (n % 2 > 0 OR contains(lower(text), 'th')) AND (n % 7 > 0 OR NOT contains(CASE WHEN n % 14 = 0 THEN lower(text) || ' zq' ELSE lower(text) END, 'zq')) AS passed FROM y)
+SELECT count(*) AS cases, count(*) FILTER (WHERE passed) AS passed, round(100.0 * count(*) FILTER (WHERE passed) / count(*), 1) AS rate FROM z""",
     "vector_topk": _Q + ", r AS (SELECT query_id, id, list_cosine_similarity(e, f) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, f) DESC, id) AS rank FROM v, q) SELECT query_id, id, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
     "vector_topk_l2": _Q + ", r AS (SELECT query_id, id, 1 - list_distance(e, f) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(e, f), id) AS rank FROM v, q) SELECT query_id, id, round(s, 5) AS score, rank FROM r WHERE rank <= 10",
     "noisy_guide_filter": "SELECT doc_id AS id FROM documents WHERE trim(text[1:40]) <> '' AND length(regexp_replace(text, '\\s', '', 'g')) >= 60",
