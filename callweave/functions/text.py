@@ -273,12 +273,34 @@ def sentences(text: Column, longest: int = 120) -> Column:
     return F.when(F.length(text) <= longest, F.array(text)).otherwise(F.flatten(F.transform(parts, cut)))
 
 
-def redact(text: Column, keep_phone: bool = False) -> Column:
-    """Without web addresses, e-mail addresses, telephone numbers and runs of 8 to 11 digits."""
-    out = F.regexp_replace(F.regexp_replace(text, r"https?://\S+|www\.\S+", ""), r"[\w.+-]+@[\w-]+\.[\w.]+", "")
+# Results depend on them. Words that begin a contact phrase, names that are left out.
+CONTACT_WORDS = ["고객센터", "콜센터", "문의", "연락처"]
+LEFT_OUT_NAMES = ["테디카드", "신용정보 알림서비스"]
+_DASH = "[-–—‑]"
+_WEB = r"(?i)https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+|\S+\.(?:com|kr)\b"
+_LONG_PHONE = rf"\d{{2,4}}\s*{_DASH}\s*\d{{3,4}}\s*{_DASH}\s*\d{{4}}"
+_PHONE = rf"\(\s*{_LONG_PHONE}\s*\)|\b{_LONG_PHONE}\b|\b\d{{2,4}}{_DASH}\d{{4}}\b|\b\d{{8,11}}\b"
+
+
+def redact(text: Column, keep_phone: bool = False, contacts: Sequence[str] = CONTACT_WORDS, names: Sequence[str] = LEFT_OUT_NAMES) -> Column:
+    """Without web and e-mail addresses and the given names; unless phones are asked for, also without telephone numbers
+    (any dash, blanks around it, in brackets), runs of 8 to 11 digits, and contact phrases up to the end of their line."""
+    out = F.regexp_replace(text, _WEB, "")
     if not keep_phone:
-        out = F.regexp_replace(F.regexp_replace(out, r"\b\d{2,4}[-–—]\d{3,4}[-–—]\d{4}\b|\b\d{4}[-–—]\d{4}\b", ""), r"\b\d{8,11}\b", "")
-    return out
+        out = F.regexp_replace(out, _PHONE, "")
+        if contacts:
+            out = F.regexp_replace(out, rf"(?:{'|'.join(contacts)})[^\n]*", "")
+    for name in names:
+        out = F.replace(out, F.lit(name), F.lit(""))
+    return F.regexp_replace(out, r"\(\s*\)", "")
+
+
+def handled_categories(category: Column, main: Column, key: Column, related: dict[str, Sequence[str]], percent: int = 7) -> Column:
+    """The category, and for `percent` of the keys one that is related to the main category; the choice follows the key's MD5."""
+    seed = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    other = F.coalesce(*[F.when(main == m, F.get(F.array(*map(F.lit, names)), (F.floor(seed / 100) % len(names)).cast("int"))) for m, names in related.items() if names], F.lit(None).cast("string"))
+    own = F.when(F.coalesce(category, F.lit("")) != "", F.array(category)).otherwise(F.array().cast("array<string>"))
+    return F.when((seed % 100 < percent) & other.isNotNull(), F.array_append(own, other)).otherwise(own)
 
 
 def dedupe_blocks(text: Column) -> Column:

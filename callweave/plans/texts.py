@@ -78,6 +78,14 @@ def _script_pairs(s, d):
     return rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("id"), F.col("message").alias("before"), F.replace("message", F.lit(" the "), F.lit(" a ")).alias("after"))
 
 
+RELATED = {"view": ["click", "signup"], "purchase": ["view", "click", "refund"], "signup": ["view"]}
+
+
+def _redacted(s, d):
+    clean = T.redact(F.col("content"), contacts=["there", "dans"], names=["rights"])
+    return _docs(s, d).select("id", F.sha2(clean, 256).alias("redacted"), (clean != F.col("content")).alias("changed"))
+
+
 QUERIES = {
     "normalize_category": lambda s, d: b.table(s, d, "part").select("p_partkey", T.normalize_category(F.col("p_name"), {}, _RULES).alias("normalized")),
     "map_category": _map_category,
@@ -85,7 +93,7 @@ QUERIES = {
     "conform_call_time": lambda s, d: b.consultations(s, d).select("id", T.call_time_of(T.seed_of(F.concat(F.lit("src-"), F.col("id")))).alias("call_time"), T.weekday_only(F.col("call_date"), F.col("id"), ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]).alias("call_day")),
     "seed_from_md5": lambda s, d: b.customers(s, d).select("id", T.seed_of(F.regexp_replace("grade", r"\d", "")).alias("seed")),
     "new_consultation_id": lambda s, d: b.consultations(s, d).select("id", T.consultation_id(F.concat(F.lit("A-"), F.col("agent_id")), F.col("call_ts")).alias("consultation_id")),
-    "handled_categories": lambda s, d: b.consultations(s, d).select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(100)) < 7, F.array("category_raw", F.lit("related"))).otherwise(F.array("category_raw")).alias("handled")),
+    "handled_categories": lambda s, d: b.consultations(s, d).select("id", T.handled_categories(F.col("category_raw"), F.col("category_raw"), F.col("id").cast("string"), RELATED).alias("handled")),
     "processing_timeline": lambda s, d: b.consultations(s, d).select("id", T.timeline(F.hour("call_ts") * 3600 + F.minute("call_ts") * 60, F.expr("CAST(split(call_duration, ':')[0] AS INT) * 60 + CAST(split(call_duration, ':')[1] AS INT)"), ["intake", "check", "close"]).alias("steps")).select("id", F.transform("steps", lambda x: F.concat_ws(" ", x["step"], x["at"])).alias("steps")),
     "upsert_latest": lambda s, d: ingest.upsert_latest(_customer_target(s, d), _orders_as_batch(s, d), ["id"], "load_order", ["grade", "status"], ["status"]),
     "insert_ignore": lambda s, d: ingest.insert_ignore(_customer_target(s, d).filter("id % 2 = 0"), _orders_as_batch(s, d).withColumn("name", F.lit("order")), ["id"], "load_order"),
@@ -104,7 +112,7 @@ QUERIES = {
     "clean_utterance": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.clean_utterance(F.concat(F.lit("<new_start> "), F.col("message"), F.lit(" [NEW_START]\n"))).alias("message")),
     "spam_repetition": lambda s, d: b.fragments(s, d).select("session_id", "seq", "pos", T.is_spam(F.col("message")).alias("spam")),
     "sentence_split": lambda s, d: b.utterances(s, d).select("session_id", "seq", F.posexplode(T.sentences(F.col("message"))).alias("pos", "sentence")),
-    "redact_text": lambda s, d: _docs(s, d).select("id", F.sha2(T.redact(F.col("content")), 256).alias("redacted"), (T.redact(F.col("content")) != F.col("content")).alias("changed")),
+    "redact_text": _redacted,
     "dedupe_blocks": lambda s, d: b.utterances(s, d).select("session_id", "seq", T.dedupe_blocks(F.replace("message", F.lit("\n"), F.lit("\n\n"))).alias("text")),
     "emotion_score": lambda s, d: b.consultations(s, d).select("id", T.transition_score(*[_emotion(F.floor(F.col("k") / n)) for n in (1, 3, 9)]).cast("long").alias("points"), T.work_score(F.col("k") * 3).cast("long").alias("work")),
     "retrieval_cache_key": lambda s, d: b.table(s, d, "benchmark").select("item_id", T.cache_key(F.lit("card_info"), F.col("text"), F.array(F.lit("b"), F.lit("a")), 5).alias("key")),
@@ -152,8 +160,13 @@ SELECT session_id, seq, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, u
 k AS (SELECT session_id, seq, list_transform(w, lambda b: trim(regexp_replace(lower(b), '\s+', ' ', 'g'))) AS k, list_transform(w, lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')) AS w FROM x)
 SELECT session_id, seq, array_to_string(list_filter(w, lambda b, i: list_position(k, k[i]) = i), chr(10) || chr(10)) AS text FROM k""",
     "retrieval_cache_key": r"""SELECT item_id, sha1('{"route":"card_info","query":' || to_json(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) || ',"filters":["a","b"],"k":5}') AS key FROM benchmark""",
-    "redact_text": r"""WITH r AS (SELECT doc_id AS id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', '', 'g'), '\b\d{2,4}[-–—]\d{3,4}[-–—]\d{4}\b|\b\d{4}[-–—]\d{4}\b', '', 'g'), '\b\d{8,11}\b', '', 'g') AS clean FROM documents)
+    "redact_text": r"""WITH a AS (SELECT doc_id AS id, text, regexp_replace(text, '(?i)https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+|\S+\.(?:com|kr)\b', '', 'g') AS t FROM documents),
+c AS (SELECT id, text, regexp_replace(t, '\(\s*\d{2,4}\s*[-–—‑]\s*\d{3,4}\s*[-–—‑]\s*\d{4}\s*\)|\b\d{2,4}\s*[-–—‑]\s*\d{3,4}\s*[-–—‑]\s*\d{4}\b|\b\d{2,4}[-–—‑]\d{4}\b|\b\d{8,11}\b', '', 'g') AS t FROM a),
+r AS (SELECT id, text, regexp_replace(replace(regexp_replace(t, '(?:there|dans)[^\n]*', '', 'g'), 'rights', ''), '\(\s*\)', '', 'g') AS clean FROM c)
 SELECT id, sha256(clean) AS redacted, clean <> text AS changed FROM r""",
+    "handled_categories": f"""WITH e AS (SELECT event_id AS id, event_type AS c, CAST('0x' || md5(CAST(event_id AS VARCHAR))[1:8] AS BIGINT) AS seed FROM events),
+o AS (SELECT *, CASE c {' '.join(f"WHEN '{m}' THEN {names}[seed // 100 % {len(names)} + 1]" for m, names in RELATED.items())} END AS other FROM e)
+SELECT id, CASE WHEN seed % 100 < 7 AND other IS NOT NULL THEN [c, other] ELSE [c] END AS handled FROM o""",
     "train_test_split": f"WITH {_U}, r AS (SELECT session_id * 1000 + seq AS id, row_number() OVER (ORDER BY md5('42:' || (session_id * 1000 + seq)), session_id * 1000 + seq) AS n, least(count(*) OVER (), 5000) AS most FROM u) SELECT id, n <= ceil(most * 10 / 100) AS is_test FROM r WHERE n <= most",
     "category_hints": "WITH t AS (SELECT p_partkey, flatten(list_transform(string_split(p_name, ' '), lambda t: list_filter(['l', 'ar', 'ring', 'co'], lambda h: contains(t, h)))) AS h FROM part), j AS (SELECT p_partkey, CASE WHEN list_contains(h, 'ring') AND list_contains(h, 'co') THEN list_append(h, 'cold ring') ELSE h END AS h FROM t), k AS (SELECT p_partkey, list_filter(h, lambda x, i: list_position(h, x) = i) AS hints FROM j), p AS (SELECT p_partkey, hints, flatten(list_transform(hints, lambda x: CASE x WHEN 'ring' THEN ['cold ring', 'ring first'] WHEN 'cold ring' THEN ['cold ring'] WHEN 'co' THEN ['cobalt'] ELSE [] END)) AS q FROM k) SELECT p_partkey, hints, list_filter(q, lambda x, i: list_position(q, x) = i) AS terms FROM p",
     "clean_items": f"WITH {_U} SELECT session_id, seq, speaker, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message FROM u WHERE seq % 9 > 0 AND NOT (speaker = 'customer' AND seq % 4 = 3) AND trim(regexp_replace(message, '\\s+', ' ', 'g')) <> ''",

@@ -181,3 +181,10 @@ def test_cooldown(spark):
     df = spark.createDataFrame(rows, "session_id long, id long, ts timestamp_ntz, flag boolean, hits int, confidence double, turn int, sentences int")
     assert {(r.session_id, r.id): r.allowed for r in jobs.cooldown(df).collect()} == want and 20 < sum(want.values()) < 400
     assert jobs.cooldown(df.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = ["tel (02 - 123 - 4567) x", "1588-1234 / 010‑1234‑5678", "12345678", "see A.COM or www.x.y", "고객센터 1588\n안내 a@b.co", "테디카드 안내 ( )", "12-34"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(T.redact(F.col("t")).alias("t")).collect()]
+    assert got == ["tel  x", " / ", "", "see  or ", "\n안내 ", " 안내 ", "12-34"]
+    assert spark.range(1).select(T.redact(F.lit("문의 010-1234-5678"), keep_phone=True).alias("t")).first().t == "문의 010-1234-5678"
