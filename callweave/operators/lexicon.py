@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.functions import fuzzy
+from callweave.functions import fuzzy, matching, vocabulary
 from callweave.functions import text as T
 from callweave.functions.signals import any_of
 
@@ -266,3 +266,35 @@ def signals(rows: DataFrame, text: str, terms: DataFrame, patterns: dict[str, st
         *columns, "normalized", cards.alias("cards"), F.array_distinct(F.concat(actions, hits)).alias("actions"), _else(F.col("__payment"), guess("payment", "weighted")).alias("payments"),
         F.col("__weak").alias("weak"), hits.alias("patterns"), flag(info).alias("info"), flag(usage).alias("usage"), flag(issuance).alias("issuance"),
     )
+
+
+def product_candidates(rows: DataFrame, text: str, products: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
+    """id, product, score, rank: the k products that a text names best, ties in the table's order. rows: id, text; products:
+    product, others (array of other names), place. Where the text stands in a name or a name in it, those products alone
+    count; else shared keywords, else sound. Equal texts are scored once; texts without a sign and nulls name nothing."""
+    spark, columns = rows.sparkSession, []
+    texts = rows.select(F.col(text).alias("text")).filter(F.coalesce(F.trim("text") != "", F.lit(False))).distinct()
+    for block in _blocks(products.withColumn("term", F.col("product")), ["product", "others", "place"]):
+        shared, key = spark.sparkContext.broadcast([(r["product"], list(r["others"] or []), r["place"]) for r in block]), uuid.uuid4().hex
+
+        def each(batch: pa.RecordBatch, shared=shared, key=key) -> pa.Array:
+            known = _once(key, lambda: [(vocabulary.Product(name, others), name, place) for name, others, place in shared.value])
+            out = []
+            for x in batch.column("text"):
+                whole = x.as_py()
+                low, asked = vocabulary.tight(whole), vocabulary.keywords(whole)
+                found = [(s, True, place, name) for p, name, place in known if (s := vocabulary.direct(low, p.name))]
+                if not found:
+                    letters = matching.letters(low)
+                    found = [(s, False, place, name) for p, name, place in known if (s := p.scored(asked, letters, least))]
+                found = sorted(found, key=lambda f: (-f[0], f[2]))[:k]
+                out.append([{"score": s, "direct": d, "place": p, "product": n} for s, d, p, n in found])
+            return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("direct", pa.bool_()), ("place", pa.int64()), ("product", pa.string())])))
+
+        columns.append(f"found_{key}")
+        texts = _appended(texts, "array<struct<score: double, direct: boolean, place: bigint, product: string>>", columns[-1], each)
+    every = F.concat(*columns)
+    best = F.when(F.exists(every, lambda c: c["direct"]), F.filter(every, lambda c: c["direct"])).otherwise(every)
+    order = F.slice(F.array_sort(F.transform(best, lambda c: F.struct((-c["score"]).alias("s"), c["place"].alias("place"), c["product"].alias("product")))), 1, k)
+    chosen = texts.select("text", F.posexplode(order).alias("n", "c"))
+    return rows.select("id", F.col(text).alias("text")).join(chosen, "text").select("id", F.col("c.product").alias("product"), F.round(-F.col("c.s"), 6).alias("score"), (F.col("n") + 1).cast("long").alias("rank"))

@@ -42,6 +42,13 @@ def _chained_signals(s, d):
     return found.select("session_id", "seq", "pos", "cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")
 
 
+def _products(s, d):
+    """Part names against the names, types and brands of every two-hundredth part."""
+    part = _part(s, d)
+    products = part.filter("p_partkey % 200 = 0").select(F.col("p_name").alias("product"), F.array("p_type", "p_brand").alias("others"), F.col("p_partkey").alias("place"))
+    return lexicon.product_candidates(part.select(F.col("p_partkey").alias("id"), "p_name"), "p_name", products)
+
+
 def _lexicon(s, d):
     """A dictionary table of the benchmark's word pairs, looked up in all documents."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
@@ -112,6 +119,7 @@ def _picked(options: list, at):
 QUERIES = {
     "extract_signals": _chained_signals,
     "dictionary_terms": _lexicon,
+    "product_candidates": _products,
     "contained_signals": lambda s, d: _signals(s, d).select("session_id", "seq", "pos", *[f"s.{c}" for c in ("cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")]),
     "route_decision": _route,
     "fallback_contains": lambda s, d: b.table(s, d, "documents").select("doc_id", R.fallback_contains(F.lower("text"), {**CARDS, **ACTIONS, **WEAK}).alias("found")),

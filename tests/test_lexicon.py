@@ -163,3 +163,55 @@ def test_named_by_dictionary(spark):
     terms = lexicon.dictionaries(spark, {"a": {"X": ["new york"], "Y": ["york city"]}, "b": {"Z": ["york"]}})
     row = lexicon.with_spans(spark.createDataFrame([("new york city",)], "t string"), "t", terms)
     assert row.select(lexicon.named(F.col("spans"), "a").alias("a"), lexicon.named(F.col("spans"), "b").alias("b")).first() == (["X"], ["Z"])
+
+
+def test_product_candidates(spark, monkeypatch):
+    """The whole cascade against a plain form of its rules, in one block and in several."""
+    from callweave.functions import matching
+
+    general = ["카드", "체크", "신용", "신용카드", "체크카드", "card", "check"]
+    products = [("아이사랑 플러스 카드", ["아이사랑"]), ("국민행복 카드", ["구민행복", "국민 행복"]), ("Deep Dream Check", []), ("K-패스", ["케이패스"]), ("내일배움 테디카드", []), ("Dream", ["drim"])]
+    pieces = ["아이", "플러스", "사랑", "국민행복", "국민햄복", "카드", "배움카드", "deep", "Dreem", "drim", "check", "k-패스", "케이파스", "x", "테디", "좋은"]
+    rng = random.Random(1)
+    texts = [None, "", " ", *pieces, *[" ".join(rng.choices(pieces, k=rng.randrange(1, 4))) for _ in range(120)]]
+    tight = lambda t: "".join(t.lower().split())
+
+    def scored(text, name, others):
+        asked = []
+        for w in text.split():
+            low = tight(w)
+            if len(w) > 1 and low not in general:
+                for g in sorted(general, key=len, reverse=True):
+                    low = low.replace(g, "")
+                asked += [low] if len(low) >= 2 else []
+        whole, words, parts = tight(name), [tight(w) for w in name.split() if len(w) > 1], []
+        for q in asked:
+            if any(q in w or w in q for w in words) or q in whole:
+                parts.append(q)
+            else:
+                cuts = [q[i:j] for i in range(len(q)) for j in range(i + 2, len(q) + 1) if q[i:j] in whole and q[i:j] not in general]
+                parts += [max(cuts, key=len)] if cuts else []
+        if parts:
+            share = len(parts) / len(asked)
+            both = 0.7 + 0.2 * share if len(parts) > 1 else 0.75 + 0.15 * share if len(parts[0]) >= 3 else 0.5 + 0.2 * share
+            if both >= 0.6:
+                return both
+        heard = [s for s in [matching.phonetic_similarity(text, name)] if s >= 0.6]
+        return max(heard + [0.9 * s for s in (matching.phonetic_similarity(text, o) for o in others) if s >= 0.6], default=0)
+
+    want = {}
+    for i, t in enumerate(texts):
+        if not (t or "").strip():
+            continue
+        straight = [(0.88 + 0.1 * len(tight(t)) / len(tight(n)) if tight(t) in tight(n) else 0.95, p, n) for p, (n, _) in enumerate(products) if tight(t) in tight(n) or tight(n) in tight(t)]
+        rest = [(s, p, n) for p, (n, o) in enumerate(products) if (s := scored(t, n, o))]
+        best = sorted(straight or rest, key=lambda x: (-x[0], x[1]))[:3]
+        want |= {i: [(n, round(s, 6)) for s, _, n in best]} if best else {}
+    table = spark.createDataFrame([(n, o, p) for p, (n, o) in enumerate(products)], "product string, others array<string>, place long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, said string")
+    for most in (200_000, 2):
+        monkeypatch.setattr(lexicon, "MOST_TERMS", most)
+        got = {}
+        for r in lexicon.product_candidates(rows, "said", table).orderBy("rank").collect():
+            got.setdefault(r.id, []).append((r.product, r.score))
+        assert {i: (texts[i], got.get(i), want.get(i)) for i in {*got, *want} if got.get(i) != want.get(i)} == {} and len(want) > 80
