@@ -4,11 +4,13 @@ Of all suffixes those that begin at a minimiser are retained: the smallest hash
 window of least - gram + 1 of them, so that any passage of `least` words holds one, chosen by its content alone. Suffixes
 whose first `gram` words occur in one document only are dropped by a pre-aggregated grouping; the others are sorted by
 the words that follow, compared with their nearest neighbours from other documents, and extended right and left from the
-minimiser. Matches of `least` words or more are merged into spans of repeated words; `reach` words are carried each way,
-which is enough as a longer passage has further minimisers.
+minimiser. Windows of `least` words that no neighbour covers, as only a third document shares both sides, are looked up by
+their hash among the windows of the same gram. Matches of `least` words or more are merged into spans of repeated words;
+`reach` words are carried each way, which is enough as a longer passage has further minimisers.
 
 Words compare by 32-bit hashes (A-Z as a-z), so an end of a span overshoots with chance 2**-32. A sort range that cuts a
-run of equal suffixes is stitched by comparing its outermost rows with the neighbouring ranges'.
+run of equal suffixes is stitched by comparing its outermost rows with the neighbouring ranges', and the open windows of
+cut runs are looked up over all ranges.
 
 Defined cases: null or short texts have no spans; rows with one id are one document with several texts (text hashes tell
 them apart), and equal texts under one id don't repeat each other; null ids count as -1; an empty table gives no rows;
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import WORD, in_tasks, likely, materialise, read_table
@@ -121,19 +123,55 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
 
 
-def _compared(table: pa.Table, gram: int, reach: int, least: int) -> pa.RecordBatch:
-    """Spans of the rows of a sorted stretch that a neighbour from another document confirms."""
+def _windows(table: pa.Table, gram: int, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row x b: hash of the `least` words that begin b words before the suffix, whether there are so many words)."""
+    right, right_many = _matrix(table.column("right"), gram + reach)
+    left, left_many = _matrix(table.column("left"), reach)
+    places = np.arange(1, reach + gram + 1, dtype=np.uint64)
+    spread = lambda x, odd: np.cumsum((x.astype(np.uint64) + np.uint64(odd)) * (places[: x.shape[1]] * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)) ** np.uint64(3), axis=1)
+    b = np.arange(least - gram + 1)
+    ahead = spread(right, 0x632BE5AB)[:, least - b - 1]
+    back = np.concatenate([np.zeros((len(left), 1), np.uint64), spread(left, 0x85157AF5)], axis=1)[:, b]
+    out = ahead + back * np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    out = (out + table.column("gram").to_numpy().view(np.uint64)[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(29)
+    return out.view(np.int64), (b <= left_many[:, None]) & (least - b <= right_many[:, None])
+
+
+def _shared(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same value."""
+    order = np.argsort(values, kind="stable")
+    v, d = values[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
+    out = np.zeros(len(v), bool)
+    out[order] = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start))[group]
+    return out
+
+
+def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool = False, ends: bool = False, whole: bool = True) -> pa.RecordBatch:
+    """Matches of the rows of a sorted stretch: doc, text_hash, begin, end.
+
+    First those that a neighbour from another document confirms. A neighbour shares most of what follows, but a third
+    document can share more of what comes before. So windows of `least` words that neither neighbour covers, though what
+    follows would allow it, are looked up among all windows of their run. The run at a stretch's beginning (`begins`) or end
+    (`ends`) may go on in another range: its open windows are returned with a null end, gram and hash, to be looked up over
+    all ranges. Without `whole` only neighbours count."""
     key, doc, place = (table.column(c).to_numpy() for c in ("gram", "doc", "place"))
+    text_hash = table.column("text_hash").to_numpy()
     right, right_many = _matrix(table.column("right"), gram + reach)
     left, left_many = _matrix(table.column("left"), reach)
     n = len(key)
-    run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+    run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if n else np.zeros(0, np.int64)
     streak = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if n else np.zeros(0, bool)
     start = np.flatnonzero(streak)
     number = np.cumsum(streak) - 1
     before = start[number] - 1
     after = np.concatenate([start[1:], [n]])[number] if n else np.zeros(0, np.int64)
-    docs, hashes, begins, ends = [], [], [], []
+    found = []
+    b = np.arange(least - gram + 1)
+    most, covered = np.zeros(n, np.int64), np.zeros((n, len(b)), bool)
     for other in (before, after):
         i = np.flatnonzero((other >= 0) & (other < n))
         i = i[run[i] == run[other[i]]]
@@ -141,12 +179,35 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int) -> pa.RecordBa
         ahead = _common(right[i], right[j], np.minimum(right_many[i], right_many[j]))
         back = _common(left[i], left[j], np.minimum(left_many[i], left_many[j]))
         hit = (ahead >= gram) & (ahead + back >= least)
-        docs.append(doc[i[hit]])
-        hashes.append(table.column("text_hash").to_numpy()[i[hit]])
-        begins.append(place[i[hit]] - back[hit])
-        ends.append(place[i[hit]] + ahead[hit])
-    columns = [np.concatenate(x).astype(np.int64) for x in (docs, hashes, begins, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "text_hash", "begin", "end"])
+        found.append((doc[i[hit]], text_hash[i[hit]], place[i[hit]] - back[hit], place[i[hit]] + ahead[hit]))
+        most[i] = np.maximum(most[i], ahead)
+        covered[i] |= (b <= back[:, None]) & (least - b <= ahead[:, None])
+    del right, left
+    unknown = np.zeros((0, 4), np.int64)
+    if n and whole:
+        size = np.bincount(run)
+        cut = np.zeros(len(size), bool)
+        cut[0], cut[-1] = cut[0] | begins, cut[-1] | ends
+        # what lies beyond a range's outermost rows of one document is not seen here
+        most[(begins & (before < 0)) | (ends & (after >= n))] = gram + reach
+        opened = ((least - b <= most[:, None]) & ~covered).any(axis=1) & (cut[run] | (size[run] > 2))
+        rows = np.flatnonzero(np.isin(run, np.unique(run[opened])))
+        if len(rows):
+            values, fits = _windows(table.take(pa.array(rows)), gram, reach, least)
+            still = fits & (least - b <= most[rows, None]) & ~covered[rows]
+            for back in b:
+                at = np.flatnonzero(fits[:, back] & ~cut[run[rows]])
+                if len(at) and still[at, back].any():
+                    at = at[_shared(values[at, back], doc[rows[at]]) & still[at, back]]
+                    r = rows[at]
+                    found.append((doc[r], text_hash[r], place[r] - back, place[r] - back + least))
+            at, back = np.nonzero(still & cut[run[rows]][:, None])
+            unknown = np.stack([key[rows[at]], values[at, back]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+    columns = [np.concatenate(x).astype(np.int64) for x in zip(*found)]
+    m = len(unknown)
+    arrays = [pa.array(np.concatenate([c, np.zeros(m, np.int64)]), mask=np.arange(len(c) + m) >= len(c)) for c in columns]
+    keys = [pa.array(np.concatenate([np.zeros(len(columns[0]), np.int64), unknown[:, c]]), mask=np.arange(len(columns[0]) + m) < len(columns[0])) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([*arrays, *keys], ["doc", "text_hash", "begin", "end", "gram", "window"])
 
 
 def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFrame:
@@ -157,11 +218,11 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, first = TaskContext.get().partitionId(), None, True
+        number, held, first, begins = TaskContext.get().partitionId(), None, True, True
 
         def outer(row: pa.Table, at: int) -> pa.RecordBatch:
             part = row.slice(at, 1).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.nulls(1, pa.int64())] * 2, *[part.column(f) for f in fields]], ["range", "begin", "end", *fields])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, *[part.column(f) for f in fields]], ["range", "begin", "end", "window", *fields])
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -174,9 +235,10 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
             cut = int(np.searchsorted(key, key[-1]))
             held = table.slice(cut)
             if cut:
-                yield told(_compared(table.slice(0, cut), gram, reach, least))
+                yield told(_compared(table.slice(0, cut), gram, reach, least, begins=begins))
+                begins = False
         if held is not None:
-            yield told(_compared(held, gram, reach, least))
+            yield told(_compared(held, gram, reach, least, begins=begins, ends=True))
             yield from (outer(held, a) for a in edge(held, False))
 
     def edge(table: pa.Table, begin: bool) -> list[int]:
@@ -188,22 +250,41 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
 
     def told(found: pa.RecordBatch) -> pa.RecordBatch:
         m = found.num_rows
-        empty = {"gram": pa.int64(), "place": pa.int32(), "right": pa.binary(), "left": pa.binary()}
-        own = {"doc": found.column("doc"), "text_hash": found.column("text_hash")}
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), found.column("begin"), found.column("end"), *[own[f] if f in own else pa.nulls(m, empty[f]) for f in fields]], ["range", "begin", "end", *fields])
+        empty = {"place": pa.int32(), "right": pa.binary(), "left": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), *[found.column(c) for c in ("begin", "end", "window")], *[pa.nulls(m, empty[f]) if f in empty else found.column(f) for f in fields]], ["range", "begin", "end", "window", *fields])
 
     order = ["gram", "right", *KEY, "place"]
-    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, run, f"range long, begin long, end long, {kind}"), "suffix-matches")
+    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, run, f"range long, begin long, end long, window long, {kind}"), "suffix-matches")
     # rows at range ends, few a range, meet those of neighbouring ranges by their gram
     cut = found.filter(F.col("range").isNotNull()).select(fields).repartition("gram").sortWithinPartitions(*order)
     stitched = cut.transform(in_tasks, lambda batches: _stitch(batches, gram, reach, least), "doc long, text_hash long, begin long, end long")
-    return found.filter(F.col("range").isNull()).select(*KEY, "begin", "end").unionByName(stitched)
+    hits = found.filter("range IS NULL AND window IS NULL").select(*KEY, "begin", "end").unionByName(stitched)
+    return hits.unionByName(_looked_up(stored, found.filter("window IS NOT NULL").select("gram", "window"), gram, reach, least))
+
+
+def _looked_up(stored: DataFrame, opened: DataFrame, gram: int, reach: int, least: int) -> DataFrame:
+    """doc, text_hash, begin, end of the open windows that another document has, whatever range holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                values, fits = _windows(pa.Table.from_batches([part]), gram, reach, least)
+                row, back = np.nonzero(fits)
+                take = pa.array(row)
+                begin = part.column("place").to_numpy()[row].astype(np.int64) - back
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in KEY], pa.array(begin), pa.array(values[row, back])], [*KEY, "begin", "window"])
+
+    all_windows = likely(stored, opened, ["gram"]).transform(in_tasks, run, "doc long, text_hash long, begin long, window long")
+    windows = materialise(likely(all_windows, opened, ["window"]), "open-windows")
+    several = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("window")
+    return windows.join(several, "window").select(*KEY, "begin", (F.col("begin") + least).alias("end"))
 
 
 def _stitch(batches: Iterator[pa.RecordBatch], gram: int, reach: int, least: int) -> Iterator[pa.RecordBatch]:
     rows = [b for b in batches if b.num_rows]
     if rows:
-        yield _compared(pa.Table.from_batches(rows), gram, reach, least)
+        yield _compared(pa.Table.from_batches(rows), gram, reach, least, whole=False).select(["doc", "text_hash", "begin", "end"])
 
 
 def repeated_spans(docs: DataFrame, least: int = 50, gram: int = 16) -> DataFrame:
@@ -216,13 +297,13 @@ def repeated_spans(docs: DataFrame, least: int = 50, gram: int = 16) -> DataFram
     places = kept.join(common, "gram")  # contexts() drops repeats; nothing here keeps Spark from splitting a common gram
     stored = materialise(contexts(rows, places, gram, reach), "suffix-contexts")
     hits = neighbours(stored, gram, reach, least)
-    listed = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("hits"))
-    # fold the sorted hits: one that begins inside or at the end of the last span extends it
-    merged = F.expr(
-        "aggregate(slice(hits, 2, size(hits)), array(hits[0]), (a, h) -> if(h.begin <= element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, h.end)))), concat(a, array(h))))"
-    )
-    return listed.select(*KEY, merged.alias("spans"))
+    hits = hits.groupBy(*KEY, "begin").agg(F.max("end").alias("end"))
+    # a hit that begins beyond all ends before it opens a span
+    order = Window.partitionBy(*KEY).orderBy("begin")
+    behind = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.withColumn("new", F.coalesce(F.col("begin") > behind, F.lit(True)).cast("long")).withColumn("span", F.sum("new").over(order))
+    spans = spans.groupBy(*KEY, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

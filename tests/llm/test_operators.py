@@ -327,6 +327,33 @@ def test_repeats_of_periodic_text(spark):
     assert got == {1: [(30, 430)], 2: [(45, 445)]}
 
 
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_repeats_whose_sides_only_third_documents_share(spark, coalesced):
+    """Left ends that no nearest neighbour has, in runs inside a sort range and in runs that ranges cut."""
+    rng = np.random.default_rng(5)
+    core = prose(41, 200).split()
+    texts = []
+    for i in range(120):
+        a, b = sorted(int(x) for x in rng.integers(0, 200, 2))
+        a, b = (60, 110) if i < 3 else (a, max(b, min(a + 52, 200)))
+        texts.append((i, " ".join(prose(500 + i, 20).split() + core[a:b] + prose(900 + i, 20).split())))
+    where = {}
+    split = {i: t.split() for i, t in texts}
+    for i, w in split.items():
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i: {x for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for x in range(k, k + 50)} for i, w in split.items()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        found = repeats.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc: {x for s in r.spans for x in range(s.begin, s.end)} for r in found} == {i: w for i, w in want.items() if w}
+
+
 def test_decontamination(spark, docs, rows, nothing):
     items = spark.createDataFrame([(1, " ".join(rows[9][1].split()[5:25])), (2, "Two, words"), (3, None), (4, "--"), (5, rows[12][1][:90]), (5, "one")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
