@@ -156,8 +156,8 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
     First those that a neighbour from another document confirms. A neighbour shares most of what follows, but a third
     document can share more of what comes before. So windows of `least` words that neither neighbour covers, though what
     follows would allow it, are looked up among all windows of their run. The run at a stretch's beginning (`begins`) or end
-    (`ends`) may go on in another range: its open windows are returned with a null end, gram and hash, to be looked up over
-    all ranges. Without `whole` only neighbours count."""
+    (`ends`) may go on in another range: what stays open of it is returned with a null end, gram and hash, to be looked up
+    over all ranges. Without `whole` only neighbours count."""
     key, doc, place = (table.column(c).to_numpy() for c in ("gram", "doc", "place"))
     text_hash = table.column("text_hash").to_numpy()
     right, right_many = _matrix(table.column("right"), gram + reach)
@@ -183,7 +183,7 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
         most[i] = np.maximum(most[i], ahead)
         covered[i] |= (b <= back[:, None]) & (least - b <= ahead[:, None])
     del right, left
-    unknown = np.zeros((0, 4), np.int64)
+    asked: list[np.ndarray] = []
     if n and whole:
         size = np.bincount(run)
         cut = np.zeros(len(size), bool)
@@ -196,17 +196,25 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
             values, fits = _windows(table.take(pa.array(rows)), gram, reach, least)
             still = fits & (least - b <= most[rows, None]) & ~covered[rows]
             for back in b:
-                at = np.flatnonzero(fits[:, back] & ~cut[run[rows]])
-                if len(at) and still[at, back].any():
-                    at = at[_shared(values[at, back], doc[rows[at]]) & still[at, back]]
-                    r = rows[at]
-                    found.append((doc[r], text_hash[r], place[r] - back, place[r] - back + least))
-            at, back = np.nonzero(still & cut[run[rows]][:, None])
-            unknown = np.stack([key[rows[at]], values[at, back]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+                at = np.flatnonzero(fits[:, back])
+                if not still[at, back].any():
+                    continue
+                shared = _shared(values[at, back], doc[rows[at]])
+                for kept in (shared, ~shared & cut[run[rows[at]]]):
+                    own = at[kept & still[at, back]]
+                    r = rows[own]
+                    begin = place[r] - back
+                    if kept is shared:
+                        found.append((doc[r], text_hash[r], begin, begin + least))
+                    else:
+                        asked.append(np.stack([doc[r], text_hash[r], begin, key[r], values[own, back]]))
     columns = [np.concatenate(x).astype(np.int64) for x in zip(*found)]
-    m = len(unknown)
-    arrays = [pa.array(np.concatenate([c, np.zeros(m, np.int64)]), mask=np.arange(len(c) + m) >= len(c)) for c in columns]
-    keys = [pa.array(np.concatenate([np.zeros(len(columns[0]), np.int64), unknown[:, c]]), mask=np.arange(len(columns[0]) + m) < len(columns[0])) for c in (0, 1)]
+    n, more = len(columns[0]), np.concatenate([np.zeros((5, 0), np.int64), *asked], axis=1)
+    m = more.shape[1]
+    late = np.arange(n + m) >= n
+    arrays = [pa.array(np.concatenate([c, x])) for c, x in zip(columns[:3], more[:3])]
+    arrays.append(pa.array(np.concatenate([columns[3], np.zeros(m, np.int64)]), mask=late))
+    keys = [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=~late) for x in more[3:]]
     return pa.RecordBatch.from_arrays([*arrays, *keys], ["doc", "text_hash", "begin", "end", "gram", "window"])
 
 
@@ -259,7 +267,7 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
     cut = found.filter(F.col("range").isNotNull()).select(fields).repartition("gram").sortWithinPartitions(*order)
     stitched = cut.transform(in_tasks, lambda batches: _stitch(batches, gram, reach, least), "doc long, text_hash long, begin long, end long")
     hits = found.filter("range IS NULL AND window IS NULL").select(*KEY, "begin", "end").unionByName(stitched)
-    return hits.unionByName(_looked_up(stored, found.filter("window IS NOT NULL").select("gram", "window"), gram, reach, least))
+    return hits.unionByName(_looked_up(stored, found.filter("window IS NOT NULL").select(*KEY, "begin", "gram", "window"), gram, reach, least))
 
 
 def _looked_up(stored: DataFrame, opened: DataFrame, gram: int, reach: int, least: int) -> DataFrame:
@@ -271,14 +279,11 @@ def _looked_up(stored: DataFrame, opened: DataFrame, gram: int, reach: int, leas
                 part = batch.slice(at, 4096)
                 values, fits = _windows(pa.Table.from_batches([part]), gram, reach, least)
                 row, back = np.nonzero(fits)
-                take = pa.array(row)
-                begin = part.column("place").to_numpy()[row].astype(np.int64) - back
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in KEY], pa.array(begin), pa.array(values[row, back])], [*KEY, "begin", "window"])
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(values[row, back])], ["doc", "window"])
 
-    all_windows = likely(stored, opened, ["gram"]).transform(in_tasks, run, "doc long, text_hash long, begin long, window long")
-    windows = materialise(likely(all_windows, opened, ["window"]), "open-windows")
+    windows = likely(likely(stored, opened, ["gram"]).transform(in_tasks, run, "doc long, window long"), opened, ["window"])
     several = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("window")
-    return windows.join(several, "window").select(*KEY, "begin", (F.col("begin") + least).alias("end"))
+    return opened.join(several, "window").select(*KEY, "begin", (F.col("begin") + least).alias("end"))
 
 
 def _stitch(batches: Iterator[pa.RecordBatch], gram: int, reach: int, least: int) -> Iterator[pa.RecordBatch]:
