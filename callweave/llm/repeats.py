@@ -30,6 +30,14 @@ from callweave.llm.common import WORD, in_tasks, likely, materialise, read_table
 from callweave.llm.kernels import Words, shingle_hashes, slices, text_buffer
 from callweave.llm.linededup import KEY, keyed
 
+#: A suffix's place in its text and the windows that it stands for (of owned()).
+PLACE = ["place", "low", "high"]
+#: Columns of contexts().
+FIELDS = {"gram": pa.int64(), "doc": pa.int64(), "text_hash": pa.int64(), "place": pa.int32(), "low": pa.int32(), "high": pa.int32(), "right": pa.binary(), "left": pa.binary()}
+KIND = "gram long, doc long, text_hash long, place int, low int, high int, right binary, left binary"
+#: Bits of the filter of windows that tasks get when windows are looked up over all ranges: 2 MB whatever the corpus.
+WINDOW_SLOTS = 1 << 24
+
 
 def minimisers(grams: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places in grams, owners): the leftmost smallest of every `window` consecutive values of one group."""
@@ -61,8 +69,22 @@ def minimisers(grams: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.n
     return place, owner[place]
 
 
+def owned(grams: np.ndarray, counts: np.ndarray, place: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of each of minimisers()' places: the windows whose leftmost smallest it is begin low to high before it.
+
+    Each window is one place's. Equal windows have theirs at the same distance, so a window is looked up from there alone."""
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    first, last = begin[owner], begin[owner + 1] - window
+    same = owner[1:] == owner[:-1]
+    # a smaller value takes over as it comes in, any other as the one before goes out
+    taken = np.where(grams[place[1:]] < grams[place[:-1]], place[1:] - window + 1, place[:-1] + 1)
+    first[1:] = np.where(same, taken, first[1:])
+    last[:-1] = np.where(same, taken - 1, last[:-1])
+    return place - last, place - first
+
+
 def suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """gram (hash), doc, text_hash, place of every retained suffix."""
+    """gram (hash), doc, text_hash, place, low, high (of owned()) of every retained suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,15 +97,16 @@ def suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
                 place, owner = minimisers(values, sizes, least - gram + 1)
                 begin = np.concatenate([[0], np.cumsum(sizes)])
                 take = pa.array(owner)
-                out.append(pa.RecordBatch.from_arrays([pa.array(values[place].view(np.int64)), part.column("doc").take(take), part.column("text_hash").take(take), pa.array((place - begin[owner]).astype(np.int32))], ["gram", "doc", "text_hash", "place"]))
+                numbers = [pa.array(x.astype(np.int32)) for x in (place - begin[owner], *owned(values, sizes, place, owner, least - gram + 1))]
+                out.append(pa.RecordBatch.from_arrays([pa.array(values[place].view(np.int64)), part.column("doc").take(take), part.column("text_hash").take(take), *numbers], ["gram", "doc", "text_hash", *PLACE]))
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.transform(in_tasks, run, "gram long, doc long, text_hash long, place int")
+    return rows.transform(in_tasks, run, "gram long, doc long, text_hash long, place int, low int, high int")
 
 
 def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataFrame:
-    """gram, doc, text_hash, place, right (hashes of the suffix's words), left (of the words before it, backwards)."""
+    """gram, doc, text_hash, place, low, high, right (hashes of the suffix's words), left (of the words before it, backwards)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,13 +120,12 @@ def contexts(rows: DataFrame, places: DataFrame, gram: int, reach: int) -> DataF
                     n = len(own)
                     for w in wanted:
                         p = w["place"]
-                        out.append((w["gram"], doc, text_hash, p, own[p : p + gram + reach].tobytes(), back[n - p : n - p + reach].tobytes()))
+                        out.append((w["gram"], doc, text_hash, p, w["low"], w["high"], own[p : p + gram + reach].tobytes(), back[n - p : n - p + reach].tobytes()))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "doc", "text_hash", "place", "right", "left"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), FIELDS.values())], list(FIELDS))
 
-    wanted = places.groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("wanted"))
-    return likely(rows, places, KEY).join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").transform(in_tasks, run, "gram long, doc long, text_hash long, place int, right binary, left binary")
+    wanted = places.groupBy(*KEY).agg(F.collect_set(F.struct("gram", *PLACE)).alias("wanted"))
+    return likely(rows, places, KEY).join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "wanted").transform(in_tasks, run, KIND)
 
 
 def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +146,7 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def _windows(table: pa.Table, gram: int, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row x b: hash of the `least` words that begin b words before the suffix, whether there are so many words)."""
+    """(row x b: hash of the `least` words that begin b words before the suffix, whether the suffix stands for them)."""
     right, right_many = _matrix(table.column("right"), gram + reach)
     left, left_many = _matrix(table.column("left"), reach)
     places = np.arange(1, reach + gram + 1, dtype=np.uint64)
@@ -136,7 +158,13 @@ def _windows(table: pa.Table, gram: int, reach: int, least: int) -> tuple[np.nda
     out ^= out >> np.uint64(32)
     out = (out + table.column("gram").to_numpy().view(np.uint64)[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
     out ^= out >> np.uint64(29)
-    return out.view(np.int64), (b <= left_many[:, None]) & (least - b <= right_many[:, None])
+    return out.view(np.int64), _stands_for(table, b) & (b <= left_many[:, None]) & (least - b <= right_many[:, None])
+
+
+def _stands_for(table: pa.Table, b: np.ndarray) -> np.ndarray:
+    """row x b: whether the window that begins b words before the suffix is its own."""
+    low, high = (table.column(c).to_numpy()[:, None] for c in ("low", "high"))
+    return (low <= b) & (b <= high)
 
 
 def _shared(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -155,7 +183,7 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
 
     First those that a neighbour from another document confirms. A neighbour shares most of what follows, but a third
     document can share more of what comes before. So windows of `least` words that neither neighbour covers, though what
-    follows would allow it, are looked up among all windows of their run. The run at a stretch's beginning (`begins`) or end
+    follows would allow it, are looked up among all windows of their run, each from the suffix that stands for it. The run at a stretch's beginning (`begins`) or end
     (`ends`) may go on in another range: what stays open of it is returned with a null end, gram and hash, to be looked up
     over all ranges. Without `whole` only neighbours count."""
     key, doc, place = (table.column(c).to_numpy() for c in ("gram", "doc", "place"))
@@ -190,7 +218,7 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
         cut[0], cut[-1] = cut[0] | begins, cut[-1] | ends
         # what lies beyond a range's outermost rows of one document is not seen here
         most[(begins & (before < 0)) | (ends & (after >= n))] = gram + reach
-        opened = ((least - b <= most[:, None]) & ~covered).any(axis=1) & (cut[run] | (size[run] > 2))
+        opened = ((least - b <= most[:, None]) & ~covered & _stands_for(table, b)).any(axis=1) & (cut[run] | (size[run] > 2))
         rows = np.flatnonzero(np.isin(run, np.unique(run[opened])))
         if len(rows):
             values, fits = _windows(table.take(pa.array(rows)), gram, reach, least)
@@ -220,8 +248,7 @@ def _compared(table: pa.Table, gram: int, reach: int, least: int, begins: bool =
 
 def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFrame:
     """doc, text_hash, begin, end: the matches of neighbouring suffixes. stored: of contexts(), in a table."""
-    fields = ["gram", *KEY, "place", "right", "left"]
-    kind = "gram long, doc long, text_hash long, place int, right binary, left binary"
+    fields = list(FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,11 +285,11 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
 
     def told(found: pa.RecordBatch) -> pa.RecordBatch:
         m = found.num_rows
-        empty = {"place": pa.int32(), "right": pa.binary(), "left": pa.binary()}
+        empty = {f: FIELDS[f] for f in (*PLACE, "right", "left")}
         return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), *[found.column(c) for c in ("begin", "end", "window")], *[pa.nulls(m, empty[f]) if f in empty else found.column(f) for f in fields]], ["range", "begin", "end", "window", *fields])
 
     order = ["gram", "right", *KEY, "place"]
-    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, run, f"range long, begin long, end long, window long, {kind}"), "suffix-matches")
+    found = materialise(stored.select(fields).repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, run, f"range long, begin long, end long, window long, {KIND}"), "suffix-matches")
     # rows at range ends, few a range, meet those of neighbouring ranges by their gram
     cut = found.filter(F.col("range").isNotNull()).select(fields).repartition("gram").sortWithinPartitions(*order)
     stitched = cut.transform(in_tasks, lambda batches: _stitch(batches, gram, reach, least), "doc long, text_hash long, begin long, end long")
@@ -271,18 +298,37 @@ def neighbours(stored: DataFrame, gram: int, reach: int, least: int) -> DataFram
 
 
 def _looked_up(stored: DataFrame, opened: DataFrame, gram: int, reach: int, least: int) -> DataFrame:
-    """doc, text_hash, begin, end of the open windows that another document has, whatever range holds it."""
+    """doc, text_hash, begin, end of the open windows that another document has, whatever range holds it.
+
+    Tasks get a filter of the open windows as WINDOW_SLOTS bits, and of what passes it they return each window once a batch,
+    with its smallest and largest document. A full filter lets more through; the join by window decides."""
+    slots = WINDOW_SLOTS
+    wanted = opened.select(F.col("window").bitwiseAND(slots - 1).alias("slot"))
+    bits = wanted.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits")).toArrow()
+    words = np.zeros(slots // 64, np.uint64)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    shared = stored.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 values, fits = _windows(pa.Table.from_batches([part]), gram, reach, least)
-                row, back = np.nonzero(fits)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(values[row, back])], ["doc", "window"])
-
-    windows = likely(likely(stored, opened, ["gram"]).transform(in_tasks, run, "doc long, window long"), opened, ["window"])
-    several = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("window")
+                slot = values.view(np.uint64) & np.uint64(slots - 1)
+                passed = (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+                row, back = np.nonzero(fits & (passed != 0))
+                found.append((values[row, back], part.column("doc").to_numpy()[row]))
+            value, doc = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            if len(value):
+                order = np.lexsort((doc, value))
+                value, doc = value[order], doc[order]
+                first = np.concatenate([[True], value[1:] != value[:-1]])
+                last = np.concatenate([first[1:], [True]])
+                yield pa.RecordBatch.from_arrays([pa.array(value[first]), pa.array(doc[first]), pa.array(doc[last])], ["window", "a", "b"])
+
+    windows = likely(stored, opened, ["gram"]).transform(in_tasks, run, "window long, a long, b long")
+    several = windows.groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("window")
     return opened.join(several, "window").select(*KEY, "begin", (F.col("begin") + least).alias("end"))
 
 

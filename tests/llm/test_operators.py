@@ -317,7 +317,13 @@ def test_minimisers_of_recurring_values():
         for c in counts:
             want |= {int(base + i + values[base + i : base + i + window].argmin()) for i in range(c - window + 1)}
             base += c
-        assert repeats.minimisers(values, counts, window)[0].tolist() == sorted(want)
+        place, owner = repeats.minimisers(values, counts, window)
+        assert place.tolist() == sorted(want)
+        low, high = repeats.owned(values, counts, place, owner, window)
+        stands = {int(p - b): int(p) for p, lo, hi in zip(place, low, high) for b in range(lo, hi + 1)}
+        starts = [int(base + i) for base, c in zip(np.cumsum(counts) - counts, counts) for i in range(c - window + 1)]
+        assert stands == {i: i + int(values[i : i + window].argmin()) for i in starts}
+        assert sum(high - low + 1) == len(starts)
 
 
 def test_repeats_of_periodic_text(spark):
@@ -327,12 +333,14 @@ def test_repeats_of_periodic_text(spark):
     assert got == {1: [(30, 430)], 2: [(45, 445)]}
 
 
-@pytest.mark.parametrize("coalesced", ["true", "false"])
-def test_repeats_whose_sides_only_third_documents_share(spark, coalesced):
-    """Left ends that no nearest neighbour has, in runs inside a sort range and in runs that ranges cut."""
+@pytest.mark.parametrize("coalesced, slots", [("true", 1 << 24), ("false", 1 << 24), ("false", 64)])
+def test_repeats_whose_sides_only_third_documents_share(spark, monkeypatch, coalesced, slots):
+    """Left ends that no nearest neighbour has, in runs inside a sort range and in runs that ranges cut; also with a filter
+    of open windows that is full."""
+    monkeypatch.setattr(repeats, "WINDOW_SLOTS", slots)
     rng = np.random.default_rng(5)
     core = prose(41, 200).split()
-    texts = []
+    texts = [(200 + i, " ".join(prose(700 + i, 30).split() + ["same"] * (70 + i % 7) + prose(800 + i % 5, 30).split())) for i in range(30)]
     for i in range(120):
         a, b = sorted(int(x) for x in rng.integers(0, 200, 2))
         a, b = (60, 110) if i < 3 else (a, max(b, min(a + 52, 200)))
