@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import groupby
@@ -43,18 +44,88 @@ def word_changes(a: str, b: str) -> list[tuple[str, str, str]]:
     return [(tag, " ".join(x[i:j]), " ".join(y[k:m])) for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag != "equal"]
 
 
+# Results depend on them. Turns looked back at, letters of a filler, and letters and likeness of an overlap.
+LOOK_BACK, FILLER, OVERLAP, OVERLAP_LIKE, ENDING_LIKE = 3, 3, 12, 0.92, 0.94
+MARKS = re.compile(r"""[\s"'`·•…,.!?:;()\[\]{}]+""")
+
+
+def bare(message: str) -> str:
+    """A message without blanks and marks."""
+    return MARKS.sub("", message)
+
+
+def shared_edge(tail: str, head: str, shortest: int = OVERLAP, least: float = OVERLAP_LIKE) -> int:
+    """The largest n, `shortest` at least, for which the last n characters of tail and the first n of head are alike; 0 if
+    there is none. Counts of characters, kept up from n to n, rule most lengths out before they are compared."""
+    n = min(len(tail), len(head))
+    surplus = Counter(tail[len(tail) - n :])
+    surplus.subtract(head[:n])
+    apart = sum(map(abs, surplus.values()))
+    while n >= max(shortest, 1):
+        if 2 * n - apart >= 2 * n * least and ratio(tail[-n:], head[:n]) >= least:
+            return n
+        for c, step in ((tail[len(tail) - n], -1), (head[n - 1], 1)):
+            apart -= abs(surplus[c])
+            surplus[c] += step
+            apart += abs(surplus[c])
+        n -= 1
+    return 0
+
+
+def past(message: str, n: int) -> str:
+    """What follows the first n characters that are not blank."""
+    places = [i for i, c in enumerate(message) if not c.isspace()]
+    return " ".join(message[places[n - 1] + 1 :].split())
+
+
+def _without_repeat(merged: list, batch: list, least: float) -> list:
+    """The batch without its first turn, if one of the last turns says the same or ends with it, or without its second, if
+    that repeats one of them after a filler."""
+
+    def again(turn: tuple, ending: bool) -> bool:
+        new = bare(turn[1])
+        for speaker, message in merged[-LOOK_BACK:]:
+            old = bare(message)
+            if new and old and speaker == turn[0]:
+                if ratio(old, new, least) >= least:
+                    return True
+                if ending and OVERLAP <= len(new) <= len(old) and ratio(old[-len(new) :], new, ENDING_LIKE) >= ENDING_LIKE:
+                    return True
+        return False
+
+    if batch and again(batch[0], True):
+        return batch[1:]
+    if len(batch) > 1 and len(bare(batch[0][1])) <= FILLER and again(batch[1], False):
+        return batch[:1] + batch[2:]
+    return batch
+
+
+def _without_overlap(merged: list, batch: list) -> list:
+    """The batch whose first turn, or second after a filler, lacks what the last turn of its speaker ends with."""
+    for at, turn in enumerate(batch[:2]):
+        if turn[0] == merged[-1][0] and (at == 0 or len(bare(batch[0][1])) <= FILLER):
+            n = shared_edge(bare(merged[-1][1]), bare(turn[1]))
+            if n:
+                rest = past(turn[1], n)
+                return batch[:at] + ([(turn[0], rest)] if rest else []) + batch[at + 1 :]
+    return batch
+
+
 def append_turns(merged: list, batch: list, most: int, least: float) -> list:
-    """Append a batch whose first turns may repeat the last ones: exact overlap first, then a similar one."""
-    for same in (lambda p, q: p == q, lambda p, q: p[0] == q[0] and ratio(p[1], q[1], least) >= least):
+    """Append a batch whose first turns may repeat the last ones: a repeat at the boundary goes, then the longest exact
+    overlap in turns, then a similar one, then what the next turn repeats of the end of the last."""
+    if not merged:
+        return merged + batch
+    batch = _without_repeat(merged, batch, least)
+    tight = lambda x: "".join(x.split())
+    exact = lambda p, q: tight(p) == tight(q)
+    similar = lambda p, q: bool(bare(p) and bare(q)) and ratio(bare(p), bare(q), least) >= least
+    for same in (exact, similar):
         for k in range(min(most, len(merged), len(batch)), 0, -1):
-            if all(same(p, q) for p, q in zip(merged[-k:], batch[:k])):
-                return merged + batch[k:]
-    if merged and batch and merged[-1][0] == batch[0][0]:
-        tail, head = merged[-1][1], batch[0][1]
-        for n in range(min(len(tail), len(head)), 11, -1):
-            if tail.endswith(head[:n]):
-                return merged[:-1] + [(merged[-1][0], tail + head[n:])] + batch[1:]
-    return merged + batch
+            if all(p[0] == q[0] and same(p[1], q[1]) for p, q in zip(merged[-k:], batch[:k])):
+                batch = batch[k:]
+                break
+    return merged + _without_overlap(merged, batch)
 
 
 def tidy_turns(turns: list) -> list:

@@ -83,12 +83,13 @@ def near_duplicate_turns(rows: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def merge_batches(rows: DataFrame, most: int = 8, least: float = 0.93) -> DataFrame:
-    """Overlapping batches of turns folded into one list per session. rows: session_id, batch, seq, speaker, message."""
+    """Overlapping batches of turns folded into one list per session. rows: session_id, batch, seq, speaker, message (null
+    is blank)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         session, merged = pdf["session_id"].iloc[0], []
         for _, batch in pdf.sort_values(["batch", "seq"]).groupby("batch", sort=True):
-            merged = matching.append_turns(merged, list(zip(batch["speaker"], batch["message"])), most, least)
+            merged = matching.append_turns(merged, list(zip(batch["speaker"], batch["message"].fillna(""))), most, least)
         merged = matching.tidy_turns(merged)
         return pd.DataFrame({"session_id": session, "turn": range(len(merged)), "speaker": [s for s, _ in merged], "message": [m for _, m in merged]})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
@@ -133,6 +134,11 @@ def stream_query(job, make, close: str | None = None):
     return run
 
 
+def _numbered_turns(s, d):
+    order = Window.partitionBy("session_id").orderBy("ts", "id")
+    return b.session_turns(s, d).withColumn("turn", F.row_number().over(order).cast("long"))
+
+
 def _asking(s, d):
     """Turns with all that can ask for a search. The tables' turns are hours apart, so the pause is longer than the default."""
     i = F.col("id")
@@ -186,7 +192,7 @@ QUERIES = {
     "stream_suspicious_downloads": stream_query(lambda x: jobs.suspicious_downloads(x, 2, "1 day", "12 hours"), _downloads, "ts"),
     "stream_daily_downloads": stream_query(lambda x: jobs.daily_downloads(x), _downloads, "ts"),
     "call_sessions": lambda s, d: jobs.call_sessions(jobs.timed(b.session_turns(s, d)), "12 hours"),
-    "stream_session_context": stream_query(lambda x: jobs.session_context_stream(x.withColumn("value", F.col("value"))), lambda s, d: b.session_turns(s, d)),
+    "stream_session_context": stream_query(jobs.session_context_stream, _numbered_turns),
     "repeat_query_suppression": stream_query(lambda x: jobs.suppress_repeats(x, "40 days"), lambda s, d: b.session_turns(s, d).select(F.col("value").alias("key"), "ts").filter("key IS NOT NULL")),
 }
 

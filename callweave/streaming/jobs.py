@@ -55,24 +55,33 @@ def session_context(turns: DataFrame) -> DataFrame:
     return rows.select("id", "session_id", "turn", "value", F.when(fresh, F.col("last.value")).alias("carried"))
 
 
-def session_context_stream(turns: DataFrame) -> DataFrame:
-    """The same on a stream of turns in order. State is four values a session and stays, as turns are numbered through."""
+def session_context_stream(turns: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream of turns in order that carry their number in the session (turn, beside session_context's columns).
+
+    State is a session's last value, its turn and time. It goes as soon as a turn finds it too old, and in a session that is
+    idle once the watermark has passed its age: later turns can't use it."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, value, at, when = state.get if state.exists else (0, None, 0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, at, when = state.get if state.exists else (None, 0, 0.0)
         out = []
-        for r in rows.itertuples(index=False):
-            turn += 1
+        for r in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples(index=False):
             now = r.ts.timestamp()
             if r.value is not None:
-                value, at, when = r.value, turn, now
-            fresh = value is not None and now - when <= CONTEXT_SECONDS and turn - at <= CONTEXT_TURNS
-            out.append((r.id, key[0], turn, r.value, value if fresh else None))
-        state.update((turn, value, at, when))
+                value, at, when = r.value, int(r.turn), now
+            elif value is not None and (now - when > CONTEXT_SECONDS or r.turn - at > CONTEXT_TURNS):
+                value = None
+            out.append((r.id, key[0], r.turn, r.value, value))
+        if value is not None:
+            state.update((value, at, when))
+            state.setTimeoutTimestamp(max(int((when + CONTEXT_SECONDS) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "session_id", "turn", "value", "carried"])
 
-    return turns.withWatermark("ts", "10 minutes").groupBy("session_id").applyInPandasWithState(step, "id long, session_id long, turn long, value string, carried string", "turn long, value string, at long, `when` double", "append", GroupStateTimeout.NoTimeout)
+    return turns.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(step, "id long, session_id long, turn long, value string, carried string", "value string, at long, `when` double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def asks(turns: DataFrame) -> Column:

@@ -1,12 +1,14 @@
 """Hand-made cases of jobs."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from callweave.functions import matching
 from callweave.functions import text as T
 from callweave.operators import calls, ingest, retrieval, transcripts, vectors
+from callweave.streaming import jobs
 
 
 def test_fcr_days_and_null_keys(spark):
@@ -100,3 +102,55 @@ def test_script_queries_compare_whole_messages(spark, tmp_path):
         changes += [(1000 + i, "replace", "the", "a")] * m.count(" the ")
     assert {r.id: r.ratio for r in texts.QUERIES["sequence_ratio"](spark, str(tmp_path)).collect()} == ratios
     assert sorted(map(tuple, texts.QUERIES["word_diff"](spark, str(tmp_path)).collect())) == changes
+
+
+def test_shared_edge_like_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        middle = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        noisy = "".join(c if rng.random() > 0.05 else rng.choice("abcdx") for c in middle)
+        tail, head = "".join(rng.choice("abcd") for _ in range(5)) + middle, noisy + "".join(rng.choice("abcd") for _ in range(5))
+        want = next((n for n in range(min(len(tail), len(head)), 11, -1) if matching.ratio(tail[-n:], head[:n]) >= 0.92), 0)
+        assert matching.shared_edge(tail, head) == want
+    assert matching.shared_edge("", "abc") == 0
+
+
+def test_turns_repeated_at_a_batch_boundary():
+    said = [("agent", "May I have your card number, please?"), ("customer", "it is one two three four five")]
+    merge = lambda new: matching.append_turns(said, new, 8, 0.93)
+    # the same words with other marks; an ending; a repeat after a filler
+    assert merge([("agent", "may i have your card number".replace("may i", "May I") + " please"), ("agent", "thanks")]) == said + [("agent", "thanks")]
+    assert merge([("customer", "two three four five"), ("agent", "thanks")]) == said + [("agent", "thanks")]
+    assert merge([("agent", "ok."), ("customer", "it is one two three four five."), ("agent", "thanks")]) == said + [("agent", "ok."), ("agent", "thanks")]
+    # an overlap inside the next turn, by likeness, also behind a filler
+    assert merge([("customer", "one two three four fife and six is the last")]) == said + [("customer", "and six is the last")]
+    # the longest length that is alike counts, so a letter more can go (26 of 28 are the same)
+    assert merge([("agent", "ok"), ("customer", "three four five and six is the last")]) == said + [("agent", "ok"), ("customer", "nd six is the last")]
+    # another speaker's words, short overlaps and blank turns stay
+    for new in ([("agent", "it is one two three four five")], [("customer", "four five and so on")], [("customer", "")]):
+        assert merge(new) == said + new
+    assert matching.append_turns([], said, 8, 0.93) == said and merge([]) == said
+
+
+def test_session_state_goes_when_it_is_too_old(spark, tmp_path):
+    """Turns of idle sessions leave no state; what is carried equals the batch form."""
+    kind = "session_id long, id long, turn long, ts timestamp, value string"
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    steps = [
+        [(1, 1, 1, at(0), "a"), (1, 2, 2, at(60), None), (2, 3, 1, at(10), None), (3, 4, 1, at(20), "c")],
+        [(1, 5, 3, at(180), None), (1, 6, 4, at(181), None), (3, 7, 2, at(30), None), (3, 8, 3, at(40), None), (3, 9, 4, at(50), None), (3, 10, 5, at(55), None)],
+        [(4, 11, 1, at(90), "d")],
+        [(5, 12, 1, at(90_000), None)],
+        [(5, 13, 2, at(90_010), None)],
+    ]
+    kept = []
+    for rows in steps:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+        query = jobs.session_context_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert kept[:3] == [2, 0, 1] and kept[-1] == 0
+    got = {r.id: r.carried for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {r.id: r.carried for r in jobs.session_context(spark.createDataFrame([r for s in steps for r in s], kind)).collect()}
+    assert got == {1: "a", 2: "a", 3: None, 4: "c", 5: "a", 6: None, 7: "c", 8: "c", 9: "c", 10: None, 11: "d", 12: None, 13: None}
