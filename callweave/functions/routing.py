@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
-from callweave.functions.signals import any_of, flagged
+from callweave.functions.signals import any_of, flagged, loss_intent, region
 
 INFO, USAGE = "card_info", "card_usage"
 
@@ -126,6 +126,45 @@ def route_decision(s: Column, applepay: Column, words: RouteTerms, weak_routes:
     return F.when(phone, fixed("phone_lookup", "guide_tbl", filters(intent=one("phone_lookup")), guides, "B")).when(force, fixed(USAGE, "card_tbl", empty, no_terms(), "C")).otherwise(decided)
 
 
+# Results depend on them.
+@dataclass
+class FilterTerms:
+    loss_strong: list[str] = field(default_factory=lambda: ["분실", "잃어버", "도난", "훔", "없어졌", "주운", "주웠"])
+    loss_action: list[str] = field(default_factory=lambda: ["정지", "신고", "재발급", "부정사용", "승인", "결제됐", "피해"])
+    loss_names: list[str] = field(default_factory=lambda: ["분실", "도난"])
+    info: list[str] = field(default_factory=lambda: ["괜찮", "좋아", "혜택", "추천", "연회비", "조건", "신청", "발급", "한도", "실적", "할인", "서류", "방법"])
+    no_name: list[str] = field(default_factory=lambda: ["좋아요", "괜찮", "추천", "혜택", "연회비", "조건", "신청", "서류", "방법", "얼마", "한도", "할인"])
+    name_below: int = 18
+    programme: list[str] = field(default_factory=lambda: ["k패스", "k-pass", "케이패스"])
+    programme_name: str = "K-패스"
+    benefits: dict[str, list[str]] = field(default_factory=lambda: {"다자녀": ["다자녀", "2자녀", "세자녀", "자녀", "미성년 자녀"], "체크": ["체크", "체크카드"], "청년": ["청년", "만 19", "만19", "만 34", "만34"]})
+    regions: dict[str, list[str]] = field(default_factory=lambda: {"경기": ["경기", "경기도"], "충남": ["충남", "충청남도"], "충북": ["충북", "충청북도"], "서울": ["서울", "서울시"]})
+
+
+def settled_filters(decided: Column, text: Column, words: FilterTerms | None = None) -> Column:
+    """The filters of a route_decision() for its normalized text: names that can't be card names go; without a loss intent so
+    do intents of loss, and all intents if the text asks for information; the text of one card programme adds the
+    programme's name (if no card is named), region and benefits. Telephone and forced routes keep theirs. A null text has
+    none of the words."""
+    words = words or FilterTerms()
+    text = F.coalesce(text, F.lit(""))
+    filters = decided["filters"]
+    name = lambda x: ~any_of(F.lower(x), words.no_name) & (F.length(x) < words.name_below)
+    lost = loss_intent(text, words.loss_strong, words.loss_action, words.info)
+    intents = lambda v: F.when(lost, v).when(any_of(text, words.info), no_terms()).otherwise(F.filter(v, lambda x: ~any_of(x, words.loss_names)))
+    clean = F.transform_values(filters, lambda k, v: F.when(k == "card_name", F.filter(v, name)).when(k.isin("intent", "weak_intent"), intents(v)).otherwise(v))
+    named = F.size(F.coalesce(F.try_element_at(clean, F.lit("card_name")), no_terms())) > 0
+    place = region(text, words.regions)
+    more = F.create_map(
+        F.lit("card_name"), F.when(named, no_terms()).otherwise(F.array(F.lit(words.programme_name))),
+        F.lit("region"), F.when(place.isNull(), no_terms()).otherwise(F.array(place)),
+        F.lit("benefit_type"), flagged([(k, any_of(text, p)) for k, p in words.benefits.items()]),
+    )
+    more = F.map_filter(more, lambda k, v: any_of(text, words.programme) & (F.size(v) > 0))
+    kept = F.map_filter(clean, lambda k, v: (F.size(v) > 0) & ~F.map_contains_key(more, k))
+    return F.when((decided["route"] == "phone_lookup") | (F.size(decided["sources"]) == 0), filters).otherwise(F.map_concat(kept, more))
+
+
 # Results depend on them. Words that are actions or intents, and those that never count.
 ACTION_WORDS = ["방법", "어떻게", "신청", "등록", "추가", "설정", "변경", "해지", "취소", "안됨", "오류", "실패", "인증", "재발급", "재발행", "재교부", "분실", "도난", "발급", "결제", "승인", "환불", "에러", "안돼", "불가", "거절", "신고", "서류", "사용", "사용처", "교통", "충전", "연체", "수수료", "이자", "이자율", "대출", "현금서비스", "카드론", "리볼빙", "입금", "납부", "한도"]
 INTENT_WORDS = {w: [] for w in ("혜택", "연회비", "조건", "추천", "비교", "좋아", "좋은", "괜찮", "정보", "소개", "어떤", "뭐가")}

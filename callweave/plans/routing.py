@@ -66,6 +66,17 @@ def _route(s, d):
     return rows.select("session_id", "seq", "pos", "r.route", "r.db_route", filters.alias("filters"), "r.template", "r.trigger", "r.search", "r.sources", "r.exclude", "r.policy")
 
 
+#: Terms that the invented prose holds, in the places of the defaults.
+SETTLED = R.FilterTerms(loss_strong=["loss", "ara"], loss_action=["ta"], loss_names=["los", "limit"], info=["en "], no_name=["pre"], name_below=12, programme=["na"], programme_name="pass", benefits={"young": ["or"], "family": ["ma", "mi"]}, regions={"north": ["ka"], "south": ["la", "so"]})
+
+
+def _settled(s, d):
+    pay = F.when(F.contains(F.col("s.normalized"), F.lit("ñ")), "applepay_general")
+    rows = _signals(s, d).select("session_id", "seq", "pos", F.col("s.normalized").alias("t"), R.route_decision(F.col("s"), pay, WORDS, {"limit": R.INFO, "fee": R.USAGE}).alias("r"))
+    settled = R.settled_filters(F.col("r"), F.col("t"), SETTLED)
+    return rows.select("session_id", "seq", "pos", F.array_sort(F.transform(F.map_entries(settled), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))).alias("filters"))
+
+
 def _flags(s, d):
     rows = _signals(s, d).select("session_id", "seq", "pos", "s.*")
     db = F.when(F.col("pos") % 3 == 0, "both").otherwise("card_tbl")
@@ -122,6 +133,7 @@ QUERIES = {
     "product_candidates": _products,
     "contained_signals": lambda s, d: _signals(s, d).select("session_id", "seq", "pos", *[f"s.{c}" for c in ("cards", "actions", "payments", "weak", "patterns", "info", "usage", "issuance")]),
     "route_decision": _route,
+    "route_filters": _settled,
     "fallback_contains": lambda s, d: b.table(s, d, "documents").select("doc_id", R.fallback_contains(F.lower("text"), {**CARDS, **ACTIONS, **WEAK}).alias("found")),
     "expand_terms": lambda s, d: _part(s, d).select("p_partkey", R.expand_terms(F.split("p_name", " "), SYNONYMS, True).alias("terms")),
     "guide_terms": lambda s, d: _part(s, d).select("p_partkey", R.guide_terms(_picked(GUIDE_CASES, F.col("p_partkey") % 4), ["안내"]).alias("terms")),
@@ -189,6 +201,15 @@ k >= 20 OR NOT mute AND (k <> 9 OR list_contains(actions, 'loss')) AS trigger, k
 CASE WHEN k = 20 THEN ['guide_merged', 'guide_general'] WHEN k = 21 THEN [] WHEN NOT plain THEN ['hyundai_applepay', 'guide_general'] WHEN terms THEN ['guide_with_terms'] WHEN list_has_any(actions, ['loss', 'error', 'open']) THEN ['guide_merged', 'guide_general'] WHEN route = 'card_info' THEN ['card_products', 'guide_merged', 'guide_general'] ELSE ['guide_merged', 'guide_general'] END AS sources,
 CASE WHEN k >= 20 THEN ['terms'] WHEN NOT plain THEN ['terms', 'card_products'] WHEN terms THEN [] ELSE ['terms'] END AS exclude,
 CASE WHEN k = 20 THEN 'B' WHEN k = 21 THEN 'C' WHEN NOT plain OR route = 'card_info' AND {_C} THEN 'A' WHEN {_A} OR {_C} AND {_P} THEN 'B' ELSE 'C' END AS policy FROM m"""
+_SETTLED = f"""{_S}, d AS ({_ROUTE}), j AS (SELECT d.session_id, d.seq, d.pos, s.t, d.filters AS given, d.route = 'phone_lookup' OR len(d.sources) = 0 AS fixed,
+(contains(t, 'loss') OR contains(t, 'ara')) AND (NOT contains(t, 'en ') OR contains(t, 'ta')) AS lost, contains(t, 'en ') AS info, contains(t, 'na') AS pass FROM d JOIN s USING (session_id, seq, pos)),
+e AS (SELECT *, list_transform(given, lambda f: {{'k': split_part(f, '=', 1), 'v': string_split(split_part(f, '=', 2), '|')}}) AS f FROM j),
+c AS (SELECT *, list_filter(list_transform(f, lambda x: {{'k': x.k, 'v': CASE WHEN x.k = 'card_name' THEN list_filter(x.v, lambda n: NOT contains(lower(n), 'pre') AND length(n) < 12)
+WHEN x.k IN ('intent', 'weak_intent') AND NOT lost THEN CASE WHEN info THEN [] ELSE list_filter(x.v, lambda n: NOT contains(n, 'los') AND NOT contains(n, 'limit')) END ELSE x.v END}}), lambda x: len(x.v) > 0) AS g FROM e),
+m AS (SELECT *, CASE WHEN pass THEN list_filter([CASE WHEN len(list_filter(g, lambda x: x.k = 'card_name')) = 0 THEN 'card_name=pass' END,
+CASE WHEN contains(t, 'ka') THEN 'region=north' WHEN contains(t, 'la') OR contains(t, 'so') THEN 'region=south' END,
+CASE WHEN contains(t, 'or') AND (contains(t, 'ma') OR contains(t, 'mi')) THEN 'benefit_type=young|family' WHEN contains(t, 'or') THEN 'benefit_type=young' WHEN contains(t, 'ma') OR contains(t, 'mi') THEN 'benefit_type=family' END], lambda x: x IS NOT NULL) ELSE [] END AS more FROM c)
+SELECT session_id, seq, pos, CASE WHEN fixed THEN given ELSE list_sort(list_concat(list_transform(g, lambda x: x.k || '=' || array_to_string(x.v, '|')), more)) END AS filters FROM m"""
 _SPELL = "[x, replace(x, ' ', ''), replace(x, ' ', '-'), replace(x, '-', ''), replace(x, '-', ' '), replace(x, '.', ''), replace(x, '.', ' ')]"
 _SCRIPTS = f"WITH {_U}, c AS (SELECT session_id, seq, trim(replace(replace(message, 'the ', ''), 'and ', ''), E' \\n\\t\\r') AS m FROM u WHERE speaker = 'customer') SELECT session_id, trim(regexp_replace(string_agg(m, ' ' ORDER BY seq, m), '\\s+', ' ', 'g')) AS script FROM c WHERE length(m) > 4 GROUP BY session_id"
 
@@ -205,6 +226,7 @@ SELECT query_id, id, stage, rank, CAST(round(vector_score, 5) AS DOUBLE) AS vect
 ORACLE_SQL = {
     "contained_signals": _S + " SELECT session_id, seq, pos, cards, actions, payments, weak, patterns, info, usage, issuance FROM s",
     "route_decision": _ROUTE,
+    "route_filters": _SETTLED,
     "fallback_contains": f"SELECT doc_id, {_held('lower(text)', chr(39).join(['replace(lower(text), ', ' ', ', ', '', ')']), {**CARDS, **ACTIONS, **WEAK})} AS found FROM documents",
     "expand_terms": "WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), a AS (SELECT p_partkey, list_concat(w, flatten(list_transform(w, lambda t: CASE t WHEN 'small' THEN ['tiny', 'very small'] WHEN 'widget' THEN ['gadget'] WHEN 'large' THEN ['big one'] ELSE [] END))) AS w FROM s), "
     + f"o AS (SELECT p_partkey, {_ordered('w')} AS w FROM a), x AS (SELECT p_partkey, list_concat(w, list_transform(w, lambda t: replace(t, ' ', ''))) AS w FROM o) SELECT p_partkey, {_ordered('w')} AS terms FROM x",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from callweave.functions import matching
+from callweave.functions import routing as R
 from callweave.operators import filters
 
 COLUMNS = "id string, title string, content string, category string, category1 string, category2 string, card_name string"
@@ -64,3 +65,25 @@ def test_error_spans():
     assert matching.error_spans(truth, guess, least=10) == [(12, 19, 19, "b", "a"), (10, 5, 5, "a", "b")]
     assert matching.error_spans(truth, guess, least=11) == [(12, 19, 19, "b", "a")]
     assert matching.error_spans([], guess) == [] == matching.error_spans(truth, truth)
+
+
+def test_settled_route_filters(spark):
+    usage = ["guide_merged"]
+    rows = [
+        # names that can't be card names go
+        ("x", "card_usage", {"card_name": ["혜택 좋은 카드", "테디카드", "a" * 18]}, usage, {"card_name": ["테디카드"]}),
+        # a loss intent keeps loss intents; without one they go; a question for information loses all intents
+        ("지갑 분실 신고", "card_usage", {"intent": ["분실도난"]}, usage, {"intent": ["분실도난"]}),
+        ("카드 정지", "card_usage", {"intent": ["분실도난", "해지"], "weak_intent": ["도난"]}, usage, {"intent": ["해지"]}),
+        ("연회비 얼마", "card_usage", {"intent": ["해지"], "weak_intent": ["한도"], "payment_method": ["티머니"]}, usage, {"payment_method": ["티머니"]}),
+        # one programme
+        ("k패스 경기도 청년 다자녀", "card_usage", {}, usage, {"card_name": ["K-패스"], "region": ["경기"], "benefit_type": ["다자녀", "청년"]}),
+        ("k패스", "card_usage", {"card_name": ["테디카드"], "region": ["서울"]}, usage, {"card_name": ["테디카드"], "region": ["서울"]}),
+        # telephone and forced routes, and a null text
+        ("k패스 전화번호", "phone_lookup", {"intent": ["phone_lookup"]}, usage, {"intent": ["phone_lookup"]}),
+        ("k패스", "card_usage", {}, [], {}),
+        (None, "card_usage", {"intent": ["분실"], "card_name": ["테디카드"]}, usage, {"card_name": ["테디카드"]}),
+    ]
+    df = spark.createDataFrame(rows, "t string, route string, filters map<string,array<string>>, sources array<string>, want map<string,array<string>>")
+    got = df.select("want", R.settled_filters(F.struct("route", "filters", "sources"), F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
