@@ -33,6 +33,24 @@ def benefit_types(text: Column, patterns: dict[str, list[str]]) -> Column:
     return flagged([(k, any_of(text, p)) for k, p in patterns.items()])
 
 
+# Where an ASCII word begins or ends, and where not. Java's own \b also counts letters beyond ASCII as parts of words.
+_EDGE = {"b": r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))", "B": r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"}
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word edges outside brackets as SQL engines take them: only ASCII letters, digits and _ make words."""
+    out, at, inside = [], 0, 0
+    while at < len(pattern):
+        sign = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        if len(sign) == 2 and sign[1] in _EDGE and not inside:
+            out.append(_EDGE[sign[1]])
+        else:
+            inside = max(0, inside + (sign == "[") - (sign == "]"))
+            out.append(sign)
+        at += len(sign)
+    return "".join(out)
+
+
 def compound_patterns(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Categories of the rules whose pattern is found; one entry a rule."""
     return flagged([(category, F.rlike(text, F.lit(pattern))) for category, pattern in rules])

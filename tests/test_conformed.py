@@ -60,6 +60,13 @@ def test_pools_run_out(spark):
     assert got == [("a", 0, 1), ("a", 1, 2), ("b", 0, 3), ("기타", 0, 1), ("기타", 1, 2), ("기타", 2, 3)]
 
 
+def test_compound_patterns_take_ascii_words(spark):
+    rules = [("end", S.ascii_edges(r"tion\b")), ("inside", S.ascii_edges(r"tion\B")), ("slash", S.ascii_edges(r"\\b[b]"))]
+    found = lambda t: value(spark, S.compound_patterns(F.lit(t), rules))
+    assert found("action") == ["end"] and found("actioné") == ["end"] and found("action가") == ["end"]
+    assert found("actions") == ["inside"] and found("action_") == ["inside"] and found(r"\bb") == ["slash"]
+
+
 def test_card_token_match(spark):
     match = lambda tokens, names: value(spark, S.card_token_match(F.array(*map(F.lit, tokens)), names))
     assert match(["kb"], ["KB card", "other"]) == ["KB card"]  # 2 letters and 2 for ASCII
