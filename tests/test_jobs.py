@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import time
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -104,6 +106,24 @@ def test_script_queries_compare_whole_messages(spark, tmp_path):
     assert sorted(map(tuple, texts.QUERIES["word_diff"](spark, str(tmp_path)).collect())) == changes
 
 
+def test_matching_blocks_like_difflib():
+    """The same blocks as difflib, and long texts with many changes in far less time than its pairs of places take."""
+    rng = random.Random(9)
+    for few in (0, 4_000):
+        matching.FEW_PAIRS, before = few, matching.FEW_PAIRS
+        for _ in range(300):
+            signs = "abcd é가"[: rng.randint(1, 7)]
+            a = "".join(rng.choice(signs) for _ in range(rng.randint(0, 90)))
+            b = "".join(rng.choice(signs) if rng.random() < 0.1 else c for c in a if rng.random() > 0.05) if rng.random() < 0.7 else a[::-1]
+            assert matching.matching_blocks(a, b) == [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+        matching.FEW_PAIRS = before
+    text = "".join(rng.choice("etaoin srhl") for _ in range(20_000))
+    changed = "".join("X" if i % 500 == 499 else c for i, c in enumerate(text))
+    began = time.process_time()
+    assert matching.ratio(text, changed) == 1 - 40 / 20_000
+    assert time.process_time() - began < 10
+
+
 def test_shared_edge_like_brute_force():
     rng = random.Random(4)
     for _ in range(300):
