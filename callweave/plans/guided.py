@@ -23,12 +23,12 @@ def _guides(s, d):
     k = F.col("p_partkey")
     intents = F.when(k % 100 == 0, F.array(F.lit("Big"), F.lit(" "), F.lit("plate"))).when(k % 150 == 0, F.array(F.lit("widget")))
     asked = part.filter("p_partkey % 50 = 0").select(k.alias("query_id"), "p_size", F.concat_ws(" ", "p_name", "p_brand").alias("query"), F.split("p_name", " ").alias("terms"), intents.alias("intents"), (k % 350 == 0).alias("phone"))
-    found = part.select(k.alias("id"), "p_size", F.col("p_name").alias("title"), F.col("p_type").alias("tag_text"), F.col("p_brand").alias("content"), F.when(k % 40 == 7, k % 3).alias("pin_rank"), (k % 5 - 1).cast("double").alias("score"))
-    return found.join(asked, "p_size")
+    guides = part.select(k.alias("id"), "p_size", F.col("p_name").alias("title"), F.col("p_type").alias("tag_text"), F.col("p_brand").alias("content"), F.when(k % 40 == 7, k % 3).alias("pin_rank"), (k % 5 - 1).cast("double").alias("score"))
+    return asked, guides, ["p_size"]
 
 
 def _gates(s, d):
-    return guidance.guidance_gates(_guides(s, d), TAGS, CORE, BRANDS)
+    return guidance.guidance_gates_on(*_guides(s, d), tags=TAGS, core=CORE, brands=BRANDS)
 
 
 def _ends(rows, *order):
@@ -64,7 +64,7 @@ QUERIES = {
     "grounding_sentence": _sentences,
     "extract_keywords": _spoken,
     "guidance_gates": _gates,
-    "guidance_documents": lambda s, d: guidance.guidance_documents(_guides(s, d), tags=TAGS, core=CORE, brands=BRANDS),
+    "guidance_documents": lambda s, d: guidance.guidance_documents_on(*_guides(s, d), tags=TAGS, core=CORE, brands=BRANDS),
     "stream_fragments": stream_query(live.fragment_batches, lambda s, d: _ends(b.fragments(s, d), "seq", "pos").select("session_id", "seq", "pos", "ts", "message", "last")),
     "stream_transcript_merge": stream_query(live.transcript_merge, lambda s, d: _ends(_batches(s, d), "batch", "seq")),
     "skip_if_loaded": lambda s, d: checks.load_states({t: b.table(s, d, t).filter("o_orderkey < 0") if t == "orders" else b.table(s, d, t) for t in ("supplier", "orders", "customer", "events", "nation")}, {"supplier": 10, "nation": 32}, {"customer": F.col("c_name") == "no default"}),

@@ -62,3 +62,17 @@ def test_merged_stream_equals_batch(spark, tmp_path, turns):
     want = {tuple(r) for r in transcripts.merge_batches(df.drop("ts", "last")).collect()}
     got = jobs.drained(spark, df, live.transcript_merge, "merge", str(tmp_path))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_gates_and_documents_by_kinds(spark):
+    """Copies of questions and guides are gated once by their kind, with what gating every pair gives."""
+    kinds = [("분실 신고 방법", "분실", "신고", "카드", 0.5), ("대출 안내", "대출", "금리", "본문", -1.0), ("", None, None, "분실", 0.0), ("티머니 분실", "분실", None, "티머니", 0.2)]
+    told = [(10 * c + i, c % 2, *g[:1], g[1], g[3], 1 if (c, i) == (3, 1) else None, g[4]) for c in range(6) for i, g in enumerate(kinds)]
+    guides = spark.createDataFrame(told, "id long, part long, title string, tag_text string, content string, pin_rank long, score double")
+    asked = [(n, n % 2, q, ["카드"], None, False) for n, q in enumerate(["분실했어요", "분실했어요", "분실했어요", "대출", None, "티머니"])]
+    queries = spark.createDataFrame(asked, "query_id long, part long, query string, terms array<string>, intents array<string>, phone boolean")
+    pairs = guides.join(queries, "part")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(guidance.guidance_gates_on(queries, guides, ["part"])) == rows(guidance.guidance_gates(pairs)) != []
+    assert rows(guidance.guidance_documents_on(queries, guides, ["part"], 3)) == rows(guidance.guidance_documents(pairs, 3)) != []
+    assert guidance._kind_pairs(queries, guides, ["part"])[0].count() < pairs.count() / 3
