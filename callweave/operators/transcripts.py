@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import matching
 from callweave.functions import text as T
+from callweave.sources.stored import dealt
 
 
 def merge_same_speaker(rows: DataFrame) -> DataFrame:
@@ -96,21 +97,12 @@ def merge_batches(rows: DataFrame, most: int = 8, least: float = 0.93) -> DataFr
     return rows.groupBy("session_id").applyInPandas(fold, "session_id long, turn long, speaker string, message string")
 
 
-#: Tasks for each core that compared texts are dealt to, however few files or row groups they are read from.
-TASKS_PER_CORE = 4
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows over all cores: comparing costs far more than reading, and a file of one row group is read by one task."""
-    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def sequence_ratio(rows: DataFrame, a: str, b: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f[["id"]].assign(ratio=[round(matching.ratio(x or "", y or ""), 6) for x, y in zip(f[a], f[b])])
 
-    return _dealt(rows.select("id", a, b)).mapInPandas(run, "id long, ratio double")
+    return dealt(rows.select("id", a, b)).mapInPandas(run, "id long, ratio double")
 
 
 def word_diff(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -121,7 +113,7 @@ def word_diff(rows: DataFrame, a: str, b: str) -> DataFrame:
             out = [(i, *d) for i, x, y in zip(f["id"], f[a], f[b]) for d in matching.word_changes(x or "", y or "")]
             yield pd.DataFrame(out, columns=["id", "op", "before", "after"])
 
-    return _dealt(rows.select("id", a, b)).mapInPandas(run, "id long, op string, before string, after string")
+    return dealt(rows.select("id", a, b)).mapInPandas(run, "id long, op string, before string, after string")
 
 
 def correction_summary(rows: DataFrame, before: str, after: str) -> DataFrame:
@@ -142,7 +134,7 @@ def correction_similarity(rows: DataFrame, before: str, after: str, truth: str)
         for f in frames:
             yield pd.DataFrame({c: [matching.ratio(x or "", t or "") for x, t in zip(f[c], f["t"])] for c in ("a", "b")})
 
-    scored = _dealt(rows.select(F.col(before).alias("a"), F.col(after).alias("b"), F.col(truth).alias("t"))).mapInPandas(run, "a double, b double")
+    scored = dealt(rows.select(F.col(before).alias("a"), F.col(after).alias("b"), F.col(truth).alias("t"))).mapInPandas(run, "a double, b double")
     return scored.agg(F.count(F.lit(1)).alias("utterances"), F.round(F.avg("a"), 6).alias("before"), F.round(F.avg("b"), 6).alias("after"), F.round(F.avg("b") - F.avg("a"), 6).alias("gain"))
 
 

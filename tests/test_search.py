@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
-from callweave.operators import textsearch, vectors
+from callweave.operators import retrieval, textsearch, vectors
 
 
 def grams(text):
@@ -188,3 +188,22 @@ def test_redaction(spark):
     got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(T.redact(F.col("t")).alias("t")).collect()]
     assert got == ["tel  x", " / ", "", "see  or ", "\n안내 ", " 안내 ", "12-34"]
     assert spark.range(1).select(T.redact(F.lit("문의 010-1234-5678"), keep_phone=True).alias("t")).first().t == "문의 010-1234-5678"
+
+
+def test_rerank_by_kinds(spark):
+    """A kind of query is ranked once, and its rows count terms once for each kind."""
+    rows = spark.createDataFrame([(i, i, i % 2, ["red ring", "blue bolt", None][i % 3], "x") for i in range(24)], "id long, rank long, part long, title string, content string")
+    queries = spark.createDataFrame([(n, n % 2, [["red", ""], ["bolt", "x"]][n % 3 > 0]) for n in range(6)], "query_id long, part long, terms array<string>")
+    got = retrieval.rerank_pairs(queries, rows, ["part"], "title", "content")
+    want = retrieval.rerank_by_terms(rows.join(queries, "part"), F.col("terms"), "title", "content").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_trigrams_of_equal_texts_are_compared_once(spark, monkeypatch):
+    compared = []
+    whole = textsearch.similar_sets
+    monkeypatch.setattr(textsearch, "similar_sets", lambda left, right, least: compared.append((left.count(), right.count())) or whole(left, right, least))
+    titles = spark.createDataFrame([(i, ["small ring", "large bolt", "", None][i % 4]) for i in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(i, ["small rings", "none"][i % 2]) for i in range(10)], "query_id long, text string")
+    got = sorted((r.query_id, r.id) for r in textsearch.trigram_matches(titles, queries, 0.5).collect())
+    assert got == [(q, i) for q in range(0, 10, 2) for i in range(0, 40, 4)] and compared == [(2, 2)]
