@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -68,16 +69,26 @@ def filter_weak_actions(actions: Column, weak_intents: Column, text: Column, syn
 def card_token_match(tokens: Column, names: list[str], least: int = 3, most: int = 3) -> Column:
     """The names with the highest score: per token found in the name without blanks, its length, and 2 more if it has an
     ASCII letter or digit. None below `least`; of more than `most`, the shortest. names is a dictionary, not a table."""
-    def score(name: str) -> Column:
+    def score(name: str, held: Column) -> Column:
         tight = F.lit(name.replace(" ", "").lower())
-        weight = lambda t: F.length(t) + F.when(t.rlike("[A-Za-z0-9]"), 2).otherwise(0)
-        return F.aggregate(tokens, F.lit(0), lambda s, t: s + F.when((t != "") & F.contains(tight, t), weight(t)).otherwise(0))
-
-    scored = F.array(*(F.struct(score(n).alias("score"), F.lit(n).alias("name")) for n in names))
-    best = F.array_max(F.transform(scored, lambda x: x["score"]))
-    hits = F.transform(F.filter(scored, lambda x: x["score"] == best), lambda x: x["name"])
-    short = F.transform(F.array_sort(F.transform(hits, lambda n, i: F.struct(F.length(n).alias("length"), i.alias("at"), n.alias("name")))), lambda x: x["name"])
-    return F.when(best < least, F.array().cast("array<string>")).when(F.size(hits) > most, F.slice(short, 1, most)).otherwise(hits)
+        return F.aggregate(held, F.lit(0), lambda s, t: s + F.when(F.contains(tight, t["token"]), t["weight"]).otherwise(0))
+
+    def chosen(scored: Column, best: Column) -> Column:
+        hits = F.transform(F.filter(scored, lambda x: x["score"] == best), lambda x: x["name"])
+        short = F.transform(F.array_sort(F.transform(hits, lambda n, i: F.struct(F.length(n).alias("length"), i.alias("at"), n.alias("name")))), lambda x: x["name"])
+        return F.when(best < least, F.array().cast("array<string>")).when(F.size(hits) > most, F.slice(short, 1, most)).otherwise(hits)
+
+    # tokens in no name count for nothing; what is used several times is worked out once, as a lambda's variable
+    every = "\0".join(name.replace(" ", "").lower() for name in names)
+    found = F.filter(tokens, lambda t: (t != "") & F.contains(F.lit(every), t))
+    weighed = F.transform(found, lambda t: F.struct(t.alias("token"), (F.length(t) + F.when(t.rlike("[A-Za-z0-9]"), 2).otherwise(0)).alias("weight")))
+    scored = _once(weighed, lambda held: F.array(*(F.struct(score(n, held).alias("score"), F.lit(n).alias("name")) for n in names)))
+    return _once(scored, lambda all: _once(F.array_max(F.transform(all, lambda x: x["score"])), lambda best: chosen(all, best)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def matching_sections(text: Column, terms: Column, most: int = 2) -> Column:

@@ -96,3 +96,11 @@ def test_card_info_stop(spark):
     rows = [(1, 1, 0.5, "A"), (2, 1, 0.5, "A"), (2, 2, 0.45, "B"), (3, 1, 0.1, "A b"), (3, 2, 0.1, "ab"), (3, 3, 0.1, "AB"), (4, 1, None, "A")]
     got = {r[0]: (r[1], r[2]) for r in retrieval.card_info_stop(spark.createDataFrame(rows, "query_id long, rank int, score double, card string")).collect()}
     assert got == {1: (True, False), 2: (False, True), 3: (True, True), 4: (False, True)}
+
+
+def test_card_token_match_reads_tokens_once(spark):
+    """The tokens stand once in the plan, however many names there are."""
+    rows = spark.createDataFrame([("the river, que?",)], "content string")
+    tokens = F.filter(F.split("content", "[^a-z]+"), lambda t: F.length(t) >= 3)
+    found = rows.select(S.card_token_match(tokens, ["the river", "lo que", "des"]).alias("x"))
+    assert found.first()["x"] == ["the river"] and found._jdf.queryExecution().analyzed().toString().count("split(") == 1
