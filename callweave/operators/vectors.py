@@ -21,7 +21,10 @@ from callweave.sources.stored import stored
 #: Numbers of a block of rows or of queries, and of all queries that are broadcast.
 BLOCK_VALUES, BROADCAST_VALUES = 1 << 18, 1 << 24
 SALTS = 64
+#: Scores of rows and queries that a task holds at once.
+TILE_VALUES = 1 << 20
 _BLOCK = "ids binary, vectors binary, width int, tags array<array<string>>"
+_NONE = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 _HITS = "query_id long, id long, score double"
 
 
@@ -101,22 +104,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         met = left.withColumn("salt", F.pmod(F.xxhash64("row_ids"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_merge"), ["width", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held: dict[bytes, list[np.ndarray]] = {}  # of each piece of a query block
         for batch in batches:
-            for r in batch.to_pylist():
+            for row in range(batch.num_rows):
+                r = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
                 ids, query_ids = np.frombuffer(r["row_ids"], "<i8"), np.frombuffer(r["query_ids"], "<i8")
-                x, q = np.frombuffer(r["row_vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(r["query_vectors"], "<f8").reshape(len(query_ids), -1)
-                score = _scores(x, q, metric)
-                allowed = _allowed(r["row_tags"], r["query_tags"])
-                if allowed is not None:
-                    score = np.where(allowed, score, -np.inf)
-                if len(ids) > 4 * k:  # of a large block only what ties with a query's k best or beats them is sorted
-                    bound = np.partition(score, len(ids) - k, axis=0)[len(ids) - k]
-                    i, j = np.nonzero((score >= bound) & np.isfinite(score))
-                else:
-                    i, j = np.nonzero(np.isfinite(score))
-                held = list(_best(*(np.concatenate(c) for c in zip(held, (query_ids[j], ids[i], score[i, j]))), k))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["query_id", "id", "score"])
+                x, every = np.frombuffer(r["row_vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(r["query_vectors"], "<f8").reshape(len(query_ids), -1)
+                step = max(1, TILE_VALUES // max(1, len(ids)))
+                for at in range(0, len(query_ids), step):
+                    asked = query_ids[at : at + step]
+                    score = _scores(x, every[at : at + step], metric)
+                    allowed = _allowed(r["row_tags"], r["query_tags"][at : at + step])
+                    if allowed is not None:
+                        score = np.where(allowed, score, -np.inf)
+                    if len(ids) > 4 * k:  # of a large block only what ties with a query's k best or beats them is sorted
+                        bound = np.partition(score, len(ids) - k, axis=0)[len(ids) - k]
+                        i, j = np.nonzero((score >= bound) & np.isfinite(score))
+                    else:
+                        i, j = np.nonzero(np.isfinite(score))
+                    old = held.get(asked.tobytes(), _NONE)
+                    held[asked.tobytes()] = list(_best(*(np.concatenate(c) for c in zip(old, (asked[j], ids[i], score[i, j]))), k))
+        for best in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "id", "score"])
 
     hits = met.select("row_ids", "row_vectors", "row_tags", "query_ids", "query_vectors", "query_tags").mapInArrow(run, _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
