@@ -207,3 +207,76 @@ def test_trigrams_of_equal_texts_are_compared_once(spark, monkeypatch):
     queries = spark.createDataFrame([(i, ["small rings", "none"][i % 2]) for i in range(10)], "query_id long, text string")
     got = sorted((r.query_id, r.id) for r in textsearch.trigram_matches(titles, queries, 0.5).collect())
     assert got == [(q, i) for q in range(0, 10, 2) for i in range(0, 40, 4)] and compared == [(2, 2)]
+
+
+@pytest.mark.parametrize("most", [200_000, 4])
+def test_term_places(spark, monkeypatch, most):
+    """Places of a lane against a list of its rows in order: ties, second rows, noise, repeated ids, rows of another lane that
+    this one lacks, one block of queries and several."""
+    monkeypatch.setattr("callweave.operators.lexicon.MOST_TERMS", most)
+    monkeypatch.setattr(textsearch, "RANGE_ROWS", 9)
+    rng = random.Random(4)
+    words = ["card", "lost", "fee", "limit", "ring"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(4))), rng.choice(["Card", None, "x"])) for i in [*range(-40, 160), 3, 3, 8, 157, 1 << 54]]
+    asked = [(q, rng.sample(words, rng.randrange(4)) + rng.choice([[], ["CARD", "", "ost"], ["zzz"]])) for q in range(12)] + [(99, None)]
+    marks = lambda i: ("even" if i % 2 == 0 else "odd", i % 7 == 0, i % 3 == 0)
+    near = {(q, i): n for n, (q, i) in enumerate(sorted({(rng.choice([*range(12), 99, 50]), rng.randrange(-60, 180)) for _ in range(90)}), 1) if i % 7}
+    hits, want = {}, {}
+    for i, *fields in rows:
+        for q, terms in asked:
+            n = len({t.lower() for t in terms or [] if t and any(t.lower() in (f or "").lower() for f in fields)})
+            hits[q, i] = hits.get((q, i), 0) + n
+    for lane in {(q, marks(i)[0]) for q, i in hits}:
+        own = {i: n for (q, i), n in hits.items() if n and (q, marks(i)[0]) == lane}
+        listed = sorted([(-n, i) for i, n in own.items()] + [(0.5 - n, i) for i, n in own.items() if marks(i)[2]])
+        for place, (score, i) in enumerate(listed, 1):
+            if score == -own[i] and not marks(i)[1]:
+                want[lane[0], lane[1], i] = (place, None)
+    alone = dict(want)
+    for (q, i), n in near.items():
+        want[q, marks(i)[0], i] = (want.get((q, marks(i)[0], i), (None,))[0], n)
+    docs = spark.createDataFrame([(*r, *marks(r[0])) for r in rows], "id long, content string, title string, table string, noisy boolean, again boolean").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, terms array<string>")
+    other = spark.createDataFrame([(q, marks(i)[0], i, n) for (q, i), n in near.items()], "query_id long, table string, id long, place long")
+    for beside, expected in ((None, alone), (other, want)):
+        got = textsearch.term_places(docs, queries, beside).collect()
+        assert {(r.query_id, r.table, r.id): (r.place, r.near) for r in got} == expected and len(got) == len(expected) > 300
+    assert {(r.place is None, r.near is None) for r in got} == {(False, False), (False, True), (True, False)}
+    assert textsearch.term_places(docs.limit(0), queries).count() == textsearch.term_places(docs, queries.limit(0)).count() == 0
+    assert textsearch.term_places(docs.limit(0), queries, other).count() == len(near)
+
+
+def test_pairs_by_tiles(monkeypatch):
+    """Pairs are the same whatever a tile holds; a document is never cut."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    terms = pa.array([sorted(rng.sample(range(6), rng.randrange(6))) for _ in range(50)] + [None, [1, 1, 2]], pa.list_(pa.int32()))
+    start, queries = np.array([0, 2, 2, 5, 6, 8, 9]), np.array([0, 3, 0, 1, 2, 3, 1, 3, 2])
+    found = {}
+    for most in (1 << 20, 6):
+        monkeypatch.setattr(textsearch, "MOST_PAIRS", most)
+        tiles = list(textsearch._pairs(terms, start, queries))
+        assert (len(tiles) > 5) == (most == 6) and [t[0] for t in tiles[1:]] == [t[1] for t in tiles[:-1]]
+        assert all(list(zip(q, n, i)) == sorted(zip(q, n, i)) for _, _, q, n, i in tiles)
+        found[most] = {(int(q), low + int(i)): int(n) for low, _, *rows in tiles for q, n, i in zip(*rows)}
+    want = {}
+    for i, own in enumerate(terms.to_pylist()):
+        for t in own or []:
+            for q in queries[start[t] : start[t + 1]].tolist():
+                want[q, i] = want.get((q, i), 0) + 1
+    assert found[6] == found[1 << 20] == want
+
+
+def _after_the_pairs(spark, name):
+    """The plan of what follows once pairs of queries and documents are made."""
+    from callweave.plans import search
+
+    plan = search.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    return plan.split("MapInArrow")[0]
+
+
+def test_fused_pairs_are_not_moved(spark):
+    after = _after_the_pairs(spark, "hybrid_fusion")
+    assert not any(step in after for step in ("Aggregate", "Window", "Join", "Sort", "Repartition"))
