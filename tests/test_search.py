@@ -280,3 +280,8 @@ def _after_the_pairs(spark, name):
 def test_fused_pairs_are_not_moved(spark):
     after = _after_the_pairs(spark, "hybrid_fusion")
     assert not any(step in after for step in ("Aggregate", "Window", "Join", "Sort", "Repartition"))
+
+
+def test_ranked_pairs_are_not_moved(spark):
+    after = _after_the_pairs(spark, "rrf_rank")
+    assert "Union" in after and not any(step in after for step in ("Aggregate", "Window", "Join", "Sort", "Repartition"))
