@@ -199,6 +199,25 @@ def test_rerank_by_kinds(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_rerank_moves_no_pairs(spark, monkeypatch, most):
+    """Rows are ranked where they are, from counts of the ranges before: rows and queries of which hardly two are alike, with
+    nulls, several ranges and parts of queries."""
+    monkeypatch.setattr("callweave.operators.pairing.MOST_QUESTIONS", most)
+    rng = random.Random(most)
+    words = ["Red", "ring", "blue", "bolt", "ñu", "old", ""]
+    maybe = lambda x: x if rng.random() > 0.15 else None
+    some = lambda: " ".join(rng.choices(words, k=3))
+    rows = spark.createDataFrame([(maybe(i), 1000 - i, maybe(i % 3), maybe(f"{some()} {i}"), maybe(some())) for i in range(300)], "id long, rank long, part long, title string, content string")
+    queries = spark.createDataFrame([(n, maybe(n % 3), maybe([*rng.choices(words, k=4), maybe(str(n))])) for n in range(24)] + [(99, 50, ["red"]), (2, 2, ["RED", "red"])], "query_id long, part long, terms array<string>")
+    got = retrieval.rerank_pairs(queries, rows, ["part"], "title", "content")
+    pairs = rows.join(queries.filter("query_id != 2"), "part")
+    want = retrieval.rerank_by_terms(pairs, F.col("terms"), "title", "content").select(*got.columns)
+    assert sorted(map(str, got.filter("query_id != 2").collect())) == sorted(map(str, want.collect())) != []
+    above = got._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+    assert above[1] and not any(x in above[0] for x in ("Exchange", "Join", "Window"))
+
+
 def test_trigrams_of_equal_texts_are_compared_once(spark, monkeypatch):
     compared = []
     whole = textsearch.similar_sets
